@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, host_rules, mixing, token_blocks
+from . import hilbert, host_rules, mixing, signature_join, token_blocks
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = signature_join.near_duplicates(_documents(spark, sf_dir), k=3, t=90)
+    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert.shard(_documents(spark, sf_dir), ["lang", "source", "n_chars", "doc_id"], n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,6 +42,7 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_signature_trees": op2_signature_trees,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_token_blocks": op6_token_blocks,
     "op7_systematic_mix": op7_systematic_mix,
