@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, host_rules, mixing, signature_join, token_blocks
+from . import hilbert, host_rules, mixing, signature_join, spaced_seeds, token_blocks
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +41,16 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_documents(spark, sf_dir)).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op2_signature_trees": op2_signature_trees,
     "op5_hilbert_sharding": op5_hilbert_sharding,
     "op6_token_blocks": op6_token_blocks,
     "op7_systematic_mix": op7_systematic_mix,
     "op8_host_rules": op8_host_rules,
+    "op10_spaced_seeds": op10_spaced_seeds,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_spaced_seeds": spaced_seeds.oracle()}
