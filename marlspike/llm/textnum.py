@@ -32,6 +32,9 @@ LOWER[65:91] += 32
 BYTE_LOWER = BYTE[LOWER]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII letters and all bytes of longer characters.
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 _power: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -49,7 +52,7 @@ class Words:
     """Words of consecutive documents: ``data`` bytes, ``offsets`` of documents,
     ``start``/``end`` byte positions, ``doc`` number and ``count`` per document."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, part_of_word: np.ndarray | None = None):
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -58,7 +61,7 @@ class Words:
         off = np.frombuffer(off, np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
         data = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None else np.zeros(0, np.uint8)
         self.n, self.data, self.offsets = n, data, off - off[0]
-        inside = ~SPACE[data]
+        inside = ~SPACE[data] if part_of_word is None else part_of_word[data]
         before = np.zeros(len(data) + 1, bool)
         before[1:] = inside
         before[self.offsets] = False
