@@ -121,9 +121,9 @@ def host_verdicts(stats: DataFrame, host: str, max_rate: float = 0.5) -> DataFra
 
 
 def judge(docs: DataFrame, host: Column | None = None, doc_id: str = "doc_id", text: str = "text", max_rate: float = 0.5) -> DataFrame:
-    """doc_id, the counts, base_failed, host_kept and kept of every document."""
+    """doc_id, _at (a hash of id and text), the counts, base_failed, host_kept and kept of every document."""
     host = F.col("source") if host is None else host
-    keep = [F.col(doc_id).alias("doc_id"), F.concat(F.lit("h"), host.cast("string")).alias("_host")]
+    keep = [F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_at"), F.concat(F.lit("h"), host.cast("string")).alias("_host")]
     stats = document_counts(docs, text, keep).withColumn("_host", F.coalesce("_host", F.lit("-")))
     stats = materialize(stats, "counts")
     for r, failed in rules().items():
@@ -132,4 +132,4 @@ def judge(docs: DataFrame, host: Column | None = None, doc_id: str = "doc_id", t
     salted = stats.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int"))
     out = salted.join(verdicts, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left")
     base = F.col("fails_few_words") | F.col("fails_repeats")
-    return out.select("doc_id", *COUNTS, base.alias("base_failed"), F.col("host_kept"), (~base & F.col("host_kept")).alias("kept"))
+    return out.select("doc_id", "_at", *COUNTS, base.alias("base_failed"), F.col("host_kept"), (~base & F.col("host_kept")).alias("kept"))

@@ -55,17 +55,17 @@ def offset_units(source, seed: str):
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "7", cap: float = CAP) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of every document."""
+    """doc_id, _at (a hash of id and text), source, size, source_size, target, copies and taken of every document."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("_source"), size.alias("size"))
-    order = [F.col("size").asc(), F.col("doc_id").asc_nulls_first()]
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_at"), F.col(source).alias("_source"), size.alias("size"))
+    order = [F.col("size").asc(), F.col("doc_id").asc_nulls_first(), F.col("_at").asc()]
     ranged = range_sorted(sizes, [F.col("_source").asc_nulls_last(), *order], "sizes")
     goal = targets(ranged, cap).withColumn("_expect", F.coalesce(F.round(F.try_divide(F.col("target"), F.col("source_size")) * UNITS).cast("long"), F.lit(0)))
     goal = materialize(goal.withColumn("_offset", offset_units(F.col("_source"), seed)).withColumnRenamed("_source", "_src"), "targets")
     summed = prefix_sum(ranged, ["_source"], order, F.lit(1).cast("long"), "_rank")
     rows = _with_targets(summed, goal)
     rows = rows.withColumn("copies", (F.expr(f"(_rank * _expect + _offset) div {UNITS}") - F.expr(f"((_rank - 1) * _expect + _offset) div {UNITS}")).cast("long"))
-    return rows.select("doc_id", F.col("_source").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.select("doc_id", "_at", F.col("_source").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def _with_targets(rows: DataFrame, goal: DataFrame, salts: int = 32) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, host_rules, mixing, signature_join, spaced_seeds, token_blocks
+from . import crf_toxicity, hilbert, host_rules, line_chunks, mixing, ordinal_quality, ppm_language, signature_join, spaced_seeds, token_blocks
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,11 +19,28 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = crf_toxicity.toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_toxic_words", F.transform("spans", lambda s: s["start"]).alias("span_starts"), F.transform("spans", lambda s: s["end"]).alias("span_ends"))
+
+
 def op2_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signature_join.near_duplicates(_documents(spark, sf_dir), k=3, t=90)
     return out.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_language.language(_documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
+def op4_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal_quality.quality(_documents(spark, sf_dir), _labels(spark, sf_dir)).select("doc_id", "held_out", "expected_grade", "p_ge_1", "p_ge_2", "kept")
+
+
 def op5_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = hilbert.shard(_documents(spark, sf_dir), ["lang", "source", "n_chars", "doc_id"], n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -41,16 +58,13 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_documents(spark, sf_dir)).select("doc_id", *host_rules.COUNTS, "base_failed", "kept")
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.dedup_lines(_documents(spark, sf_dir))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.overlaps(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES = {
-    "op2_signature_trees": op2_signature_trees,
-    "op5_hilbert_sharding": op5_hilbert_sharding,
-    "op6_token_blocks": op6_token_blocks,
-    "op7_systematic_mix": op7_systematic_mix,
-    "op8_host_rules": op8_host_rules,
-    "op10_spaced_seeds": op10_spaced_seeds,
-}
+QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_signature_trees, op3_ppm_language, op4_ordinal_quality, op5_hilbert_sharding, op6_token_blocks, op7_systematic_mix, op8_host_rules, op9_line_chunks, op10_spaced_seeds)}
 ORACLE_SQL: dict[str, str] = {"op10_spaced_seeds": spaced_seeds.oracle()}

@@ -127,8 +127,8 @@ def signatures(docs: DataFrame, k: int, t: int, doc_id: str, text: str) -> DataF
 
 
 def handle(doc_id: str, text: str):
-    """What a document is found again by: doc_id, or where that is null a hash of the text."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.col(text)))
+    """What a document is found again by."""
+    return F.xxhash64(F.col(doc_id), F.col(text))
 
 
 def shared_keys(keyed: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def _tree_join(members: DataFrame, docs: DataFrame, k: int, t: int, doc_id: str,
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, _at (its handle), vid (its class), n_shingles, component_id and n_links of every document."""
+    """doc_id, _at (its handle), component (a name; null for empty sets), n_shingles, component_id and n_links of every document."""
     signed = materialize(signatures(docs, k, t, doc_id, text), "signatures")
     slim = signed.select("doc_id", "_at", "n", "vid")
     classes = materialize(slim.where("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("low"), F.min("_at").alias("_at"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_docs")), "classes")
@@ -363,6 +363,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, doc_id: str = "doc
     named = classes.join(root, "vid", "left").join(links, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     # a component may hold many classes: its smallest doc_id is added up first, then joined back
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "root").select("vid", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    named = named.join(low, "root").select("vid", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
     out = slim.join(named, "vid", "left")
-    return out.select("doc_id", "_at", "vid", F.col("n").alias("n_shingles"), F.when(F.col("vid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", "_at", F.col("root").alias("component"), F.col("n").alias("n_shingles"), F.when(F.col("vid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
