@@ -82,9 +82,10 @@ def encode_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, percentile:
         blocks[-1, tail:] = blocks[-1, :tail].min()
     low = blocks.min(1) if n_blocks else np.zeros(0, np.uint32)
     rest = blocks - low[:, None]
-    at = min(BLOCK - 1, int(np.ceil(percentile * BLOCK)) - 1)
-    edge = np.partition(rest, at, 1)[:, at] if n_blocks else low
-    width = np.frexp(edge.astype(np.float64))[1].astype(np.int64)
+    allowed = BLOCK - min(BLOCK, int(np.ceil(percentile * BLOCK)))
+    width = np.zeros(n_blocks, np.int64)
+    for bits in range(int(rest.max()).bit_length() if n_blocks else 0):  # a block needs more bits while too many values are beyond
+        width += (rest >= np.uint32(1 << bits)).sum(1) > allowed
     over = rest > ((1 << width) - 1).astype(np.uint32)[:, None]
     n_over = over.sum(1)
     sizes = width * 128 + n_over * 6
@@ -161,7 +162,8 @@ class Encoder:
     other white space, and tokenizers of other kinds, are encoded in one call.
     """
 
-    MEMORY = 500_000
+    #: Stretches of each of two generations; what the older one has is taken over when it is met again.
+    MEMORY = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -174,6 +176,8 @@ class Encoder:
         self.by_stretch = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {c: self._whole([c])[0].tobytes() for c in ",."}
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids whose piece starts with a space
         self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
@@ -200,11 +204,18 @@ class Encoder:
         plain = [self.by_stretch and _lone(t) and not any(s in t for s in self.special) for t in texts]
         cut = [("\x01" + t.replace("\n", " \n \x01")).split(" ") if ok else None for t, ok in zip(texts, plain)]
         if len(self.memory) > self.MEMORY:
-            self.memory.clear()
-        known = self.memory
+            self.older, self.memory = self.memory, {}
+        known, older = self.memory, self.older
         new = set().union(*(c for c in cut if c is not None))
         new.difference_update(known)
+        known.update((p, older[p]) for p in new if p in older)
+        new.difference_update(known)
+        # a comma or full stop after a letter is a piece of its own, so its word's ids do for both
+        marked = [p for p in new if p[-1] in ",." and len(p) > 1 and p[-2].isalpha()]
+        new.difference_update(marked)
+        new.update(p[:-1] for p in marked if p[:-1] not in known)
         self._learn(list(new))
+        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
         rest = iter(self._whole([t for t, ok in zip(texts, plain) if not ok]))
         return [next(rest) if c is None else np.frombuffer(b"".join(map(known.__getitem__, c)), np.uint32) for c in cut]
 
