@@ -1 +1,414 @@
-"""Queries."""
+"""Queries over facts and cross-sections: latest and annual facts, features, scores, the balance model, joins and set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from marlspike.functions.exprs import artifact_stem, money, normalize_cik, normalize_ticker
+from marlspike.operators import prices as P
+from marlspike.operators import scoring as S
+from marlspike.sources import sinks
+from marlspike.sources.tables import table
+
+from .domain import BARS, BENCH, FACTS, SECURITIES, bars, benchmark_bars, facts, securities
+from .registry import query
+
+
+def _r(c, d=6):
+    return F.round(c, d)
+
+
+LABELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_NAMES = ["assets", "liabilities", "revenue", "income", "shares"]
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type FROM events")
+def json_props_extract(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), "event_type")
+
+
+@query(f"WITH {FACTS} SELECT label, max(accession) AS accession, count(*) AS n, min(filed) AS first_filed, max(period_end) AS last_period FROM facts WHERE form IN ('O', 'F') AND value > 0 GROUP BY label")
+def scan_facts_flatten(spark, sf):
+    f = facts(spark, sf).where(F.col("form").isin("O", "F") & (F.col("value") > 0))
+    return f.groupBy("label").agg(F.max("accession").alias("accession"), F.count(F.lit(1)).alias("n"), F.min("filed").alias("first_filed"), F.max("period_end").alias("last_period"))
+
+
+@query("SELECT l_orderkey, t.pos, t.partkey, t.qty FROM (SELECT l_orderkey, unnest(list_zip(range(1, len(p) + 1), p, q)) AS z FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS p, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q FROM lineitem GROUP BY 1)) x, LATERAL (SELECT CAST(z[1] AS INT) AS pos, z[2] AS partkey, z[3] AS qty) t")
+def zip_parallel_arrays(spark, sf):
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("a"))
+    g = g.select("l_orderkey", F.col("a.l_partkey").alias("partkey"), F.col("a.l_quantity").alias("qty"))
+    z = g.select("l_orderkey", F.posexplode(F.arrays_zip("partkey", "qty")).alias("pos", "z"))
+    return z.select("l_orderkey", (F.col("pos") + 1).alias("pos"), "z.partkey", "z.qty")
+
+
+@query("SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS cik, replace(upper(trim(c_name)), '.', '-') AS ticker, lpad(CAST(c_custkey AS VARCHAR), 10, '0') || ':' || replace(upper(trim(c_name)), '.', '-') AS key FROM customer")
+def normalize_symbols(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", normalize_cik("c_custkey").alias("cik"), normalize_ticker("c_name").alias("ticker"), F.concat_ws(":", normalize_cik("c_custkey"), normalize_ticker("c_name")).alias("key"))
+
+
+def classify_universe_rows(rows: DataFrame) -> DataFrame:
+    """Adds exclude_reason (null: supported) and priority by ordered rules on ticker, name and exchange."""
+    name, ticker = F.upper("name"), F.col("ticker")
+    reason = F.when((F.length(ticker) >= 5) & ticker.rlike("[RUW]$"), "suffix").when(name.rlike(r"\b(?:ACQUISITION|CAPITAL|SPONSOR|BLANK CHECK)\b") & ticker.rlike("[RUW]$"), "spac")
+    reason = reason.when(ticker.rlike(r"-(?:W|WS|WTS?|R|RT|U|UN|UT|UNIT|P[A-Z]?|PR[A-Z]?)$"), "class").when(name.rlike(r"\b(?:ETF|ETN|FUND|TRUST|SPAC|RIGHTS?|UNIT|PREFERRED)\b|\bWARRANT"), "fund")
+    reason = reason.when(~F.upper(F.coalesce("exchange", F.lit("NYSE"))).isin("NYSE", "NASDAQ", "NYSE AMERICAN"), "exchange")
+    return rows.withColumn("exclude_reason", reason).withColumn("priority", F.when(F.col("exclude_reason").isNull(), 100).when(F.col("exclude_reason") == "exchange", 700).otherwise(900))
+
+
+_PARTS = "SELECT p_partkey, upper(substr(p_name, 1, 5)) || CASE p_size % 5 WHEN 0 THEN '-W' WHEN 1 THEN 'U' ELSE '' END AS ticker, p_name || CASE p_size % 7 WHEN 0 THEN ' Trust' ELSE '' END AS name, CASE p_size % 3 WHEN 0 THEN 'NYSE' WHEN 1 THEN 'OTC' END AS exchange FROM part"
+
+
+@query(f"""SELECT p_partkey, ticker, CASE WHEN exclude_reason IS NULL THEN 100 WHEN exclude_reason = 'exchange' THEN 700 ELSE 900 END AS priority, exclude_reason FROM (SELECT *, CASE WHEN length(ticker) >= 5 AND regexp_matches(ticker, '[RUW]$') THEN 'suffix' WHEN regexp_matches(upper(name), '\\b(?:ACQUISITION|CAPITAL|SPONSOR|BLANK CHECK)\\b') AND regexp_matches(ticker, '[RUW]$') THEN 'spac'
+ WHEN regexp_matches(ticker, '-(?:W|WS|WTS?|R|RT|U|UN|UT|UNIT|P[A-Z]?|PR[A-Z]?)$') THEN 'class' WHEN regexp_matches(upper(name), '\\b(?:ETF|ETN|FUND|TRUST|SPAC|RIGHTS?|UNIT|PREFERRED)\\b|\\bWARRANT') THEN 'fund' WHEN upper(coalesce(exchange, 'NYSE')) NOT IN ('NYSE', 'NASDAQ', 'NYSE AMERICAN') THEN 'exchange' END AS exclude_reason FROM ({_PARTS}))""")
+def classify_universe(spark, sf):
+    p = table(spark, sf, "part")
+    ticker = F.concat(F.upper(F.substring("p_name", 1, 5)), F.when(F.col("p_size") % 5 == 0, "-W").when(F.col("p_size") % 5 == 1, "U").otherwise(""))
+    rows = p.select("p_partkey", ticker.alias("ticker"), F.concat("p_name", F.when(F.col("p_size") % 7 == 0, " Trust").otherwise("")).alias("name"), F.when(F.col("p_size") % 3 == 0, "NYSE").when(F.col("p_size") % 3 == 1, "OTC").alias("exchange"))
+    return classify_universe_rows(rows).select("p_partkey", "ticker", "priority", "exclude_reason")
+
+
+@query("SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) > 1 AS duplicate FROM customer")
+def universe_dedupe(spark, sf):
+    n = F.row_number().over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey", "c_mktsegment", (n > 1).alias("duplicate"))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 ORDER BY c_mktsegment, c_custkey LIMIT 50 OFFSET 100")
+def universe_limit_offset(spark, sf):
+    return table(spark, sf, "customer").where("c_acctbal > 0").orderBy("c_mktsegment", "c_custkey").offset(100).limit(50).select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '_CON' ELSE replace(c_mktsegment, ' ', '-') END AS stem FROM customer")
+def artifact_stems(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", artifact_stem(F.when(F.col("c_custkey") % 4 == 0, "con").otherwise(F.col("c_mktsegment"))).alias("stem"))
+
+
+def latest(f: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the fact with the greatest (period_end, filed, accession)."""
+    return f.groupBy(*keys).agg(F.max_by(F.struct("value", "form", "period_end", "filed", "accession"), F.struct("period_end", "filed", "accession")).alias("x")).select(*keys, "x.*")
+
+
+@query(f"WITH {FACTS} SELECT entity, label, value, period_end, filed FROM facts QUALIFY row_number() OVER (PARTITION BY entity, label ORDER BY period_end DESC, filed DESC, accession DESC) = 1")
+def latest_fact_per_label(spark, sf):
+    return latest(facts(spark, sf), ["entity", "label"]).select("entity", "label", "value", "period_end", "filed")
+
+
+@query(f"WITH {FACTS}, y AS (SELECT entity, year(period_end) AS y, value FROM facts WHERE form IN ('F', 'O') QUALIFY row_number() OVER (PARTITION BY entity, year(period_end) ORDER BY filed DESC, accession DESC) = 1), n AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY y DESC) AS k FROM y) SELECT entity, max(value) FILTER (k = 1) AS last_value, max(value) FILTER (k = 2) AS prior_value FROM n WHERE k <= 2 GROUP BY entity")
+def annual_series_last_two(spark, sf):
+    return _annual(facts(spark, sf))
+
+
+def _annual(f: DataFrame) -> DataFrame:
+    """Last two annual values: the last filed of each year, then the two latest years."""
+    y = f.where(F.col("form").isin("F", "O")).groupBy("entity", F.year("period_end").alias("y")).agg(F.max_by("value", F.struct("filed", "accession")).alias("value"))
+    k = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("y")))
+    return y.withColumn("k", k).where("k <= 2").groupBy("entity").agg(F.max(F.when(F.col("k") == 1, F.col("value"))).alias("last_value"), F.max(F.when(F.col("k") == 2, F.col("value"))).alias("prior_value"))
+
+
+@query(f"WITH {FACTS}, ref AS (SELECT entity, accession AS ra, period_end AS rp FROM facts QUALIFY row_number() OVER (PARTITION BY entity ORDER BY period_end DESC, filed DESC, form = 'F' DESC, accession DESC) = 1) SELECT entity, label, value, CASE WHEN accession = ra AND period_end = rp THEN 2 WHEN period_end = rp THEN 1 ELSE 0 END AS level FROM facts JOIN ref USING (entity) QUALIFY row_number() OVER (PARTITION BY entity, label ORDER BY level DESC, period_end DESC, filed DESC, accession DESC) = 1")
+def fact_context_ladder(spark, sf):
+    f = facts(spark, sf)
+    ref = f.groupBy("entity").agg(F.max_by(F.struct("accession", "period_end"), F.struct("period_end", "filed", F.col("form") == "F", "accession")).alias("r"))
+    m = f.join(ref, "entity").withColumn("level", F.when((F.col("accession") == F.col("r.accession")) & (F.col("period_end") == F.col("r.period_end")), 2).when(F.col("period_end") == F.col("r.period_end"), 1).otherwise(0))
+    return m.groupBy("entity", "label").agg(F.max_by(F.struct("value", "level"), F.struct("level", "period_end", "filed", "accession")).alias("x")).select("entity", "label", "x.value", "x.level")
+
+
+def pivoted(f: DataFrame) -> DataFrame:
+    p = f.groupBy("entity").pivot("label", LABELS).agg(F.max_by("value", F.struct("period_end", "filed", "accession")))
+    return p.select("entity", *[F.col(f"`{x}`").alias(n) for x, n in zip(LABELS, _NAMES)])
+
+
+PIVOT = FACTS + ", latest AS (SELECT entity, label, arg_max(value, (period_end, filed, accession)) AS value FROM facts GROUP BY 1, 2), pivoted AS (SELECT entity, " + ", ".join(f"max(value) FILTER (label = '{x}') AS {n}" for x, n in zip(LABELS, _NAMES)) + " FROM latest GROUP BY entity)"
+
+
+@query(f"WITH {PIVOT} SELECT * FROM pivoted")
+def balance_pivot(spark, sf):
+    return pivoted(facts(spark, sf))
+
+
+def _features(spark, sf) -> DataFrame:
+    """One row per series with the ten features: prices from its bars, fundamentals from the entity of its number."""
+    b = bars(spark, sf).withColumns({"return_30d": P.n_return(30), "return_90d": P.n_return(90), "lr": P.log_return()})
+    last = b.where("idx = n - 1").select("ticker", F.col("day").alias("as_of"), "return_30d", "return_90d", "price")
+    vol = P.last_rows(b, 252).groupBy("ticker").agg(F.when(F.count("lr") >= 30, F.stddev_samp("lr") * F.sqrt(F.lit(252.0))).alias("annualized_volatility"))
+    dd = P.drawdown_last(b, 252).withColumnRenamed("drawdown", "max_drawdown_1y")
+    f = facts(spark, sf)
+    fund = pivoted(f).join(_annual(f), "entity", "left").withColumnRenamed("entity", "ticker")
+    x = last.join(vol, "ticker").join(dd, "ticker").join(fund, "ticker", "left")
+    cap = F.when(F.col("shares") > 0, F.col("price") * F.col("shares"))
+    pos = lambda c: F.when(F.col(c) > 0, F.col(c))
+    raw = {"earnings_yield": F.col("income") / cap, "sales_yield": pos("revenue") / cap, "liabilities_to_assets": F.col("liabilities") / pos("assets"), "revenue_growth": pos("last_value") / pos("prior_value") - 1,
+           "net_margin": F.col("income") / pos("revenue"), "net_margin_trend": F.col("income") / pos("revenue") - F.col("income") / pos("last_value")}
+    x = x.withColumns(raw)
+    return x.select("ticker", "as_of", *[F.round(F.col(n), 6).alias(n) for n in S.BOUNDS])
+
+
+FEATURES = f"""{BARS}, {PIVOT}, fy AS (SELECT entity, year(period_end) AS y, arg_max(value, (filed, accession)) AS value FROM facts WHERE form IN ('F', 'O') GROUP BY 1, 2), fk AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY y DESC) AS k FROM fy),
+an AS (SELECT entity, max(value) FILTER (k = 1) AS last_value, max(value) FILTER (k = 2) AS prior_value FROM fk WHERE k <= 2 GROUP BY entity),
+rt AS (SELECT *, price / lag(price, 30) OVER w - 1 AS return_30d, price / lag(price, 90) OVER w - 1 AS return_90d, ln(price / lag(price) OVER w) AS lr FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY day)),
+vo AS (SELECT ticker, CASE WHEN count(lr) >= 30 THEN stddev_samp(lr) * sqrt(252) END AS annualized_volatility FROM rt WHERE idx >= n - 252 GROUP BY ticker),
+pk AS (SELECT ticker, price, max(price) OVER (PARTITION BY ticker ORDER BY day) AS peak FROM bars WHERE idx >= n - 252), dd AS (SELECT ticker, least(0, min(price / peak - 1)) AS max_drawdown_1y FROM pk GROUP BY ticker),
+feat AS MATERIALIZED (SELECT rt.ticker, rt.day AS as_of, round(return_30d, 6) AS return_30d, round(return_90d, 6) AS return_90d, round(annualized_volatility, 6) AS annualized_volatility, round(max_drawdown_1y, 6) AS max_drawdown_1y,
+ round(income / CASE WHEN shares > 0 THEN price * shares END, 6) AS earnings_yield, round(CASE WHEN revenue > 0 THEN revenue END / CASE WHEN shares > 0 THEN price * shares END, 6) AS sales_yield, round(liabilities / CASE WHEN assets > 0 THEN assets END, 6) AS liabilities_to_assets,
+ round(CASE WHEN last_value > 0 THEN last_value END / CASE WHEN prior_value > 0 THEN prior_value END - 1, 6) AS revenue_growth, round(income / CASE WHEN revenue > 0 THEN revenue END, 6) AS net_margin, round(income / CASE WHEN revenue > 0 THEN revenue END - income / CASE WHEN last_value > 0 THEN last_value END, 6) AS net_margin_trend
+ FROM rt JOIN vo USING (ticker) JOIN dd USING (ticker) LEFT JOIN pivoted p ON p.entity = rt.ticker LEFT JOIN an ON an.entity = rt.ticker WHERE idx = n - 1)"""
+
+
+@query(f"WITH {FEATURES} SELECT * FROM feat")
+def feature_table(spark, sf):
+    return _features(spark, sf)
+
+
+@query(f"WITH {FEATURES} SELECT ticker, " + ", ".join(f"CASE WHEN {f} IS NULL THEN NULL ELSE round(greatest({b[2]}::DOUBLE, least({b[3]}::DOUBLE, {f})), 6) END AS {f}" for f, b in S.BOUNDS.items()) + ", array_to_string(list_filter([" + ", ".join(f"CASE WHEN {f} NOT BETWEEN {b[0]} AND {b[1]} THEN '{f}' END" for f, b in S.BOUNDS.items()) + "], lambda x: x IS NOT NULL), ',') AS warnings FROM feat")
+def winsorize_range_flags(spark, sf):
+    return _features(spark, sf).select("ticker", *[_r(S.winsorized(f)).alias(f) for f in S.BOUNDS], F.array_join(S.range_warnings(), ",").alias("warnings"))
+
+
+@query(f"WITH {FEATURES} SELECT ticker, " + ", ".join(f"{f} IS NULL AS {f}" for f in S.BOUNDS) + " FROM feat")
+def missing_flags(spark, sf):
+    return _features(spark, sf).select("ticker", *[F.col(f).isNull().alias(f) for f in S.BOUNDS])
+
+
+def _pct(f: str) -> str:
+    lo, hi = S.BOUNDS[f][2:]
+    return f"SELECT ticker, '{f}' AS feature, {f} AS value, CASE WHEN {f} IS NULL THEN NULL ELSE greatest({lo}::DOUBLE, least({hi}::DOUBLE, {f})) END AS winsor FROM feat"
+
+
+PCT = f"""WITH {FEATURES}, long AS ({' UNION ALL '.join(_pct(f) for f in S.BOUNDS)}),
+pct AS MATERIALIZED (SELECT ticker, feature, value, CASE WHEN winsor IS NULL THEN NULL WHEN count(winsor) OVER (PARTITION BY feature) = 1 THEN 0.5::DOUBLE ELSE round((rank() OVER (PARTITION BY feature, winsor IS NULL ORDER BY winsor) - 1 + (count(*) OVER (PARTITION BY feature, winsor) - 1) / 2.0::DOUBLE) / (count(winsor) OVER (PARTITION BY feature) - 1), 6) END AS pct FROM long)"""
+
+
+@query(PCT + " SELECT ticker, feature, pct FROM pct")
+def avg_rank_percentile(spark, sf):
+    return S.percentiles(_features(spark, sf)).select("ticker", "feature", "pct")
+
+
+def _component(name: str) -> str:
+    parts = [(f"(1 - p_{f})" if f in S.INVERTED else f"p_{f}", w) for f, w in S.WEIGHTS[name].items()]
+    num = " + ".join(f"coalesce({x} * {w}::DOUBLE, 0)" for x, w in parts)
+    den = " + ".join(f"CASE WHEN {x} IS NULL THEN 0::DOUBLE ELSE {w}::DOUBLE END" for x, w in parts)
+    return f"CASE WHEN ({den}) > 0 THEN round(greatest(0, least(100, ({num}) / ({den}) * 100)), 4) END AS {name}"
+
+
+SCORED = PCT + f""", wide AS (SELECT ticker, {', '.join(f"max(pct) FILTER (feature = '{f}') AS p_{f}" for f in S.BOUNDS)}, count(value) AS available FROM pct GROUP BY ticker),
+comp AS (SELECT ticker, available, {', '.join(_component(c) for c in S.WEIGHTS)}, {', '.join('p_' + f for f in S.BOUNDS)} FROM wide),
+conf AS (SELECT *, round(greatest(0, least(100, 100 - momentum)), 4) AS momentum_risk, CASE WHEN available >= 9 THEN 'High' WHEN available >= 7 THEN 'Medium' WHEN available >= 5 THEN 'Low' ELSE 'Insufficient' END AS confidence FROM comp),
+scored AS MATERIALIZED (SELECT *, CASE WHEN confidence = 'Insufficient' THEN 'insufficient-evidence' WHEN value >= 65 AND balance_risk >= 70 THEN 'value-trap-risk' WHEN momentum_risk >= 70 THEN 'momentum-risk'
+ WHEN value >= 70 AND quality >= 50 AND coalesce(market_risk, 0) < 70 AND coalesce(balance_risk, 0) < 70 THEN 'potentially-undervalued' WHEN quality >= 70 AND coalesce(balance_risk, 0) < 70 THEN 'quality-watchlist' ELSE 'neutral' END AS signal FROM conf)"""
+_SCORES = list(S.WEIGHTS) + ["momentum_risk"]
+
+
+def _scored(spark, sf) -> DataFrame:
+    return S.score(S.wide_percentiles(_features(spark, sf)))
+
+
+@query(SCORED + f" SELECT ticker, {', '.join(f'round({c}, 3) AS {c}' for c in _SCORES)} FROM scored")
+def component_scores(spark, sf):
+    return _scored(spark, sf).select("ticker", *[_r(c, 3).alias(c) for c in _SCORES])
+
+
+@query(SCORED + " SELECT ticker, available, confidence, signal FROM scored")
+def classify_signal(spark, sf):
+    return _scored(spark, sf).select("ticker", F.col("available").cast("bigint").alias("available"), "confidence", "signal")
+
+
+@query(SCORED + """ SELECT ticker, array_to_string(list_filter([CASE confidence WHEN 'Insufficient' THEN 'EVIDENCE_SPARSE' WHEN 'High' THEN 'EVIDENCE_COMPLETE' ELSE 'EVIDENCE_PARTIAL' END, CASE WHEN value >= 70 THEN 'VALUE_STRONG' WHEN value <= 30 THEN 'VALUE_WEAK' END, CASE WHEN quality >= 70 THEN 'QUALITY_STRONG' WHEN quality <= 30 THEN 'QUALITY_WEAK' END,
+ CASE WHEN momentum_risk >= 70 THEN 'MOMENTUM_RISK_HIGH' END, CASE WHEN market_risk >= 70 THEN 'MARKET_RISK_HIGH' END, CASE WHEN balance_risk >= 70 THEN 'BALANCE_SHEET_RISK_HIGH' END], lambda x: x IS NOT NULL), ',') AS codes FROM scored""")
+def reason_codes(spark, sf):
+    return _scored(spark, sf).select("ticker", F.array_join(S.reason_codes(), ",").alias("codes"))
+
+
+@query()
+def contributions_exploded(spark, sf):
+    return _scored(spark, sf).select("ticker", F.inline(S.contributions()))
+
+
+@query()
+def sensitivity_scenarios(spark, sf):
+    return S.sensitivity(S.wide_percentiles(_features(spark, sf)))
+
+
+@query(SCORED + " SELECT ticker, signal, confidence, round(momentum, 3) AS momentum, round(market_risk, 3) AS market_risk FROM scored ORDER BY momentum DESC, ticker LIMIT 20")
+def feature_screen(spark, sf):
+    """Momentum and risk of every series against the others, the best twenty."""
+    s = _scored(spark, sf).orderBy(F.desc("momentum"), "ticker").limit(20)
+    return s.select("ticker", "signal", "confidence", _r("momentum", 3).alias("momentum"), _r("market_risk", 3).alias("market_risk"))
+
+
+_BAL = {"assets": "4.0 * p + 5", "current_assets": "1.2 * p", "cash": "0.3 * p * (k % 4)", "investments": "CASE WHEN k % 3 = 0 THEN 0.1 * p END", "receivables": "CASE WHEN k % 5 <> 0 THEN 0.2 * p END", "goodwill": "CASE WHEN k % 2 = 0 THEN 0.5 * p * (k % 6) END", "intangibles": "CASE WHEN k % 7 = 0 THEN 0.3 * p END",
+        "liabilities": "CASE WHEN k % 11 <> 0 THEN 2.0 * p END", "current_liabilities": "0.4 * p * (1 + k % 4)", "short_debt": "CASE WHEN k % 3 <> 1 THEN 0.2 * p * (k % 5) END", "long_debt": "0.5 * p * (k % 7)", "equity": "p * (k % 9 - 1)", "retained_earnings": "p * (k % 3 - 1)"}
+
+
+def _balance(spark, sf) -> DataFrame:
+    """A balance sheet per part, made from its price and key."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("ticker"), F.col("p_retailprice").alias("p"), F.col("p_partkey").alias("k"))
+    return S.ratios(p.select("ticker", *[F.round(F.expr(e).cast("double"), 4).alias(n) for n, e in _BAL.items()]))
+
+
+_div = lambda n, d: f"round({n} / CASE WHEN {d} > 0 THEN {d} END, 6)"
+BAL = f"""WITH p0 AS (SELECT p_partkey AS ticker, p_retailprice AS p, p_partkey AS k FROM part), bal AS (SELECT ticker, {', '.join(f'round(CAST({e} AS DOUBLE), 4) AS {n}' for n, e in _BAL.items())} FROM p0),
+debt AS (SELECT *, CASE WHEN short_debt IS NOT NULL OR long_debt IS NOT NULL THEN round(coalesce(short_debt, 0) + coalesce(long_debt, 0), 6) END AS total_debt FROM bal),
+ratio AS MATERIALIZED (SELECT *, {_div('current_assets', 'current_liabilities')} AS current_ratio, {_div('(cash + coalesce(investments, 0) + coalesce(receivables, 0))', 'current_liabilities')} AS quick_ratio, {_div('cash', 'current_liabilities')} AS cash_ratio, round(current_assets - current_liabilities, 6) AS working_capital,
+ {_div('total_debt', 'equity')} AS debt_to_equity, {_div('total_debt', 'assets')} AS debt_to_assets, {_div('equity', 'assets')} AS equity_ratio, {_div('cash', 'total_debt')} AS cash_to_debt, round(total_debt - cash, 6) AS net_debt, {_div('(coalesce(goodwill, 0) + coalesce(intangibles, 0))', 'assets')} AS goodwill_share, {_div('short_debt', 'total_debt')} AS short_debt_share, equity AS book_value FROM debt)"""
+_RATIOS = ["current_ratio", "quick_ratio", "cash_ratio", "working_capital", "debt_to_equity", "debt_to_assets", "equity_ratio", "cash_to_debt", "net_debt", "goodwill_share", "short_debt_share", "book_value"]
+
+
+@query(BAL + f" SELECT ticker, {', '.join(f'round({c}, 6) AS {c}' for c in _RATIOS)} FROM ratio")
+def balance_ratios(spark, sf):
+    return _balance(spark, sf).select("ticker", *[_r(c).alias(c) for c in _RATIOS])
+
+
+def _band_sql(m: str) -> str:
+    if m in S.BANDS:
+        way, a, b, c = S.BANDS[m]
+        o1, o2 = (">=", ">=") if way == "up" else ("<", "<=")
+        return f"CASE WHEN {m} IS NULL THEN 'unavailable' WHEN {m} {o1} {a} THEN 'healthy' WHEN {m} {o2} {b} THEN 'acceptable' WHEN {m} {o2} {c} THEN 'risk' ELSE 'severe_risk' END"
+    if m == "working_capital":
+        return f"CASE WHEN {m} IS NULL THEN 'unavailable' WHEN {m} >= 0 THEN 'healthy' WHEN current_ratio < 0.75 AND quick_ratio < 0.5 THEN 'severe_risk' ELSE 'risk' END"
+    if m == "net_debt":
+        return f"CASE WHEN {m} IS NULL THEN 'unavailable' WHEN {m} <= 0 THEN 'healthy' WHEN debt_to_assets > 0.6 AND current_ratio < 1.0 THEN 'risk' ELSE 'acceptable' END"
+    return f"CASE WHEN {m} IS NULL THEN 'unavailable' WHEN {m} >= 0 THEN 'healthy' ELSE 'risk' END"
+
+
+_BANDED = list(dict.fromkeys(m for w in S.SUB.values() for m in w))
+GATES = {"g_liquidity": "current_ratio < 1.0 OR quick_ratio < 0.75 OR cash_ratio < 0.10 OR working_capital < 0", "g_severe_liquidity": "current_ratio < 0.75 AND quick_ratio < 0.50", "g_high_leverage": "debt_to_equity > 2.0 OR debt_to_assets > 0.60", "g_severe_leverage": "debt_to_equity > 3.0 OR debt_to_assets > 0.70", "g_negative_equity": "equity <= 0", "g_debt_maturity": "short_debt_share > 0.40 AND cash_to_debt < 0.20", "g_asset_quality_warning": "goodwill_share > 0.50", "g_incomplete": "assets IS NULL OR liabilities IS NULL OR equity IS NULL OR current_assets IS NULL OR current_liabilities IS NULL"}
+
+
+@query(BAL + f" SELECT ticker, {', '.join(f'{_band_sql(m)} AS b_{m}' for m in _BANDED)} FROM ratio")
+def balance_bands(spark, sf):
+    return _balance(spark, sf).select("ticker", *[S.band(m).alias(f"b_{m}") for m in _BANDED])
+
+
+@query(BAL + f" SELECT ticker, {', '.join(f'coalesce({c}, false) AS {g}' for g, c in GATES.items())} FROM ratio")
+def balance_gates(spark, sf):
+    return _balance(spark, sf).select("ticker", *[c.alias(f"g_{g}") for g, c in S.gates().items()])
+
+
+def _pts(x: str) -> str:
+    return f"CASE {x} WHEN 'healthy' THEN 90.0::DOUBLE WHEN 'acceptable' THEN 70 WHEN 'caution' THEN 55 WHEN 'risk' THEN 35 WHEN 'severe_risk' THEN 10 END"
+
+
+def _sub_sql(w: dict, pre: str) -> str:
+    num = " + ".join(f"coalesce(({_pts(pre + m)}) * {x}::DOUBLE, 0)" for m, x in w.items())
+    den = " + ".join(f"CASE WHEN ({_pts(pre + m)}) IS NULL THEN 0::DOUBLE ELSE {x}::DOUBLE END" for m, x in w.items())
+    return f"CASE WHEN ({den}) > 0 THEN round(({num}) / ({den}), 6) END"
+
+
+def _capped(c: str, g: str, x: int) -> str:
+    return f"CASE WHEN {g} THEN least(CASE WHEN coalesce({c}, 0) = 0 THEN {x} ELSE {c} END, {x}) ELSE {c} END AS {c}"
+
+
+def _st(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'unavailable' WHEN {c} >= 80 THEN 'healthy' WHEN {c} >= 60 THEN 'acceptable' WHEN {c} >= 40 THEN 'caution' WHEN {c} >= 20 THEN 'risk' ELSE 'severe_risk' END"
+
+
+@query(BAL + f""", banded AS (SELECT *, {', '.join(f'{_band_sql(m)} AS b_{m}' for m in _BANDED)}, {', '.join(f'coalesce({c}, false) AS {g}' for g, c in GATES.items())} FROM ratio),
+subs AS (SELECT *, {', '.join(f'{_sub_sql(w, "b_")} AS s_{n}' for n, w in S.SUB.items())} FROM banded),
+cap1 AS (SELECT * REPLACE ({_capped('s_leverage', 'g_negative_equity', 15)}, {_capped('s_solvency', 'g_negative_equity', 15)}, {_capped('s_liquidity', 'g_severe_liquidity', 20)}) FROM subs), cap2 AS (SELECT * REPLACE ({_capped('s_leverage', 'g_severe_leverage', 20)}) FROM cap1),
+st AS (SELECT *, {', '.join(f'{_st("s_" + n)} AS t_{n}' for n in S.QUALITY)} FROM cap2), q AS (SELECT *, {_sub_sql(S.QUALITY, 't_')} AS balance_quality FROM st)
+SELECT ticker, {', '.join(f'round(s_{n}, 4)::DOUBLE AS s_{n}' for n in S.SUB)}, round(balance_quality, 4) AS balance_quality, round(least(100, 100 - balance_quality + {' + '.join(f'CASE WHEN g_{g} THEN {p} ELSE 0 END' for g, p in S.PENALTY.items())}), 4) AS balance_penalty FROM q""")
+def balance_quality(spark, sf):
+    return S.balance_scores(_balance(spark, sf)).select("ticker", *[_r(f"s_{n}", 4).alias(f"s_{n}") for n in S.SUB], _r("balance_quality", 4).alias("balance_quality"), _r("balance_penalty", 4).alias("balance_penalty"))
+
+
+@query()
+def official_adjustment(spark, sf):
+    b = S.balance_scores(_balance(spark, sf)).select("ticker", "balance_quality", "balance_penalty", "confidence_adjustment", *[f"g_{g}" for g in S.gates()])
+    return S.official(_scored(spark, sf).join(b, "ticker")).select("ticker", "prior_signal", "signal", "confidence", _r("quality", 3).alias("quality"), _r("balance_risk", 3).alias("balance_risk"))
+
+
+# ---- joins and set operations ---------------------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+def semi_active_roster(spark, sf):
+    active = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"))
+    return table(spark, sf, "supplier").join(active, "s_suppkey", "left_semi").select("s_suppkey")
+
+
+@query("SELECT c_custkey AS ticker FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def anti_stale(spark, sf):
+    return sinks.stale_keys(table(spark, sf, "customer").select(F.col("c_custkey").alias("ticker")), table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("ticker")))
+
+
+@query("WITH a AS (SELECT o_custkey AS k, max(o_totalprice) AS live FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT c_custkey AS k, c_acctbal AS fallback FROM customer WHERE c_acctbal > 0) SELECT k, coalesce(live, fallback) AS value, live IS NOT NULL AS is_live FROM a FULL JOIN b USING (k)")
+def full_outer_coalesce(spark, sf):
+    a = table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("live"))
+    b = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("fallback"))
+    return a.join(b, "k", "full_outer").select("k", F.coalesce("live", "fallback").alias("value"), F.col("live").isNotNull().alias("is_live"))
+
+
+@query(f"WITH {FACTS}, a AS (SELECT entity, arg_max(value, (period_end, accession)) AS v FROM facts WHERE form = 'O' GROUP BY 1), b AS (SELECT entity, arg_max(value, (period_end, accession)) AS v FROM facts WHERE form = 'F' GROUP BY 1) SELECT a.entity, round(b.v - a.v, 2) AS delta, b.v IS NULL AS missing, coalesce(abs(b.v - a.v) >= 15000, false) AS large FROM a LEFT JOIN b USING (entity)")
+def baseline_diff(spark, sf):
+    f = facts(spark, sf)
+    one = lambda form, name: f.where(F.col("form") == form).groupBy("entity").agg(F.max_by("value", F.struct("period_end", "accession")).alias(name))
+    j = one("O", "a").join(one("F", "b"), "entity", "left")
+    return j.select("entity", _r(F.col("b") - F.col("a"), 2).alias("delta"), F.col("b").isNull().alias("missing"), F.coalesce(F.abs(F.col("b") - F.col("a")) >= 15000, F.lit(False)).alias("large"))
+
+
+@query("SELECT s_suppkey, m.m AS multiplier, round(s_acctbal * m.m, 4) AS scaled FROM supplier CROSS JOIN (SELECT unnest([0.8::DOUBLE, 1.2::DOUBLE]) AS m) m")
+def cross_config(spark, sf):
+    return table(spark, sf, "supplier").withColumn("multiplier", F.explode(F.array(F.lit(0.8), F.lit(1.2)))).select("s_suppkey", "multiplier", _r(F.col("s_acctbal") * F.col("multiplier"), 4).alias("scaled"))
+
+
+@query(f"WITH {BARS}, {FACTS}, d AS (SELECT ticker, day FROM bars WHERE idx % 100 = 99) SELECT d.ticker, d.day, count(*) AS known, arg_max(f.value, (f.period_end, f.filed, f.accession)) AS latest_value FROM d JOIN facts f ON f.entity = d.ticker AND f.filed <= d.day GROUP BY 1, 2")
+def pit_snapshot_join(spark, sf):
+    d = bars(spark, sf).where("idx % 100 = 99").select("ticker", "day")
+    f = facts(spark, sf).withColumnRenamed("entity", "ticker")
+    j = d.join(f, (d.ticker == f.ticker) & (f.filed <= d.day)).select(d.ticker, "day", "value", "period_end", "filed", "accession")
+    return j.groupBy("ticker", "day").agg(F.count(F.lit(1)).alias("known"), F.max_by("value", F.struct("period_end", "filed", "accession")).alias("latest_value"))
+
+
+@query("WITH u AS (SELECT s_nationkey AS k, s_suppkey AS id, 0 AS pri FROM supplier UNION ALL SELECT c_nationkey, c_custkey, 1 FROM customer) SELECT k, id, pri FROM u QUALIFY row_number() OVER (PARTITION BY k, id ORDER BY pri) = 1")
+def union_dedupe_priority(spark, sf):
+    u = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"), F.lit(0).alias("pri")).unionByName(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.lit(1).alias("pri")))
+    return u.groupBy("k", "id").agg(F.min("pri").alias("pri"))
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def except_missing(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(table(spark, sf, "orders").select("o_custkey"))
+
+
+@query("SELECT s_nationkey AS k FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal < 0")
+def intersect_keys(spark, sf):
+    return table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k")).intersect(table(spark, sf, "customer").where("c_acctbal < 0").select("c_nationkey"))
+
+
+@query("SELECT c_nationkey, c_custkey, c_acctbal FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 3")
+def topk_per_group(spark, sf):
+    n = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    return table(spark, sf, "customer").withColumn("n", n).where("n <= 3").select("c_nationkey", "c_custkey", "c_acctbal")
+
+
+@query("WITH old AS (SELECT c_custkey AS k, c_acctbal AS v, c_mktsegment AS note FROM customer WHERE c_custkey % 2 = 0), new AS (SELECT c_custkey AS k, c_acctbal + 1 AS v, NULL AS note FROM customer WHERE c_custkey % 3 = 0) SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.v ELSE o.v END AS v, coalesce(n.note, o.note) AS note FROM old o FULL JOIN new n ON o.k = n.k")
+def upsert_merge(spark, sf):
+    c = table(spark, sf, "customer")
+    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("note"))
+    new = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") + 1).alias("v"), F.lit(None).cast("string").alias("note"))
+    return sinks.upsert(old, new, ["k"], ["note"])
+
+
+@query("SELECT event_id, user_id FROM events e WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id < 100) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def insert_if_absent(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id")
+    return sinks.insert_if_absent(e.where("event_id < 100"), e, ["user_id"]).select("event_id", "user_id")
+
+
+@query("SELECT c_nationkey, c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY CUBE (c_nationkey, c_mktsegment)")
+def rollup_cube(spark, sf):
+    return table(spark, sf, "customer").cube("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), _r(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("SELECT s_suppkey, rank() OVER w AS rnk, dense_rank() OVER w AS dense, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS quart, round(cume_dist() OVER w, 6) AS cume FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal)")
+def ranking_functions(spark, sf):
+    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal")
+    return table(spark, sf, "supplier").select("s_suppkey", F.rank().over(w).cast("bigint").alias("rnk"), F.dense_rank().over(w).cast("bigint").alias("dense"), F.ntile(4).over(Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")).cast("bigint").alias("quart"), _r(F.cume_dist().over(w)).alias("cume"))
+
+
+@query()
+def approx_distinct(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
