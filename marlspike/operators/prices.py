@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_DAY = Window.partitionBy("ticker").orderBy("day")
+def by_day():
+    return Window.partitionBy("ticker").orderBy("day")
 
 
 def back(n: int) -> Column:
-    return F.lag("price", n).over(BY_DAY)
+    return F.lag("price", n).over(by_day())
 
 
 def n_return(n: int) -> Column:
@@ -25,7 +26,7 @@ def log_return() -> Column:
 
 def rolling_volatility(lr: str, n: int, least: int) -> Column:
     """Annualised deviation of the last ``n`` log returns, from ``least`` on."""
-    w = BY_DAY.rowsBetween(-(n - 1), 0)
+    w = by_day().rowsBetween(-(n - 1), 0)
     return F.when(F.count(lr).over(w) >= least, F.stddev_samp(lr).over(w) * F.sqrt(F.lit(252.0)))
 
 
@@ -35,14 +36,14 @@ def last_rows(bars: DataFrame, k: int) -> DataFrame:
 
 def drawdown_last(bars: DataFrame, k: int) -> DataFrame:
     """(ticker, drawdown): lowest price against the running peak in the last ``k`` sessions, 0 at most."""
-    peak = F.max("price").over(BY_DAY.rowsBetween(Window.unboundedPreceding, 0))
+    peak = F.max("price").over(by_day().rowsBetween(Window.unboundedPreceding, 0))
     rows = last_rows(bars, k).withColumn("peak", peak)
     return rows.groupBy("ticker").agg(F.least(F.lit(0.0), F.min(F.col("price") / F.col("peak") - 1)).alias("drawdown"))
 
 
 def rolling_drawdown(span: int) -> Column:
     """The same for each row over itself and the ``span`` rows before, folded over the frame's prices."""
-    frame = F.collect_list("price").over(BY_DAY.rowsBetween(-span, 0))
+    frame = F.collect_list("price").over(by_day().rowsBetween(-span, 0))
     start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
 
     def step(acc, p):
@@ -54,7 +55,7 @@ def rolling_drawdown(span: int) -> Column:
 
 def volume_trend() -> Column:
     """Mean volume of the last 21 sessions against the 21 before; null before session 42."""
-    now, past = F.avg("volume").over(BY_DAY.rowsBetween(-20, 0)), F.avg("volume").over(BY_DAY.rowsBetween(-41, -21))
+    now, past = F.avg("volume").over(by_day().rowsBetween(-20, 0)), F.avg("volume").over(by_day().rowsBetween(-41, -21))
     return F.when((F.col("idx") >= 42) & (past > 0), now / past - 1)
 
 

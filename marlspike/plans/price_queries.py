@@ -71,7 +71,7 @@ def volume_trend_21(spark, sf):
 
 @query(f"WITH {BARS}, p AS (SELECT ticker, idx - (n - 63) AS k, price FROM bars WHERE idx >= n - 63), w AS (SELECT a.ticker, b.price > a.price AS up FROM p a JOIN p b ON a.ticker = b.ticker AND b.k = a.k + 5 WHERE a.k % 5 = 0) SELECT ticker, round(avg(CAST(up AS DOUBLE)), 6) AS week_ratio FROM w GROUP BY ticker")
 def positive_week_ratio(spark, sf):
-    rows = P.last_rows(bars(spark, sf), 63).withColumn("k", F.col("idx") - (F.col("n") - 63)).withColumn("later", F.lead("price", 5).over(P.BY_DAY))
+    rows = P.last_rows(bars(spark, sf), 63).withColumn("k", F.col("idx") - (F.col("n") - 63)).withColumn("later", F.lead("price", 5).over(P.by_day()))
     rows = rows.where("k % 5 = 0 and later is not null")
     return rows.groupBy("ticker").agg(_r(F.avg((F.col("later") > F.col("price")).cast("double"))).alias("week_ratio"))
 
@@ -113,7 +113,7 @@ def asof_forward_calendar(spark, sf):
 def _events(spark, sf) -> DataFrame:
     """(ticker, signal, signal_day, entry_day, entry_price, entry_idx): snapshots entered at the next session."""
     b = bars(spark, sf)
-    rows = b.select("ticker", "day", "idx", "n", "price", P.n_return(30).alias("r30"), F.lead("day").over(P.BY_DAY).alias("entry_day"), F.lead("price").over(P.BY_DAY).alias("entry_price"))
+    rows = b.select("ticker", "day", "idx", "n", "price", P.n_return(30).alias("r30"), F.lead("day").over(P.by_day()).alias("entry_day"), F.lead("price").over(P.by_day()).alias("entry_price"))
     signal = F.when(F.col("r30") >= 0, "up").otherwise("down")
     return rows.where("idx >= 252 and (idx - 252) % 21 = 0 and entry_day is not null").select("ticker", signal.alias("signal"), F.col("day").alias("signal_day"), "entry_day", "entry_price", (F.col("idx") + 1).alias("entry_idx"))
 
@@ -199,7 +199,7 @@ def _trend(spark, sf, history: bool) -> DataFrame:
         win = T.windows(b, b.where("idx = n - 1").select("ticker", F.col("idx").alias("e")))
     # the benchmark as of each bar's day, once; its returns are then lags within the series
     marked = P.asof_backward(b.select("ticker", "idx", "day"), benchmark_bars(spark, sf), out="s")
-    ret = [F.when(F.lag("s", n).over(P.BY_DAY) > 0, F.col("s") / F.lag("s", n).over(P.BY_DAY) - 1).alias(f"bench{n}") for n in (21, 63)]
+    ret = [F.when(F.lag("s", n).over(P.by_day()) > 0, F.col("s") / F.lag("s", n).over(P.by_day()) - 1).alias(f"bench{n}") for n in (21, 63)]
     bench = marked.select("ticker", F.col("idx").alias("e"), *ret)
     return T.scores(T.metrics(win.join(bench, ["ticker", "e"], "left")))
 
