@@ -21,8 +21,18 @@ BROADCAST_ROWS = 1_000_000
 ORACLE_SQL = None
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+def _free(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a hash of id and text, and that column's name."""
+    k = _free(docs, "_key")
+    return docs.withColumn(k, F.xxhash64("doc_id", "text")), k
 
 
 def _listed(keys: DataFrame) -> DataFrame:
@@ -32,19 +42,20 @@ def _listed(keys: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows whose id and text are not in ``dropped(_at)``."""
-    out = _key(docs)
-    keys = _listed(dropped.select(F.col("_at").alias("_key")).distinct())
-    return out.join(keys, "_key", "left_anti").select(*docs.columns)
+    out, k = _key(docs)
+    keys = _listed(dropped.select(F.col("_at").alias(k)).distinct())
+    return out.join(keys, k, "left_anti").select(*docs.columns)
 
 
 def _one_of_each(docs: DataFrame, counted: DataFrame) -> DataFrame:
     """Rows repeated in full once each; ``counted(_at)`` has a row for each row of ``docs``."""
-    twice = materialize(counted.groupBy("_at").count().where("count > 1").select(F.col("_at").alias("_key")), "twice")
+    keyed, k = _key(docs)
+    twice = materialize(counted.groupBy("_at").count().where("count > 1").select(F.col("_at").alias(k)), "twice")
     if not twice.limit(1).count():
         return docs
-    keyed, keys = _key(docs), _listed(twice)
-    once = keyed.join(keys, "_key", "left_semi").dropDuplicates(["_key"])
-    return keyed.join(keys, "_key", "left_anti").unionByName(once).select(*docs.columns)
+    keys = _listed(twice)
+    once = keyed.join(keys, k, "left_semi").dropDuplicates([k])
+    return keyed.join(keys, k, "left_anti").unionByName(once).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,16 +76,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a test item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = spaced_seeds.overlaps(_key(docs), items, doc_id="_key").select(F.col("doc_id").alias("_at"))
+    keyed, k = _key(docs)
+    hit = spaced_seeds.overlaps(keyed, items, doc_id=k).select(F.col("doc_id").alias("_at"))
     return _without(docs, hit)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     taken = materialize(mixing.mix(docs).select("_at", "copies"), "copies")
-    times = taken.groupBy("_at").agg(F.sum("copies").cast("int").alias("_n")).where("_n > 0").withColumnRenamed("_at", "_key")
-    rows = _key(_one_of_each(docs, taken)).join(_listed(times), "_key")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+    rows, k = _key(_one_of_each(docs, taken))
+    n, nth = _free(rows, "_n"), _free(rows, "_copy")
+    times = taken.groupBy("_at").agg(F.sum("copies").cast("int").alias(n)).where(F.col(n) > 0).withColumnRenamed("_at", k)
+    return rows.join(_listed(times), k).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
