@@ -7,8 +7,10 @@ Texts become sets of word shingles; two link when 100 * |A n B| >= t * |A u B|.
    differs in at most k tokens, k following from t and the sizes. Tokens are
    dealt into m > k parts by hash, so a linking pair agrees in some whole part:
    the part's hash is a key that both emit. (m leaves room for parts that are
-   empty by chance; only a class with many empty parts emits those.) Classes
-   sharing keys, directly or through others, form a cluster. Nothing is lost.
+   empty by chance; only a class with many empty parts emits those.) Within the
+   group of classes that share a key, a signature tree over bitmaps and sizes
+   keeps the pairs that can link; classes connected by such pairs, directly or
+   through others, form a cluster. Nothing is lost.
 3. Each cluster is joined with itself by signature trees. A leaf holds a few
    sets; every node holds the OR and the AND of its sets' token bitmaps and
    their range of sizes. A dual traversal drops node pairs whose largest
@@ -98,32 +100,84 @@ def _sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return g, np.searchsorted(doc, np.arange(w.n + 1))
 
 
-def signatures(docs: DataFrame, k: int, t: int, doc_id: str, text: str) -> DataFrame:
-    """One row per document: doc_id, _at (a handle), n, vid (its set's name, null if empty), keys (once per set and task)."""
+def signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """One row per document: doc_id, _at (a handle), n, vid (its set's name, null if empty), bits (its token bitmap)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), handle(doc_id, text).alias("_at"), F.col(text).alias("text"))
-    classes = size_classes(t)
 
     def run(batches):
-        seen: set[int] = set()
         for b in pieces(batches):
             g, bounds = _sets(b.column(2), k)
             n = np.diff(bounds)
-            vid = _signature(g, bounds).view(np.int64)
-            key, owner = part_keys(g, bounds, t, classes)
-            order = np.argsort(owner, kind="stable")
-            key, owner = key[order].view(np.int64), owner[order]
-            cut = np.searchsorted(owner, np.arange(len(n) + 1))
-            keys = []
-            for d, v in enumerate(vid.tolist()):
-                keys.append(key[cut[d] : cut[d + 1]] if n[d] and v not in seen else None)
-                seen.add(v)
-            lengths = np.array([0 if x is None else len(x) for x in keys])
-            kept = [x for x in keys if x is not None]
-            col = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(vid, mask=n == 0), col], names=["doc_id", "_at", "n", "vid", "keys"])
+            bits = pa.array([_bitmap(g[x:y]) if y > x else None for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(_signature(g, bounds).view(np.int64), mask=n == 0), bits], names=["doc_id", "_at", "n", "vid", "bits"])
+
+    return rows.mapInArrow(run, "doc_id long, _at long, n long, vid long, bits binary")
+
+
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """One bit or more a token: 256 to 65,536 bits, the next power of two from the set's size on."""
+    width = min(max(256, 1 << (len(tokens) - 1).bit_length()), 1 << 16)
+    bits = np.zeros(width, bool)
+    bits[(tokens >> U(13)).astype(np.int64) % width] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _fold(bits: bytes, size: int) -> bytes:
+    """The bitmap at a smaller width: its halves put over one another."""
+    while len(bits) > size:
+        h = len(bits) // 2
+        bits = (int.from_bytes(bits[:h], "little") | int.from_bytes(bits[h:], "little")).to_bytes(h, "little")
+    return bits
 
-    return rows.mapInArrow(run, "doc_id long, _at long, n long, vid long, keys array<long>")
+
+def pruned_pairs(size: list[int], bits: list[bytes], side: list[int] | None, t: int) -> list[tuple[int, int]]:
+    """A spanning forest of the members whose sizes and bitmaps allow a link (with ``side``: only between 0 and 1).
+
+    Up to ``LEAF`` members are compared one by one, more through a signature tree."""
+    n = len(size)
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    width = min(map(len, bits))
+    if n <= LEAF:
+        num = [int.from_bytes(_fold(b, width), "little") for b in bits]
+        for i in range(n):
+            for j in range(i + 1, n):
+                if side is not None and side[i] == side[j]:
+                    continue
+                a, b = size[i], size[j]
+                if 100 * min(a, b) < t * max(a, b) or find(i) == find(j):
+                    continue
+                if min(a - (num[i] & ~num[j]).bit_count(), b - (num[j] & ~num[i]).bit_count()) * (100 + t) >= t * (a + b):
+                    out.append((i, j))
+                    parent[find(i)] = find(j)
+        return out
+    sizes = np.array(size, np.int64)
+    maps = np.frombuffer(b"".join(_fold(b, width) for b in bits), np.uint64).reshape(n, -1)
+    part = np.zeros(n, int) if side is None else np.array(side)
+    tree = lambda which: _Tree(which[np.lexsort((maps[which, 0], sizes[which]))], maps, sizes)
+    a = tree(np.flatnonzero(part == 0))
+    b = a if side is None else tree(np.flatnonzero(part == 1))
+    for i, j in zip(*(x.tolist() for x in _node_pairs(a, b, t, side is None))):
+        x, y = a.order[i * LEAF : (i + 1) * LEAF], b.order[j * LEAF : (j + 1) * LEAF]
+        if len({find(int(z)) for z in x} | {find(int(z)) for z in y}) == 1:
+            continue
+        sx, sy = sizes[x][:, None], sizes[y][None]
+        most = np.minimum(sx - _ones(maps[x][:, None] & ~maps[y][None]), sy - _ones(maps[y][None] & ~maps[x][:, None]))
+        ok = (most * (100 + t) >= t * (sx + sy)) & (100 * np.minimum(sx, sy) >= t * np.maximum(sx, sy))
+        for p, q in zip(*(z.tolist() for z in np.nonzero(ok))):
+            u, v = find(int(x[p])), find(int(y[q]))
+            if u != v:
+                out.append((int(x[p]), int(y[q])))
+                parent[u] = v
+    return out
 
 
 def handle(doc_id: str, text: str):
@@ -131,30 +185,112 @@ def handle(doc_id: str, text: str):
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def shared_keys(keyed: DataFrame) -> DataFrame:
-    """(a, b): each class and the first class of every key that it shares with another, once.
+def shared_keys(docs: DataFrame, k: int, t: int, text: str, tokens: int) -> DataFrame:
+    """(group, i, j, block, vid): groups of classes that share a key, each different group once.
 
-    Reads sorted keys as a stream, so a key of any size takes constant memory."""
-    n = partitions(keyed.sparkSession)
-    rows = keyed.repartition(n, "key").sortWithinPartitions("key", "vid")
+    Keys are made from the texts and dealt straight into ``lots``, packed to 12
+    bytes an entry (32 bits of the key, the class); a lot holds about two
+    million. Equal 32 bits of unequal keys only add a candidate. A group beyond
+    ``BLOCK_SETS`` members is dealt out as pairs (i, j) of blocks.
+    """
+    classes = size_classes(t)
+    lots = max(partitions(docs.sparkSession), -(-tokens // 4_000_000))
+    most = BLOCK_SETS
 
-    def run(batches):
-        key0 = vid0 = None  # key and first class of the run that is open
+    def emit(batches):
+        seen: set[int] = set()
+        held: list[tuple] = []
+
+        def flush():
+            key, vid = (np.concatenate(x) for x in zip(*held))
+            lot = (key % U(lots)).astype(np.int64)
+            order = np.argsort(lot, kind="stable")
+            cut = np.searchsorted(lot[order], np.arange(lots + 1))
+            low, vid = (key[order] >> U(32)).astype(np.uint32), vid[order]
+            rows = [(p, low[a:b].tobytes(), vid[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["lot", "x", "y"])
+
+        for b in pieces(batches):
+            g, bounds = _sets(b.column(0), k)
+            vid = _signature(g, bounds).view(np.int64)
+            fresh = np.zeros(len(vid), bool)
+            for d, v in enumerate(vid.tolist()):
+                fresh[d] = v not in seen
+                seen.add(v)
+            key, owner = part_keys(g, bounds, t, classes)
+            use = fresh[owner]
+            held.append((key[use], vid[owner[use]]))
+            if sum(len(x[0]) for x in held) >= 1_000_000:
+                yield from flush()
+                held.clear()
+        if held and sum(len(x[0]) for x in held):
+            yield from flush()
+
+    def meet(batches):
+        here: dict[int, list] = {}
         for b in batches:
-            key, vid = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if not len(key):
-                continue
+            for lot, x, y in zip(*(b.column(i).to_pylist() for i in range(3))):
+                here.setdefault(lot, []).append((np.frombuffer(x, np.uint32), np.frombuffer(y, np.int64)))
+        for lot in list(here):
+            key, vid = (np.concatenate(z) for z in zip(*here.pop(lot)))
+            order = np.lexsort((vid, key))
+            key, vid = key[order], vid[order]
             new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
-            if key0 is not None and key[0] == key0:
-                new[0] = False
-            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
-            hub = np.where(at < 0, 0 if vid0 is None else vid0, vid[np.maximum(at, 0)])
-            key0, vid0 = key[-1], hub[-1]
-            pair = hub != vid
-            if pair.any():
-                ab = np.unique(np.stack([vid[pair], hub[pair]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+            new[1:] = (key[1:] != key[:-1]) | (vid[1:] != vid[:-1])
+            key, vid = key[new], vid[new]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.diff(np.append(start, len(key)))
+            with np.errstate(over="ignore"):  # a group is named by its members, so that keys with the same members are one group
+                name = mix(np.add.reduceat(mix(vid.view(np.uint64)), start) + n.astype(U)).view(np.int64)
+            first = np.unique(name, return_index=True)[1]
+            first = first[n[first] > 1]
+            blocks = -(-n[first] // most)
+            small = first[blocks == 1]
+            place = np.repeat(start[small] - np.concatenate([[0], np.cumsum(n[small])[:-1]]), n[small]) + np.arange(n[small].sum())
+            zero = np.zeros(len(place), np.int32)
+            yield _groups(np.repeat(name[small], n[small]), zero, zero, zero, vid[place])
+            for f, c in zip(first[blocks > 1].tolist(), blocks[blocks > 1].tolist()):
+                own = vid[start[f] : start[f] + n[f]]
+                block = (mix(own.view(np.uint64)) % U(c)).astype(np.int32)
+                for o in range(c):
+                    yield _groups(np.full(len(own), name[f]), np.minimum(block, o).astype(np.int32), np.maximum(block, o).astype(np.int32), block, own)
+
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(emit, "lot int, x binary, y binary")
+    return rows.repartition(lots, "lot").mapInArrow(meet, "group long, i int, j int, block int, vid long").distinct()
+
+
+def _groups(*cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["group", "i", "j", "block", "vid"])
+
+
+def candidates(groups: DataFrame, classes: DataFrame, t: int) -> DataFrame:
+    """(a, b): in each group, pairs that sizes and bitmaps allow to link, as many as keep all such members connected."""
+    keys = ["group", "i", "j"]
+    rows = groups.join(classes.select("vid", "n", "bits"), "vid").select(*keys, "block", "vid", "n", "bits")
+    rows = rows.repartition(partitions(groups.sparkSession), *keys).sortWithinPartitions(*keys, "vid")
+
+    def run(batches):
+        open_key, held, out = None, [], []
+
+        def done():
+            side = None if open_key[1] == open_key[2] else [int(x[0] == open_key[2]) for x in held]
+            if len(held) > 1:
+                out.extend((held[a][1], held[b][1]) for a, b in pruned_pairs([x[2] for x in held], [x[3] for x in held], side, t))
+
+        for b in batches:
+            for g, i, j, *member in zip(*(b.column(c).to_pylist() for c in range(7))):
+                if (g, i, j) != open_key:
+                    if held:
+                        done()
+                    open_key, held = (g, i, j), []
+                held.append(member)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], names=["a", "b"])
+                out.clear()
+        if held:
+            done()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -284,11 +420,11 @@ def cluster_links(sets: list[np.ndarray], side: np.ndarray, t: int, within: bool
     return np.array([find(x) for x in range(n)]), links
 
 
-def _clusters(signed: DataFrame, classes: DataFrame) -> DataFrame:
+def _clusters(docs: DataFrame, classes: DataFrame, k: int, t: int, text: str) -> DataFrame:
     """(cluster, blocks, _at, vid, n, n_docs) of every class that may link with another."""
-    keyed = signed.where("keys is not null").select(F.explode("keys").alias("key"), "vid")
-    candidate = connected_components(shared_keys(keyed))
-    members = candidate.select(F.col("v").alias("vid"), F.col("component").alias("cluster")).join(classes, "vid")
+    tokens = classes.agg(F.sum("n")).first()[0] or 0
+    candidate = connected_components(candidates(shared_keys(docs, k, t, text, tokens), classes, t))
+    members = candidate.select(F.col("v").alias("vid"), F.col("component").alias("cluster")).join(classes.drop("bits"), "vid")
     of = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_TOKENS), F.lit(1)).cast("int")
     return materialize(members.join(of.select("cluster", blocks.alias("blocks")), "cluster"), "clusters")
@@ -350,19 +486,33 @@ def _tree_join(members: DataFrame, docs: DataFrame, k: int, t: int, doc_id: str,
 
 def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, _at (its handle), component (a name; null for empty sets), n_shingles, component_id and n_links of every document."""
-    signed = materialize(signatures(docs, k, t, doc_id, text), "signatures")
-    slim = signed.select("doc_id", "_at", "n", "vid")
-    classes = materialize(slim.where("vid is not null").groupBy("vid").agg(F.min("doc_id").alias("low"), F.min("_at").alias("_at"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_docs")), "classes")
-    members = _clusters(signed, classes).select("cluster", "blocks", "_at", "vid", "n_docs")
+    signed = materialize(signatures(docs, k, doc_id, text), "signatures")
+    slim = signed.drop("bits")
+    classes = materialize(signed.where("vid is not null").groupBy("vid").agg(F.max("bits").alias("bits"), F.min("doc_id").alias("low"), F.min("_at").alias("_at"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_docs")), "classes")
+    members = _clusters(docs, classes, k, t, text).select("cluster", "blocks", "_at", "vid", "n_docs")
     found = materialize(_tree_join(members, docs, k, t, doc_id, text), "links")
     links = found.groupBy("vid").agg(F.sum("links").alias("links"))
     if members.where("blocks > 1").limit(1).count():
         root = connected_components(found.select(F.col("vid").alias("a"), F.col("root").alias("b"))).select(F.col("v").alias("vid"), F.col("component").alias("root"))
     else:
         root = found.select("vid", "root")
-    named = classes.join(root, "vid", "left").join(links, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    named = classes.drop("bits").join(root, "vid", "left").join(links, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     # a component may hold many classes: its smallest doc_id is added up first, then joined back
     low = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(low, "root").select("vid", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
     out = slim.join(named, "vid", "left")
     return out.select("doc_id", "_at", F.col("root").alias("component"), F.col("n").alias("n_shingles"), F.when(F.col("vid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def oracle(k: int, t: int) -> str:
+    """The same sets, links and components by plain SQL (small tables only: it counts every pair that shares a shingle)."""
+    gram = " || ' ' || ".join(f"w[i + {j + 1}]" for j in range(k))
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, {gram} AS g FROM (SELECT doc_id, w, unnest(range(len(w) - {k - 1})) AS i FROM d WHERE len(w) >= {k}) UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND {k - 1}),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS MATERIALIZED (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= {t} * (x.n + y.n - shared)),
+edges AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n_links FROM edges GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id, coalesce(n_links, 0) AS n_links FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id LEFT JOIN degree g ON g.a = d.doc_id"""
