@@ -133,3 +133,23 @@ def judge(docs: DataFrame, host: Column | None = None, doc_id: str = "doc_id", t
     out = salted.join(verdicts, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left")
     base = F.col("fails_few_words") | F.col("fails_repeats")
     return out.select("doc_id", "_at", *COUNTS, base.alias("base_failed"), F.col("host_kept"), (~base & F.col("host_kept")).alias("kept"))
+
+
+def oracle(max_rate: float = 0.5) -> str:
+    """The same counts and verdicts by plain SQL."""
+    fails = {"few_words": "n_words < 10", "repeats": "100 * n_repeat_words > 20 * n_words", "symbols": "10 * n_symbols > word_chars", "dup_lines": "20 * n_dup_lines > n_words"}
+    sums = ", ".join(f"sum(CASE WHEN {c} THEN 1 ELSE 0 END) AS n_{r}" for r, c in fails.items())
+    prior = ", ".join(f"sum(n_{r}) / sum(n_docs)::DOUBLE AS m_{r}, var_pop(n_{r} / n_docs::DOUBLE) AS v_{r}" for r in fails)
+    between = ", ".join(f"greatest(v_{r} - m_{r} * (1 - m_{r}) * inv, m_{r} * (1 - m_{r}) / 1e6) AS b_{r}" for r in fails)
+    strength = ", ".join(f"CASE WHEN b_{r} > 0 THEN least(greatest(m_{r} * (1 - m_{r}) / b_{r} - 1, 2), 1e6) ELSE 1e6 END AS s_{r}" for r in fails)
+    ok = " AND ".join(f"(n_{r} + m_{r} * s_{r}) / (n_docs + s_{r}) < {max_rate}" for r in fails)
+    return f"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY k),
+grams AS (SELECT k, i, array_to_string(w[i + 1 : i + 5], ' ') AS g FROM (SELECT k, w, unnest(range(len(w) - 4)) AS i FROM t WHERE len(w) >= 5)),
+twice AS (SELECT k, g FROM grams GROUP BY k, g HAVING count(*) > 1),
+covered AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM grams JOIN twice USING (k, g), range(5) r(j) GROUP BY k),
+counts AS (SELECT k, doc_id, source, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM t LEFT JOIN lines USING (k) LEFT JOIN covered USING (k)),
+hosts AS (SELECT source, count(*) AS n_docs, {sums} FROM counts GROUP BY source), prior AS (SELECT avg(1.0::DOUBLE / n_docs) AS inv, {prior} FROM hosts), between0 AS (SELECT *, {between} FROM prior), strength AS (SELECT *, {strength} FROM between0),
+verdict AS (SELECT source, {ok} AS host_kept FROM hosts, strength)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND host_kept AS kept
+FROM counts JOIN verdict ON counts.source IS NOT DISTINCT FROM verdict.source"""

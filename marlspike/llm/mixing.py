@@ -73,3 +73,15 @@ def _with_targets(rows: DataFrame, goal: DataFrame, salts: int = 32) -> DataFram
     goal = goal.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_rank"), F.lit(salts)).cast("int"))
     return rows.join(goal, (F.col("_salt") == F.col("_s")) & F.col("_source").eqNullSafe(F.col("_src")), "left")
+
+
+def oracle(seed: str = "7", cap: float = CAP, cycle: int = 3) -> str:
+    """The same mix by plain SQL."""
+    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {cycle} + 1 AS weight FROM d GROUP BY source),
+full0 AS (SELECT *, {cap}::DOUBLE * source_size AS cap, {cap}::DOUBLE * source_size / weight AS fills FROM per),
+levels AS (SELECT *, row_number() OVER w AS nth, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fills, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fills, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM full0 WINDOW w AS (ORDER BY fills, source NULLS LAST)),
+goal AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, nth) FROM levels WHERE fills >= level), 0) * weight) AS target FROM levels),
+units AS (SELECT *, coalesce(round(target / CASE WHEN source_size > 0 THEN source_size END * {UNITS})::BIGINT, 0) AS expect, floor(('0x' || substr(md5('{seed}|' || coalesce(source, '-')), 1, 5))::BIGINT * {UNITS}::DOUBLE / 1048576)::BIGINT AS start FROM goal),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) AS r FROM d)
+SELECT doc_id, size, source_size, target, size * ((r * expect + start) // {UNITS} - ((r - 1) * expect + start) // {UNITS}) AS taken FROM ranked JOIN units ON ranked.source IS NOT DISTINCT FROM units.source"""

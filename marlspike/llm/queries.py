@@ -67,4 +67,10 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_signature_trees, op3_ppm_language, op4_ordinal_quality, op5_hilbert_sharding, op6_token_blocks, op7_systematic_mix, op8_host_rules, op9_line_chunks, op10_spaced_seeds)}
-ORACLE_SQL: dict[str, str] = {"op10_spaced_seeds": spaced_seeds.oracle()}
+#: The others can't be expressed in SQL and are tested against brute force, round trips or held-out rows.
+ORACLE_SQL = {
+    "op2_signature_trees": signature_join.oracle(3, 90),
+    "op7_systematic_mix": mixing.oracle(),
+    "op8_host_rules": host_rules.oracle(),
+    "op10_spaced_seeds": spaced_seeds.oracle(),
+}
