@@ -120,6 +120,7 @@ def _code_lengths(counts: np.ndarray) -> np.ndarray:
         total, distinct = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
         lower = np.broadcast_to(p, n.shape)
         rest = 1 - np.where(n > 0, lower, 0).sum(-1, keepdims=True)
+        distinct = np.where(distinct == k, 0, distinct)  # nothing is left to escape to
         escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
         p = np.where(n > 0, n / np.maximum(total + distinct, 1), escape * lower / np.maximum(rest, 1e-12))
     return -np.log2(np.maximum(p, 1e-12)).astype(np.float32).ravel()
