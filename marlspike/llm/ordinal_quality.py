@@ -92,10 +92,16 @@ class Ordinal:
     @classmethod
     def fit(cls, texts: pa.Array, grade: np.ndarray, grades: int, epochs: int = 12, per: int = 256, rate: float = 0.5, seed: int = 3) -> Ordinal:
         """Adaptive gradient steps on the likelihood; thresholds stay ordered as a first one and positive gaps."""
-        doc, place, value = features(texts)
-        order = np.argsort(doc, kind="stable")
-        doc, place, value = doc[order], place[order], value[order]
-        limits = np.searchsorted(doc, np.arange(len(texts) + 1))
+        places, values, sizes = [], [], []
+        for b in pieces(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):  # some texts at a time, kept compact
+            doc, place, value = features(b.column(0))
+            order = np.argsort(doc, kind="stable")
+            places.append(place[order].astype(np.int32))
+            values.append(value[order].astype(np.float32))
+            sizes.append(np.bincount(doc, minlength=b.num_rows))
+        place, value = np.concatenate(places), np.concatenate(values)
+        del places, values
+        limits = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         weight, squares = np.zeros(TABLE), np.full(TABLE, 1e-8)
         share = np.array([(grade >= j).mean() for j in range(1, grades)]).clip(0.02, 0.98)
         cuts = np.sort(np.log((1 - share) / share))
