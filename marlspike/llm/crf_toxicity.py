@@ -148,20 +148,27 @@ def evidence(w: Words, p: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(w.n), np.log(high / (1 - high)) / 4, np.log1p(expected)], 1)
 
 
-def _labelled(w: Words, toxic: np.ndarray) -> np.ndarray:
-    """Tag of each training word, from document labels."""
-    tag = np.zeros(len(w.start), bool)
+def _labelled(spans: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Tag of each training word, from document labels; ``spans``: hashes of the words and of their first bytes."""
+    tag = np.zeros(len(doc), bool)
     n1, n0 = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    ends = [w.end, np.minimum(w.end, w.start + 5)]
-    for end, least, margin in zip(ends, (3, 8), (3.0, 3.5)):
-        _, name = np.unique(w.span_hash(w.start, end), return_inverse=True)
-        once = np.unique(name.astype(np.int64) * w.n + w.doc)
+    for h, least, margin in zip(spans, (3, 8), (3.0, 3.5)):
+        _, name = np.unique(h, return_inverse=True)
+        once = np.unique(name.astype(np.int64) * len(toxic) + doc)
         k = int(name.max()) + 1 if len(name) else 0
-        in_toxic = np.bincount(once // w.n, weights=toxic[once % w.n], minlength=k)
-        in_clean = np.bincount(once // w.n, minlength=k) - in_toxic
+        in_toxic = np.bincount(once // len(toxic), weights=toxic[once % len(toxic)], minlength=k)
+        in_clean = np.bincount(once // len(toxic), minlength=k) - in_toxic
         odds = np.log((in_toxic + 0.1) / n1) - np.log((in_clean + 0.1) / n0)
         tag |= ((odds >= margin) & (in_toxic >= least))[name]
-    return tag & toxic[w.doc]
+    return tag & toxic[doc]
+
+
+def _parts(texts: pa.Array):
+    """The texts' words, some texts at a time, with the number of the first text."""
+    first = 0
+    for b in pieces(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+        yield first, Words(b.column(0), LETTER)
+        first += b.num_rows
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, per: int = 400, rate: float = 0.3, seed: int = 5) -> Field:
@@ -171,9 +178,17 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, per: int = 400, rat
         return Field(np.zeros(TABLE), np.zeros((3, 2)), None)
     third = np.arange(len(toxic)) % 3 == 2 if len(toxic) >= 60 else np.zeros(len(toxic), bool)
     learn = texts.filter(pa.array(~third))
-    w = Words(learn, LETTER)
-    tag = _labelled(w, toxic[~third])
-    f, (chain, step) = features(w), chains(w)
+    found, chain0 = [], 0
+    for first, w in _parts(learn):
+        c, s = chains(w)
+        found.append((w.hashes(), w.span_hash(w.start, np.minimum(w.end, w.start + 5)), w.doc + first, features(w), c + chain0, s.astype(np.int32)))
+        chain0 += int(c[-1]) + 1 if len(c) else 0
+    if not found:
+        return Field(np.zeros(TABLE), np.zeros((3, 2)), None)
+    words, heads, doc, f, chain, step = (np.concatenate(x) for x in zip(*found))
+    del found
+    tag = _labelled([words, heads], doc, toxic[~third])
+    del words, heads, doc
     weight, squares = np.zeros(TABLE), np.full(TABLE, 1e-6)
     trans, t_squares = np.zeros((3, 2)), np.full((3, 2), 1e-6)
     n = int(chain[-1]) + 1 if len(chain) else 0
@@ -207,8 +222,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, per: int = 400, rat
     field = Field(weight.astype(np.float32), trans, np.zeros(3))
     rest = texts.filter(pa.array(third)) if third.any() and toxic[third].any() else learn
     y = (toxic[third] if rest is not learn else toxic[~third]).astype(float)
-    w = Words(rest, LETTER)
-    x = evidence(w, field.marginals(w))
+    x = np.concatenate([evidence(w, field.marginals(w)) for _, w in _parts(rest)])
     b = np.zeros(3)
     for _ in range(50):  # Newton steps on the ridge-penalised logistic
         q = 1 / (1 + np.exp(-x @ b))
