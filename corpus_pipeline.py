@@ -92,7 +92,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in block files, and where each document stands in them."""
-    return token_blocks.read_files(token_blocks.write_files(docs, tokenizer_path()))
+    return token_blocks.read_files(token_blocks.write_files(docs, tokenizer_path(), memory=100_000))  # the workers hold earlier stages' memory too
 
 
 STAGES = [

@@ -162,10 +162,11 @@ class Encoder:
     other white space, and tokenizers of other kinds, are encoded in one call.
     """
 
-    #: Stretches of each of two generations; what the older one has is taken over when it is met again.
-    MEMORY = 600_000
+    #: Stretches of each of two generations (about 200 bytes each); what the older one has is taken over when it is met again.
+    MEMORY = 350_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.most = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -203,7 +204,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [self.by_stretch and _lone(t) and not any(s in t for s in self.special) for t in texts]
         cut = [("\x01" + t.replace("\n", " \n \x01")).split(" ") if ok else None for t, ok in zip(texts, plain)]
-        if len(self.memory) > self.MEMORY:
+        if len(self.memory) > self.most:
             self.older, self.memory = self.memory, {}
         known, older = self.memory, self.older
         new = set().union(*(c for c in cut if c is not None))
@@ -221,11 +222,11 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, memory: int = Encoder.MEMORY) -> Encoder:
+    return Encoder(path, memory)
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, percentile: float = 0.98, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, percentile: float = 0.98, doc_id: str = "doc_id", text: str = "text", memory: int = Encoder.MEMORY) -> DataFrame:
     """Encode every whole text and write the files: (part int, seq int, n_ids long, file binary).
 
     ``tokenizer`` is a path that every executor can open. Documents are range
@@ -237,7 +238,7 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, percentile: fl
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        enc, seq, part = encoder(tokenizer), 0, 0
+        enc, seq, part = encoder(tokenizer, memory), 0, 0
         names: list = []
         found: list = []
         held = 0
