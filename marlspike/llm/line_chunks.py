@@ -2,13 +2,16 @@
 
 A rolling hash over the last ``WINDOW`` line hashes decides by one bit where a
 chunk ends, so boundaries move with the content and not with its place. Two
-complementary chunkings are kept, one ending at set and one at unset bits: any
-run of lines longer than the window then has a whole chunk inside. A line of
-``LONG_LINE`` words or more also is a chunk by itself; shorter lines only
-extend what chunks have found.
+complementary chunkings are kept, one ending at set and one at unset bits.
+Where neighbouring bits are equal neither has a whole chunk of several lines
+inside a short run, so each two successive shorter lines that aren't blank also
+are a chunk. A line of ``LONG_LINE`` words or more is a chunk by itself, so any
+repeated run of two lines has a chunk; single shorter lines only extend what
+chunks have found.
 
 Chunks are counted by hash over all documents. Chunks whose hash repeats are
-cut out of their texts and compared byte by byte (grouped by their bytes); a
+cut out of their texts and compared byte by byte (grouped by their bytes
+without blank lines); a
 hash that stands for different bytes removes nothing. The first occurrence (by
 doc_id, then place) stays. In a document, adjoining repeated lines form a run;
 a run with a repeated chunk in it and at least ``MIN_WORDS`` words is removed.
@@ -64,6 +67,12 @@ def chunk_batch(texts: pa.Array) -> tuple[np.ndarray, ...]:
             roll += np.where(line >= back, prev, U(0)) * U(2 * back + 1)
         bit = (mix(roll) >> U(17)) & U(1)
     out = [(doc[k], mix(h[k] + U(9)), line[k], np.ones(len(k), np.int64), words[k] >= LONG_LINE) for k in [np.flatnonzero(words > 0)]]
+    filled = np.flatnonzero(words > 0)
+    two = np.flatnonzero((doc[filled[:-1]] == doc[filled[1:]]) & (np.maximum(words[filled[:-1]], words[filled[1:]]) < LONG_LINE))
+    p, q = filled[two], filled[two + 1]
+    with np.errstate(over="ignore"):
+        key = mix((mix(h[p] + mix(U(21))) + mix(h[q] + mix(U(22)))) ^ mix(U(2)))
+    out.append((doc[p], key, line[p], q - p + 1, np.ones(len(p), bool)))
     for family in (0, 1):
         cut = np.flatnonzero((bit == U(family)) | is_last)
         start = np.concatenate([[0], cut[:-1] + 1]) if len(cut) else cut
@@ -75,7 +84,8 @@ def chunk_batch(texts: pa.Array) -> tuple[np.ndarray, ...]:
             with np.errstate(over="ignore"):
                 total = np.add.reduceat(mix(h + mix(place + U(21))), start)
                 key = mix(total ^ mix(n.astype(U)))
-            long = (n >= 2) & (np.add.reduceat(words, start) > 0)
+            not_blank = np.add.reduceat((words > 0).astype(np.int64), start)
+            long = (n >= 2) & (not_blank > 0) & ~((n == 2) & (not_blank == 2))  # two lines are a chunk already, or have a long one
             k = np.flatnonzero(long)
             out.append((doc[cut][k], key[k], line[start][k], n[k], np.ones(len(k), bool)))
     cols = [np.concatenate(c) for c in zip(*out)]
@@ -137,8 +147,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for b in pieces(batches):
             out: list[tuple] = []
             for at, name, body, marks in zip(*(b.column(c).to_pylist() for c in ("_at", "doc_id", "text", "marks"))):
-                lines = body.split("\n")
-                out += [(name, at, m["h"], m["start"], "\n".join(lines[m["start"] : m["start"] + m["n"]]).encode()) for m in marks]
+                lines = body.encode().split(b"\n")
+                out += [(name, at, m["h"], m["start"], b"\n".join(x for x in lines[m["start"] : m["start"] + m["n"]] if x.split())) for m in marks]
             for s in range(0, len(out), 20_000):
                 cols = list(zip(*out[s : s + 20_000]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "_at", "h", "start", "body"])

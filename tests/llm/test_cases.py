@@ -248,6 +248,25 @@ def test_repeated_passages_go_common_lines_stay(spark):
     assert all(got[i]["n_removed"] >= 5 and "a common line" in got[i]["text"] for i in (1, 2, 3)) and all(single not in got[i]["text"] for i in (11, 12))
 
 
+def test_short_lines_of_a_long_passage_go(spark):
+    """Every passage of 4 to 8 short lines with 50 words or more goes from its second context, whatever the cuts."""
+    rng = np.random.default_rng(8)
+    line = lambda n: " ".join(f"p{rng.integers(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for i in range(100):
+        n_lines = 4 + i % 5
+        passage = [line(-(-(50 + int(rng.integers(11))) // n_lines)) for _ in range(n_lines)]
+        for side in (0, 1):
+            before, after = [[line(int(rng.integers(3, 15))) for _ in range(int(rng.integers(1, 5)))] for _ in range(2)]
+            rows.append((2 * i + side, "\n".join([*before, *passage, *after])))
+            want[2 * i + side] = "\n".join([*before, *after]) if side else rows[-1][1]
+    again = line(13)
+    rows += [(1000, "\n".join(["start", *[again] * 5, "end"])), (1001, "\n".join([again] * 5 + ["other"]))]
+    want |= {1000: f"start\n{again}\nend", 1001: "other"}
+    got = {r["doc_id"]: r["text"] for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_ppm_sums_to_one_and_tells_languages_apart():
     lengths = ppm_language._code_lengths(np.bincount(np.random.default_rng(6).integers(0, 40**4, 3000), minlength=40**4).astype(float)).reshape(-1, 40)
     assert np.allclose(np.exp2(-lengths.astype(float)).sum(1), 1, atol=1e-4)
