@@ -105,13 +105,16 @@ def _cut_lines(text: str, marks: list[dict]) -> tuple[str, int]:
         for i in range(m["start"], m["start"] + m["n"]):
             state[i] = max(state[i], 2 if m["strong"] else 1)
     words = [len(x.encode().split()) for x in lines]
+    follows = [len(lines)] * len(lines)  # the next line that isn't blank
+    for i in range(len(lines) - 2, -1, -1):
+        follows[i] = i + 1 if words[i + 1] else follows[i + 1]
     drop, i = set(), 0
     while i < len(lines):
         if not state[i]:
             i += 1
             continue
         j = i
-        while j < len(lines) and (state[j] or (not words[j] and j + 1 < len(lines) and state[j + 1])):
+        while j < len(lines) and (state[j] or (not words[j] and follows[j] < len(lines) and state[follows[j]])):
             j += 1
         if 2 in state[i:j] and sum(words[i:j]) >= MIN_WORDS:
             drop.update(range(i, j))

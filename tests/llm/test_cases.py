@@ -267,6 +267,28 @@ def test_short_lines_of_a_long_passage_go(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("gap", ["\n\n\n", "\n\n\n\n", "\n \n\t\n"])
+def test_blank_lines_end_no_run(spark, gap):
+    """Paragraphs of under 50 words go together over any number of blank lines, also where these differ."""
+    rng = np.random.default_rng(11)
+    line = lambda n: " ".join(f"b{rng.integers(10**9)}" for _ in range(n))
+    rows, want = [], {}
+    for i, (many, n) in enumerate([(3, 20), (2, 30), (4, 14)] * 15):
+        paragraphs = [line(n) for _ in range(many)]
+        for side, between in ((0, "\n\n"), (1, gap), (2, gap)):
+            rows.append((3 * i + side, f"{(a := line(9))}\n{between.join(paragraphs)}\n{(b := line(9))}"))
+            want[3 * i + side] = f"{a}\n{b}" if side else rows[-1][1]
+    got = {r["doc_id"]: r["text"] for r in line_chunks.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_run_bridges_blank_lines():
+    text = "\n".join([" ".join("abcdefghij") * 3, "", "", " ", " ".join("klmnopqrst") * 3, "", "", "kept"])
+    marks = [{"start": 0, "n": 1, "strong": True}, {"start": 4, "n": 1, "strong": False}]
+    n = sum(len(x.split()) for x in text.split("\n")[:5])
+    assert n >= line_chunks.MIN_WORDS and line_chunks._cut_lines(text, marks) == ("\n\nkept", 5)
+
+
 def test_ppm_sums_to_one_and_tells_languages_apart():
     lengths = ppm_language._code_lengths(np.bincount(np.random.default_rng(6).integers(0, 40**4, 3000), minlength=40**4).astype(float)).reshape(-1, 40)
     assert np.allclose(np.exp2(-lengths.astype(float)).sum(1), 1, atol=1e-4)
