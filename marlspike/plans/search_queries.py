@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from marlspike.operators import search as R
 from marlspike.sources.tables import table
 
 from .domain import corpus
-from .registry import query
+from .registry import ORACLES, QUERIES, query
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 TOK = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:''[a-z]+)?'), lambda x: length(x) > 1 AND NOT list_contains(" + _STOP + ", x))"
@@ -24,9 +26,9 @@ def _bm(extra: str = "") -> str:
 bm AS (SELECT q.query_id, p.doc_id, round(sum(times * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 5) AS score FROM post p JOIN dfs USING (term) JOIN qt q USING (term), stats {extra} GROUP BY 1, 2)"""
 
 
-def _queries(spark, sf) -> DataFrame:
-    """The first ten test items as questions."""
-    return table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def _queries(spark, sf, asked: str = "item_id < 10") -> DataFrame:
+    """Test items as questions: the first ten, or those ``asked`` for."""
+    return table(spark, sf, "benchmark").where(asked).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"SELECT doc_id, len(t) AS n_terms, coalesce(t[1], '') AS first_term, coalesce(t[-1], '') AS last_term FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)")
@@ -51,13 +53,13 @@ def corpus_stats(spark, sf):
 
 
 @query(_bm() + " SELECT query_id, doc_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10")
-def bm25_topk(spark, sf):
-    return R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf)), 10).drop("rank")
+def bm25_topk(spark, sf, asked="item_id < 10"):
+    return R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked)), 10).drop("rank")
 
 
 @query(_bm("WHERE form = 'en'") + " SELECT query_id, doc_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5")
-def bm25_filtered(spark, sf):
-    return R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf), keep=F.col("form") == "en"), 5).drop("rank")
+def bm25_filtered(spark, sf, asked="item_id < 10"):
+    return R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked), keep=F.col("form") == "en"), 5).drop("rank")
 
 
 @query("SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text || ' risk factors market risk liquidity' ELSE text END AS expanded FROM benchmark")
@@ -80,33 +82,33 @@ _DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]
 
 
 @query("SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 10")
-def cosine_topk(spark, sf):
+def cosine_topk(spark, sf, vectors="vec_id < 5"):
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.vector_top(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), q, 10).drop("rank")
+    q = e.where(vectors).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.vector_top(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), q, 10, small=vectors != "true").drop("rank")
 
 
 @query(_bm() + ", t AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 12) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END, 4) AS norm FROM t WINDOW w AS (PARTITION BY query_id)")
-def minmax_normalize(spark, sf):
-    t = R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf)), 12)
+def minmax_normalize(spark, sf, asked="item_id < 10"):
+    t = R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked)), 12)
     return R.minmax(t, "score", "norm").select("query_id", "doc_id", F.round("norm", 4).alias("norm"))
 
 
 @query(_bm() + """, lex AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 12), sem AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 12),
 nl AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS x FROM lex WINDOW w AS (PARTITION BY query_id)), ns AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS x FROM sem WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, doc_id, round(0.6::DOUBLE * coalesce(nl.x, 0) + 0.4::DOUBLE * coalesce(ns.x, 0), 4) AS score FROM nl FULL JOIN ns USING (query_id, doc_id)""")
-def hybrid_fuse(spark, sf):
-    lex = R.minmax(R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf)), 12), "score", "x").select("query_id", "doc_id", "x")
+def hybrid_fuse(spark, sf, asked="item_id < 10", vectors="vec_id < 10"):
+    lex = R.minmax(R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked)), 12), "score", "x").select("query_id", "doc_id", "x")
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    sem = R.minmax(R.vector_top(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), q, 12), "score", "y").select("query_id", "doc_id", "y")
+    q = e.where(vectors).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    sem = R.minmax(R.vector_top(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), q, 12, small=vectors != "true"), "score", "y").select("query_id", "doc_id", "y")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return lex.join(sem, ["query_id", "doc_id"], "full_outer").select("query_id", "doc_id", F.round(0.6 * zero("x") + 0.4 * zero("y"), 4).alias("score"))
 
 
 @query(_bm() + ", t AS (SELECT bm.*, quality = 1 AS good, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm.doc_id) AS r FROM bm LEFT JOIN labels USING (doc_id)) SELECT query_id, round(count(*) FILTER (good AND r <= 3) / 3.0::DOUBLE, 6) AS p3, round(coalesce(1.0::DOUBLE / min(r) FILTER (good), 0), 6) AS rr FROM t WHERE r <= 10 GROUP BY query_id")
-def precision_mrr(spark, sf):
-    t = R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf)), 10).join(table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id", "left")
+def precision_mrr(spark, sf, asked="item_id < 10"):
+    t = R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked)), 10).join(table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id", "left")
     return t.groupBy("query_id").agg(F.round(F.count_if(F.col("good") & (F.col("rank") <= 3)) / 3.0, 6).alias("p3"), F.round(F.coalesce(1.0 / F.min(F.when(F.col("good"), F.col("rank"))), F.lit(0.0)), 6).alias("rr"))
 
 
@@ -145,9 +147,9 @@ def chunk_documents(spark, sf):
 
 
 @query()
-def diversify_topk(spark, sf):
+def diversify_topk(spark, sf, asked="item_id < 10"):
     docs = corpus(spark, sf)
-    t = R.top_k(R.bm25(docs, _queries(spark, sf)), 12).join(docs.select("doc_id", F.col("ticker").alias("section"), "text"), "doc_id")
+    t = R.top_k(R.bm25(docs, _queries(spark, sf, asked)), 12).join(docs.select("doc_id", F.col("ticker").alias("section"), "text"), "doc_id")
     return R.diversify(t, 5)
 
 
@@ -173,8 +175,8 @@ def answer_safety(spark, sf):
 
 
 @query(_bm() + " SELECT doc_id, max(score) AS score FROM bm GROUP BY doc_id HAVING max(score) > 5")
-def evidence_merge(spark, sf):
-    return R.bm25(corpus(spark, sf), _queries(spark, sf)).groupBy("doc_id").agg(F.max("score").alias("score")).where("score > 5")
+def evidence_merge(spark, sf, asked="item_id < 10"):
+    return R.bm25(corpus(spark, sf), _queries(spark, sf, asked)).groupBy("doc_id").agg(F.max("score").alias("score")).where("score > 5")
 
 
 @query("SELECT conv_id, string_agg(substr(text, 1, 40), chr(10) ORDER BY turn) AS summary FROM (SELECT * FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) GROUP BY conv_id")
@@ -188,3 +190,20 @@ def session_summary(spark, sf):
 def label_normalize(spark, sf):
     t = F.col("event_type")
     return table(spark, sf, "events").select("event_id", F.when(t.contains("click"), "supports").when(t.contains("view"), "neutral").otherwise("unclear").alias("label"))
+
+
+# The queries above ask a stated few ids, as their SQL does. The same searches with every row as a query:
+for _f, _all in ((bm25_topk, {"asked": "true"}), (bm25_filtered, {"asked": "true"}), (minmax_normalize, {"asked": "true"}), (hybrid_fuse, {"asked": "true", "vectors": "true"}), (precision_mrr, {"asked": "true"}), (diversify_topk, {"asked": "true"}), (evidence_merge, {"asked": "true"}), (cosine_topk, {"vectors": "true"})):
+    QUERIES[f"{_f.__name__}_whole"] = partial(_f, **_all)
+    if _f.__name__ in ORACLES:
+        ORACLES[f"{_f.__name__}_whole"] = ORACLES[_f.__name__].replace(" WHERE item_id < 10", "").replace(" WHERE vec_id < 10", "").replace(" WHERE vec_id < 5", "")
+
+
+@query(f"WITH s AS (SELECT item_id, {_SET} AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS sim FROM s a JOIN s b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) > 0")
+def jaccard_pairs_whole(spark, sf):
+    """All pairs of items that share a token."""
+    s = table(spark, sf, "benchmark").select("item_id", token_set("text").alias("t"))
+    t = s.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    a, b = t.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "token"), t.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "token")
+    both = a.join(b, "token").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    return both.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("sim"))

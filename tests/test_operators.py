@@ -127,3 +127,13 @@ def test_upsert_and_insert(spark):
     old, new = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, note string"), spark.createDataFrame([(2, "c", None), (3, "d", None)], "k int, v string, note string")
     assert sorted(map(tuple, sinks.upsert(old, new, ["k"], ["note"]).collect())) == [(1, "a", "x"), (2, "c", "y"), (3, "d", None)]
     assert [r["k"] for r in sinks.insert_if_absent(old, new, ["k"]).collect()] == [3]
+
+
+def test_whole_searches_ask_every_row(spark, sf_dir):
+    from marlspike.plans import catalogue
+
+    got = lambda name, key: {r[0] for r in catalogue.queries()[name](spark, sf_dir).select(key).distinct().collect()}
+    ids = lambda t, key: {r[0] for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").select(key).collect()}
+    items, vectors = ids("benchmark", "item_id"), ids("embeddings", "vec_id")
+    assert all(got(f"{name}_whole", "query_id") == items for name in ("bm25_topk", "minmax_normalize", "precision_mrr", "diversify_topk"))
+    assert got("cosine_topk_whole", "query_id") == vectors and got("hybrid_fuse_whole", "query_id") == vectors | items
