@@ -64,6 +64,12 @@ def rolling_drawdown_63(spark, sf):
     return bars(spark, sf).select("ticker", "day", "idx", _r(P.rolling_drawdown(63)).alias("drawdown_63")).where("idx % 21 = 0").drop("idx")
 
 
+@query(f"WITH {BARS}, p AS (SELECT s.ticker, s.day, b.price, max(b.price) OVER (PARTITION BY s.ticker, s.idx ORDER BY b.idx) AS peak FROM bars s JOIN bars b ON b.ticker = s.ticker AND b.idx BETWEEN s.idx - 63 AND s.idx) SELECT ticker, day, round(least(0, min(price / peak - 1)), 6) AS drawdown_63 FROM p GROUP BY ticker, day")
+def rolling_drawdown_63_whole(spark, sf):
+    """Every session's drawdown; the query above keeps each 21st, as its SQL does."""
+    return bars(spark, sf).select("ticker", "day", _r(P.rolling_drawdown(63)).alias("drawdown_63"))
+
+
 @query(f"WITH {BARS} SELECT ticker, day, round(CASE WHEN idx >= 42 THEN avg(volume) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) / avg(volume) OVER (PARTITION BY ticker ORDER BY day ROWS BETWEEN 41 PRECEDING AND 21 PRECEDING) - 1 END, 6) AS volume_trend FROM bars")
 def volume_trend_21(spark, sf):
     return bars(spark, sf).select("ticker", "day", _r(P.volume_trend()).alias("volume_trend"))
@@ -166,6 +172,12 @@ def exact_benchmark_align(spark, sf):
     return b.join(benchmark_bars(spark, sf).select("day", F.col("price").alias("bench_price")), "day")
 
 
+@query(f"WITH {BARS}, {BENCH} SELECT b.ticker, b.day, b.price, s.price AS bench_price FROM bars b JOIN bench s ON b.day = s.day")
+def exact_benchmark_align_whole(spark, sf):
+    """Every session beside the benchmark's; the query above keeps each tenth, as its SQL does."""
+    return bars(spark, sf).select("ticker", "day", "price").join(benchmark_bars(spark, sf).select("day", F.col("price").alias("bench_price")), "day")
+
+
 @query(OBS + """ SELECT signal, horizon, coalesce(regime, 'all') AS regime, count(*) AS n, round(avg(forward_return), 5) AS mean_forward, round(avg(excess_return), 5) AS mean_excess,
  round(avg(excess_return) - coalesce(1.96 * stddev_samp(excess_return) / sqrt(count(*)), 0), 5) AS ci_low, round(avg(excess_return) + coalesce(1.96 * stddev_samp(excess_return) / sqrt(count(*)), 0), 5) AS ci_high,
  round(avg(CASE WHEN excess_return > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 5) AS win_rate, round(avg(adverse_drawdown), 5) AS mean_drawdown FROM obs GROUP BY GROUPING SETS ((signal, horizon, regime), (signal, horizon))""")

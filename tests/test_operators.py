@@ -137,3 +137,14 @@ def test_whole_searches_ask_every_row(spark, sf_dir):
     items, vectors = ids("benchmark", "item_id"), ids("embeddings", "vec_id")
     assert all(got(f"{name}_whole", "query_id") == items for name in ("bm25_topk", "minmax_normalize", "precision_mrr", "diversify_topk"))
     assert got("cosine_topk_whole", "query_id") == vectors and got("hybrid_fuse_whole", "query_id") == vectors | items
+
+
+def test_whole_price_rows_are_not_thinned(spark, sf_dir):
+    from marlspike.plans import catalogue
+    from marlspike.plans.domain import bars
+
+    q, every = catalogue.queries(), bars(spark, sf_dir).select("ticker", "day")
+    assert q["rolling_drawdown_63_whole"](spark, sf_dir).count() == every.count()
+    assert q["exact_benchmark_align_whole"](spark, sf_dir).join(every, ["ticker", "day"], "left_semi").count() > 5 * q["exact_benchmark_align"](spark, sf_dir).count()
+    dates = q["pit_snapshot_join_whole"](spark, sf_dir).select("ticker", "day")
+    assert dates.count() > 0 and dates.subtract(q["systematic_sample"](spark, sf_dir).select("ticker", "day")).count() == 0
