@@ -77,7 +77,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that overlap a test item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     keyed, k = _key(docs)
-    hit = spaced_seeds.overlaps(keyed, items, doc_id=k).select(F.col("doc_id").alias("_at"))
+    hit = spaced_seeds.overlaps(keyed, items, doc_id=k, whole=True).select(F.col("doc_id").alias("_at"))
     return _without(docs, hit)
 
 

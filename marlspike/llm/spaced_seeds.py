@@ -28,6 +28,9 @@ TOKEN = r"[\p{L}\p{N}]+"
 SPAN = 10
 #: Looked-at positions of each mask.
 MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9))
+#: Further masks of the whole search. The first leaves a residue of each period from 4 to 10 free; the others serve items of few windows.
+WIDE_MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 5, 6), (0, 1, 2, 3, 4, 5))
+WIDE_SPAN = 7
 MARGIN = 5
 RATIO = 75
 SHORTEST = 5
@@ -41,9 +44,10 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _masks(short: list[int]) -> list[tuple[int, tuple[int, ...]]]:
-    """(span, looked-at positions): the spaced masks, then a full one for each length of short items."""
-    return [(SPAN, m) for m in MASKS] + [(n, tuple(range(n))) for n in short]
+def _masks(short: list[int], whole: bool) -> list[tuple[int, tuple[int, ...]]]:
+    """(span, looked-at positions): the spaced masks, then a full one for each length of short items; the whole search's come last."""
+    wide = [(WIDE_SPAN, m) for m in WIDE_MASKS] if whole else []
+    return [(SPAN, m) for m in MASKS] + [(n, tuple(range(n))) for n in short] + wide
 
 
 def _hash(words: Column, at: Column, positions: tuple[int, ...], mask: int) -> Column:
@@ -67,15 +71,15 @@ def _hits(mask: int, span: int, positions: tuple[int, ...], bitmap: Column, size
     return F.transform(F.filter(_windows(F.col("n"), span), listed), lambda i: F.struct(i.alias("i"), _hash(F.col("w"), i, positions, mask).alias("h")))
 
 
-def item_seeds(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list]:
+def item_seeds(items: DataFrame, item_id: str, text: str, whole: bool = False) -> tuple[DataFrame, list]:
     """(item_id, a, seed, left, stretch) of each window of each item, and the masks in use."""
     words = items.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("w")).withColumn("n", F.size("w"))
     short = sorted(r["n"] for r in words.where(f"n between {SHORTEST} and {SPAN - 1}").select("n").distinct().collect())
-    masks = _masks(short)
+    masks = _masks(short, whole)
     found = []
     for k, (span, positions) in enumerate(masks):
-        fits = F.col("n") >= SPAN if span == SPAN and k < len(MASKS) else F.col("n") == span
-        found.append(F.when(fits, F.transform(_windows(F.col("n"), span), _seed(k, span, positions))))
+        spaced = k < len(MASKS) or k >= len(MASKS) + len(short)
+        found.append(F.when(F.col("n") >= SPAN if spaced else F.col("n") == span, F.transform(_windows(F.col("n"), span), _seed(k, SPAN if spaced else span, positions))))
     every = F.concat(*[F.coalesce(f, F.array().cast("array<struct<a:int,span:int,seed:bigint>>")) for f in found])
     out = words.select("item_id", "n", "w", F.explode(every).alias("s")).select("item_id", "n", "w", "s.*")
     left = F.least(F.col("a"), F.lit(MARGIN))
@@ -96,9 +100,12 @@ def _bitmap(seeds: DataFrame, n_seeds: int) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>"), size
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_hits, best_match, best_span): each document and item with a verified overlap."""
-    seeds, masks = item_seeds(items, item_id, item_text)
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", whole: bool = False) -> DataFrame:
+    """(doc_id, item_id, n_hits, best_match, best_span): each document and item with a verified overlap.
+
+    The ``whole`` search adds masks, and any ``SPAN`` tokens in a row that agree count as an overlap too.
+    """
+    seeds, masks = item_seeds(items, item_id, item_text, whole)
     n_seeds = seeds.count()  # of the test items alone
     bitmap, size = _bitmap(seeds, n_seeds)
 
@@ -111,7 +118,8 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     side = F.broadcast(seeds) if n_seeds <= BROADCAST_ROWS else seeds
     both = hit.join(side, F.col("h") == F.col("seed"))
     agree = F.size(F.filter(F.sequence(F.lit(0), F.size("stretch") - 1), lambda j: F.get("around", j - F.col("left") + F.col("before")) == F.get("stretch", j)))
-    both = both.select("doc_id", "item_id", "i", "a", agree.alias("agree"), F.size("stretch").alias("span")).where(f"100 * agree >= {RATIO} * span")
+    row = F.size(F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda j: F.get("around", F.col("before") + j) == F.get("stretch", F.col("left") + j))) == SPAN
+    both = both.select("doc_id", "item_id", "i", "a", agree.alias("agree"), F.size("stretch").alias("span"), (row if whole else F.lit(False)).alias("row")).where(f"row or 100 * agree >= {RATIO} * span")
     best = F.max(F.struct("agree", F.negative("span").alias("s")))
     return both.groupBy("doc_id", "item_id").agg(F.countDistinct("i", "a").alias("n_hits"), best.alias("best")).select("doc_id", "item_id", "n_hits", F.col("best.agree").alias("best_match"), F.negative(F.col("best.s")).alias("best_span"))
 

@@ -82,6 +82,23 @@ def test_seeds_tolerate_substitutions(spark):
     assert {r["doc_id"] for r in spaced_seeds.overlaps(d, spark.createDataFrame([(9, " ".join(item))], "item_id long, text string")).collect()} == {1, 3}
 
 
+def test_whole_search_finds_periods_and_runs(spark):
+    """Every k-th token replaced (75 percent or more stay), k = 4 to 10 at each offset, and exact runs out of the middle."""
+    docs, items, want = [], [], set()
+    for n in (10, 15, 20, 40, 59):
+        item = [f"i{n}t{j}" for j in range(n)]
+        items.append((n, " ".join(item)))
+        changed = [[f"z{j}" if j % k == o else w for j, w in enumerate(item)] for k in range(4, 11) for o in range(k)]
+        changed += [item[a : a + r] for r in range(10, 15) for a in (3, 13) if a + r <= n]
+        for c in changed:
+            if len(c) < n or sum(x == y for x, y in zip(c, item)) * 100 >= 75 * n:
+                docs.append((len(docs), " ".join([*(f"x{j}" for j in range(9)), *c, *(f"y{j}" for j in range(9))])))
+                want.add((docs[-1][0], n))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **how: {(r["doc_id"], r["item_id"]) for r in spaced_seeds.overlaps(d, i, **how).collect()}
+    assert found(whole=True) == want and found() < want
+
+
 def brute_groups(rows, k, t):
     sets = []
     for _, text in rows:
