@@ -1,4 +1,4 @@
-"""Shared building blocks: scratch tables, ordered prefix sums, components."""
+"""Shared building blocks: scratch tables, row handles, ordered prefix sums, joins of hot keys, components."""
 
 from __future__ import annotations
 
@@ -15,10 +15,15 @@ _own_dir: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder shared by driver and executors; a temporary one only where the session names none."""
+    """Folder shared by driver and executors: what ``spark.checkpoint.dir`` names.
+
+    Only a session on one machine may leave it unset and gets a temporary folder; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="marlspike-"))
     return f"file://{_own_dir[0]}"
@@ -33,12 +38,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/marlspike/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from :func:`materialize` that nothing reads any more."""
+    spark, path = df.sparkSession, getattr(df, "_scratch", None)
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Bound the bytes that one Arrow batch of whole texts holds, whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound the bytes that one Arrow batch of whole texts holds, whatever the texts' lengths.
+
+    The bound is read when a query runs, so it is set for the session and stays; a lower one is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= most:
+        spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -50,6 +70,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def handle(doc_id: str, text: str) -> Column:
+    """128 bits by which a document is found again: two unlike hashes of id and text. Rows alike in both share it."""
+    return F.struct(F.xxhash64(F.col(doc_id), F.col(text)).alias("a"), F.xxhash64(F.lit("handle"), F.col(text), F.col(doc_id)).alias("b"))
+
+
 def range_sorted(df: DataFrame, order: list, name: str) -> DataFrame:
     """Range-partition by ``order`` and keep the partition's number as ``_pid`` (a written table)."""
     n = partitions(df.sparkSession)
@@ -76,25 +101,40 @@ def prefix_sum(ranged: DataFrame, groups: list[str], order: list, weight: Column
     return joined.withColumn(out, F.col("_run") + F.col("_before")).drop("_p", "_w", "_run", "_before", *[f"_g{i}" for i in range(len(groups))])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def many_to_one(rows: DataFrame, ones: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``ones``, a written table with one row for each ``key``; ``count`` there says how many of ``rows`` have it.
+
+    A key with more than a thousandth of all rows goes by a broadcast (there are fewer than 1,000 of
+    these, whatever the input), the others by a shuffle, in which no task then gets one key's bulk."""
+    most = (ones.agg(F.sum(count)).first()[0] or 0) // 1000
+    hot = F.broadcast(ones.where(F.col(count) > most).drop(count))
+    cold = ones.where(F.col(count) <= most).drop(count)
+    spread = rows.join(hot, key)
+    return spread.unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """Label each vertex of ``edges(a long, b long)`` with the smallest vertex it reaches.
 
-    Alternates large-star and small-star steps; the edge list never grows
-    beyond twice its first size and stays distributed. Vertices without an
-    edge don't appear. Returns (v, component).
+    Alternates large-star and small-star steps until nothing changes; the edge
+    list never grows beyond twice its first size and stays distributed, and a
+    vertex with very many edges is no task's alone. Vertices without an edge
+    don't appear. Returns (v, component).
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = materialize(e, "cc")
+    e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     last = None
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v"), F.col("u")))
-        m = both.groupBy("u").agg(F.min("v").alias("m0")).select(F.col("u").alias("k"), F.least("u", "m0").alias("m"))
-        large = both.join(m, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        ms = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = (large.join(ms, F.col("u") == F.col("k")).select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m")), F.struct(F.col("u").alias("x"), F.col("m")))).alias("s"))
+        m = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("c")), "cc-large")
+        large = materialize(many_to_one(both, m, "u", "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-edges")
+        ms = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "cc-small")
+        moved = many_to_one(large, ms, "u", "c")
+        small = (moved.select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m")), F.struct(F.col("u").alias("x"), F.col("m")))).alias("s"))
                  .select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
-        e = materialize(small, "cc")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, e = e, materialize(small, "cc")
+        now = e.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(s), "u", "v").cast("decimal(38,0)")) for s in (1, 2)]).first()
+        for old in (before, m, large, ms):
+            discard(old)
         if now == last:
             break
         last = now

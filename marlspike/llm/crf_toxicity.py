@@ -1,23 +1,32 @@
 """Toxic spans by a linear-chain conditional random field (operator 1).
 
-Words (runs of letters) get one of two tags, plain or toxic. Training tokens
-are labelled from documents' labels: a word is toxic in a toxic document if it,
-or its first five bytes, is far commoner in toxic than in other training
-documents; every other word is plain. A chain is a line's stretch of up to
-``CHAIN`` words. Emission weights sit in a hashed table (the word, its first
-four and five and last three bytes, its neighbours); transitions are learned
-with them by stochastic gradient steps on the conditional likelihood.
-
-Scoring runs forward-backward over each chain. A document's score is a logistic
-function, fitted on training documents held back from the field, of its highest
-marginal and its expected number of toxic words; words whose marginal reaches
-one half are the offending spans.
-
-Bounds of the sample: ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled documents.
+Words (runs of letters) get one of two tags, plain or toxic. Documents carry
+labels, words don't, so training words are tagged from the documents' labels: a
+word is toxic in a toxic document if it, or its first five bytes, is far
+commoner in toxic than in other training documents. A first field is fitted to
+these tags; in toxic documents its own marginals then tag words that the counts
+alone were too few to show, and the field is fitted on. A chain is a line,
+however long. Emission weights sit in a hashed table (the word, its first four
+and five and last three bytes, its neighbours); transitions are learned with
+them by stochastic gradient steps on the conditional likelihood of all chains
+of the sample.
+
+Scoring runs forward-backward over each chain, as a scan of 2 x 2 matrices in
+blocks: all chains of a piece of text at once, exact for chains of any length.
+A document's score is a logistic function, fitted on training documents held
+back from the field, of its highest marginal, its expected number of toxic
+words and its length; words whose marginal reaches one half are the offending
+spans.
+
+Bounds of the sample: ``MOST_TOXIC`` and ``MOST_CLEAN`` labelled documents, with
+the bounds on their texts' bytes in ``samples.py``.
 
 Defined cases: null texts and texts without a letter have no words and take the
-score of "no evidence"; without a toxic training document every score is 0;
-repeated rows are scored alike; an empty table gives an empty result.
+score of "no evidence"; a text or line of any length is scored whole; without a
+toxic training document every score is 0; a document labelled twice counts
+twice, equal scores are no ties to break; repeated rows are scored alike; an
+empty table gives an empty result. Only the named columns are read, so extra
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -29,13 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import held_out, small_batches
-from .samples import bounded
+from .samples import labelled_texts
 from .textnum import LETTER, U, Words, pieces, splitmix
 
 TABLE = 1 << 18
-CHAIN = 64
 MOST_TOXIC, MOST_CLEAN = 2500, 4000
 FEATURES = 6
+#: Words a block of the scan.
+STEPS = 32
 _SALT = splitmix(FEATURES, 31)
 
 
@@ -51,87 +61,111 @@ def features(w: Words) -> np.ndarray:
     return np.stack([((x ^ s) * U(0x9E3779B97F4A7C15) >> U(46)).astype(np.int32) for x, s in zip(start, _SALT)], 1)
 
 
-def chains(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(chain, step) of each word: chains end with lines, with documents and after CHAIN words."""
-    m = len(w.start)
-    if not m:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    lines = np.cumsum(w.data == 10)[w.start]
-    new = np.ones(m, bool)
-    new[1:] = (lines[1:] != lines[:-1]) | (w.doc[1:] != w.doc[:-1])
-    first = np.maximum.accumulate(np.where(new, np.arange(m), 0))
-    step = np.arange(m) - first
-    new |= step % CHAIN == 0
-    return np.cumsum(new) - 1, step % CHAIN
-
-
-def _softplus_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.logaddexp(a, b)
-
-
-def forward_backward(score: np.ndarray, chain: np.ndarray, step: np.ndarray, trans: np.ndarray):
-    """Marginals of the toxic tag, expected transitions and their total, for emission scores of the toxic tag.
-
-    ``trans[i, j]``: score of tag j after tag i; row 2 holds the start scores.
+def chain_starts(w: Words) -> np.ndarray:
+    """True for each word that opens a chain: the first of a line or document."""
+    new = np.ones(len(w.start), bool)
+    if len(new):
+        line = np.cumsum(w.data == 10)[w.start]
+        new[1:] = (line[1:] != line[:-1]) | (w.doc[1:] != w.doc[:-1])
+    return new
+
+
+def _times(a, b):
+    """Products of 2 x 2 matrices given as four arrays, scaled so that the largest entry is one."""
+    out = [a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]]
+    top = np.maximum(np.maximum(out[0], out[1]), np.maximum(out[2], out[3]))
+    return [x / top for x in out]
+
+
+def _scan(m: list[np.ndarray], v0: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """Row vectors v_t = v_{t-1} m_t for all t (each scaled to sum one), from ``v0``.
+
+    Products run within blocks, all blocks side by side; the blocks' own products are scanned in the same way."""
+    n = len(m[0])
+    if n <= STEPS:
+        x, y = np.empty(n), np.empty(n)
+        a, b = v0
+        for t in range(n):
+            a, b = a * m[0][t] + b * m[2][t], a * m[1][t] + b * m[3][t]
+            s = a + b
+            a, b = a / s, b / s
+            x[t], y[t] = a, b
+        return x, y
+    blocks = -(-n // STEPS)
+    unit = (1.0, 0.0, 0.0, 1.0)
+    grid = []
+    for x, u in zip(m, unit):
+        full = np.full(blocks * STEPS, u)
+        full[:n] = x
+        grid.append(np.ascontiguousarray(full.reshape(blocks, STEPS).T))
+    run = [[g[0] for g in grid]]
+    for k in range(1, STEPS):
+        run.append(_times(run[-1], [g[k] for g in grid]))
+    ends = run[-1]
+    a, b = _scan([x[:-1] for x in ends], v0) if blocks > 1 else (np.zeros(0), np.zeros(0))
+    a, b = np.concatenate([[v0[0]], a]), np.concatenate([[v0[1]], b])
+    out = np.empty((2, STEPS, blocks))
+    for k, p in enumerate(run):
+        x, y = a * p[0] + b * p[2], a * p[1] + b * p[3]
+        s = x + y
+        out[0, k], out[1, k] = x / s, y / s
+    return out[0].T.ravel()[:n], out[1].T.ravel()[:n]
+
+
+def forward_backward(score: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic tag, and the expected transitions, for emission scores of the toxic tag.
+
+    ``first`` marks the words that open a chain. ``trans[i, j]``: score of tag j
+    after tag i; row 2 holds the start scores. A chain's first matrix has equal
+    rows, so that it forgets the chain before it.
     """
-    n = int(chain[-1]) + 1 if len(chain) else 0
-    length = np.bincount(chain, minlength=n)
-    order = np.argsort(-length, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    t_max = int(length.max()) if n else 0
-    active = [int(np.searchsorted(-length[order], -s, "left")) for s in range(t_max + 1)]  # chains longer than s
-    em = np.zeros((t_max, n))
-    em[step, rank[chain]] = score
-    al = np.zeros((t_max, 2, n))
-    for s in range(t_max):
-        k = active[s]
-        if s == 0:
-            al[0, 0, :k], al[0, 1, :k] = trans[2, 0], trans[2, 1] + em[0, :k]
-        else:
-            p0, p1 = al[s - 1, 0, :k], al[s - 1, 1, :k]
-            al[s, 0, :k] = _softplus_pair(p0 + trans[0, 0], p1 + trans[1, 0])
-            al[s, 1, :k] = _softplus_pair(p0 + trans[0, 1], p1 + trans[1, 1]) + em[s, :k]
-    be = np.zeros((t_max + 1, 2, n))
+    n = len(score)
+    if not n:
+        return np.zeros(0), np.zeros((3, 2))
+    em = np.clip(score, -200, 200)
+    top = np.maximum(em, 0)
+    off, on = np.exp(-top), np.exp(em - top)  # of the two tags, the larger is one
+    e = np.exp(trans - trans.max())
+    m = [np.where(first, e[2, 0], e[0, 0]) * off, np.where(first, e[2, 1], e[0, 1]) * on, np.where(first, e[2, 0], e[1, 0]) * off, np.where(first, e[2, 1], e[1, 1]) * on]
+    a0, a1 = _scan(m)
+    # backward: the same scan of the transposed matrices, from the end
+    back = [x[:0:-1] for x in (m[0], m[2], m[1], m[3])]
+    b0, b1 = _scan(back) if n > 1 else (np.zeros(0), np.zeros(0))
+    b0, b1 = np.concatenate([b0[::-1], [0.5]]), np.concatenate([b1[::-1], [0.5]])
+    total = a0 * b0 + a1 * b1
+    p = a1 * b1 / total
     moves = np.zeros((3, 2))
-    marginal = np.zeros((t_max, n))
-    z = np.zeros(n)
-    for s in range(t_max - 1, -1, -1):
-        k = active[s]
-        more = active[s + 1] if s + 1 <= t_max - 1 else 0
-        if more:
-            n0, n1 = be[s + 1, 0, :more], be[s + 1, 1, :more] + em[s + 1, :more]
-            be[s, 0, :more] = _softplus_pair(trans[0, 0] + n0, trans[0, 1] + n1)
-            be[s, 1, :more] = _softplus_pair(trans[1, 0] + n0, trans[1, 1] + n1)
-        ends = slice(more, k)
-        z[ends] = _softplus_pair(al[s, 0, ends], al[s, 1, ends])
-        marginal[s, :k] = np.exp(al[s, 1, :k] + be[s, 1, :k] - z[:k])
-        if more:
-            for i in (0, 1):
-                for j, nj in ((0, n0), (1, n1)):
-                    moves[i, j] += np.exp(al[s, i, :more] + trans[i, j] + nj - z[:more]).sum()
-    if n:
-        moves[2, 1] = marginal[0].sum()
-        moves[2, 0] = n - moves[2, 1]
-    return marginal[step, rank[chain]], moves
+    inner = np.flatnonzero(~first)
+    if len(inner):
+        before = (a0[inner - 1], a1[inner - 1])
+        pair = [[before[i] * m[2 * i + j][inner] * (b1 if j else b0)[inner] for j in (0, 1)] for i in (0, 1)]
+        whole = pair[0][0] + pair[0][1] + pair[1][0] + pair[1][1]
+        for i in (0, 1):
+            for j in (0, 1):
+                moves[i, j] = (pair[i][j] / whole).sum()
+    moves[2, 1] = p[first].sum()
+    moves[2, 0] = first.sum() - moves[2, 1]
+    return p, moves
+
+
+def gradients(score: np.ndarray, first: np.ndarray, tag: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives of the tags' log-likelihood by the emission scores and by the transitions."""
+    p, moves = forward_backward(score, first, trans)
+    seen = np.zeros((3, 2))
+    inner = ~first[1:]
+    np.add.at(seen, (tag[:-1][inner].astype(int), tag[1:][inner].astype(int)), 1)
+    np.add.at(seen[2], tag[first].astype(int), 1)
+    return tag - p, seen - moves
 
 
 class Field:
     """Weights, transitions and the document-level logistic."""
 
-    def __init__(self, weight: np.ndarray, trans: np.ndarray, logit: np.ndarray):
+    def __init__(self, weight: np.ndarray, trans: np.ndarray, logit: np.ndarray | None):
         self.weight, self.trans, self.logit = weight, trans, logit
 
-    def marginals(self, w: Words, per: int = 2000) -> np.ndarray:
-        score = self.weight[features(w)].sum(1, dtype=np.float64)
-        chain, step = chains(w)
-        out = np.zeros(len(score))
-        if len(score):  # some chains at a time, the matrices being chains x steps
-            cut = np.searchsorted(chain, np.arange(0, chain[-1] + 1 + per, per))
-            for a, b in zip(cut[:-1], cut[1:]):
-                if b > a:
-                    out[a:b] = forward_backward(score[a:b], chain[a:b] - chain[a], step[a:b], self.trans)[0]
-        return out
+    def marginals(self, w: Words) -> np.ndarray:
+        return forward_backward(self.weight[features(w)].sum(1, dtype=np.float64), chain_starts(w), self.trans)[0]
 
     def document_scores(self, w: Words, p: np.ndarray) -> np.ndarray:
         if self.logit is None:
@@ -140,12 +174,11 @@ class Field:
 
 
 def evidence(w: Words, p: np.ndarray) -> np.ndarray:
-    """(documents, 3): one, the log-odds of the highest marginal, log of the expected toxic words (marginals from 0.05)."""
-    high, expected = np.zeros(w.n), np.zeros(w.n)
+    """(documents, 4): one, the log-odds of the highest marginal, logs of the expected toxic words and of all words."""
+    high = np.zeros(w.n)
     np.maximum.at(high, w.doc, p)
-    np.add.at(expected, w.doc, np.where(p >= 0.05, p, 0))
     high = np.clip(high, 1e-4, 1 - 1e-4)
-    return np.stack([np.ones(w.n), np.log(high / (1 - high)) / 4, np.log1p(expected)], 1)
+    return np.stack([np.ones(w.n), np.log(high / (1 - high)) / 4, np.log1p(np.bincount(w.doc, p, minlength=w.n)), np.log1p(w.count) / 4], 1)
 
 
 def _labelled(spans: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -171,62 +204,71 @@ def _parts(texts: pa.Array):
         first += b.num_rows
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, per: int = 400, rate: float = 0.3, seed: int = 5) -> Field:
+class _Fitting:
+    """Stochastic steps over all chains of the training words."""
+
+    def __init__(self, f: np.ndarray, first: np.ndarray, rate: float, seed: int):
+        self.f, self.first, self.rate = f, first, rate
+        self.weight, self.squares = np.zeros(TABLE), np.full(TABLE, 1e-8)
+        self.trans, self.t_squares = np.zeros((3, 2)), np.full((3, 2), 1e-8)
+        self.begin = np.append(np.flatnonzero(first), len(first))
+        self.rng = np.random.default_rng(seed)
+
+    def epoch(self, tag: np.ndarray, words: int) -> None:
+        """One pass, some ``words`` words of whole chains at a step (fewer where that would be under 64 steps)."""
+        n, words = len(self.begin) - 1, min(words, max(len(tag) // 64, 500))
+        order = self.rng.permutation(n)
+        size = np.diff(self.begin)[order]
+        cut = np.searchsorted(np.cumsum(size), np.arange(words, size.sum() + words, words), "right")
+        for batch in np.split(order, np.unique(cut[(cut > 0) & (cut < n)])):
+            size = self.begin[batch + 1] - self.begin[batch]
+            at = np.repeat(self.begin[batch] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            places = self.f[at]
+            gs, gt = gradients(self.weight[places].sum(1), self.first[at], tag[at], self.trans)
+            flat = places.ravel()
+            hit = np.unique(flat)
+            g = np.bincount(flat, np.repeat(gs / len(batch), FEATURES), minlength=TABLE)[hit] - 2e-6 * self.weight[hit]
+            self.squares[hit] += g * g
+            self.weight[hit] += self.rate * g / np.sqrt(self.squares[hit])
+            gt = gt / len(batch)
+            self.t_squares += gt * gt
+            self.trans += self.rate * gt / np.sqrt(self.t_squares)
+
+    def marginals(self, per: int = 1 << 17) -> np.ndarray:
+        out = np.zeros(len(self.first))
+        cut = np.unique(np.append(self.begin[np.searchsorted(self.begin, np.arange(0, len(out), per))], len(out)))
+        for a, b in zip(cut[:-1], cut[1:]):
+            out[a:b] = forward_backward(self.weight[self.f[a:b]].sum(1), self.first[a:b], self.trans)[0]
+        return out
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, words: int = 20_000, rate: float = 0.3, seed: int = 5) -> Field:
     """Fit the field on two thirds of the documents and the logistic on the rest."""
     toxic = toxic.astype(bool)
     if not toxic.any():
         return Field(np.zeros(TABLE), np.zeros((3, 2)), None)
     third = np.arange(len(toxic)) % 3 == 2 if len(toxic) >= 60 else np.zeros(len(toxic), bool)
     learn = texts.filter(pa.array(~third))
-    found, chain0 = [], 0
-    for first, w in _parts(learn):
-        c, s = chains(w)
-        found.append((w.hashes(), w.span_hash(w.start, np.minimum(w.end, w.start + 5)), w.doc + first, features(w), c + chain0, s.astype(np.int32)))
-        chain0 += int(c[-1]) + 1 if len(c) else 0
+    found = [(w.hashes(), w.span_hash(w.start, np.minimum(w.end, w.start + 5)), (w.doc + n).astype(np.int32), features(w), chain_starts(w)) for n, w in _parts(learn) if len(w.start)]
     if not found:
         return Field(np.zeros(TABLE), np.zeros((3, 2)), None)
-    words, heads, doc, f, chain, step = (np.concatenate(x) for x in zip(*found))
+    whole, heads, doc, f, first = (np.concatenate(x) for x in zip(*found))
     del found
-    tag = _labelled([words, heads], doc, toxic[~third])
-    del words, heads, doc
-    weight, squares = np.zeros(TABLE), np.full(TABLE, 1e-6)
-    trans, t_squares = np.zeros((3, 2)), np.full((3, 2), 1e-6)
-    n = int(chain[-1]) + 1 if len(chain) else 0
-    # chains with a toxic word, and as many as four times others, chosen by a fixed rule
-    hot = np.zeros(n, bool)
-    np.logical_or.at(hot, chain, tag)
-    rng = np.random.default_rng(seed)
-    cold = np.flatnonzero(~hot)
-    cold = rng.permutation(cold)[: max(4 * int(hot.sum()), 4000)]
-    use = np.concatenate([np.flatnonzero(hot), cold])
-    first = np.searchsorted(chain, np.arange(n + 1))
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(use), max(1, len(use) // per)):
-            size = first[batch + 1] - first[batch]
-            at = np.repeat(first[batch] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            own = np.repeat(np.arange(len(batch)), size)
-            s, y = step[at] - step[first[batch]][own], tag[at]
-            p, moves = forward_backward(weight[f[at]].sum(1), own, s, trans)
-            grad = (y - p) / len(batch)
-            flat = f[at].ravel()
-            g = np.bincount(flat, np.repeat(grad, FEATURES), minlength=TABLE) - 2e-6 * weight
-            squares += g * g
-            weight += rate * g / np.sqrt(squares)
-            seen = np.zeros((3, 2))
-            inner = own[1:] == own[:-1]
-            np.add.at(seen, (y[:-1][inner].astype(int), y[1:][inner].astype(int)), 1)
-            np.add.at(seen[2], y[s == 0].astype(int), 1)
-            gt = (seen - moves) / len(batch)
-            t_squares += gt * gt
-            trans += rate * gt / np.sqrt(t_squares)
-    field = Field(weight.astype(np.float32), trans, np.zeros(3))
+    tag = _labelled([whole, heads], doc, toxic[~third])
+    del whole, heads
+    steps = _Fitting(f, first, rate, seed)
+    for k in range(epochs):
+        if k == epochs // 2:  # what the field itself has found in toxic documents by now
+            tag |= (steps.marginals() >= 0.5) & toxic[~third][doc]
+        steps.epoch(tag, words)
+    field = Field(steps.weight.astype(np.float32), steps.trans, np.zeros(4))
     rest = texts.filter(pa.array(third)) if third.any() and toxic[third].any() else learn
     y = (toxic[third] if rest is not learn else toxic[~third]).astype(float)
     x = np.concatenate([evidence(w, field.marginals(w)) for _, w in _parts(rest)])
-    b = np.zeros(3)
+    b = np.zeros(4)
     for _ in range(50):  # Newton steps on the ridge-penalised logistic
         q = 1 / (1 + np.exp(-x @ b))
-        h = x.T @ (x * (q * (1 - q))[:, None]) + 1e-2 * np.eye(3)
+        h = x.T @ (x * (q * (1 - q))[:, None]) + 1e-2 * np.eye(4)
         b = b + np.linalg.solve(h, x.T @ (y - q) - 1e-2 * b)
     field.logit = b
     return field
@@ -234,11 +276,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 4, per: int = 400, rat
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", most: tuple[int, int] = (MOST_TOXIC, MOST_CLEAN)) -> Field:
     """Fit on a bounded sample of ``docs`` (training rows only) that ``labels`` marks."""
-    marks = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_l"), F.col(label).cast("int").alias("label"))
-    chosen = bounded(marks, "label", {1: most[0], 0: most[1]}, "_l")
-    marks = docs.sparkSession.createDataFrame(list(zip(chosen["_l"].to_pylist(), chosen["label"].to_pylist())), "_l long, label int")
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), F.col("doc_id") == F.col("_l"))  # at most sum(most) labels
-    table = texts.select("doc_id", "text", "label").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    marks = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
+    table = labelled_texts(docs, marks, "label", {1: most[0], 0: most[1]}, doc_id, text)
     column = table["text"].combine_chunks() if table.num_rows else pa.array([], pa.string())
     return fit(column, table["label"].to_numpy() == 1)
 

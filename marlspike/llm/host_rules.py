@@ -6,10 +6,11 @@ hosts by a beta prior fitted to the hosts themselves (method of moments), and a
 host whose shrunken rate of any rule reaches ``max_rate`` is rejected with all
 its documents.
 
-Defined cases: a null or empty text has no words and fails ``few_words``; a
-null host is a host of its own; repeated rows are judged each by itself; an
-empty table gives an empty result. Only the named columns are read, so extra
-columns can't clash.
+Defined cases: a null or empty text has no words and fails ``few_words``; a text
+of any length is counted whole; a null host is a host of its own; a host whose
+rate ties with ``max_rate`` is rejected; repeated rows are judged each by
+itself; an empty table gives an empty result. Only the named columns are read,
+so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -19,16 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import handle, many_to_one, materialize, small_batches
 from .textnum import Words, pieces
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 WINDOW = 5
-#: Copies of a host's row in the join, so that a hot host's documents spread over as many tasks.
-SALTS = 32
-
-
 
 def rules() -> dict[str, Column]:
     return {
@@ -121,16 +118,15 @@ def host_verdicts(stats: DataFrame, host: str, max_rate: float = 0.5) -> DataFra
 
 
 def judge(docs: DataFrame, host: Column | None = None, doc_id: str = "doc_id", text: str = "text", max_rate: float = 0.5) -> DataFrame:
-    """doc_id, _at (a hash of id and text), the counts, base_failed, host_kept and kept of every document."""
+    """doc_id, _at (a handle), the counts, base_failed, host_kept and kept of every document."""
     host = F.col("source") if host is None else host
-    keep = [F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_at"), F.concat(F.lit("h"), host.cast("string")).alias("_host")]
+    keep = [F.col(doc_id).alias("doc_id"), handle(doc_id, text).alias("_at"), F.concat(F.lit("h"), host.cast("string")).alias("_host")]
     stats = document_counts(docs, text, keep).withColumn("_host", F.coalesce("_host", F.lit("-")))
     stats = materialize(stats, "counts")
     for r, failed in rules().items():
         stats = stats.withColumn(f"fails_{r}", failed)
-    verdicts = host_verdicts(stats, "_host", max_rate).select(F.col("_host").alias("_h"), "host_kept").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = stats.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int"))
-    out = salted.join(verdicts, (F.col("_host") == F.col("_h")) & (F.col("_salt") == F.col("_s")), "left")
+    verdicts = materialize(host_verdicts(stats, "_host", max_rate).select("_host", "n_docs", "host_kept"), "verdicts")
+    out = many_to_one(stats, verdicts, "_host", "n_docs")
     base = F.col("fails_few_words") | F.col("fails_repeats")
     return out.select("doc_id", "_at", *COUNTS, base.alias("base_failed"), F.col("host_kept"), (~base & F.col("host_kept")).alias("kept"))
 

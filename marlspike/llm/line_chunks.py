@@ -2,53 +2,53 @@
 
 A rolling hash over the last ``WINDOW`` line hashes decides by one bit where a
 chunk ends, so boundaries move with the content and not with its place. Two
-complementary chunkings are kept, one ending at set and one at unset bits.
-Where neighbouring bits are equal neither has a whole chunk of several lines
-inside a short run, so each two successive shorter lines that aren't blank also
-are a chunk. A line of ``LONG_LINE`` words or more is a chunk by itself, so any
-repeated run of two lines has a chunk; single shorter lines only extend what
-chunks have found.
+complementary chunkings are kept, one ending at set and one at unset bits, and
+each two successive lines that aren't blank are a chunk too: the ends of a
+repeated run, and runs of two or three lines, need not hold a whole chunk of
+the chunkings. So every line of a repeated run of two lines or more, however
+short the lines, lies in a repeated chunk. A single line repeats as a chunk
+only if it is a paragraph of ``LONG_LINE`` words or more; shorter single lines
+(titles, licenses) are left alone.
 
 Chunks are counted by hash over all documents. Chunks whose hash repeats are
-cut out of their texts and compared byte by byte (grouped by their bytes
-without blank lines); a
-hash that stands for different bytes removes nothing. The first occurrence (by
-doc_id, then place) stays. In a document, adjoining repeated lines form a run;
-a run with a repeated chunk in it and at least ``MIN_WORDS`` words is removed.
-
-Defined cases: a null text stays null; blank lines end no run and start none;
-copies of a whole document lose all their lines and keep an empty text; rows
-repeated with the same doc_id and text are one document and keep the same
-lines; a null doc_id comes after all others; an empty table gives an empty
-result.
+cut out of their texts and grouped by their bytes (without blank lines), so
+that what counts as repeated is equal byte by byte. The first occurrence (by
+doc_id, then place) stays, the lines of all others go.
+
+Defined cases: a null text stays null, an empty one empty; a text of any length
+is one document; blank lines end no run and start none, and go where they stand
+within a chunk; copies of a whole document lose all their repeated lines;
+rows repeated with the same doc_id and text are one document and keep the same
+lines; a null doc_id comes after all others, equal places are ordered by the
+handle; an empty table gives an empty result. Only the named columns are read,
+so extra columns can't clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import handle, many_to_one, materialize, small_batches
 from .textnum import U, Words, mix, pieces
 
 WINDOW = 2
-LONG_LINE = 16
-MIN_WORDS = 50
-#: Lists up to this many chunks are broadcast, longer ones joined by a shuffle.
+LONG_LINE = 50
+#: Lists up to this many chunks or marks (of 8 to 40 bytes each) are broadcast, longer ones joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-_CHUNK = "h long, start int, n int, strong boolean"
 
 
-def chunk_batch(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(document, hash, first line, lines, strong) of every chunk, ordered by document."""
+def chunk_batch(texts: pa.Array, long_line: int = LONG_LINE) -> tuple[np.ndarray, ...]:
+    """(document, hash, first line, lines) of every chunk, ordered by document."""
     w = Words(texts)
     ends = np.flatnonzero(w.data == 10)
     full = np.flatnonzero(np.diff(w.offsets))
-    stop = np.sort(np.concatenate([ends, w.offsets[full + 1]]))
-    # a text that ends with a line end has an empty last line, which starts and stops at the text's end
-    doc = np.searchsorted(w.offsets, stop, "left") - 1
+    # a line stops at its line end or with its text; one that ends with a line end has an empty last line
+    stop, doc = np.concatenate([ends, w.offsets[full + 1]]), np.concatenate([np.searchsorted(w.offsets, ends, "right") - 1, full])
+    order = np.lexsort((stop, doc))
+    stop, doc = stop[order], doc[order]
     is_last = np.zeros(len(stop), bool)
     if len(stop):
         is_last[:-1] = doc[1:] != doc[:-1]
@@ -66,13 +66,14 @@ def chunk_batch(texts: pa.Array) -> tuple[np.ndarray, ...]:
             prev[back:] = h[: len(h) - back]
             roll += np.where(line >= back, prev, U(0)) * U(2 * back + 1)
         bit = (mix(roll) >> U(17)) & U(1)
-    out = [(doc[k], mix(h[k] + U(9)), line[k], np.ones(len(k), np.int64), words[k] >= LONG_LINE) for k in [np.flatnonzero(words > 0)]]
+    alone = np.flatnonzero(words >= long_line)
+    out = [(doc[alone], mix(h[alone] + U(9)), line[alone], np.ones(len(alone), np.int64))]
     filled = np.flatnonzero(words > 0)
-    two = np.flatnonzero((doc[filled[:-1]] == doc[filled[1:]]) & (np.maximum(words[filled[:-1]], words[filled[1:]]) < LONG_LINE))
+    two = np.flatnonzero(doc[filled[:-1]] == doc[filled[1:]])
     p, q = filled[two], filled[two + 1]
     with np.errstate(over="ignore"):
         key = mix((mix(h[p] + mix(U(21))) + mix(h[q] + mix(U(22)))) ^ mix(U(2)))
-    out.append((doc[p], key, line[p], q - p + 1, np.ones(len(p), bool)))
+    out.append((doc[p], key, line[p], q - p + 1))
     for family in (0, 1):
         cut = np.flatnonzero((bit == U(family)) | is_last)
         start = np.concatenate([[0], cut[:-1] + 1]) if len(cut) else cut
@@ -84,10 +85,8 @@ def chunk_batch(texts: pa.Array) -> tuple[np.ndarray, ...]:
             with np.errstate(over="ignore"):
                 total = np.add.reduceat(mix(h + mix(place + U(21))), start)
                 key = mix(total ^ mix(n.astype(U)))
-            not_blank = np.add.reduceat((words > 0).astype(np.int64), start)
-            long = (n >= 2) & (not_blank > 0) & ~((n == 2) & (not_blank == 2))  # two lines are a chunk already, or have a long one
-            k = np.flatnonzero(long)
-            out.append((doc[cut][k], key[k], line[start][k], n[k], np.ones(len(k), bool)))
+            k = np.flatnonzero(np.add.reduceat((words > 0).astype(np.int64), start) > 2)  # two lines are a chunk already
+            out.append((doc[cut][k], key[k], line[start][k], n[k]))
     cols = [np.concatenate(c) for c in zip(*out)]
     order = np.argsort(cols[0], kind="stable")
     return tuple(c[order] for c in cols)
@@ -97,71 +96,86 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_at"), F.col("start"))
+
+
 def _cut_lines(text: str, marks: list[dict]) -> tuple[str, int]:
-    """The text without its removed runs, and their lines."""
+    """The text without the marked lines, and how many these are."""
     lines = text.split("\n")
-    state = [0] * len(lines)
-    for m in marks:
-        for i in range(m["start"], m["start"] + m["n"]):
-            state[i] = max(state[i], 2 if m["strong"] else 1)
-    words = [len(x.encode().split()) for x in lines]
-    follows = [len(lines)] * len(lines)  # the next line that isn't blank
-    for i in range(len(lines) - 2, -1, -1):
-        follows[i] = i + 1 if words[i + 1] else follows[i + 1]
-    drop, i = set(), 0
-    while i < len(lines):
-        if not state[i]:
-            i += 1
-            continue
-        j = i
-        while j < len(lines) and (state[j] or (not words[j] and follows[j] < len(lines) and state[follows[j]])):
-            j += 1
-        if 2 in state[i:j] and sum(words[i:j]) >= MIN_WORDS:
-            drop.update(range(i, j))
-        i = j
-    return "\n".join(x for i, x in enumerate(lines) if i not in drop), len(drop)
+    gone = {i for m in marks for i in range(m["start"], m["start"] + m["n"])}
+    return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_removed and the remaining text of every document."""
+def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, _at, h, start, n) of every chunk of every document (a written table)."""
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_at"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), handle(doc_id, text).alias("_at"))
 
     def split(batches):
         for b in pieces(batches):
-            doc, *cols = chunk_batch(b.column(1))
+            doc, h, start, n = chunk_batch(b.column(1))
             off = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            h, start, n, strong = cols
-            structs = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(strong)], names=["h", "start", "n", "strong"])
+            structs = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "start", "n"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(off, pa.int32()), structs)], names=["doc_id", "_at", "chunks"])
 
-    split_docs = materialize(base.mapInArrow(split, f"doc_id long, _at long, chunks array<struct<{_CHUNK.replace(' long', ':long').replace(' int', ':int').replace(' boolean', ':boolean')}>>"), "chunks")
-    every = split_docs.select("doc_id", "_at", F.explode("chunks").alias("c")).select("doc_id", "_at", "c.*")
-    where = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("_at"), F.col("start"))
-    repeated = materialize(every.groupBy("h").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo <> hi or lo.z and lo._at <> hi._at").select("h"), "repeated")
-    n_repeated = repeated.count()
-    found = materialize(every.join(_small(repeated, n_repeated), "h", "left_semi").distinct(), "found")
-    n_found = found.count()
+    found = base.mapInArrow(split, "doc_id long, _at struct<a:long,b:long>, chunks array<struct<h:long,start:int,n:int>>")
+    return materialize(found.where(F.size("chunks") > 0), "chunks").select("doc_id", "_at", F.explode("chunks").alias("c")).select("doc_id", "_at", "c.*")
 
-    listed = found.groupBy("_at").agg(F.collect_list(F.struct("h", "start", "n", "strong")).alias("marks"))  # a document's own chunks
-    texts = base.select("_at", "doc_id", "text").join(_small(listed, n_found), "_at")
 
-    def bodies(batches):
+def _bodies(texts: DataFrame) -> DataFrame:
+    """(doc_id, _at, h, start, n, body) of the ``marks`` of rows with their texts; a body has no blank lines."""
+
+    def run(batches):
         for b in pieces(batches):
-            out: list[tuple] = []
-            for at, name, body, marks in zip(*(b.column(c).to_pylist() for c in ("_at", "doc_id", "text", "marks"))):
+            row, out = [], []
+            for i, (body, marks) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 lines = body.encode().split(b"\n")
-                out += [(name, at, m["h"], m["start"], b"\n".join(x for x in lines[m["start"] : m["start"] + m["n"]] if x.split())) for m in marks]
+                row += [i] * len(marks)
+                out += [(m["h"], m["start"], m["n"], b"\n".join(x for x in lines[m["start"] : m["start"] + m["n"]] if x.split())) for m in marks]
             for s in range(0, len(out), 20_000):
-                cols = list(zip(*out[s : s + 20_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "_at", "h", "start", "body"])
-
-    cut = texts.select("_at", "doc_id", "text", "marks").mapInArrow(bodies, "doc_id long, _at long, h long, start int, body binary")
-    alike = cut.groupBy("h", "body").agg(F.min(where).alias("origin"))
-    verified = materialize(alike.groupBy("h").agg(F.count(F.lit(1)).alias("n_bodies"), F.min("origin").alias("origin")).where("n_bodies = 1").select("h", "origin"), "verified")
-    again = found.join(_small(verified, n_repeated), "h").where(~(where["_at"] == F.col("origin._at")) | (F.col("start") != F.col("origin.start")))
-    marks = materialize(again.groupBy("_at").agg(F.collect_list(F.struct("start", "n", "strong")).alias("marks")), "marks")
-    rows = base.join(_small(marks, n_found), "_at", "left").select("doc_id", "text", "marks")
+                own = pa.array(row[s : s + 20_000])
+                cols = [pa.array(c, t) for c, t in zip(zip(*out[s : s + 20_000]), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), *cols], names=["doc_id", "_at", "h", "start", "n", "body"])
+
+    return texts.select("doc_id", "_at", "text", "marks").mapInArrow(run, "doc_id long, _at struct<a:long,b:long>, h long, start int, n int, body binary")
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(_at, start, n) of every chunk, equal byte by byte to one before it (a written table)."""
+    every = chunks(docs, doc_id, text)
+    repeated = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated")
+    n_repeated = repeated.count()
+    if n_repeated <= BROADCAST_ROWS:
+        found = every.join(F.broadcast(repeated.select("h")), "h", "left_semi")
+    else:
+        found = many_to_one(every, repeated, "h", "c")
+    found = materialize(found.distinct(), "found")
+    n_found = found.count()
+    listed = found.groupBy("_at").agg(F.collect_list(F.struct("h", "start", "n")).alias("marks"))  # a document's own chunks
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), handle(doc_id, text).alias("_at"))
+    cut = _bodies(base.join(_small(listed, n_found), "_at"))
+    digest = F.struct(F.xxhash64("body").alias("a"), F.xxhash64(F.lit("body"), "body").alias("b"))  # names a body that was compared
+    alike = materialize(cut.groupBy("h", "body").agg(F.min(_place()).alias("origin")).select("h", digest.alias("body"), "origin"), "alike")
+    by_hash = alike.groupBy("h").agg(F.count(F.lit(1)).alias("bodies"), F.min("origin").alias("origin"))
+    one = materialize(by_hash.where("bodies = 1").select("h", "origin").join(repeated, "h"), "one-body")
+    again = many_to_one(found, one, "h", "c")
+    later = (F.col("_at") != F.col("origin._at")) | (F.col("start") != F.col("origin.start"))
+    out = again.where(later).select("_at", "start", "n")
+    several = by_hash.where("bodies > 1").select("h")
+    if several.limit(1).count():  # a hash of unlike chunks: each occurrence goes by its own body
+        own = _bodies(base.join(found.join(several, "h").groupBy("_at").agg(F.collect_list(F.struct("h", "start", "n")).alias("marks")), "_at"))
+        own = own.withColumn("body", digest).join(alike, ["h", "body"]).where(later)
+        out = out.unionByName(own.select("_at", "start", "n"))
+    return materialize(out, "repeats")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_lines, n_removed and the remaining text of every document."""
+    again = repeats(docs, doc_id, text)
+    marks = again.groupBy("_at").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), handle(doc_id, text).alias("_at"))
+    rows = base.join(_small(marks, again.count()), "_at", "left").select("doc_id", "text", "marks")
 
     def remove(batches):
         for b in pieces(batches):

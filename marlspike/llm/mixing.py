@@ -1,87 +1,132 @@
 """Mixing sources to target weights by systematic sampling (operator 7).
 
-Each document expects target / source size copies. Within a source, documents
-stand in the order of their sizes; their expected copies are summed up, one
-random offset per source is added, and a document is emitted once for every
-whole number that its stretch crosses. So a source's copies differ from the
-expectation by less than one at every point of the order, and its words by less
-than one longest document.
+A document's expected copies are its source's target over its source's size.
+Within a source documents stand in the order of their sizes, the largest first.
+The ``HEAD`` largest are few and long, so each of them would alone move the
+source's words away from its target: their expected copies are rounded one
+after another, each carrying on what the ones before left over. The others then
+share what is left of the target and expect equally many copies each. Expected
+copies are summed up, one random offset per source is added, and a document is
+emitted once for every whole number that its stretch crosses. So the words
+taken differ from the target by less than the longest document after the
+``HEAD`` largest, where documents beyond the rounded ones are there at all.
 
 Copies are counted in whole units of 1e-8, so sums are exact in any order.
 
-Defined cases: a null text has size 0; null is a source of its own, placed
-last; a source without words has target 0 and takes nothing; rows that are
-repeated are documents of their own; an empty table gives an empty result.
+Defined cases: a null text has size 0; a text of any length is one document;
+null is a source of its own, placed last; a source without words has target 0
+and takes nothing; documents of equal size are ordered by doc_id, nulls last,
+and handle; rows that are repeated are documents of their own; an empty table
+gives an empty result. Only the named columns are read, so extra columns can't
+clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, prefix_sum, range_sorted
+from .common import WORD, handle, many_to_one, materialize, prefix_sum, range_sorted
 
 UNITS = 100_000_000
 CAP = 3.0
+#: So many of a source's largest documents have their copies rounded one after another (an array of as many pairs).
+HEAD = 1024
 
 
 def targets(sizes: DataFrame, cap: float = CAP, cycle: int = 3) -> DataFrame:
-    """(_source, source_size, target) for ``sizes(_source, size)``.
+    """(_source, source_size, n_docs, target) for ``sizes(_source, size)``; a written table.
 
     Sources in code-point order, null last, weigh 1..cycle, repeating. The
     shared level is found in closed form: with sources ordered by the level at
     which they fill up, the first k full ones leave (all - their caps) to the
-    others' weights. Windows run over sources, not documents.
+    others' weights. Ranks and sums run over ranges of sources, however many
+    sources there are.
     """
-    per = sizes.groupBy("_source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("_source").asc_nulls_last())
-    per = per.withColumn("weight", (F.row_number().over(order) - 1) % cycle + 1)
-    per = per.withColumn("_cap", cap * F.col("source_size")).withColumn("_full", F.col("_cap") / F.col("weight"))
-    by_level = Window.orderBy("_full", F.col("_source").asc_nulls_last())
-    past = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    rest = by_level.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("_level", (F.sum("source_size").over(everything) - F.coalesce(F.sum("_cap").over(past), F.lit(0.0))) / F.sum("weight").over(rest))
-    per = per.withColumn("_nth", F.row_number().over(by_level))
-    first = F.min(F.when(F.col("_full") >= F.col("_level"), F.struct("_nth", "_level"))).over(everything)
-    per = per.withColumn("_lambda", first["_level"])
-    return per.select("_source", "source_size", F.least(F.col("_cap"), F.coalesce(F.col("_lambda"), F.lit(0.0)) * F.col("weight")).alias("target"))
-
-
-def offset_units(source, seed: str):
+    per = sizes.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    order = [F.col("_source").asc_nulls_last()]
+    per = prefix_sum(range_sorted(per, order, "sources"), [], order, F.lit(1).cast("long"), "_nth").drop("_pid")
+    per = per.withColumn("weight", ((F.col("_nth") - 1) % cycle + 1).cast("long")).withColumn("_cap", F.floor(cap * F.col("source_size")).cast("long"))
+    order = [F.col("_full"), F.col("_source").asc_nulls_last()]
+    levels = range_sorted(per.withColumn("_full", F.col("_cap") / F.col("weight")), order, "levels")
+    levels = prefix_sum(levels, [], order, F.col("_cap"), "_caps")
+    levels = materialize(prefix_sum(levels, [], order, F.col("weight"), "_weights"), "filled")
+    every = levels.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (F.lit(every["size"] or 0) - (F.col("_caps") - F.col("_cap"))) / (F.lit(every["weight"] or 0) - (F.col("_weights") - F.col("weight")))
+    first = levels.withColumn("_level", level).where("_full >= _level").agg(F.min(F.struct("_full", "_weights", "_level")).alias("x")).select("x._level").first()
+    shared = F.lit(float(first[0]) if first and first[0] is not None else 0.0)
+    return materialize(levels.select("_source", "source_size", "n_docs", F.least(F.col("_cap").cast("double"), shared * F.col("weight")).alias("target")), "targets")
+
+
+def offset_units(source: Column, seed: str) -> Column:
     """One offset per source, uniform over 2^20 steps of [0, 1), in units; the md5 of seed and source gives it."""
     digits = F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(source, F.lit("-"))).cast("binary")), 1, 5)
     return F.floor(F.conv(digits, 16, 10).cast("long") * UNITS / 1048576).cast("long")
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "7", cap: float = CAP) -> DataFrame:
-    """doc_id, _at (a hash of id and text), source, size, source_size, target, copies and taken of every document."""
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), F.col(text)).alias("_at"), F.col(source).alias("_source"), size.alias("size"))
-    order = [F.col("size").asc(), F.col("doc_id").asc_nulls_first(), F.col("_at").asc()]
-    ranged = range_sorted(sizes, [F.col("_source").asc_nulls_last(), *order], "sizes")
-    goal = targets(ranged, cap).withColumn("_expect", F.coalesce(F.round(F.try_divide(F.col("target"), F.col("source_size")) * UNITS).cast("long"), F.lit(0)))
-    goal = materialize(goal.withColumn("_offset", offset_units(F.col("_source"), seed)).withColumnRenamed("_source", "_src"), "targets")
-    summed = prefix_sum(ranged, ["_source"], order, F.lit(1).cast("long"), "_rank")
-    rows = _with_targets(summed, goal)
-    rows = rows.withColumn("copies", (F.expr(f"(_rank * _expect + _offset) div {UNITS}") - F.expr(f"((_rank - 1) * _expect + _offset) div {UNITS}")).cast("long"))
-    return rows.select("doc_id", "_at", F.col("_source").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+def rounded(head: DataFrame, cap: float = CAP) -> DataFrame:
+    """(_source, _head_copies, _head_taken, _head_size) from ``head(_source, _rank, size, target, source_size)``: whole copies of the largest documents.
+
+    Each takes the number of copies nearest to what is wanted of the documents so far and was not taken yet."""
+    place = F.array_sort(F.collect_list(F.struct("_rank", "size")))
+    rows = head.groupBy("_source", "source_size", "target").agg(place.alias("docs"))
+    expect = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
+    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("copies"))
 
+    def step(acc: Column, d: Column) -> Column:
+        size = acc["size"] + d["size"]
+        wanted = F.coalesce(expect, F.lit(0.0)) * size - acc["taken"]
+        copies = F.when(d["size"] > 0, F.least(F.greatest(F.floor(wanted / d["size"] + 0.5), F.lit(0)), F.lit(int(cap)))).otherwise(F.lit(0)).cast("long")
+        return F.struct(size.alias("size"), (acc["taken"] + copies * d["size"]).alias("taken"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
 
-def _with_targets(rows: DataFrame, goal: DataFrame, salts: int = 32) -> DataFrame:
-    """Every row with its source's target; a source's row is copied ``salts`` times so that a hot source spreads."""
-    goal = goal.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "_rank"), F.lit(salts)).cast("int"))
-    return rows.join(goal, (F.col("_salt") == F.col("_s")) & F.col("_source").eqNullSafe(F.col("_src")), "left")
+    done = rows.withColumn("_x", F.aggregate("docs", start, step))
+    return done.select("_source", F.col("_x.copies").alias("_head_copies"), F.col("_x.taken").alias("_head_taken"), F.col("_x.size").alias("_head_size"))
 
 
-def oracle(seed: str = "7", cap: float = CAP, cycle: int = 3) -> str:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "7", cap: float = CAP, head: int = HEAD) -> DataFrame:
+    """doc_id, _at (a handle), source, size, source_size, target, copies and taken of every document."""
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    # counted once: the range sampler below reads the written sizes, not the texts
+    sizes = materialize(docs.select(F.col(doc_id).alias("doc_id"), handle(doc_id, text).alias("_at"), F.col(source).alias("_source"), size.alias("size")), "sizes")
+    order = [F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("_at").asc()]
+    ranged = range_sorted(sizes, [F.col("_source").asc_nulls_last(), *order], "sizes")
+    ranked = materialize(prefix_sum(ranged, ["_source"], order, F.lit(1).cast("long"), "_rank").drop("_pid"), "ranked")
+    goal = targets(sizes, cap).withColumnRenamed("_source", "_src").withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_src"), F.lit("-")))
+    keyed = ranked.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("-")))
+    few = goal.withColumn("_in_head", F.least("n_docs", F.lit(head)))
+    first = many_to_one(keyed.where(F.col("_rank") <= head), materialize(few.drop("n_docs", "_src"), "head"), "_key", "_in_head")
+    made = rounded(first, cap).withColumn("_k", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("-"))).drop("_source")
+    goal = goal.join(made, F.col("_key") == F.col("_k"), "left").drop("_k")
+    left, rest = F.col("target") - F.col("_head_taken"), F.col("source_size") - F.col("_head_size")
+    expect = F.least(F.greatest(F.round(F.try_divide(left, rest.cast("double")) * UNITS), F.lit(0.0)), F.lit(cap * UNITS)).cast("long")
+    goal = goal.withColumn("_expect", F.coalesce(expect, F.lit(0).cast("long"))).withColumn("_offset", offset_units(F.col("_src"), seed))
+    goal = materialize(goal.select("_key", "source_size", "n_docs", "target", "_head_copies", "_expect", "_offset"), "goal")
+    rows = many_to_one(keyed, goal, "_key", "n_docs")
+    rows = rows.withColumn("_r", F.col("_rank") - head)
+    tail = _upto("_r") - _upto("_r - 1")
+    copies = F.when(F.col("_rank") <= head, F.get("_head_copies", (F.col("_rank") - 1).cast("int"))).otherwise(tail).cast("long")
+    return rows.withColumn("copies", copies).select("doc_id", "_at", F.col("_source").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _upto(rank: str) -> Column:
+    """Whole numbers below or at rank * _expect + _offset units, in parts that no count of rows overflows."""
+    high, low = f"_expect div {UNITS}", f"_expect % {UNITS}"
+    return F.expr(f"({rank}) * ({high}) + (({rank}) div {UNITS}) * ({low}) + (((({rank}) % {UNITS}) * ({low}) + _offset) div {UNITS})")
+
+
+def oracle(seed: str = "7", cap: float = CAP, cycle: int = 3, head: int = HEAD) -> str:
     """The same mix by plain SQL."""
-    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {cycle} + 1 AS weight FROM d GROUP BY source),
-full0 AS (SELECT *, {cap}::DOUBLE * source_size AS cap, {cap}::DOUBLE * source_size / weight AS fills FROM per),
+full0 AS (SELECT *, floor({cap}::DOUBLE * source_size) AS cap, floor({cap}::DOUBLE * source_size) / weight AS fills FROM per),
 levels AS (SELECT *, row_number() OVER w AS nth, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fills, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fills, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM full0 WINDOW w AS (ORDER BY fills, source NULLS LAST)),
-goal AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, nth) FROM levels WHERE fills >= level), 0) * weight) AS target FROM levels),
-units AS (SELECT *, coalesce(round(target / CASE WHEN source_size > 0 THEN source_size END * {UNITS})::BIGINT, 0) AS expect, floor(('0x' || substr(md5('{seed}|' || coalesce(source, '-')), 1, 5))::BIGINT * {UNITS}::DOUBLE / 1048576)::BIGINT AS start FROM goal),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) AS r FROM d)
-SELECT doc_id, size, source_size, target, size * ((r * expect + start) // {UNITS} - ((r - 1) * expect + start) // {UNITS}) AS taken FROM ranked JOIN units ON ranked.source IS NOT DISTINCT FROM units.source"""
+goal AS MATERIALIZED (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, nth) FROM levels WHERE fills >= level), 0) * weight) AS target FROM levels),
+ranked AS MATERIALIZED (SELECT d.*, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id NULLS LAST) AS r FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source),
+h AS (SELECT source, source_size, target, 0::BIGINT AS r, 0::BIGINT AS sized, 0::BIGINT AS taken, 0::BIGINT AS copies FROM goal
+ UNION ALL SELECT x.source, x.source_size, x.target, x.r, x.sized, x.taken + x.copies * x.size, x.copies FROM (SELECT k.source, k.source_size, k.target, k.r, k.size, h.sized + k.size AS sized, h.taken,
+  CASE WHEN k.size > 0 THEN least(greatest(floor((coalesce(k.target / CASE WHEN k.source_size > 0 THEN k.source_size END, 0) * (h.sized + k.size) - h.taken) / k.size + 0.5), 0), {int(cap)}) ELSE 0 END::BIGINT AS copies
+  FROM h JOIN ranked k ON k.source IS NOT DISTINCT FROM h.source AND k.r = h.r + 1 WHERE h.r < {head}) x),
+ends AS (SELECT source, arg_max(sized, r) AS sized, arg_max(taken, r) AS taken FROM h GROUP BY source),
+units AS (SELECT g.source, coalesce(least(greatest(round((g.target - e.taken) / CASE WHEN g.source_size > e.sized THEN (g.source_size - e.sized)::DOUBLE END * {UNITS}), 0), {cap} * {UNITS})::BIGINT, 0) AS expect, floor(('0x' || substr(md5('{seed}|' || coalesce(g.source, '-')), 1, 5))::BIGINT * {UNITS}::DOUBLE / 1048576)::BIGINT AS start FROM goal g JOIN ends e ON g.source IS NOT DISTINCT FROM e.source)
+SELECT k.doc_id, k.size, k.source_size, k.target, k.size * CASE WHEN k.r <= {head} THEN h.copies ELSE ((k.r - {head})::HUGEINT * expect + start) // {UNITS} - ((k.r - {head} - 1)::HUGEINT * expect + start) // {UNITS} END::BIGINT AS taken
+FROM ranked k JOIN units u ON k.source IS NOT DISTINCT FROM u.source LEFT JOIN h ON h.source IS NOT DISTINCT FROM k.source AND h.r = k.r"""

@@ -10,11 +10,15 @@ letters, digits and other characters, runs folded), plus one weight for the
 step that each of a few ratios falls in (words, symbols, capitals, repeated
 words, repeated lines).
 
-Fitted on a bounded sample: ``MOST_DOCS`` rated documents of each grade.
-
-Defined cases: null and empty texts have only the step features; without rated
-training rows the expected grade is null and kept is true; repeated rows are
-scored alike; an empty table gives an empty result.
+Fitted on a bounded sample: ``MOST_DOCS`` rated documents of each grade, with
+the bounds on their texts' bytes in ``samples.py``.
+
+Defined cases: null and empty texts have only the step features; a text of any
+length is scored whole; without rated training rows the expected grade is null
+and kept is true; equal probabilities are no ties to break, each row has its
+own; a document rated twice counts twice; repeated rows are scored alike; an
+empty table gives an empty result. Only the named columns are read, so extra
+columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
-from .samples import bounded
+from .samples import labelled_texts
 from .textnum import U, Words, mix, pieces
 
 TABLE = 1 << 18
@@ -137,13 +141,8 @@ class Ordinal:
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, text: str = "text", doc_id: str = "doc_id", most: int = MOST_DOCS) -> Ordinal | None:
     """Fit on a bounded sample of ``docs`` (training rows only) with ``ratings(doc_id, grade)``."""
-    rated = ratings.where("grade is not null").select(F.col("doc_id").alias("_l"), F.col("grade").cast("int").alias("grade"))
-    chosen = bounded(rated, "grade", most, "_l")
-    if not chosen.num_rows:
-        return None
-    rated = docs.sparkSession.createDataFrame(list(zip(chosen["_l"].to_pylist(), chosen["grade"].to_pylist())), "_l long, grade int")
-    table = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(rated), F.col("doc_id") == F.col("_l"))  # at most grades * most rows
-    table = table.select("doc_id", "text", "grade").toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("grade", "ascending")])
+    rated = ratings.where("grade is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
+    table = labelled_texts(docs, rated, "grade", most, doc_id, text)
     if not table.num_rows:
         return None
     return Ordinal.fit(table["text"].combine_chunks(), table["grade"].to_numpy().astype(np.int64), grades)

@@ -1,24 +1,30 @@
 """Language identification by prediction by partial matching (operator 3).
 
-For every language a tree of byte contexts of up to three bytes is counted on a
-bounded sample of labelled texts and then frozen. The probability of a byte in
-a context mixes orders by escapes (method C): a byte seen in the context gets
-n / (total + distinct), the others share distinct / (total + distinct) in
-proportion to the next lower order, bytes already seen excluded. A text's code
-length under a language is the exact sum of -log2 of its bytes' probabilities;
-the shortest wins, and the score is its share of 2^-length over all languages.
+For every language a tree of byte contexts is counted on a bounded sample of
+labelled texts and then frozen. A context is the bytes before a byte, as many
+as the tree knows of, up to ``ORDER``. In a context (method C) a byte seen
+there gets n / (total + distinct); the others share distinct / (total +
+distinct) in proportion to the next shorter context, bytes already seen
+excluded; below the empty context all 256 bytes are alike. A text's code length
+under a language is the exact sum of -log2 of its bytes' probabilities; the
+shortest wins, and the score is its share of 2^-length over all languages.
 
-Bytes are folded before coding: ASCII letters to lower case, white space to a
-space, digits to 0; bytes outside the ``SYMBOLS`` - 1 most frequent share one
-symbol. Each tree is compiled into a table of code lengths, so scoring is one
-lookup per byte and language.
+The languages' trees are kept as one, whose nodes hold each language's code
+length, so a byte is sought once for all languages: the node of its longest
+known context and itself, or, where no language saw it there, that context's
+escape and the next shorter one. Contexts of one byte and none are plain
+tables, longer ones an open-addressing table of exact 64-bit keys.
 
-Bound of the sample: ``MOST_DOCS`` whole texts a language.
+Bounds: ``MOST_DOCS`` whole texts and ``MOST_SAMPLE`` bytes a language, and
+``MOST_TOTAL`` bytes of all, are learned from; ``MOST_NODES`` nodes and
+``MOST_LENGTHS`` code lengths (nodes times languages) are kept, the rarest of
+the deepest order go first.
 
 Defined cases: null texts and texts without a letter give ``und`` and score 0;
-if nothing can be learned from, all do; ties go to the language that is first
-by code point; repeated rows are scored alike; an empty table gives an empty
-result.
+a text of any length is coded whole; if nothing can be learned from, all texts
+are ``und``; ties go to the language that is first by code point; repeated rows
+are scored alike; an empty table gives an empty result. Only the named columns
+are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -31,22 +37,12 @@ from pyspark.sql import functions as F
 
 from .common import held_out, small_batches
 from .samples import bounded
-from .textnum import pieces
+from .textnum import U, pieces
 
-SYMBOLS = 40
-ORDER = 3
-MOST_DOCS = 4000
-
-
-def _fold() -> np.ndarray:
-    f = np.arange(256, dtype=np.uint8)
-    f[65:91] += 32
-    f[48:58] = 48
-    f[[9, 10, 11, 12, 13]] = 32
-    return f
-
-
-FOLD = _fold()
+ORDER = 4
+MOST_DOCS, MOST_SAMPLE, MOST_TOTAL = 4000, 4 << 20, 24 << 20
+MOST_NODES, MOST_LENGTHS = 1 << 19, 1 << 23
+_SPREAD = U(0x9E3779B97F4A7C15)
 
 
 def _column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -57,79 +53,189 @@ def _column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+def _keys(data: np.ndarray) -> np.ndarray:
+    """For each byte the ``ORDER`` bytes before it and itself, as one number; its low k + 1 bytes are the key of order k."""
+    key = data.astype(U)
+    for back in range(1, ORDER + 1):
+        key[back:] |= data[:-back].astype(U) << U(8 * back)
+    return key
+
+
+def _depth(off: np.ndarray) -> np.ndarray:
+    """How many bytes of its own text stand before each byte, up to ``ORDER``."""
+    size = np.diff(off)
+    return np.minimum(np.arange(off[-1]) - np.repeat(off[:-1], size), ORDER).astype(np.int8)
+
+
+def _low(order: int) -> np.uint64:
+    return U((1 << (8 * (order + 1))) - 1)
+
+
+class _Index:
+    """Open addressing from exact keys to 0, 1, 2, ..."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(int(2 * len(keys)).bit_length(), 4)
+        self.shift = U(64 - bits)
+        self.key, self.row = np.zeros(1 << bits, U), np.full(1 << bits, -1, np.int32)
+        todo = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(todo):
+            free = todo[self.row[slot[todo]] < 0]
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.row[slot[first]] = first
+            self.key[slot[first]] = keys[first]
+            todo = np.setdiff1d(todo, first, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) & (len(self.row) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys ^ (keys >> U(29))) * _SPREAD >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' numbers, -1 where unknown."""
+        slot = self._slot(keys)
+        out = self.row[slot]
+        todo = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.row) - 1)
+            out[todo] = self.row[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.key[slot[todo]] != keys[todo])]
+        return out
+
+
 class PPM:
-    """Frozen code-length tables: ``bits[l]`` of each (context, symbol) index, for ``langs[l]``."""
+    """Frozen code lengths of all languages: ``short`` for contexts of none and one byte, ``nodes`` and ``escapes`` by longer context."""
 
-    def __init__(self, langs: list[str], symbol: np.ndarray, bits: list[np.ndarray]):
-        self.langs, self.symbol, self.bits = langs, symbol, bits
+    def __init__(self, langs: list[str], short: np.ndarray, nodes: list, escapes: list):
+        self.langs, self.short, self.nodes, self.escapes = langs, short, nodes, escapes
 
     @classmethod
-    def fit(cls, samples: dict[str, pa.Array]) -> PPM:
+    def fit(cls, samples: dict[str, pa.Array], most_nodes: int = MOST_NODES) -> PPM:
         langs = sorted(samples, key=lambda s: s.encode())
-        folded = {x: _column_bytes(samples[x]) for x in langs}
-        seen = sum((np.bincount(FOLD[d], minlength=256) for d, _ in folded.values()), np.zeros(256, np.int64))
-        symbol = np.zeros(256, np.int64)
-        top = [b for b in np.argsort(-seen, kind="stable")[: SYMBOLS - 1] if seen[b]]
-        code = np.zeros(256, np.int64)
-        code[top] = np.arange(1, len(top) + 1)
-        symbol[:] = code[FOLD]
-        model = cls(langs, symbol, [])
-        for x in langs:
-            data, off = folded[x]
-            counts = np.zeros(SYMBOLS ** (ORDER + 1))
-            for s in range(0, len(off) - 1, 512):  # some texts at a time
-                o = off[s : s + 513]
-                counts += np.bincount(model.index(data[o[0] : o[-1]], o - o[0]), minlength=len(counts))
-            model.bits.append(_code_lengths(counts))
-        return model
-
-    def index(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        """Each byte's place in the tables: its symbol after its three predecessors (spaces before the text)."""
-        s = self.symbol[data]
-        blank = self.symbol[32]
-        out = s.copy()
-        for back in range(1, ORDER + 1):
-            prev = np.full(len(s), blank)
-            prev[back:] = s[: max(len(s) - back, 0)]
-            for j in range(back):  # the first bytes of each text see no other text
-                at = off[:-1] + j
-                prev[at[at < off[1:]]] = blank
-            out += prev * SYMBOLS**back
-        return out
+        if not langs:
+            return cls([], np.zeros((256 + 65536, 0), np.float32), [], [])
+        counted = [_count(samples[x]) for x in langs]
+        union, counts = [], []
+        left = min(most_nodes, MOST_LENGTHS // len(langs))
+        for k in range(ORDER + 1):  # the shorter contexts first; of the deepest that fit in part the commonest
+            keys, at = np.unique(np.concatenate([c[k][0] for c in counted]), return_inverse=True)
+            if k > 1:
+                if len(keys) > left:
+                    total = np.bincount(at, np.concatenate([c[k][1] for c in counted]), minlength=len(keys))
+                    keys = keys[np.sort(np.argsort(-total, kind="stable")[:left])]
+                left -= len(keys)
+            n = np.zeros((len(keys), len(langs)))
+            for i, c in enumerate(counted):
+                own = np.isin(c[k][0], keys, assume_unique=True)
+                n[np.searchsorted(keys, c[k][0][own]), i] = c[k][1][own]
+            union.append(keys)
+            counts.append(n)
+        del counted
+        short = np.zeros((256 + 65536, len(langs)), np.float32)
+        nodes, escapes = [], []
+        lower = np.full((256, len(langs)), 1 / 256)
+        for k in range(ORDER + 1):
+            if k:
+                rows = np.searchsorted(union[k - 1], union[k] & _low(k - 1)) if k > 1 else (union[1] & U(255)).astype(np.int64)
+                p, context, leave = _blend(union[k] >> U(8), counts[k], lower[rows])
+            else:
+                full = np.zeros((256, len(langs)))
+                full[union[0].astype(np.int64)] = counts[0]
+                p, _, _ = _blend(np.zeros(256, U), full, lower)
+            if k == 0:
+                short[:256] = -np.log2(p)
+                lower = p
+            elif k == 1:  # a whole table: bytes that nobody saw after another one are escapes to order 0
+                table = np.tile(lower, (256, 1))
+                for c, e in zip(context.astype(np.int64), leave):
+                    table[c * 256 : c * 256 + 256] *= e
+                table[union[1].astype(np.int64)] = p
+                short[256:] = -np.log2(np.maximum(table, 1e-300))
+                lower = p
+            else:
+                nodes.append((_Index(union[k]), -np.log2(np.maximum(p, 1e-300)).astype(np.float32)))
+                escapes.append((_Index(context), -np.log2(np.maximum(leave, 1e-300)).astype(np.float32)))
+                lower = p
+        return cls(langs, short, nodes, escapes)
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """(texts, languages): code lengths in bits."""
         data, off = _column_bytes(texts)
-        at = self.index(data, off)
         out = np.zeros((len(off) - 1, len(self.langs)))
-        full = np.flatnonzero(np.diff(off))
-        for i, table in enumerate(self.bits):
-            if len(full):
-                out[full, i] = np.add.reduceat(table[at], off[full], dtype=np.float64)
+        if not len(data) or not self.langs:
+            return out
+        key, depth = _keys(data), _depth(off)
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        step = max((1 << 21) // len(self.langs), 1 << 12)
+        for a in range(0, len(data), step):
+            part = slice(a, a + step)
+            self._add(key[part], depth[part], doc[part], out)
         return out
 
+    def _add(self, key: np.ndarray, depth: np.ndarray, doc: np.ndarray, out: np.ndarray) -> None:
+        """Add the bytes' code lengths to their documents' sums."""
+        bits = np.empty((len(key), len(self.langs)), np.float32)
+        todo = np.zeros(0, np.int64)
+        for k in range(ORDER, 1, -1):
+            todo = np.sort(np.concatenate([todo, np.flatnonzero(depth == k)]))
+            own = key[todo] & _low(k)
+            index, length = self.nodes[k - 2]
+            row = index.find(own)
+            known = row >= 0
+            bits[todo[known]] = length[row[known]]
+            todo, own = todo[~known], own[~known]
+            index, leave = self.escapes[k - 2]
+            row = index.find(own >> U(8))
+            left = row >= 0
+            for i in range(len(self.langs)):
+                out[:, i] += np.bincount(doc[todo[left]], leave[row[left], i], minlength=len(out))
+        todo = np.concatenate([todo, np.flatnonzero(depth == 1)])
+        bits[todo] = self.short[256 + (key[todo] & U(65535)).astype(np.int64)]
+        todo = np.flatnonzero(depth == 0)
+        bits[todo] = self.short[(key[todo] & U(255)).astype(np.int64)]
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        out[doc[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.float64)
+
+
+def _count(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of each order."""
+    parts: list[list] = [[] for _ in range(ORDER + 1)]
+    for b in pieces(iter([pa.RecordBatch.from_arrays([texts], names=["text"])])):
+        data, off = _column_bytes(b.column(0))
+        key, depth = _keys(data), _depth(off)
+        for k in range(ORDER + 1):
+            parts[k].append(np.unique(key[depth >= k] & _low(k), return_counts=True))
+    out = []
+    for p in parts:
+        keys, n = (np.concatenate(x) for x in zip(*p)) if p else (np.zeros(0, U), np.zeros(0, np.int64))
+        names, at = np.unique(keys, return_inverse=True)
+        out.append((names, np.bincount(at, n, minlength=len(names))))
+    return out
+
+
+def _blend(context: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of each node for each language, and each context with what an unseen byte's shorter probability is multiplied by.
 
-def _code_lengths(counts: np.ndarray) -> np.ndarray:
-    """-log2 of the escape-mixed probabilities, from counts by (context, symbol)."""
-    k = SYMBOLS
-    by_order = [counts.reshape((k,) * (ORDER + 1))]
-    while by_order[-1].ndim > 1:
-        by_order.append(by_order[-1].sum(0))
-    p = np.full(k, 1.0 / k)
-    for n in reversed(by_order):
-        total, distinct = n.sum(-1, keepdims=True), (n > 0).sum(-1, keepdims=True)
-        lower = np.broadcast_to(p, n.shape)
-        rest = 1 - np.where(n > 0, lower, 0).sum(-1, keepdims=True)
-        distinct = np.where(distinct == k, 0, distinct)  # nothing is left to escape to
-        escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-        p = np.where(n > 0, n / np.maximum(total + distinct, 1), escape * lower / np.maximum(rest, 1e-12))
-    return -np.log2(np.maximum(p, 1e-12)).astype(np.float32).ravel()
+    ``context`` is sorted; ``n``: counts, ``lower``: probabilities in the next shorter context (nodes, languages).
+    """
+    start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+    if not len(start):
+        return np.zeros_like(n), context, np.zeros((0, n.shape[1]))
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context))))
+    total, distinct = np.add.reduceat(n, start, axis=0), np.add.reduceat((n > 0).astype(float), start, axis=0)
+    rest = 1 - np.add.reduceat(np.where(n > 0, lower, 0), start, axis=0)
+    open_end = (distinct < 256) & (rest > 1e-9)  # else nothing is left to escape to
+    distinct = np.where(open_end, distinct, 0)
+    leave = np.where(total > 0, np.where(open_end, distinct / np.maximum(total + distinct, 1) / np.maximum(rest, 1e-9), 0), 1.0)
+    p = np.where(n > 0, n / np.maximum(total + distinct, 1)[of], leave[of] * lower)
+    return p, context[start], leave
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most: int = MOST_DOCS) -> PPM:
     """Learn from ``docs`` (training rows only): texts with a language."""
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    table = bounded(rows, "lang", most)
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    table = bounded(rows, "lang", most, "doc_id", "text", MOST_SAMPLE, MOST_TOTAL)
     langs = pa.compute.unique(table["lang"]).to_pylist()
     return PPM.fit({x: table.filter(pa.compute.equal(table["lang"], x))["text"].combine_chunks() for x in langs})
 
@@ -138,7 +244,7 @@ def identify(docs: DataFrame, model: PPM, text: str = "text", doc_id: str = "doc
     """doc_id, lang_pred, score, bits_per_byte of every whole text."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast((model.langs, model.symbol, model.bits))  # SYMBOLS^4 numbers a language
+    sent = spark.sparkContext.broadcast((model.langs, model.short, model.nodes, model.escapes))  # MOST_NODES, MOST_LENGTHS
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = rows.drop("text", "letters").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 

@@ -21,10 +21,15 @@ Texts become sets of word shingles; two link when 100 * |A n B| >= t * |A u B|.
 Only classes of clusters with two members or more have their sets built a
 second time; sets are never stored for the whole corpus.
 
+Sets are named by 64 bits, as are shingles; sets of the same name count as
+equal. Documents are found again by a handle of 128 bits.
+
 Defined cases: null, empty or blank texts have an empty set and link with
 nothing; a text with fewer words than a shingle has one shingle, its whole
-sequence; a null doc_id takes part and is ignored when the smallest is sought;
-repeated rows are copies; an empty table gives an empty result.
+sequence; a text of any length is one set; a null doc_id takes part and is
+ignored when the smallest is sought; a pair that ties with the threshold links;
+repeated rows are copies; an empty table gives an empty result. Only the named
+columns are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, partitions, small_batches
+from .common import connected_components, handle, many_to_one, materialize, partitions, small_batches
 from .textnum import U, Words, mix, pieces, splitmix
 
 BITS = 512
@@ -43,8 +48,10 @@ LEAF, FAN = 32, 8
 BLOCK_SETS, BLOCK_TOKENS = 4096, 3_000_000
 #: Above this many distinct shared tokens, sets of a cluster are compared pair by pair.
 DENSE_COLUMNS = 16_384
-#: A list of documents up to this length is broadcast; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: A list of documents up to this length (some 60 bytes each) is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Partitions that part keys are dealt to at most.
+MOST_TASKS = 20_000
 
 
 def size_classes(t: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +119,7 @@ def signatures(docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
             bits = pa.array([_bitmap(g[x:y]) if y > x else None for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(_signature(g, bounds).view(np.int64), mask=n == 0), bits], names=["doc_id", "_at", "n", "vid", "bits"])
 
-    return rows.mapInArrow(run, "doc_id long, _at long, n long, vid long, bits binary")
+    return rows.mapInArrow(run, "doc_id long, _at struct<a:long,b:long>, n long, vid long, bits binary")
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -180,21 +187,18 @@ def pruned_pairs(size: list[int], bits: list[bytes], side: list[int] | None, t:
     return out
 
 
-def handle(doc_id: str, text: str):
-    """What a document is found again by."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
-
-
 def shared_keys(docs: DataFrame, k: int, t: int, text: str, tokens: int) -> DataFrame:
     """(group, i, j, block, vid): groups of classes that share a key, each different group once.
 
     Keys are made from the texts and dealt straight into ``lots``, packed to 12
     bytes an entry (32 bits of the key, the class); a lot holds about two
-    million. Equal 32 bits of unequal keys only add a candidate. A group beyond
-    ``BLOCK_SETS`` members is dealt out as pairs (i, j) of blocks.
+    million, and a task goes through its lots one after another. Equal 32 bits
+    of unequal keys only add a candidate. A group beyond ``BLOCK_SETS`` members
+    is dealt out as pairs (i, j) of blocks.
     """
     classes = size_classes(t)
     lots = max(partitions(docs.sparkSession), -(-tokens // 4_000_000))
+    tasks = max(partitions(docs.sparkSession), min(lots, MOST_TASKS))
     most = BLOCK_SETS
 
     def emit(batches):
@@ -227,36 +231,43 @@ def shared_keys(docs: DataFrame, k: int, t: int, text: str, tokens: int) -> Data
             yield from flush()
 
     def meet(batches):
-        here: dict[int, list] = {}
+        now, held = None, []
         for b in batches:
             for lot, x, y in zip(*(b.column(i).to_pylist() for i in range(3))):
-                here.setdefault(lot, []).append((np.frombuffer(x, np.uint32), np.frombuffer(y, np.int64)))
-        for lot in list(here):
-            key, vid = (np.concatenate(z) for z in zip(*here.pop(lot)))
-            order = np.lexsort((vid, key))
-            key, vid = key[order], vid[order]
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (vid[1:] != vid[:-1])
-            key, vid = key[new], vid[new]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            n = np.diff(np.append(start, len(key)))
-            with np.errstate(over="ignore"):  # a group is named by its members, so that keys with the same members are one group
-                name = mix(np.add.reduceat(mix(vid.view(np.uint64)), start) + n.astype(U)).view(np.int64)
-            first = np.unique(name, return_index=True)[1]
-            first = first[n[first] > 1]
-            blocks = -(-n[first] // most)
-            small = first[blocks == 1]
-            place = np.repeat(start[small] - np.concatenate([[0], np.cumsum(n[small])[:-1]]), n[small]) + np.arange(n[small].sum())
-            zero = np.zeros(len(place), np.int32)
-            yield _groups(np.repeat(name[small], n[small]), zero, zero, zero, vid[place])
-            for f, c in zip(first[blocks > 1].tolist(), blocks[blocks > 1].tolist()):
-                own = vid[start[f] : start[f] + n[f]]
-                block = (mix(own.view(np.uint64)) % U(c)).astype(np.int32)
-                for o in range(c):
-                    yield _groups(np.full(len(own), name[f]), np.minimum(block, o).astype(np.int32), np.maximum(block, o).astype(np.int32), block, own)
+                if lot != now and held:
+                    yield from solve(held)
+                    held = []
+                now = lot
+                held.append((np.frombuffer(x, np.uint32), np.frombuffer(y, np.int64)))
+        if held:
+            yield from solve(held)
+
+    def solve(held):
+        key, vid = (np.concatenate(z) for z in zip(*held))
+        order = np.lexsort((vid, key))
+        key, vid = key[order], vid[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (vid[1:] != vid[:-1])
+        key, vid = key[new], vid[new]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(start, len(key)))
+        with np.errstate(over="ignore"):  # a group is named by its members, so that keys with the same members are one group
+            name = mix(np.add.reduceat(mix(vid.view(np.uint64)), start) + n.astype(U)).view(np.int64)
+        first = np.unique(name, return_index=True)[1]
+        first = first[n[first] > 1]
+        blocks = -(-n[first] // most)
+        small = first[blocks == 1]
+        place = np.repeat(start[small] - np.concatenate([[0], np.cumsum(n[small])[:-1]]), n[small]) + np.arange(n[small].sum())
+        zero = np.zeros(len(place), np.int32)
+        yield _groups(np.repeat(name[small], n[small]), zero, zero, zero, vid[place])
+        for f, c in zip(first[blocks > 1].tolist(), blocks[blocks > 1].tolist()):
+            own = vid[start[f] : start[f] + n[f]]
+            block = (mix(own.view(np.uint64)) % U(c)).astype(np.int32)
+            for o in range(c):
+                yield _groups(np.full(len(own), name[f]), np.minimum(block, o).astype(np.int32), np.maximum(block, o).astype(np.int32), block, own)
 
     rows = docs.select(F.col(text).alias("text")).mapInArrow(emit, "lot int, x binary, y binary")
-    return rows.repartition(lots, "lot").mapInArrow(meet, "group long, i int, j int, block int, vid long").distinct()
+    return rows.repartition(tasks, "lot").sortWithinPartitions("lot").mapInArrow(meet, "group long, i int, j int, block int, vid long").distinct()
 
 
 def _groups(*cols) -> pa.RecordBatch:
@@ -425,9 +436,11 @@ def _clusters(docs: DataFrame, classes: DataFrame, k: int, t: int, text: str) ->
     tokens = classes.agg(F.sum("n")).first()[0] or 0
     candidate = connected_components(candidates(shared_keys(docs, k, t, text, tokens), classes, t))
     members = candidate.select(F.col("v").alias("vid"), F.col("component").alias("cluster")).join(classes.drop("bits"), "vid")
+    members = materialize(members, "members")
     of = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
     blocks = F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("w") / BLOCK_TOKENS), F.lit(1)).cast("int")
-    return materialize(members.join(of.select("cluster", blocks.alias("blocks")), "cluster"), "clusters")
+    of = materialize(of.select("cluster", "c", blocks.alias("blocks")), "cluster-sizes")
+    return materialize(many_to_one(members, of, "cluster", "c"), "clusters")
 
 
 def _with_texts(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -497,10 +510,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, t: int = 80, doc_id: str = "doc
     else:
         root = found.select("vid", "root")
     named = classes.drop("bits").join(root, "vid", "left").join(links, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    # a component may hold many classes: its smallest doc_id is added up first, then joined back
-    low = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = named.join(low, "root").select("vid", "root", "component_id", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    out = slim.join(named, "vid", "left")
+    named = materialize(named.select("vid", "root", "low", "n_docs", "links"), "named")
+    # a component may hold very many classes, and a class very many copies: counted first, then joined back
+    low = materialize(named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("c")), "lowest")
+    named = many_to_one(named, low, "root", "c").select("vid", "root", "component_id", "n_docs", (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    named = materialize(named, "named")
+    full = many_to_one(slim.where("vid is not null"), named, "vid", "n_docs")
+    none = slim.where("vid is null").select("*", *[F.lit(None).cast("long").alias(c) for c in ("root", "component_id", "n_links")])
+    out = full.unionByName(none)
     return out.select("doc_id", "_at", F.col("root").alias("component"), F.col("n").alias("n_shingles"), F.when(F.col("vid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -1,22 +1,31 @@
 """Benchmark decontamination by spaced-seed hashing (operator 10), in DataFrame functions only.
 
 Texts become lower-case runs of letters and digits. A fixed mask looks at some
-of the positions of a ten-token window and ignores the others, so a window that
-differs only at ignored positions still hashes alike. The test items' hashes
-are joined with the documents'; around each hit the aligned stretch of item
-(the window and ``MARGIN`` tokens on either side, as far as the item goes) is
-compared token by token, and counts as an overlap where at least ``RATIO``
-percent of it agree.
+positions of a short window and ignores the others, so a window that differs
+only at ignored positions still hashes alike. The test items' hashes are joined
+with the documents'; around each hit the aligned stretch of the item, some
+twenty tokens about the window as far as the item goes, is compared token by
+token. It is an overlap where at least ``RATIO`` percent of it agree, or where
+``RUN`` tokens in a row from the window on do.
+
+``MASKS`` are the ways to look at four of five tokens, and one that bridges two
+neighbours: together they hit at least 99 of 100 random patterns of
+substitutions that the ratio allows, for items of any length (tests count all
+patterns of the short items). Items of up to four tokens are sought by masks of
+their own length under the same ratio: three of four, or all of three or fewer.
 
 Before the join, windows are looked up in a bitmap of the items' hashes held in
-the plan; it lets all true hits and about one in sixty other windows pass, and
-its size is bounded. The items' hashes are broadcast if their number is below
-``BROADCAST_ROWS`` and joined by a shuffle otherwise; both give the same rows.
-Documents' texts are never shuffled: a hit carries its few tokens along.
-
-Defined cases: null and empty texts match nothing; an item of 5 to 9 tokens is
-sought as a whole (no position ignored); shorter items match nothing; repeated
-rows of either side are joined each; null ids are kept as ids.
+the plan; it lets all true hits and few other windows pass, and its size is
+bounded. The items' hashes are broadcast if they and their stretches are below
+``BROADCAST_ROWS`` rows (of at most 250 bytes) and joined by a shuffle
+otherwise; both give the same rows. Documents' texts are never shuffled: a hit
+carries its few tokens along.
+
+Defined cases: null and empty texts match nothing; a text of any length is
+searched whole; an item of one token is found wherever that token stands; ties
+of the best match go to the shorter stretch; repeated rows of either side are
+joined each; null ids are kept as ids; empty tables match nothing. Only the
+named columns are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
@@ -25,16 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
-SPAN = 10
 #: Looked-at positions of each mask.
-MASKS = ((0, 1, 3, 4, 7, 9), (0, 2, 5, 6, 8, 9))
-#: Further masks of the whole search. The first leaves a residue of each period from 4 to 10 free; the others serve items of few windows.
-WIDE_MASKS = ((0, 1, 2, 4, 5, 6), (0, 1, 3, 4, 5, 6), (0, 1, 2, 3, 4, 5))
-WIDE_SPAN = 7
-MARGIN = 5
+MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 5, 6, 7))
+#: Masks of items with so many tokens, which no mask above looks at with a substitution to spare.
+SHORT = {1: ((0,),), 2: ((0, 1),), 3: ((0, 1, 2),), 4: ((0, 1, 3), (0, 2, 3), (1, 2, 3), (0, 1, 2))}
+#: Tokens of the stretch before a window's start and from it on.
+BEFORE, AFTER = 7, 13
 RATIO = 75
-SHORTEST = 5
-BROADCAST_ROWS = 1_000_000
+RUN = 10
+BROADCAST_ROWS = 200_000
 #: The bitmap has 64 bits a hash, up to so many words of 64 bits.
 MOST_WORDS = 1 << 18
 
@@ -44,47 +52,46 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _masks(short: list[int], whole: bool) -> list[tuple[int, tuple[int, ...]]]:
-    """(span, looked-at positions): the spaced masks, then a full one for each length of short items; the whole search's come last."""
-    wide = [(WIDE_SPAN, m) for m in WIDE_MASKS] if whole else []
-    return [(SPAN, m) for m in MASKS] + [(n, tuple(range(n))) for n in short] + wide
+def masks_of(lengths: list[int]) -> list[tuple[int, ...]]:
+    """The masks that items of these lengths need."""
+    general = list(MASKS) if max(lengths, default=0) > 4 else []
+    return general + list(dict.fromkeys(m for n in sorted(SHORT) if n in lengths for m in SHORT[n]))
 
 
-def _hash(words: Column, at: Column, positions: tuple[int, ...], mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(words, at + p) for p in positions])
+def _hash(at: Column, positions: tuple[int, ...]) -> Column:
+    """Hash of the looked-at tokens of ``w`` from ``at`` on, with the mask itself."""
+    return F.xxhash64(F.lit(",".join(map(str, positions))), *[F.get("w", at + p if p else at) for p in positions])
 
 
-def _windows(n: Column, span: int) -> Column:
-    return F.when(n >= span, F.sequence(F.lit(0), n - span)).otherwise(F.array().cast("array<int>"))
+def _fits(at: Column, positions: tuple[int, ...], n: Column) -> Column:
+    """Whether the mask ends within ``n`` tokens."""
+    return at + (positions[-1] + 1) <= n
 
 
-def _seed(mask: int, span: int, positions: tuple[int, ...]):
-    return lambda a: F.struct(a.alias("a"), F.lit(span).alias("span"), _hash(F.col("w"), a, positions, mask).alias("seed"))
-
+def item_seeds(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """(item_id, a, seed, left, stretch) of each window of each item, and the masks in use."""
+    words = items.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    small = sorted(r["n"] for r in words.select(F.least("n", F.lit(5)).alias("n")).distinct().collect())  # five numbers at most
+    masks = masks_of(small)
+    places = words.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    found = []
+    for m in masks:
+        served = F.col("n") > 4 if m in MASKS else F.col("n").isin([n for n, own in SHORT.items() if m in own])
+        fits = _fits(F.col("a"), m, F.col("n")) & served
+        found.append(F.when(fits, _hash(F.col("a"), m)))
+    left = F.least(F.col("a"), F.lit(BEFORE))
+    length = F.least(F.col("n"), F.col("a") + AFTER) - (F.col("a") - left)
+    narrow = places.select("item_id", "a", left.alias("left"), F.slice("w", F.col("a") - left + 1, length).alias("stretch"), *_columns(found))
+    return narrow.select("item_id", "a", F.explode(_listed(found)).alias("seed"), "left", "stretch"), masks
 
-def _hits(mask: int, span: int, positions: tuple[int, ...], bitmap: Column, size: int) -> Column:
-    """(i, h) of the windows of ``w`` whose hash has its bit set."""
-    def listed(i: Column) -> Column:
-        h = _hash(F.col("w"), i, positions, mask)
-        return F.getbit(F.get(bitmap, h.bitwiseAND(F.lit(size - 1)).cast("int")), F.shiftrightunsigned(h, 58).cast("int")) == 1
 
-    return F.transform(F.filter(_windows(F.col("n"), span), listed), lambda i: F.struct(i.alias("i"), _hash(F.col("w"), i, positions, mask).alias("h")))
+def _columns(hashes: list[Column]) -> list[Column]:
+    return [h.alias(f"h{k}") for k, h in enumerate(hashes)]
 
 
-def item_seeds(items: DataFrame, item_id: str, text: str, whole: bool = False) -> tuple[DataFrame, list]:
-    """(item_id, a, seed, left, stretch) of each window of each item, and the masks in use."""
-    words = items.select(F.col(item_id).alias("item_id"), tokens(F.col(text)).alias("w")).withColumn("n", F.size("w"))
-    short = sorted(r["n"] for r in words.where(f"n between {SHORTEST} and {SPAN - 1}").select("n").distinct().collect())
-    masks = _masks(short, whole)
-    found = []
-    for k, (span, positions) in enumerate(masks):
-        spaced = k < len(MASKS) or k >= len(MASKS) + len(short)
-        found.append(F.when(F.col("n") >= SPAN if spaced else F.col("n") == span, F.transform(_windows(F.col("n"), span), _seed(k, SPAN if spaced else span, positions))))
-    every = F.concat(*[F.coalesce(f, F.array().cast("array<struct<a:int,span:int,seed:bigint>>")) for f in found])
-    out = words.select("item_id", "n", "w", F.explode(every).alias("s")).select("item_id", "n", "w", "s.*")
-    left = F.least(F.col("a"), F.lit(MARGIN))
-    length = F.least(F.col("n"), F.col("a") + F.col("span") + MARGIN) - (F.col("a") - left)
-    return out.select("item_id", "a", "seed", left.alias("left"), F.slice("w", F.col("a") - left + 1, length).alias("stretch")), masks
+def _listed(hashes: list[Column]) -> Column:
+    """The non-null of the columns that :func:`_columns` made."""
+    return F.array_compact(F.array(*[F.col(f"h{k}") for k in range(len(hashes))])) if hashes else F.array().cast("array<long>")
 
 
 def _bitmap(seeds: DataFrame, n_seeds: int) -> tuple[Column, int]:
@@ -100,45 +107,38 @@ def _bitmap(seeds: DataFrame, n_seeds: int) -> tuple[Column, int]:
     return F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>"), size
 
 
-def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", whole: bool = False) -> DataFrame:
-    """(doc_id, item_id, n_hits, best_match, best_span): each document and item with a verified overlap.
-
-    The ``whole`` search adds masks, and any ``SPAN`` tokens in a row that agree count as an overlap too.
-    """
-    seeds, masks = item_seeds(items, item_id, item_text, whole)
+def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_hits, best_match, best_span): each document and item with a verified overlap."""
+    seeds, masks = item_seeds(items, item_id, item_text)
     n_seeds = seeds.count()  # of the test items alone
     bitmap, size = _bitmap(seeds, n_seeds)
-
-    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).withColumn("n", F.size("w")).where(f"n >= {min(s for s, _ in masks)}")
-
-    hits = [_hits(k, span, positions, bitmap, size) for k, (span, positions) in enumerate(masks)]
-    hit = words.select("doc_id", "w", F.explode(F.concat(*hits)).alias("s")).select("doc_id", "w", "s.i", "s.h")
-    before = F.least(F.col("i"), F.lit(MARGIN))
-    hit = hit.select("doc_id", "i", "h", before.alias("before"), F.slice("w", F.col("i") - before + 1, F.lit(SPAN + 2 * MARGIN)).alias("around"))
+    listed = lambda h: F.getbit(F.get(bitmap, h.bitwiseAND(F.lit(size - 1)).cast("int")), F.shiftrightunsigned(h, 58).cast("int")) == 1
+
+    # a row for each place of a text; the hashes are plain expressions on the array, compiled with the filter, and what
+    # leaves that stage is narrow: a place must not carry its whole text along
+    words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).withColumn("n", F.size("w")).where("n > 0")
+    places = words.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    hits = [F.when(_fits(F.col("i"), m, F.col("n")) & listed(h), h) for m in masks for h in [_hash(F.col("i"), m)]]
+    places = places.where(F.coalesce(*hits, F.lit(None).cast("long")).isNotNull())
+    before = F.least(F.col("i"), F.lit(BEFORE))
+    narrow = places.select("doc_id", "i", before.alias("before"), F.slice("w", F.col("i") - before + 1, F.lit(BEFORE + AFTER)).alias("around"), *_columns(hits))
+    hit = narrow.select("doc_id", "i", "before", "around", F.explode(_listed(hits)).alias("h"))
     side = F.broadcast(seeds) if n_seeds <= BROADCAST_ROWS else seeds
     both = hit.join(side, F.col("h") == F.col("seed"))
-    agree = F.size(F.filter(F.sequence(F.lit(0), F.size("stretch") - 1), lambda j: F.get("around", j - F.col("left") + F.col("before")) == F.get("stretch", j)))
-    row = F.size(F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda j: F.get("around", F.col("before") + j) == F.get("stretch", F.col("left") + j))) == SPAN
-    both = both.select("doc_id", "item_id", "i", "a", agree.alias("agree"), F.size("stretch").alias("span"), (row if whole else F.lit(False)).alias("row")).where(f"row or 100 * agree >= {RATIO} * span")
+    same = lambda j: F.get("around", j - F.col("left") + F.col("before")) == F.get("stretch", j)
+    agree = F.size(F.filter(F.sequence(F.lit(0), F.size("stretch") - 1), same))
+    run = (F.size("stretch") - F.col("left") >= RUN) & (F.size(F.filter(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda j: same(F.col("left") + j))) == RUN)
+    both = both.select("doc_id", "item_id", "i", "a", agree.alias("agree"), F.size("stretch").alias("span"), run.alias("run")).where(f"run or 100 * agree >= {RATIO} * span")
     best = F.max(F.struct("agree", F.negative("span").alias("s")))
     return both.groupBy("doc_id", "item_id").agg(F.countDistinct("i", "a").alias("n_hits"), best.alias("best")).select("doc_id", "item_id", "n_hits", F.col("best.agree").alias("best_match"), F.negative(F.col("best.s")).alias("best_span"))
 
 
 def oracle() -> str:
-    """The same overlaps by plain SQL."""
-    sides = []
-    for table, key in (("benchmark", "item_id"), ("documents", "doc_id")):
-        sides.append(f"{table}_w AS (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table})")
-        full = " UNION ALL ".join(
-            f"SELECT {key}, w, i, {k} AS mask, {SPAN} AS span, concat_ws(' ', {', '.join(f'w[i + {p + 1}]' for p in m)}) AS seed FROM (SELECT {key}, w, unnest(range(len(w) - {SPAN - 1})) AS i FROM {table}_w WHERE len(w) >= {SPAN})" for k, m in enumerate(MASKS))
-        if key == "item_id":
-            short = f"SELECT item_id, w, 0 AS i, 2 AS mask, len(w) AS span, array_to_string(w, ' ') AS seed FROM benchmark_w WHERE len(w) BETWEEN {SHORTEST} AND {SPAN - 1}"
-        else:
-            short = f"SELECT doc_id, w, i, 2 AS mask, l AS span, array_to_string(w[i + 1 : i + l], ' ') AS seed FROM (SELECT doc_id, w, l, unnest(range(len(w) - l + 1)) AS i FROM documents_w, (SELECT DISTINCT len(w) AS l FROM benchmark_w WHERE len(w) BETWEEN {SHORTEST} AND {SPAN - 1}) WHERE len(w) >= l)"
-        sides.append(f"{table}_s AS ({full} UNION ALL {short})")
-    return f"""WITH {', '.join(sides)},
-hits AS (SELECT d.doc_id, b.item_id, d.i, b.i AS a, d.w AS dw, b.w AS bw, greatest(0, b.i - {MARGIN}) AS s, least(len(b.w), b.i + b.span + {MARGIN}) AS e
-  FROM documents_s d JOIN benchmark_s b ON d.mask = b.mask AND d.span = b.span AND d.seed = b.seed),
-agreed AS (SELECT doc_id, item_id, i, a, e - s AS span, len(list_filter(range(s, e), lambda j: j - a + i >= 0 AND dw[j - a + i + 1] = bw[j + 1])) AS agree FROM hits)
-SELECT doc_id, item_id, count(DISTINCT (i, a)) AS n_hits, max(agree)::INT AS best_match, arg_min(span, (-agree, span))::INT AS best_span
-FROM agreed WHERE 100 * agree >= {RATIO} * span GROUP BY doc_id, item_id"""
+    """The same documents and items by plain SQL and without masks: all alignments, each counted at every window of five tokens (or the whole shorter item)."""
+    words = lambda t, key: f"{t}_w AS (SELECT {key}, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t})"
+    place = lambda t, key: f"{t}_t AS (SELECT {key}, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS t FROM {t}_w)"
+    return f"""WITH {words('documents', 'doc_id')}, {words('benchmark', 'item_id')}, {place('documents', 'doc_id')}, {place('benchmark', 'item_id')},
+lines AS (SELECT doc_id, item_id, any_value(b.n) AS n, list(b.i) AS js FROM documents_t d JOIN benchmark_t b ON d.t = b.t GROUP BY doc_id, item_id, d.i - b.i HAVING count(*) >= least(8, ceil(any_value(b.n) * {RATIO} / 100.0))),
+placed AS (SELECT doc_id, item_id, n, js, unnest(range(greatest(n - 3, 1))) AS a FROM lines),
+seen AS (SELECT doc_id, item_id, len(list_filter(js, lambda j: j >= a - {BEFORE} AND j < a + {AFTER})) AS agree, least(n, a + {AFTER}) - greatest(a - {BEFORE}, 0) AS span, len(list_filter(js, lambda j: j >= a AND j < a + {RUN})) AS run FROM placed)
+SELECT DISTINCT doc_id, item_id FROM seen WHERE run = {RUN} OR 100 * agree >= {RATIO} * span"""

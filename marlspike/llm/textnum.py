@@ -126,7 +126,7 @@ class Words:
         return g, doc
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of about ``most`` bytes of text (a longer text is a piece alone)."""
     for b in batches:
         if not b.num_rows:
@@ -140,6 +140,21 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     give_back()
 
 
+def together(batches: Iterator[pa.RecordBatch], most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows with successive batches joined while their text stays below about ``most`` bytes."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in pieces(batches, column, most):
+        own = pa.compute.sum(pa.compute.binary_length(b.column(column))).as_py() or 0
+        if held and size + own > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        held.append(b)
+        size += own
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def give_back() -> None:
     """Return freed memory to the system: a Python worker outlives its task, and others run beside it."""
     pa.default_memory_pool().release_unused()

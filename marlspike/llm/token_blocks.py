@@ -20,30 +20,36 @@ rows. The index of block starts lets a reader open any block alone.
 Files are rows (file number, bytes) of a Parquet table in ascending doc_id
 order, so that any store that Spark writes to holds them.
 
-Defined cases: a null or empty text is the end id alone; null doc_ids come
-first; documents with equal doc_id keep the order of their texts; an empty
-table gives no file and an empty result.
+Defined cases: a null or empty text is the end id alone; a text of any length
+is encoded whole and stands in one file, which may then be larger; null doc_ids
+come first; documents with equal doc_id keep the order of their texts, and
+repeated rows are encoded each; an empty table gives no file and an empty
+result. Only the named columns are read, so extra columns can't clash.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import operator
 import os
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, small_batches
-from .textnum import pieces
+from .textnum import give_back, together
 
 BLOCK, LANES = 1024, 64
 MAGIC = b"MTB1"
 FILE_IDS = 1 << 20
+#: Bytes of text that are encoded together: the more, the more words are alike.
+TEXT_BYTES = 12 << 20
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,9 +89,11 @@ def encode_file(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, percentile:
     low = blocks.min(1) if n_blocks else np.zeros(0, np.uint32)
     rest = blocks - low[:, None]
     allowed = BLOCK - min(BLOCK, int(np.ceil(percentile * BLOCK)))
-    width = np.zeros(n_blocks, np.int64)
-    for bits in range(int(rest.max()).bit_length() if n_blocks else 0):  # a block needs more bits while too many values are beyond
-        width += (rest >= np.uint32(1 << bits)).sum(1) > allowed
+    width, most = np.zeros(n_blocks, np.int64), np.full(n_blocks, int(rest.max()).bit_length() if n_blocks else 0)
+    while (width < most).any():  # by halving: a block needs more bits while too many values are beyond
+        half = (width + most) // 2
+        beyond = (rest > ((1 << half) - 1).astype(np.uint32)[:, None]).sum(1) > allowed
+        width, most = np.where(beyond & (width < most), half + 1, width), np.where(beyond, most, half)
     over = rest > ((1 << width) - 1).astype(np.uint32)[:, None]
     n_over = over.sum(1)
     sizes = width * 128 + n_over * 6
@@ -147,9 +155,52 @@ def decode_file(raw: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(head["doc_id"], head["null"])], head["length"], ids
 
 
-def _lone(text: str) -> bool:
-    """No white space but lone spaces and line ends between other characters, and no mark that :class:`Encoder` uses."""
-    return bool(text) and "\x01" not in text and " ".join(text.split()) == text.replace("\n", " ")
+#: Letters of blocks without later additions: Latin up to Extended-B, the Russian alphabet.
+_LETTERS = r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{410}-\x{44F}]"
+#: ASCII marks but the apostrophe, which can join with letters.
+_MARKS = r"[!-&(-/:-@\[-`{-~]"
+_MARK_CHARS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+
+
+def _apart(data: np.ndarray) -> np.ndarray:
+    """True for spaces and line ends: where a text is cut."""
+    return (data == 32) | (data == 10)
+
+
+def _other_blanks(data: np.ndarray) -> np.ndarray:
+    """Places of control characters but line ends, and of longer white space, in UTF-8 bytes."""
+    found = [np.flatnonzero((data < 32) & (data != 10))]
+    at = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if len(at):
+        second, third = (data[np.minimum(at + j, len(data) - 1)].astype(np.int64) for j in (1, 2))
+        code = (data[at].astype(np.int64) << 16) | (second << 8) | np.where(data[at] == 0xC2, 0, third)
+        wide = [0xC28500, 0xC2A000, 0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
+        found.append(at[np.isin(code, wide)])
+    return np.concatenate(found)
+
+
+_ID = operator.attrgetter("id")
+#: Stretches whose ids are put together at once.
+_ROWS = 1 << 18
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of each row, one row after another."""
+    run = np.cumsum(size)
+    return np.repeat(begin - (run - size), size) + np.arange(run[-1] if len(run) else 0)
+
+
+class _Known:
+    """Ids of stretches by their bytes: rows of one flat array."""
+
+    def __init__(self):
+        self.row: dict[bytes, int] = {}
+        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, names: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
+        self.row.update(zip(names, range(len(self.size), len(self.size) + len(names))))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
 
 
 class Encoder:
@@ -157,16 +208,13 @@ class Encoder:
 
     A byte-level pre-tokenizer ends a piece before a lone space, and before and
     after a lone line end, whatever surrounds them. So the ids of a text are
-    those of its stretches between such places, one after another; stretches
-    met before come from a bounded memory of the library's answers. Texts with
-    other white space, and tokenizers of other kinds, are encoded in one call.
+    those of its stretches from one such place to the next, one after another.
+    A batch's stretches are numbered, so each different one goes to the library
+    once; nothing is kept from batch to batch. Texts with other white space, and
+    tokenizers of other kinds, are encoded in one call.
     """
 
-    #: Stretches of each of two generations (about 200 bytes each); what the older one has is taken over when it is met again.
-    MEMORY = 350_000
-
-    def __init__(self, path: str, memory: int = MEMORY):
-        self.most = memory
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -176,61 +224,145 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_stretch = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.memory: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks = {c: self._whole([c])[0].tobytes() for c in ",."}
-        vocab = self.tok.get_vocab()
-        self.opens = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids whose piece starts with a space
-        self.opens[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        if self.by_stretch:
+            self.line_end = self._whole(["\n"])[0]
+            shown = [b for b in range(256) if 33 <= b < 127 or 161 <= b < 256 and b != 173]  # bytes that stand for themselves; the others follow 255
+            hidden = [b for b in range(256) if b not in shown]
+            self.letters = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden) if b != 10}
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, stretches: list[str]) -> None:
-        """Remember the ids of stretches; those after a space go through the library in calls of many, where an id that opens with a space starts the next."""
-        plain = [p for p in stretches if p[0] != "\x01" and p != "\n"]
-        for k in range(0, len(plain), 2000):
-            part = plain[k : k + 2000]
-            ids = self._whole([" " + " ".join(part)])[0]
-            starts = np.flatnonzero(self.opens[ids]).tolist()
-            if len(starts) != len(part):
-                self.memory.update(zip(part, (x.tobytes() for x in self._whole([" " + p for p in part]))))
-                continue
-            raw = ids.tobytes()
-            self.memory.update(zip(part, (raw[4 * a : 4 * b] for a, b in zip(starts, [*starts[1:], len(ids)]))))
-        other = [p for p in stretches if p[0] == "\x01" or p == "\n"]
-        self.memory.update(zip(other, (x.tobytes() for x in self._whole([p.lstrip("\x01") for p in other]))))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self.by_stretch and _lone(t) and not any(s in t for s in self.special) for t in texts]
-        cut = [("\x01" + t.replace("\n", " \n \x01")).split(" ") if ok else None for t, ok in zip(texts, plain)]
-        if len(self.memory) > self.most:
-            self.older, self.memory = self.memory, {}
-        known, older = self.memory, self.older
-        new = set().union(*(c for c in cut if c is not None))
-        new.difference_update(known)
-        known.update((p, older[p]) for p in new if p in older)
-        new.difference_update(known)
-        # a comma or full stop after a letter is a piece of its own, so its word's ids do for both
-        marked = [p for p in new if p[-1] in ",." and len(p) > 1 and p[-2].isalpha()]
-        new.difference_update(marked)
-        new.update(p[:-1] for p in marked if p[:-1] not in known)
-        self._learn(list(new))
-        known.update((p, known[p[:-1]] + self.marks[p[-1]]) for p in marked)
-        rest = iter(self._whole([t for t, ok in zip(texts, plain) if not ok]))
-        return [next(rest) if c is None else np.frombuffer(b"".join(map(known.__getitem__, c)), np.uint32) for c in cut]
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of words of letters, each with its space: one piece for the pre-tokenizer, so they go to the model as they are."""
+        ids: list[int] = []
+        ends = [0]
+        for found in map(self.tok.model.tokenize, b"\n".join(words).decode("latin-1").translate(self.letters).split("\n") if words else []):
+            ids.extend(map(_ID, found))
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64))
+
+    def _learn(self, names: list[bytes]) -> _Known:
+        """The ids of different stretches.
+
+        Most are a word of letters (of old blocks, which all Unicode versions agree on), after a line end, which is a
+        piece of its own, or before marks, which are one; the others go through the library whole."""
+        known = _Known()
+        arr = pa.array(names, pa.large_binary()).cast(pa.large_string())
+        line = np.fromiter((p[0] == 10 for p in names), bool, len(names))
+        if line.any():
+            arr = pa.compute.if_else(pa.array(line), pa.compute.utf8_slice_codeunits(arr, 1), arr)
+        easy = pa.compute.match_substring_regex(arr, f"^ ?{_LETTERS}+{_MARKS}*$").to_numpy(zero_copy_only=False)
+        if not easy.all():
+            hard = np.flatnonzero(~easy)
+            found = self._whole([names[i].decode() for i in hard.tolist()])
+            known.add([names[i] for i in hard.tolist()], np.concatenate(found), np.array([len(x) for x in found], np.int64))
+            own = np.flatnonzero(easy)
+            names, line, arr = [names[i] for i in own.tolist()], line[own], arr.filter(pa.array(easy))
+        if not names:
+            return known
+        bare = pa.compute.ascii_rtrim(arr, _MARK_CHARS)
+        cut = pa.compute.binary_length(bare).to_numpy()
+        bare = bare.dictionary_encode()
+        words = [w.encode() for w in bare.dictionary.to_pylist()]
+        new = [w for w in words if w not in known.row]
+        known.add(new, *self._words(new))
+        word = np.fromiter(map(known.row.__getitem__, words), np.int64, len(words))[bare.indices.to_numpy()]
+        whole = pa.compute.binary_length(arr).to_numpy()
+        more = np.flatnonzero(line | (cut < whole))
+        if not len(more):
+            return known
+        # line end, word and marks of the stretches that are not a word alone
+        raw = [names[i] for i in more.tolist()]
+        tails = [p[c + n :] for p, c, n in zip(raw, cut[more].tolist(), line[more].tolist())]
+        tail = {t: i for i, t in enumerate(dict.fromkeys(tails))}
+        ends = [np.zeros(0, np.uint32) if not t else x for t, x in zip(tail, self._whole([t.decode() for t in tail]))]
+        end_size = np.array([len(x) for x in ends], np.int64)
+        pool = np.concatenate([known.flat, self.line_end, *ends])
+        of = np.fromiter(map(tail.__getitem__, tails), np.int64, len(tails))
+        begin = np.stack([np.full(len(more), len(known.flat)), known.begin[word[more]], len(known.flat) + len(self.line_end) + (np.cumsum(end_size) - end_size)[of]], 1)
+        size = np.stack([line[more] * len(self.line_end), known.size[word[more]], end_size[of]], 1)
+        known.add(raw, pool[_ragged(begin.ravel(), size.ravel())], size.sum(1))
+        return known
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, how many each has); null is empty."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        _, off, buf = texts.buffers()
+        off = np.frombuffer(off, np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None else np.zeros(0, np.uint8)
+        off = off - off[0]
+        plain = self._plain(texts, data, off)
+        if not plain.all():
+            some = np.flatnonzero(~plain)
+            rest = self._whole([x.decode() for x in texts.take(pa.array(some)).to_pylist()])
+            ids, count = self._stretches(texts.filter(pa.array(plain)))
+            of = np.flatnonzero(plain)
+            parts: list = [None] * n
+            for d, x in zip(of.tolist(), np.split(ids, np.cumsum(count)[:-1]) if len(of) else []):
+                parts[d] = x
+            for d, x in zip(some.tolist(), rest):
+                parts[d] = x
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return self._stretches(texts)
+
+    def _plain(self, texts: pa.Array, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Texts without white space but lone spaces and line ends between other characters, and without special tokens."""
+        n = len(texts)
+        if not self.by_stretch:
+            return np.zeros(n, bool)
+        full = np.flatnonzero(np.diff(off))
+        ok = np.ones(n, bool)
+        apart = _apart(data)
+        ok[full] = ~apart[off[full]] & ~apart[off[full + 1] - 1]
+        bad = np.concatenate([np.flatnonzero(apart[1:] & apart[:-1]), _other_blanks(data)])
+        ok[np.searchsorted(off, bad, "right") - 1] = False
+        for s in self.special:
+            ok &= ~pa.compute.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return ok
+
+    def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        _, off, buf = texts.buffers()
+        off = np.frombuffer(off, np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None else np.zeros(0, np.uint8)
+        off = off - off[0]
+        cut = _apart(data)
+        cut[off[:-1][off[:-1] < off[1:]]] = True
+        start = np.flatnonzero(cut)
+        each = np.searchsorted(start, off)
+        bounds = np.append(start, len(data)).astype(np.int64)
+        named = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+        which = named.indices.to_numpy()
+        _, ends, body = named.dictionary.buffers()
+        ends, body = np.frombuffer(ends, np.int64)[: len(named.dictionary) + 1].tolist(), body.to_pybytes()
+        names = list(map(body.__getitem__, map(slice, ends[:-1], ends[1:])))
+        known = self._learn(names)
+        row = np.fromiter(map(known.row.__getitem__, names), np.int32, len(names))[which]
+        del named, which, names, body, ends
+        known.row.clear()
+        count = known.size[row]
+        run = np.concatenate([[0], np.cumsum(count)])
+        ids = [known.flat[_ragged(known.begin[row[k : k + _ROWS]], count[k : k + _ROWS])] for k in range(0, len(row), _ROWS)]
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), run[each[1:]] - run[each[:-1]]
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, memory: int = Encoder.MEMORY) -> Encoder:
-    return Encoder(path, memory)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
-def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, percentile: float = 0.98, doc_id: str = "doc_id", text: str = "text", memory: int = Encoder.MEMORY) -> DataFrame:
+def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, percentile: float = 0.98, doc_id: str = "doc_id", text: str = "text", text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Encode every whole text and write the files: (part int, seq int, n_ids long, file binary).
 
     ``tokenizer`` is a path that every executor can open. Documents are range
     partitioned by doc_id, so parts and the files in them are in ascending order.
+    ``text_bytes`` bounds what a worker holds, but for a longer text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -238,27 +370,33 @@ def write_files(docs: DataFrame, tokenizer: str, end_id: int = 0, percentile: fl
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
 
     def run(batches):
-        enc, seq, part = encoder(tokenizer, memory), 0, 0
-        names: list = []
-        found: list = []
-        held = 0
+        enc = encoder(tokenizer)
+        now, seq, names, sizes, found = None, 0, [], [], []
 
         def file():
-            lengths = np.array([len(x) for x in found], np.int64)
-            raw = encode_file(names, lengths, np.concatenate(found), percentile)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([raw], pa.binary())], names=["part", "seq", "n_ids", "file"])
-
-        for b in pieces(batches):
-            part = b.column(2)[0].as_py()
-            for i, x in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist())):
-                names.append(i)
-                found.append(np.append(x, np.uint32(end_id)))
-                held += len(x) + 1
-                if held >= FILE_IDS:
+            ids = np.concatenate(found)
+            raw = encode_file(names, np.concatenate(sizes), ids, percentile)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([raw], pa.binary())], names=["part", "seq", "n_ids", "file"])
+
+        for b in together(batches, text_bytes):
+            ids, count = enc.encode(b.column(1))
+            ids, count = np.insert(ids, np.cumsum(count), np.uint32(end_id)), count + 1
+            upto = np.concatenate([[0], np.cumsum(count)])
+            part = b.column(2).to_numpy()
+            # a file ends with its range, and where it has FILE_IDS ids
+            cut = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (upto[1:-1] // FILE_IDS != upto[:-2] // FILE_IDS)]))
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), b.num_rows]):
+                if names and (part[x] != now or sum(map(len, found)) >= FILE_IDS):
                     yield file()
-                    names, found, held, seq = [], [], 0, seq + 1
+                    seq, names, sizes, found = seq + 1, [], [], []
+                if part[x] != now:
+                    now, seq = int(part[x]), 0
+                names += b.column(0).slice(x, y - x).to_pylist()
+                sizes.append(count[x:y])
+                found.append(ids[upto[x] : upto[y]])
         if names:
             yield file()
+        give_back()
 
     return materialize(rows.mapInArrow(run, "part int, seq int, n_ids long, file binary"), "token-files")
 
