@@ -77,12 +77,25 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str = "day", value: str
 
 
 def target_after(days: int) -> Column:
-    """Log return to the first later session at least ``days`` calendar days on; null if there is none."""
-    w = Window.partitionBy("ticker").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(days, Window.unboundedFollowing)
-    then = F.first("price").over(w)
+    """Log return to the first later session at least ``days`` calendar days on; null if there is none.
+
+    Days run backwards, so the frame only grows and its last row is the wanted one: linear in a series."""
+    w = Window.partitionBy("ticker").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date")).desc()).rangeBetween(Window.unboundedPreceding, -days)
+    then = F.last("price").over(w)
     return F.when((then > 0) & (F.col("price") > 0), F.ln(then / F.col("price")))
 
 
+def outcomes(horizons: tuple[int, ...]) -> Column:
+    """Array of (horizon, outcome_day, outcome_price, low) of an entry at the next session, one for each horizon that the series reaches.
+
+    ``low`` is the lowest price from the entry to the outcome; all are windows of the series, without a join."""
+    found = []
+    for h in horizons:
+        low = F.min(F.when(F.col("price") > 0, F.col("price"))).over(by_day().rowsBetween(1, 1 + h))
+        found.append(F.struct(F.lit(h).alias("horizon"), F.lead("day", 1 + h).over(by_day()).alias("outcome_day"), F.lead("price", 1 + h).over(by_day()).alias("outcome_price"), low.alias("low")))
+    return F.filter(F.array(*found), lambda o: o["outcome_day"].isNotNull())
+
+
 def average_rank(value: str, keys: list[str]) -> Column:
     """(below + (equal - 1) / 2) / (n - 1) among the non-null values of ``keys``; one value alone is 0.5."""
     by = Window.partitionBy(*keys, F.col(value).isNull())

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.functions.exprs import clamp, codes, flag, ladder, ramp, share_of, weighted_mean
+from marlspike.functions.exprs import clamp, codes, ladder, ramp, share_of, weighted_mean
 
 SPAN, RECENT = 63, 21
+#: Fewer sessions of the series or of the benchmark are too few to judge.
+LEAST = 50
 #: Ties of a point with the line count as above it, within this distance.
 TOUCH = 1e-9
 
@@ -21,59 +25,98 @@ def windows(bars: DataFrame, ends: DataFrame, span: int = SPAN + RECENT) -> Data
     return near.groupBy("ticker", "e").agg(F.array_sort(F.collect_list(F.struct("idx", "price"))).alias("points"), F.max("day").alias("day"))
 
 
-def spaced_windows(bars: DataFrame, step: int, first: int, span: int = SPAN + RECENT) -> DataFrame:
-    """The same for every ``step``-th session from ``first``: a bar goes to the few ends within ``span`` after it."""
+def spaced_windows(bars: DataFrame, step: int, first: int, span: int = SPAN + RECENT, ahead: int = 0) -> DataFrame:
+    """The same for every ``step``-th session from ``first`` with more than ``ahead`` after it: a bar goes to the few ends within ``span`` after it."""
     nth = F.sequence(F.greatest(F.ceil((F.col("idx") - first) / step), F.lit(0)).cast("int"), F.greatest(F.floor((F.col("idx") + span - 1 - first) / step), F.lit(-1)).cast("int"))
     nth = F.when(F.col("idx") + span - 1 >= first, nth).otherwise(F.array().cast("array<int>"))
-    rows = bars.withColumn("k", F.explode(nth)).withColumn("e", F.col("k") * step + first).where("e < n and idx <= e")
+    rows = bars.withColumn("k", F.explode(nth)).withColumn("e", F.col("k") * step + first).where(F.expr(f"e < n - {ahead} and idx <= e"))
     return rows.groupBy("ticker", "e").agg(F.array_sort(F.collect_list(F.struct("idx", "price"))).alias("points"), F.max("day").alias("day"))
 
 
-def _median(a: str) -> str:
-    return f"(element_at(array_sort({a}), cast((size({a}) + 1) div 2 as int)) + element_at(array_sort({a}), cast(size({a}) div 2 + 1 as int))) / 2"
-
-
-def theil_sen(df: DataFrame, prices: str, out: str) -> DataFrame:
-    """Adds struct ``out`` (slope, r2, residual_vol, above): median of pairwise slopes of the log prices."""
-    df = df.withColumn("_lp", F.transform(prices, lambda p: F.ln(p)))
-    df = df.withColumn("_s", F.expr("flatten(transform(sequence(0, size(_lp) - 2), i -> transform(sequence(i + 1, size(_lp) - 1), j -> (_lp[j] - _lp[i]) / (j - i))))"))
-    df = df.withColumn("_slope", F.expr(_median("_s"))).drop("_s")
-    df = df.withColumn("_d", F.expr("transform(_lp, (x, i) -> x - _slope * i)")).withColumn("_cut", F.expr(_median("_d")))
-    df = df.withColumn("_res", F.expr("transform(_lp, (x, i) -> x - (_cut + _slope * i))"))
-    df = df.withColumn("_mean", F.expr("aggregate(_lp, 0D, (s, x) -> s + x) / size(_lp)")).withColumn("_rm", F.expr("aggregate(_res, 0D, (s, x) -> s + x) / size(_res)"))
-    rss, tss = F.expr("aggregate(_res, 0D, (s, x) -> s + x * x)"), F.expr("aggregate(_lp, 0D, (s, x) -> s + (x - _mean) * (x - _mean))")
-    r2 = F.when(tss == 0, F.when(rss == 0, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.try_divide(rss, tss))))
-    vol = F.sqrt(F.expr("aggregate(_res, 0D, (s, x) -> s + (x - _rm) * (x - _rm)) / (size(_res) - 1)"))
-    above = F.expr(f"size(filter(_res, x -> x >= -{TOUCH}D)) / size(_res)")
-    return df.withColumn(out, F.struct(F.col("_slope").alias("slope"), r2.alias("r2"), vol.alias("residual_vol"), above.alias("above"))).drop("_lp", "_slope", "_d", "_cut", "_res", "_mean", "_rm")
-
-
 METRICS = ["return21", "return63", "slope21", "slope63", "annualized63", "r2_63", "week_ratio", "residual_vol", "max_drawdown", "downside_vol", "excess21", "excess63", "acceleration", "largest_day", "above"]
+#: A window is spiky where one day holds so much of the movement, or of the gain.
+SPIKE_SHARE, SPIKE_GAIN = 0.35, 0.65
+
+
+def theil_sen(lp: np.ndarray) -> dict[str, np.ndarray]:
+    """Robust lines through rows of log prices: the median of all pairwise slopes, the median cut, and how well they fit."""
+    n = lp.shape[1]
+    if n < 2:
+        return dict.fromkeys(("slope", "r2", "residual_vol", "above"), np.full(len(lp), np.nan))
+    i, j = np.triu_indices(n, 1)
+    slope = np.median((lp[:, j] - lp[:, i]) / (j - i), 1)
+    line = slope[:, None] * np.arange(n)
+    rest = lp - (np.median(lp - line, 1)[:, None] + line)
+    rss, tss = (rest**2).sum(1), ((lp - lp.mean(1, keepdims=True)) ** 2).sum(1)
+    r2 = np.where(tss == 0, (rss == 0).astype(float), np.clip(1 - rss / np.where(tss == 0, 1, tss), 0, 1))
+    return {"slope": slope, "r2": r2, "residual_vol": rest.std(1, ddof=1), "above": (rest >= -TOUCH).mean(1)}
+
+
+def _deviation(r: np.ndarray) -> np.ndarray:
+    """Sample deviation of the negative log returns of each row; 0 with fewer than two."""
+    below = r < 0
+    k = below.sum(1)
+    mean = np.where(below, r, 0).sum(1) / np.maximum(k, 1)
+    return np.sqrt(np.where(below, (r - mean[:, None]) ** 2, 0).sum(1) / np.maximum(k - 1, 1)) * (k > 1)
+
+
+def window_metrics(prices: np.ndarray) -> dict[str, np.ndarray]:
+    """Metrics of windows of equally many prices (windows, sessions); NaN where a window is too short."""
+    m, size = prices.shape
+    last = prices[:, -SPAN:]
+    lp = np.log(last)
+    whole, recent, past = theil_sen(lp), theil_sen(lp[:, -RECENT:]), theil_sen(lp[:, : max(lp.shape[1] - RECENT, 0)])
+    back = {n: prices[:, -1] / prices[:, -n - 1] - 1 if size > n else np.full(m, np.nan) for n in (RECENT, SPAN)}
+    day = last[:, 1:] / last[:, :-1] - 1
+    moved = np.abs(day).sum(1)
+    weeks = np.arange(0, last.shape[1] - 5, 5)
+    gain = last[:, -1] / last[:, 0] - 1
+    best = np.maximum(day.max(1), 0) if day.shape[1] else np.full(m, np.nan)
+    out = {
+        "return21": back[RECENT], "return63": back[SPAN], "slope21": recent["slope"], "slope63": whole["slope"], "annualized63": np.exp(whole["slope"] * 252) - 1,
+        "r2_63": whole["r2"], "week_ratio": (last[:, weeks + 5] > last[:, weeks]).mean(1) if len(weeks) else np.full(m, np.nan), "residual_vol": whole["residual_vol"],
+        "max_drawdown": (last / np.maximum.accumulate(last, 1) - 1).min(1), "downside_vol": _deviation(np.diff(lp, axis=1)), "acceleration": recent["slope"] - past["slope"],
+        "largest_day": np.where(moved > 0, np.abs(day).max(1, initial=0) / np.where(moved > 0, moved, 1), np.nan), "above": whole["above"],
+    }
+    rising = last[:, -1] > last[:, 0]
+    out["spiky"] = np.nan_to_num(out["largest_day"]) >= SPIKE_SHARE
+    out["spiky"] |= rising & (np.nan_to_num(best) / np.where(rising, gain, 1) >= SPIKE_GAIN)
+    return out
 
 
-def metrics(win: DataFrame) -> DataFrame:
-    """The 15 metrics (8 digits) of windows that also carry bench returns ``bench21`` and ``bench63``."""
-    df = win.withColumn("_all", F.expr("transform(points, x -> x.price)")).withColumn("_p63", F.expr(f"slice(_all, greatest(size(_all) - {SPAN - 1}, 1), {SPAN})"))
-    df = df.withColumn("_p21", F.expr(f"slice(_p63, greatest(size(_p63) - {RECENT - 1}, 1), {RECENT})"))
-    df = df.withColumn("_p42", F.expr(f"slice(_p63, 1, size(_p63) - {RECENT})"))
-    df = theil_sen(theil_sen(theil_sen(df, "_p63", "_f63"), "_p21", "_f21"), "_p42", "_f42")
-    df = df.withColumn("_r", F.expr("transform(sequence(1, size(_p63) - 1), i -> _p63[i] / _p63[i - 1] - 1)"))
-    df = df.withColumn("_down", F.expr("transform(filter(sequence(1, size(_p63) - 1), i -> _p63[i] < _p63[i - 1]), i -> ln(_p63[i] / _p63[i - 1]))"))
-    df = df.withColumn("_dm", F.expr("try_divide(aggregate(_down, 0D, (s, x) -> s + x), size(_down))"))
-    r21, r63 = F.expr(f"_all[size(_all) - 1] / _all[size(_all) - {RECENT + 1}] - 1"), F.expr(f"_all[size(_all) - 1] / _all[size(_all) - {SPAN + 1}] - 1")
-    weeks = "filter(sequence(0, size(_p63) - 6), i -> i % 5 = 0)"
-    worst = F.expr("aggregate(_p63, named_struct('peak', 0D, 'worst', 0D), (a, p) -> named_struct('peak', greatest(a.peak, p), 'worst', least(a.worst, p / greatest(a.peak, p) - 1)), a -> a.worst)")
-    down = F.expr("case when size(_down) > 1 then sqrt(aggregate(_down, 0D, (s, x) -> s + (x - _dm) * (x - _dm)) / (size(_down) - 1)) else 0D end")
-    df = df.withColumn("_r21", r21).withColumn("_r63", r63)
-    values = {
-        "return21": F.col("_r21"), "return63": F.col("_r63"), "slope21": F.col("_f21.slope"), "slope63": F.col("_f63.slope"), "annualized63": F.exp(F.col("_f63.slope") * 252) - 1,
-        "r2_63": F.col("_f63.r2"), "week_ratio": F.expr(f"size(filter({weeks}, i -> _p63[i + 5] > _p63[i])) / size({weeks})"), "residual_vol": F.col("_f63.residual_vol"), "max_drawdown": worst, "downside_vol": down,
-        "excess21": F.col("_r21") - F.col("bench21"), "excess63": F.col("_r63") - F.col("bench63"), "acceleration": F.col("_f21.slope") - F.col("_f42.slope"),
-        "largest_day": F.expr("try_divide(array_max(transform(_r, x -> abs(x))), aggregate(_r, 0D, (s, x) -> s + abs(x)))"), "above": F.col("_f63.above"),
-    }
-    gain = F.expr("greatest(array_max(_r), 0D)") / F.when(F.expr("_p63[size(_p63) - 1] > _p63[0]"), F.expr("_p63[size(_p63) - 1] / _p63[0] - 1"))
-    df = df.withColumn("spiky", flag(values["largest_day"] >= 0.35) | flag(gain >= 0.65)).withColumn("sessions", F.size("_p63"))
-    return df.select("ticker", "e", "day", "sessions", "spiky", *[F.round(values[m], 8).alias(m) for m in METRICS])
+def metrics(win: DataFrame, per: int = 256) -> DataFrame:
+    """The 15 metrics (8 digits) of windows that also carry ``bench21``, ``bench63`` (bench returns) and ``bench_known`` (its sessions so far).
+
+    One Arrow-batched step gives plain columns, so that a later filter on them
+    is no copy of what they are made of. ``per`` windows of one length at a time.
+    """
+    rows = win.select("ticker", "e", "day", F.transform("points", lambda p: p["price"]).alias("prices"), F.col("bench21").cast("double"), F.col("bench63").cast("double"), F.col("bench_known").cast("int"))
+    schema = rows.select("ticker", "e", "day", "bench_known").schema.add("sessions", "integer").add("spiky", "boolean")
+    for c in METRICS:
+        schema = schema.add(c, "double")
+
+    def run(batches):
+        for b in batches:
+            column = b.column(3)
+            size = np.diff(column.offsets.to_numpy())
+            found = {c: np.full(b.num_rows, np.nan) for c in METRICS}
+            spiky = np.zeros(b.num_rows, bool)
+            flat = column.values.to_numpy(zero_copy_only=False)
+            at = column.offsets.to_numpy()
+            for n in np.unique(size[size > 0]):
+                own = np.flatnonzero(size == n)
+                for k in range(0, len(own), per):
+                    part = own[k : k + per]
+                    for c, v in window_metrics(flat[at[part][:, None] + np.arange(n)]).items():
+                        (spiky if c == "spiky" else found[c])[part] = v
+            bench = {n: b.column(c).to_numpy(zero_copy_only=False) for n, c in ((21, 4), (63, 5))}
+            for n in (21, 63):
+                found[f"excess{n}"] = found[f"return{n}"] - bench[n]
+            cols = [pa.array(np.minimum(size, SPAN).astype(np.int32)), pa.array(spiky), *(pa.array(found[c], from_pandas=True) for c in METRICS)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(6), *cols], names=["ticker", "e", "day", "bench_known", "sessions", "spiky", *METRICS])
+
+    out = rows.mapInArrow(run, schema)
+    return out.select("ticker", "e", "day", "bench_known", "sessions", "spiky", *[F.round(c, 8).alias(c) for c in METRICS])
 
 
 def scores(m: DataFrame) -> DataFrame:
@@ -87,12 +130,14 @@ def scores(m: DataFrame) -> DataFrame:
     m = m.withColumns({k: F.round(v, 4) for k, v in parts.items()})
     total = F.round(weighted_mean([("direction", 0.30), ("consistency", 0.25), ("relative", 0.20), ("drawdown_control", 0.15), ("confirmation", 0.10)]), 4)
     m = m.withColumn("total", F.when(F.col("spiky"), F.least(total, F.lit(54.0))).otherwise(total))
+    # a generator, so that a filter on what follows isn't rewritten in terms of all the sums above
+    m = m.select(*[c for c in m.columns if c != "total"], F.explode(F.array("total")).alias("total"))
     rising = (F.col("slope63") > 0) & (F.col("return63") > 0) & ~F.col("spiky")
     detected = (F.col("total") >= 70) & rising & (F.col("return21") >= 0) & (F.col("r2_63") >= 0.45) & (F.col("week_ratio") >= 0.60) & (F.col("max_drawdown") >= -0.15)
-    status = ladder([((F.col("sessions") < 50) | F.col("total").isNull(), "unavailable"), (detected, "detected"), ((F.col("total") >= 55) & rising, "emerging")], "not_detected")
+    status = ladder([((F.col("sessions") < LEAST) | (F.col("bench_known") < LEAST) | F.col("total").isNull(), "unavailable"), (detected, "detected"), ((F.col("total") >= 55) & rising, "emerging")], "not_detected")
     m = m.withColumn("status", status)
     reasons = codes([
-        (F.col("status") == "detected", "GROWTH_SPURT_DETECTED"), (F.col("status") == "emerging", "GROWTH_SPURT_EMERGING"), (F.col("status") == "unavailable", "TREND_HISTORY_INSUFFICIENT"),
+        (F.col("status") == "detected", "GROWTH_SPURT_DETECTED"), (F.col("status") == "emerging", "GROWTH_SPURT_EMERGING"), (F.col("sessions") < LEAST, "TREND_HISTORY_INSUFFICIENT"), ((F.col("sessions") >= LEAST) & (F.col("bench_known") < LEAST), "SPY_BENCHMARK_UNAVAILABLE"),
         ((F.col("slope63") > 0) & (F.col("annualized63") > 0.20), "TREND_SLOPE_STRONG"), ((F.col("r2_63") >= 0.45) & (F.col("week_ratio") >= 0.60), "TREND_CONSISTENCY_STRONG"),
         (F.col("relative") >= 60, "MARKET_RELATIVE_STRENGTH"), (F.col("relative") < 60, "TREND_WEAK_RELATIVE_TO_MARKET"), (F.col("max_drawdown") >= -0.08, "LOW_TREND_DRAWDOWN"),
         ((F.col("return21") >= 0) & (F.col("slope21") > 0), "RECENT_TREND_CONFIRMED"), (F.col("consistency") < 45, "TREND_TOO_VOLATILE"), (F.col("spiky"), "ONE_DAY_SPIKE_DOMINATED")])

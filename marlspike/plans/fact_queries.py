@@ -354,20 +354,15 @@ def cross_config(spark, sf):
     return table(spark, sf, "supplier").withColumn("multiplier", F.explode(F.array(F.lit(0.8), F.lit(1.2)))).select("s_suppkey", "multiplier", _r(F.col("s_acctbal") * F.col("multiplier"), 4).alias("scaled"))
 
 
-@query(f"WITH {BARS}, {FACTS}, d AS (SELECT ticker, day FROM bars WHERE idx % 100 = 99) SELECT d.ticker, d.day, count(*) AS known, arg_max(f.value, (f.period_end, f.filed, f.accession)) AS latest_value FROM d JOIN facts f ON f.entity = d.ticker AND f.filed <= d.day GROUP BY 1, 2")
-def pit_snapshot_join(spark, sf, dates=None):
-    d = (bars(spark, sf).where("idx % 100 = 99") if dates is None else dates).select("ticker", "day")
+@query(f"WITH {BARS}, {FACTS}, d AS (SELECT ticker, day FROM bars WHERE idx >= 126 AND (idx - 126) % 21 = 0) SELECT d.ticker, d.day, count(*) AS known, arg_max(f.value, (f.period_end, f.filed, f.accession)) AS latest_value FROM d JOIN facts f ON f.entity = d.ticker AND f.filed <= d.day GROUP BY 1, 2")
+def pit_snapshot_join(spark, sf):
+    """The facts known at each of the backtest's signal dates."""
+    d = P.snapshots(bars(spark, sf), 21, 126).where("is_snapshot").select("ticker", "day")
     f = facts(spark, sf).withColumnRenamed("entity", "ticker")
     j = d.join(f, (d.ticker == f.ticker) & (f.filed <= d.day)).select(d.ticker, "day", "value", "period_end", "filed", "accession")
     return j.groupBy("ticker", "day").agg(F.count(F.lit(1)).alias("known"), F.max_by("value", F.struct("period_end", "filed", "accession")).alias("latest_value"))
 
 
-@query(f"WITH {BARS}, {FACTS}, d AS (SELECT ticker, day FROM bars WHERE idx >= 126 AND (idx - 126) % 21 = 0) SELECT d.ticker, d.day, count(*) AS known, arg_max(f.value, (f.period_end, f.filed, f.accession)) AS latest_value FROM d JOIN facts f ON f.entity = d.ticker AND f.filed <= d.day GROUP BY 1, 2")
-def pit_snapshot_join_whole(spark, sf):
-    """The facts known at each of the backtest's signal dates; the query above takes each 100th session, as its SQL does."""
-    return pit_snapshot_join(spark, sf, P.snapshots(bars(spark, sf), 21, 126).where("is_snapshot"))
-
-
 @query("WITH u AS (SELECT s_nationkey AS k, s_suppkey AS id, 0 AS pri FROM supplier UNION ALL SELECT c_nationkey, c_custkey, 1 FROM customer) SELECT k, id, pri FROM u QUALIFY row_number() OVER (PARTITION BY k, id ORDER BY pri) = 1")
 def union_dedupe_priority(spark, sf):
     u = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"), F.lit(0).alias("pri")).unionByName(table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("id"), F.lit(1).alias("pri")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlspike.operators import prices as P
 from marlspike.operators import trend as T
 
-from .domain import BARS, BENCH, bars, benchmark_bars
+from .domain import BARS, BENCH, SECURITIES, bars, benchmark_bars, securities
 from .registry import query
 
 
@@ -16,6 +16,10 @@ def _r(c, d: int = 6):
     return F.round(c, d)
 
 
+#: Sessions after which the trend detector's signals are judged, and what makes one a false positive.
+AFTER = (21, 30, 63, 90)
+FALSE_RETURN, FALSE_DRAWDOWN = -0.05, -0.15
+
 LAST = "QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY day DESC) = 1"
 
 
@@ -59,14 +63,8 @@ def max_drawdown_252(spark, sf):
     return P.drawdown_last(bars(spark, sf), 252).select("ticker", _r("drawdown").alias("drawdown"))
 
 
-@query(f"WITH {BARS}, s AS (SELECT ticker, idx AS e, day FROM bars WHERE idx % 21 = 0), p AS (SELECT s.ticker, s.day, b.price, max(b.price) OVER (PARTITION BY s.ticker, s.e ORDER BY b.idx) AS peak FROM s JOIN bars b ON b.ticker = s.ticker AND b.idx BETWEEN s.e - 63 AND s.e) SELECT ticker, day, round(least(0, min(price / peak - 1)), 6) AS drawdown_63 FROM p GROUP BY ticker, day")
-def rolling_drawdown_63(spark, sf):
-    return bars(spark, sf).select("ticker", "day", "idx", _r(P.rolling_drawdown(63)).alias("drawdown_63")).where("idx % 21 = 0").drop("idx")
-
-
 @query(f"WITH {BARS}, p AS (SELECT s.ticker, s.day, b.price, max(b.price) OVER (PARTITION BY s.ticker, s.idx ORDER BY b.idx) AS peak FROM bars s JOIN bars b ON b.ticker = s.ticker AND b.idx BETWEEN s.idx - 63 AND s.idx) SELECT ticker, day, round(least(0, min(price / peak - 1)), 6) AS drawdown_63 FROM p GROUP BY ticker, day")
-def rolling_drawdown_63_whole(spark, sf):
-    """Every session's drawdown; the query above keeps each 21st, as its SQL does."""
+def rolling_drawdown_63(spark, sf):
     return bars(spark, sf).select("ticker", "day", _r(P.rolling_drawdown(63)).alias("drawdown_63"))
 
 
@@ -116,12 +114,18 @@ def asof_forward_calendar(spark, sf):
     return bars(spark, sf).select("ticker", "day", _r(P.target_after(30)).alias("target_30"))
 
 
-def _events(spark, sf) -> DataFrame:
-    """(ticker, signal, signal_day, entry_day, entry_price, entry_idx): snapshots entered at the next session."""
+HORIZONS = (30, 60, 90)
+
+
+def _events(spark, sf, horizons: tuple[int, ...] = ()) -> DataFrame:
+    """(ticker, signal, signal_day, entry_day, entry_price, entry_idx): snapshots entered at the next session.
+
+    With ``horizons`` also ``after``: the outcome of each horizon that the series reaches."""
     b = bars(spark, sf)
-    rows = b.select("ticker", "day", "idx", "n", "price", P.n_return(30).alias("r30"), F.lead("day").over(P.by_day()).alias("entry_day"), F.lead("price").over(P.by_day()).alias("entry_price"))
+    rows = b.select("ticker", "day", "idx", "n", "price", P.n_return(30).alias("r30"), F.lead("day").over(P.by_day()).alias("entry_day"), F.lead("price").over(P.by_day()).alias("entry_price"), *([P.outcomes(horizons).alias("after")] if horizons else []))
     signal = F.when(F.col("r30") >= 0, "up").otherwise("down")
-    return rows.where("idx >= 252 and (idx - 252) % 21 = 0 and entry_day is not null").select("ticker", signal.alias("signal"), F.col("day").alias("signal_day"), "entry_day", "entry_price", (F.col("idx") + 1).alias("entry_idx"))
+    rows = rows.where("idx >= 252 and (idx - 252) % 21 = 0 and entry_day is not null")
+    return rows.select("ticker", signal.alias("signal"), F.col("day").alias("signal_day"), "entry_day", "entry_price", (F.col("idx") + 1).alias("entry_idx"), *(["after"] if horizons else []))
 
 
 EVENTS = f"""WITH {BARS}, {BENCH}, e0 AS (SELECT ticker, day, idx, price / lag(price, 30) OVER w - 1 AS r30, lead(day) OVER w AS entry_day, lead(price) OVER w AS entry_price FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY day)),
@@ -133,20 +137,19 @@ def next_session_entry(spark, sf):
     return _events(spark, sf)
 
 
+def _against_benchmark(events: DataFrame, bench: DataFrame) -> DataFrame:
+    """One row for each outcome in ``after``, with forward, benchmark and excess return and the worst price on the way against the entry."""
+    e = events.withColumn("o", F.explode("after")).select(*events.drop("after").columns, "o.*")
+    s1, s2 = (bench.select(F.col("day").alias(d), F.col("price").alias(c)) for d, c in (("entry_day", "s1"), ("outcome_day", "s2")))
+    e = e.join(s1, "entry_day", "left").join(s2, "outcome_day", "left").where("entry_price > 0")
+    e = e.withColumn("fwd", F.col("outcome_price") / F.col("entry_price") - 1).withColumn("bench", F.when(F.col("s1") > 0, F.col("s2") / F.col("s1") - 1))
+    return e.withColumn("excess", F.col("fwd") - F.col("bench")).withColumn("adverse", F.col("low") / F.col("entry_price") - 1)
+
+
 def observations(spark, sf) -> DataFrame:
     """Outcomes after 30, 60 and 90 sessions against the benchmark on the same days."""
-    b, s = bars(spark, sf), benchmark_bars(spark, sf)
-    e = _events(spark, sf).withColumn("horizon", F.explode(F.array(F.lit(30), F.lit(60), F.lit(90))))
-    out = b.select("ticker", F.col("idx").alias("out_idx"), F.col("day").alias("outcome_day"), F.col("price").alias("outcome_price"))
-    e = e.withColumn("out_idx", F.col("entry_idx") + F.col("horizon")).join(out, ["ticker", "out_idx"])
-    # the lowest price on the way: per event from the bars between, by a join on ticker and session
-    path = e.select("ticker", "entry_idx", "horizon", F.explode(F.sequence("entry_idx", "out_idx")).alias("idx")).join(b.select("ticker", "idx", "price"), ["ticker", "idx"])
-    low = path.groupBy("ticker", "entry_idx", "horizon").agg(F.min("price").alias("low"))
-    e = e.join(low, ["ticker", "entry_idx", "horizon"])
-    s1, s2 = s.select(F.col("day").alias("entry_day"), F.col("price").alias("s1")), s.select(F.col("day").alias("outcome_day"), F.col("price").alias("s2"))
-    e = e.join(s1, "entry_day").join(s2, "outcome_day").where("s1 > 0 and entry_price > 0")
-    fwd, bench = F.col("outcome_price") / F.col("entry_price") - 1, F.col("s2") / F.col("s1") - 1
-    return e.select("ticker", "signal", "signal_day", "entry_day", "outcome_day", "horizon", _r(fwd).alias("forward_return"), _r(bench).alias("bench_return"), _r(fwd - bench).alias("excess_return"), _r(F.col("low") / F.col("entry_price") - 1).alias("adverse_drawdown"), F.when(bench >= 0, "benchmark_up").otherwise("benchmark_down").alias("regime"))
+    e = _against_benchmark(_events(spark, sf, HORIZONS), benchmark_bars(spark, sf)).where("bench is not null")
+    return e.select("ticker", "signal", "signal_day", "entry_day", "outcome_day", "horizon", _r("fwd").alias("forward_return"), _r("bench").alias("bench_return"), _r("excess").alias("excess_return"), _r("adverse").alias("adverse_drawdown"), F.when(F.col("bench") >= 0, "benchmark_up").otherwise("benchmark_down").alias("regime"))
 
 
 OBS = EVENTS + """, obs AS (SELECT e.ticker, signal, signal_day, entry_day, o.day AS outcome_day, h.horizon,
@@ -166,15 +169,8 @@ def offset_outcome(spark, sf):
     return observations(spark, sf).where("horizon = 30").select("ticker", "entry_day", "horizon", "outcome_day", "forward_return")
 
 
-@query(f"WITH {BARS}, {BENCH} SELECT b.ticker, b.day, b.price, s.price AS bench_price FROM bars b JOIN bench s ON b.day = s.day WHERE b.idx % 10 = 0")
-def exact_benchmark_align(spark, sf):
-    b = bars(spark, sf).where("idx % 10 = 0").select("ticker", "day", "price")
-    return b.join(benchmark_bars(spark, sf).select("day", F.col("price").alias("bench_price")), "day")
-
-
 @query(f"WITH {BARS}, {BENCH} SELECT b.ticker, b.day, b.price, s.price AS bench_price FROM bars b JOIN bench s ON b.day = s.day")
-def exact_benchmark_align_whole(spark, sf):
-    """Every session beside the benchmark's; the query above keeps each tenth, as its SQL does."""
+def exact_benchmark_align(spark, sf):
     return bars(spark, sf).select("ticker", "day", "price").join(benchmark_bars(spark, sf).select("day", F.col("price").alias("bench_price")), "day")
 
 
@@ -206,14 +202,15 @@ def leakage_rejects(spark, sf):
 def _trend(spark, sf, history: bool) -> DataFrame:
     b = bars(spark, sf)
     if history:
-        win = T.spaced_windows(b, 21, 126)
+        win = T.spaced_windows(b, 21, 126, ahead=max(AFTER) + 1)
     else:
         win = T.windows(b, b.where("idx = n - 1").select("ticker", F.col("idx").alias("e")))
     # the benchmark as of each bar's day, once; its returns are then lags within the series
-    marked = P.asof_backward(b.select("ticker", "idx", "day"), benchmark_bars(spark, sf), out="s")
+    bench = benchmark_bars(spark, sf).select("day", F.struct("price", "idx").alias("v"))
+    marked = P.asof_backward(b.select("ticker", "idx", "day"), bench, value="v", out="v").select("ticker", "idx", "day", F.col("v.price").alias("s"), (F.col("v.idx") + 1).alias("known"))
     ret = [F.when(F.lag("s", n).over(P.by_day()) > 0, F.col("s") / F.lag("s", n).over(P.by_day()) - 1).alias(f"bench{n}") for n in (21, 63)]
-    bench = marked.select("ticker", F.col("idx").alias("e"), *ret)
-    return T.scores(T.metrics(win.join(bench, ["ticker", "e"], "left")))
+    marked = marked.select("ticker", F.col("idx").alias("e"), F.coalesce("known", F.lit(0)).alias("bench_known"), *ret)
+    return T.scores(T.metrics(win.join(marked, ["ticker", "e"], "left")))
 
 
 def _fit(name: str, low: str, high: str) -> str:
@@ -242,7 +239,7 @@ def _part(x: str, target: float) -> str:
 
 
 def trend_sql(history: bool) -> str:
-    snap = "SELECT ticker, idx AS e, day FROM bars WHERE idx >= 126 AND (idx - 126) % 21 = 0" if history else "SELECT ticker, idx AS e, day FROM bars WHERE idx = n - 1"
+    snap = f"SELECT ticker, idx AS e, day FROM bars WHERE idx >= 126 AND (idx - 126) % 21 = 0 AND idx < n - {max(AFTER) + 1}" if history else "SELECT ticker, idx AS e, day FROM bars WHERE idx = n - 1"
     return f"""WITH {BARS}, {BENCH}, snap AS MATERIALIZED ({snap}), {_fit('ta', 's.e - 62', 's.e')}, {_fit('tc', 's.e - 20', 's.e')}, {_fit('td', 's.e - 62', 's.e - 21')},
 ret AS (SELECT s.ticker, s.e, s.day, b0.price / b21.price - 1 AS r21, b0.price / b63.price - 1 AS r63, b21.day AS d21, b63.day AS d63 FROM snap s JOIN bars b0 ON b0.ticker = s.ticker AND b0.idx = s.e JOIN bars b21 ON b21.ticker = s.ticker AND b21.idx = s.e - 21 JOIN bars b63 ON b63.ticker = s.ticker AND b63.idx = s.e - 63),
 be AS (SELECT r.ticker, r.e, x.price AS b1 FROM ret r ASOF LEFT JOIN bench x ON r.day >= x.day), b21 AS (SELECT r.ticker, r.e, x.price AS b21 FROM ret r ASOF LEFT JOIN bench x ON r.d21 >= x.day), b63 AS (SELECT r.ticker, r.e, x.price AS b63 FROM ret r ASOF LEFT JOIN bench x ON r.d63 >= x.day),
@@ -284,30 +281,44 @@ def trend_percentiles(spark, sf):
     return rows.withColumn("pct", _r(P.average_rank("score", ["field"]))).drop("field")
 
 
-def _history(spark, sf) -> DataFrame:
-    """Detected snapshots with their outcomes after 21, 30, 63 and 90 sessions."""
-    b = bars(spark, sf)
-    d = _trend(spark, sf, True).where("status = 'detected' or status = 'emerging'").select("ticker", "e", "day", "status")
-    d = d.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in (21, 30, 63, 90)])))
-    now = b.select("ticker", F.col("idx").alias("e"), F.col("price").alias("p0"))
-    path = d.join(now, ["ticker", "e"]).withColumn("idx", F.explode(F.sequence("e", F.col("e") + F.col("horizon")))).join(b.select("ticker", "idx", "price"), ["ticker", "idx"])
-    o = path.groupBy("ticker", "e", "day", "status", "horizon").agg(F.max_by("price", "idx").alias("p1"), F.max("idx").alias("last"), F.min("price").alias("low"), F.first("p0").alias("p0")).where("last = e + horizon")
-    fwd, dd = F.col("p1") / F.col("p0") - 1, F.col("low") / F.col("p0") - 1
-    return o.select("ticker", "day", "status", "horizon", _r(fwd).alias("forward_return"), _r(dd).alias("drawdown"), ((fwd <= -0.05) | (dd <= -0.15)).alias("false_positive"))
+def _history(spark, sf, digits: int = 6) -> DataFrame:
+    """Detected snapshots, entered at the next session, with their outcomes after 21, 30, 63 and 90 sessions."""
+    d = _trend(spark, sf, True).where("status = 'detected'").select("ticker", "e", F.col("day").alias("signal_day"), "score")
+    path = bars(spark, sf).select("ticker", F.col("idx").alias("e"), F.lead("day").over(P.by_day()).alias("entry_day"), F.lead("price").over(P.by_day()).alias("entry_price"), P.outcomes(AFTER).alias("after"))
+    o = _against_benchmark(d.join(path, ["ticker", "e"]), benchmark_bars(spark, sf))
+    o = o.join(securities(spark, sf).select("ticker", "sector"), "ticker", "left")
+    return o.select("ticker", F.coalesce("sector", F.lit("unknown")).alias("sector"), F.year("signal_day").cast("string").alias("year"), "signal_day", "entry_day", F.col("outcome_day").alias("exit_day"), "horizon", _r("score", 1).alias("score"), _r("fwd", digits).alias("forward_return"), _r("bench", digits).alias("bench_return"), _r("excess", digits).alias("excess_return"), _r("adverse", digits).alias("drawdown"),
+                    F.when(F.col("bench") > 0, "positive").otherwise("non_positive").alias("regime"), (F.coalesce(F.col("fwd") <= FALSE_RETURN, F.lit(False)) | F.coalesce(F.col("adverse") <= FALSE_DRAWDOWN, F.lit(False))).alias("false_positive"))
 
 
-HISTORY = trend_sql(True) + """, det AS (SELECT ticker, e, day, status, h.horizon FROM trend CROSS JOIN (SELECT unnest([21, 30, 63, 90])::INT AS horizon) h WHERE status IN ('detected', 'emerging')),
-hist AS (SELECT d.ticker, d.day, d.status, d.horizon, o.price / p.price - 1 AS f, (SELECT min(x.price) FROM bars x WHERE x.ticker = d.ticker AND x.idx BETWEEN d.e AND d.e + d.horizon) / p.price - 1 AS dd
- FROM det d JOIN bars p ON p.ticker = d.ticker AND p.idx = d.e JOIN bars o ON o.ticker = d.ticker AND o.idx = d.e + d.horizon),
-history AS (SELECT ticker, day, status, horizon, round(f, 6) AS forward_return, round(dd, 6) AS drawdown, f <= -0.05 OR dd <= -0.15 AS false_positive FROM hist)"""
+def _history_sql(digits: int = 6) -> str:
+    return trend_sql(True) + f""", det AS (SELECT ticker, e, day, score, h.horizon FROM trend CROSS JOIN (SELECT unnest({list(AFTER)})::INT AS horizon) h WHERE status = 'detected'), {SECURITIES},
+hist AS (SELECT d.*, p.day AS entry_day, o.day AS exit_day, o.price / p.price - 1 AS f, s2.price / s1.price - 1 AS s, (SELECT min(x.price) FROM bars x WHERE x.ticker = d.ticker AND x.idx BETWEEN d.e + 1 AND d.e + 1 + d.horizon) / p.price - 1 AS dd
+ FROM det d JOIN bars p ON p.ticker = d.ticker AND p.idx = d.e + 1 JOIN bars o ON o.ticker = d.ticker AND o.idx = d.e + 1 + d.horizon LEFT JOIN bench s1 ON s1.day = p.day LEFT JOIN bench s2 ON s2.day = o.day),
+history AS (SELECT h.ticker, coalesce(sector, 'unknown') AS sector, year(day)::VARCHAR AS year, day AS signal_day, entry_day, exit_day, horizon, round(score, 1) AS score, round(f, {digits}) AS forward_return, round(s, {digits}) AS bench_return, round(f - s, {digits}) AS excess_return, round(dd, {digits}) AS drawdown,
+ CASE WHEN s > 0 THEN 'positive' ELSE 'non_positive' END AS regime, coalesce(f <= {FALSE_RETURN}, false) OR coalesce(dd <= {FALSE_DRAWDOWN}, false) AS false_positive FROM hist h LEFT JOIN securities USING (ticker))"""
 
 
-@query(HISTORY + " SELECT * FROM history")
+@query(_history_sql() + " SELECT * FROM history")
 def trend_history(spark, sf):
     return _history(spark, sf)
 
 
-@query(HISTORY + " SELECT coalesce(status, 'all') AS status, horizon, count(*) AS n, round(avg(CASE WHEN forward_return > 0 THEN 1.0::DOUBLE ELSE 0 END), 5) AS positive, round(median(forward_return), 5) AS median_return, round(avg(forward_return), 5) AS mean_return, round(avg(CASE WHEN false_positive THEN 1.0::DOUBLE ELSE 0 END), 5) AS false_positive_rate FROM history GROUP BY GROUPING SETS ((status, horizon), (horizon))")
+def _summary(true: str, share: str) -> str:
+    """Outcomes of all observations, and by horizon, market, sector and year."""
+    one = f"CASE WHEN {{}} THEN {true} ELSE {share} END"
+    return f"""SELECT CASE WHEN grouping(horizon) = 0 THEN 'horizon' WHEN grouping(regime) = 0 THEN 'regime' WHEN grouping(sector) = 0 THEN 'sector' ELSE 'year' END AS grouped_by,
+ coalesce(CAST(horizon AS VARCHAR(20)), regime, sector, year) AS value, count(*) AS n, round(avg({one.format('forward_return > 0')}), 5) AS positive, round(median(forward_return), 5) AS median_return, round(avg(forward_return), 5) AS mean_return,
+ round(median(excess_return), 5) AS median_excess, round(avg(excess_return), 5) AS mean_excess, round(median(drawdown), 5) AS median_drawdown, round(avg(drawdown), 5) AS mean_drawdown,
+ round(avg({one.format('false_positive')}), 5) AS false_positive_rate, sum(CASE WHEN false_positive THEN 1 ELSE 0 END) AS false_positives FROM history GROUP BY GROUPING SETS ((horizon), (regime), (sector), (year))"""
+
+
+@query(_history_sql(12) + " " + _summary("1.0::DOUBLE", "0.0::DOUBLE"))
 def trend_history_groups(spark, sf):
-    _history(spark, sf).createOrReplaceTempView("trend_outcomes")
-    return spark.sql("SELECT coalesce(status, 'all') AS status, horizon, count(*) AS n, round(avg(if(forward_return > 0, 1D, 0D)), 5) AS positive, round(median(forward_return), 5) AS median_return, round(avg(forward_return), 5) AS mean_return, round(avg(if(false_positive, 1D, 0D)), 5) AS false_positive_rate FROM trend_outcomes GROUP BY GROUPING SETS ((status, horizon), (horizon))")
+    return spark.sql("WITH history AS (SELECT * FROM {rows}) " + _summary("1D", "0D"), rows=_history(spark, sf, 12))
+
+
+@query(trend_sql(True) + " SELECT status, count(*) AS n, count(DISTINCT ticker) AS tickers FROM trend GROUP BY status")
+def trend_history_sample(spark, sf):
+    """How many snapshots were judged, by status."""
+    return _trend(spark, sf, True).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticker").alias("tickers"))

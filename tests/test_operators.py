@@ -63,7 +63,7 @@ def test_balance_ratios_and_negative_equity(spark):
 
 def test_trend_smooth_and_flat(spark):
     b = series(spark, [100 * 1.003**i for i in range(130)]).unionByName(series(spark, [100.0] * 130, 2))
-    win = T.windows(b, b.where("idx = n - 1").select("ticker", F.col("idx").alias("e"))).withColumn("bench21", F.lit(0.0)).withColumn("bench63", F.lit(0.0))
+    win = T.windows(b, b.where("idx = n - 1").select("ticker", F.col("idx").alias("e"))).withColumns({"bench21": F.lit(0.0), "bench63": F.lit(0.0), "bench_known": F.lit(130)})
     up, flat = T.scores(T.metrics(win)).orderBy("ticker").collect()
     assert up["status"] == "detected" and up["slope63"] == pytest.approx(math.log(1.003), abs=1e-8) and up["r2_63"] == 1
     assert flat["status"] == "not_detected" and flat["return63"] == 0
@@ -139,12 +139,12 @@ def test_whole_searches_ask_every_row(spark, sf_dir):
     assert got("cosine_topk_whole", "query_id") == vectors and got("hybrid_fuse_whole", "query_id") == vectors | items
 
 
-def test_whole_price_rows_are_not_thinned(spark, sf_dir):
+def test_price_rows_are_not_thinned(spark, sf_dir):
     from marlspike.plans import catalogue
     from marlspike.plans.domain import bars
 
     q, every = catalogue.queries(), bars(spark, sf_dir).select("ticker", "day")
-    assert q["rolling_drawdown_63_whole"](spark, sf_dir).count() == every.count()
-    assert q["exact_benchmark_align_whole"](spark, sf_dir).join(every, ["ticker", "day"], "left_semi").count() > 5 * q["exact_benchmark_align"](spark, sf_dir).count()
-    dates = q["pit_snapshot_join_whole"](spark, sf_dir).select("ticker", "day")
+    assert q["rolling_drawdown_63"](spark, sf_dir).count() == every.count()
+    assert q["exact_benchmark_align"](spark, sf_dir).join(every, ["ticker", "day"], "left_semi").count() == every.count()
+    dates = q["pit_snapshot_join"](spark, sf_dir).select("ticker", "day")
     assert dates.count() > 0 and dates.subtract(q["systematic_sample"](spark, sf_dir).select("ticker", "day")).count() == 0
