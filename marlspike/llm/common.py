@@ -113,6 +113,19 @@ def many_to_one(rows: DataFrame, ones: DataFrame, key: str, count: str) -> DataF
     return spread.unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
+#: Edge lists up to this length (16 bytes each) fit one task; their steps are joined in one plan.
+FEW_EDGES = 1_000_000
+
+
+def _with_lowest(edges: DataFrame, lowest: Column, few: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """``edges(u, v)`` with ``m``, the ``lowest`` of each u, and the tables written on the way."""
+    m = edges.groupBy("u").agg(lowest.alias("m"), F.count(F.lit(1)).alias("c"))
+    if few:
+        return edges.join(m.drop("c"), "u"), []
+    m = materialize(m, "cc-lowest")
+    return many_to_one(edges, m, "u", "c"), [m]
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label each vertex of ``edges(a long, b long)`` with the smallest vertex it reaches.
 
@@ -124,16 +137,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     last = None
     while True:
+        few = last is not None and last[0] <= FEW_EDGES  # then a hot vertex is no burden, and tables between the steps are
         both = e.union(e.select(F.col("v"), F.col("u")))
-        m = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("c")), "cc-large")
-        large = materialize(many_to_one(both, m, "u", "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-edges")
-        ms = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")), "cc-small")
-        moved = many_to_one(large, ms, "u", "c")
+        large, held = _with_lowest(both, F.least("u", F.min("v")), few)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if not few:
+            large = materialize(large, "cc-edges")
+            held.append(large)
+        moved, more = _with_lowest(large, F.min("v"), few)
         small = (moved.select(F.explode(F.array(F.struct(F.col("v").alias("x"), F.col("m")), F.struct(F.col("u").alias("x"), F.col("m")))).alias("s"))
                  .select(F.col("s.x").alias("u"), F.col("s.m").alias("v")).where("u <> v").distinct())
         before, e = e, materialize(small, "cc")
         now = e.agg(F.count(F.lit(1)), *[F.sum(F.xxhash64(F.lit(s), "u", "v").cast("decimal(38,0)")) for s in (1, 2)]).first()
-        for old in (before, m, large, ms):
+        for old in (before, *held, *more):
             discard(old)
         if now == last:
             break

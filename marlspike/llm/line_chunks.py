@@ -141,8 +141,8 @@ def _bodies(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "_at", "text", "marks").mapInArrow(run, "doc_id long, _at struct<a:long,b:long>, h long, start int, n int, body binary")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_at, start, n) of every chunk, equal byte by byte to one before it (a written table)."""
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """(_at, start, n) of every chunk that is equal byte by byte to one before it, and how many rows these are at most."""
     every = chunks(docs, doc_id, text)
     repeated = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated")
     n_repeated = repeated.count()
@@ -158,8 +158,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     digest = F.struct(F.xxhash64("body").alias("a"), F.xxhash64(F.lit("body"), "body").alias("b"))  # names a body that was compared
     alike = materialize(cut.groupBy("h", "body").agg(F.min(_place()).alias("origin")).select("h", digest.alias("body"), "origin"), "alike")
     by_hash = alike.groupBy("h").agg(F.count(F.lit(1)).alias("bodies"), F.min("origin").alias("origin"))
-    one = materialize(by_hash.where("bodies = 1").select("h", "origin").join(repeated, "h"), "one-body")
-    again = many_to_one(found, one, "h", "c")
+    one = by_hash.where("bodies = 1").select("h", "origin")
+    if n_repeated <= BROADCAST_ROWS:
+        again = found.join(F.broadcast(one), "h")
+    else:
+        again = many_to_one(found, materialize(one.join(repeated, "h"), "one-body"), "h", "c")
     later = (F.col("_at") != F.col("origin._at")) | (F.col("start") != F.col("origin.start"))
     out = again.where(later).select("_at", "start", "n")
     several = by_hash.where("bodies > 1").select("h")
@@ -167,15 +170,15 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         own = _bodies(base.join(found.join(several, "h").groupBy("_at").agg(F.collect_list(F.struct("h", "start", "n")).alias("marks")), "_at"))
         own = own.withColumn("body", digest).join(alike, ["h", "body"]).where(later)
         out = out.unionByName(own.select("_at", "start", "n"))
-    return materialize(out, "repeats")
+    return out, n_found
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of every document."""
-    again = repeats(docs, doc_id, text)
+    again, most = repeats(docs, doc_id, text)
     marks = again.groupBy("_at").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), handle(doc_id, text).alias("_at"))
-    rows = base.join(_small(marks, again.count()), "_at", "left").select("doc_id", "text", "marks")
+    rows = base.join(_small(marks, most), "_at", "left").select("doc_id", "text", "marks")
 
     def remove(batches):
         for b in pieces(batches):

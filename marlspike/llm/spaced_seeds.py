@@ -59,13 +59,8 @@ def masks_of(lengths: list[int]) -> list[tuple[int, ...]]:
 
 
 def _hash(at: Column, positions: tuple[int, ...]) -> Column:
-    """Hash of the looked-at tokens of ``w`` from ``at`` on, with the mask itself."""
-    return F.xxhash64(F.lit(",".join(map(str, positions))), *[F.get("w", at + p if p else at) for p in positions])
-
-
-def _fits(at: Column, positions: tuple[int, ...], n: Column) -> Column:
-    """Whether the mask ends within ``n`` tokens."""
-    return at + (positions[-1] + 1) <= n
+    """Hash of the looked-at tokens of ``w`` from ``at`` on, with the mask itself; tokens beyond the end are left out."""
+    return F.xxhash64(F.lit(sum(1 << p for p in positions)), *[F.get("w", at + p if p else at) for p in positions])
 
 
 def item_seeds(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, list[tuple[int, ...]]]:
@@ -77,21 +72,11 @@ def item_seeds(items: DataFrame, item_id: str, text: str) -> tuple[DataFrame, li
     found = []
     for m in masks:
         served = F.col("n") > 4 if m in MASKS else F.col("n").isin([n for n, own in SHORT.items() if m in own])
-        fits = _fits(F.col("a"), m, F.col("n")) & served
-        found.append(F.when(fits, _hash(F.col("a"), m)))
+        found.append(F.when(served & (F.col("a") + (m[-1] + 1) <= F.col("n")), _hash(F.col("a"), m)))
     left = F.least(F.col("a"), F.lit(BEFORE))
     length = F.least(F.col("n"), F.col("a") + AFTER) - (F.col("a") - left)
-    narrow = places.select("item_id", "a", left.alias("left"), F.slice("w", F.col("a") - left + 1, length).alias("stretch"), *_columns(found))
-    return narrow.select("item_id", "a", F.explode(_listed(found)).alias("seed"), "left", "stretch"), masks
-
-
-def _columns(hashes: list[Column]) -> list[Column]:
-    return [h.alias(f"h{k}") for k, h in enumerate(hashes)]
-
-
-def _listed(hashes: list[Column]) -> Column:
-    """The non-null of the columns that :func:`_columns` made."""
-    return F.array_compact(F.array(*[F.col(f"h{k}") for k in range(len(hashes))])) if hashes else F.array().cast("array<long>")
+    narrow = places.select("item_id", "a", left.alias("left"), F.slice("w", F.col("a") - left + 1, length).alias("stretch"), F.array(*found).cast("array<long>").alias("seeds"))
+    return narrow.select("item_id", "a", F.explode("seeds").alias("seed"), "left", "stretch").where("seed is not null"), masks
 
 
 def _bitmap(seeds: DataFrame, n_seeds: int) -> tuple[Column, int]:
@@ -112,17 +97,16 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     seeds, masks = item_seeds(items, item_id, item_text)
     n_seeds = seeds.count()  # of the test items alone
     bitmap, size = _bitmap(seeds, n_seeds)
-    listed = lambda h: F.getbit(F.get(bitmap, h.bitwiseAND(F.lit(size - 1)).cast("int")), F.shiftrightunsigned(h, 58).cast("int")) == 1
-
-    # a row for each place of a text; the hashes are plain expressions on the array, compiled with the filter, and what
-    # leaves that stage is narrow: a place must not carry its whole text along
+    # A row for each place of a text, then one for each mask: plain expressions on the array, compiled into one stage with
+    # the lookup in the bitmap (each hash stands in it once; a larger stage is too long to be compiled well). What leaves
+    # that stage is narrow: a place must not carry its whole text along.
     words = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).withColumn("n", F.size("w")).where("n > 0")
-    places = words.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    hits = [F.when(_fits(F.col("i"), m, F.col("n")) & listed(h), h) for m in masks for h in [_hash(F.col("i"), m)]]
-    places = places.where(F.coalesce(*hits, F.lit(None).cast("long")).isNotNull())
+    places = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    places = places.select("doc_id", "w", "i", F.explode(F.array(*[_hash(F.col("i"), m) for m in masks]).cast("array<long>")).alias("h"))
+    h = F.col("h")
+    places = places.where(F.getbit(F.get(bitmap, h.bitwiseAND(F.lit(size - 1)).cast("int")), F.shiftrightunsigned(h, 58).cast("int")) == 1)
     before = F.least(F.col("i"), F.lit(BEFORE))
-    narrow = places.select("doc_id", "i", before.alias("before"), F.slice("w", F.col("i") - before + 1, F.lit(BEFORE + AFTER)).alias("around"), *_columns(hits))
-    hit = narrow.select("doc_id", "i", "before", "around", F.explode(_listed(hits)).alias("h"))
+    hit = places.select("doc_id", "i", before.alias("before"), F.slice("w", F.col("i") - before + 1, F.lit(BEFORE + AFTER)).alias("around"), "h")
     side = F.broadcast(seeds) if n_seeds <= BROADCAST_ROWS else seeds
     both = hit.join(side, F.col("h") == F.col("seed"))
     same = lambda j: F.get("around", j - F.col("left") + F.col("before")) == F.get("stretch", j)
