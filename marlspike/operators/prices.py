@@ -96,15 +96,6 @@ def outcomes(horizons: tuple[int, ...]) -> Column:
     return F.filter(F.array(*found), lambda o: o["outcome_day"].isNotNull())
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """(below + (equal - 1) / 2) / (n - 1) among the non-null values of ``keys``; one value alone is 0.5."""
-    by = Window.partitionBy(*keys, F.col(value).isNull())
-    below = F.rank().over(by.orderBy(value)) - 1
-    equal = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    n = F.count(F.lit(1)).over(by)
-    return F.when(F.col(value).isNotNull(), F.when(n == 1, F.lit(0.5)).otherwise((below + (equal - 1) / 2) / (n - 1)))
-
-
 def snapshots(bars: DataFrame, step: int, first: int) -> DataFrame:
     """bars with ``is_snapshot``: every ``step``-th session from ``first``."""
     return bars.withColumn("is_snapshot", (F.col("idx") >= first) & ((F.col("idx") - first) % step == 0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.exprs import clamp, codes, flag, ladder, safe_div, weighted_mean
 
-from .prices import average_rank
+from .ranks import average_rank
 
 # Bounds of each feature (valid from, valid to, winsorised from, winsorised to).
 BOUNDS = {
@@ -44,14 +44,15 @@ def range_warnings() -> Column:
 
 
 def percentiles(features: DataFrame, key: str = "ticker") -> DataFrame:
-    """(key, feature, value, winsor, pct) in long form: each feature is ranked apart, not the whole table in one window."""
+    """(key, feature, value, winsor, pct) in long form: each feature is ranked apart, none by one task."""
     long = features.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), winsorized(f).alias("winsor")) for f in BOUNDS])))
-    return long.withColumn("pct", F.round(average_rank("winsor", ["feature"]), 6))
+    return average_rank(long, "winsor", ["feature"], "pct")
 
 
 def wide_percentiles(features: DataFrame, key: str = "ticker") -> DataFrame:
-    pct = percentiles(features, key).groupBy(key).pivot("feature", list(BOUNDS)).agg(F.first("pct"))
-    return features.join(pct.select(key, *[F.col(f).alias(f"p_{f}") for f in BOUNDS]), key)
+    """Features and their percentiles (p_ columns), both folded back from the long form."""
+    wide = percentiles(features, key).groupBy(key).agg(*[F.max(F.when(F.col("feature") == f, F.col(c))).alias(n) for f in BOUNDS for c, n in (("value", f), ("pct", f"p_{f}"))])
+    return wide
 
 
 def component(name: str, weights: dict | None = None) -> Column:
@@ -99,6 +100,20 @@ def reason_codes() -> Column:
         (F.col("momentum_risk") >= 70, "MOMENTUM_RISK_HIGH"), (F.col("market_risk") >= 70, "MARKET_RISK_HIGH"), (F.col("balance_risk") >= 70, "BALANCE_SHEET_RISK_HIGH")])
 
 
+# What a reason code says.
+EXPLANATIONS = {
+    "EVIDENCE_SPARSE": "Fewer than five inputs are available.", "EVIDENCE_PARTIAL": "Some inputs are missing.", "EVIDENCE_COMPLETE": "Nine inputs or more are available.",
+    "VALUE_STRONG": "Value ranks in the top part of the universe.", "VALUE_WEAK": "Value ranks in the bottom part of the universe.", "QUALITY_STRONG": "Quality ranks in the top part of the universe.", "QUALITY_WEAK": "Quality ranks in the bottom part of the universe.",
+    "MOMENTUM_RISK_HIGH": "Recent prices are weak against the universe.", "MARKET_RISK_HIGH": "Drawdown and volatility are high.", "BALANCE_SHEET_RISK_HIGH": "Liabilities are high against assets.",
+}
+
+
+def explanations(codes_column: Column) -> Column:
+    """The texts of the codes that have one, in order."""
+    names = F.create_map(*[F.lit(x) for pair in EXPLANATIONS.items() for x in pair])
+    return F.array_compact(F.transform(codes_column, lambda c: F.try_element_at(names, c)))
+
+
 def contributions() -> Column:
     """One entry per feature that counted: component, feature, weight after renormalising, points."""
     out = []
@@ -240,11 +255,36 @@ def balance_scores(r: DataFrame) -> DataFrame:
     r = r.withColumn("balance_quality", quality)
     extra = sum((F.when(F.col(f"g_{g}"), float(p)).otherwise(0.0) for g, p in PENALTY.items()), F.lit(0.0))
     r = r.withColumn("balance_penalty", F.round(F.least(F.lit(100.0), 100 - F.col("balance_quality") + extra), 6))
-    fields = ["assets", "current_assets", "cash", "liabilities", "current_liabilities", "short_debt", "long_debt", "equity", "retained_earnings", "goodwill"]
-    n = lambda cols: sum((F.col(x).isNull().cast("int") for x in cols), F.lit(0)) > 0
-    missing, core, current = n(fields), n(["assets", "liabilities", "equity"]), n(["current_assets", "current_liabilities"])
-    adjust = F.when(missing, 0).otherwise(5) - F.when(core, 10).otherwise(0) - F.when(current, 5).when(missing, 3).otherwise(0) - F.when(F.col("g_incomplete"), 5).otherwise(0)
-    return r.withColumn("confidence_adjustment", F.greatest(F.lit(-20), F.least(F.lit(5), adjust)))
+    return r.withColumn("confidence_adjustment", confidence_adjustment())
+
+
+#: Fields of a snapshot that may be missing.
+FIELDS = ["assets", "current_assets", "cash", "liabilities", "current_liabilities", "short_debt", "long_debt", "equity", "retained_earnings", "goodwill"]
+#: Severity of each gate (fixed values).
+SEVERITY = {"liquidity": "moderate", "severe_liquidity": "severe", "high_leverage": "high", "severe_leverage": "severe", "negative_equity": "severe", "debt_maturity": "high", "asset_quality_warning": "warning", "incomplete": "warning"}
+
+
+def confidence_adjustment() -> Column:
+    """-15 without any field; else 5 for a whole snapshot, less for missing fields, within -20 and 5."""
+    missing = lambda cols: sum((F.col(x).isNull().cast("int") for x in cols), F.lit(0))
+    some, core, current = missing(FIELDS) > 0, missing(["assets", "liabilities", "equity"]) > 0, missing(["current_assets", "current_liabilities"]) > 0
+    adjust = F.when(some, 0).otherwise(5) - F.when(core, 10).otherwise(0) - F.when(current, 5).when(some, 3).otherwise(0) - F.when(F.col("g_incomplete"), 5).otherwise(0)
+    return F.when(missing(FIELDS) == len(FIELDS), F.lit(-15)).otherwise(F.greatest(F.lit(-20), F.least(F.lit(5), adjust)))
+
+
+def triggered() -> Column:
+    """(name, severity) of the gates that hold, in order."""
+    return F.array_compact(F.array(*[F.when(F.col(f"g_{g}"), F.struct(F.lit(g).alias("name"), F.lit(v).alias("severity"))) for g, v in SEVERITY.items()]))
+
+
+def severe_gates() -> Column:
+    return sum((F.col(f"g_{g}").cast("int") for g, v in SEVERITY.items() if v == "severe"), F.lit(0))
+
+
+def snapshot_state() -> Column:
+    """unavailable without any field, available with all, else partial."""
+    n = sum((F.col(x).isNull().cast("int") for x in FIELDS), F.lit(0))
+    return ladder([(n == len(FIELDS), "unavailable"), (n == 0, "available")], "partial")
 
 
 _LEVELS = ["Insufficient", "Low", "Medium", "High"]
@@ -256,11 +296,55 @@ def adjusted_confidence(level: Column, adjustment: Column) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), (F.greatest(F.lit(0), F.least(F.lit(3), moved)) + 1).cast("int"))
 
 
+# Why the balance model would change a signal.
+TRAP, VALUE_WEAK, QUALITY_WEAK, SUPPORT = (
+    "Strong value evidence is paired with elevated balance-sheet risk.",
+    "Balance-sheet quality is not acceptable enough for a clean undervaluation signal.",
+    "Balance-sheet weakness complicates the quality watchlist case.",
+    "Balance-sheet evidence supports quality, but official signal remains pipeline-controlled.",
+)
+MODES = ("off", "shadow", "experimental", "official")
+
+
+def experimental(scored: DataFrame) -> DataFrame:
+    """Adds experimental_signal, would_change and change_reason to scored rows joined with their balance model."""
+    severe, current = severe_gates() > 0, F.col("signal")
+    weak = severe | flag(F.col("balance_quality") < 60)
+    trap = flag(F.col("value") >= 65) & (severe | flag(F.col("balance_penalty") >= 70))
+    steps = [(trap, "value-trap-risk", TRAP), ((current == "potentially-undervalued") & weak, "neutral", VALUE_WEAK), ((current == "quality-watchlist") & weak, "neutral", QUALITY_WEAK)]
+    support = flag(F.col("quality") >= 70) & flag(F.col("balance_quality") >= 60) & (current == "neutral")
+    signal, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for test, label, why in reversed(steps):
+        signal, reason = F.when(test, F.lit(label)).otherwise(signal), F.when(test, F.lit(why)).otherwise(reason)
+    any_step = steps[0][0] | steps[1][0] | steps[2][0]
+    out = scored.withColumn("experimental_signal", F.coalesce(signal, current)).withColumn("change_reason", F.when(~any_step & support, F.lit(SUPPORT)).otherwise(reason))
+    return out.withColumn("would_change", F.col("experimental_signal") != current)
+
+
+def balance_mode(scored: DataFrame, mode: str = "official") -> DataFrame:
+    """Scored rows with their balance model under a mode: ``off`` leaves them, ``shadow`` and ``experimental`` add what
+    would change, ``official`` changes it; an unknown mode is official."""
+    mode = mode.strip().lower()
+    if mode == "off":
+        return scored.withColumn("previous_signal", F.col("signal"))
+    marked = experimental(scored).withColumn("previous_signal", F.col("signal"))
+    if mode in ("shadow", "experimental"):
+        return marked
+    return official(marked).drop("prior_signal")
+
+
+def scoring_changes(rows: DataFrame) -> DataFrame:
+    """One row: how many companies each gate family marks, and how many signals the balance model changes."""
+    g = lambda *names: F.count_if(sum((F.col(f"g_{n}").cast("int") for n in names), F.lit(0)) > 0)
+    changed = F.col("would_change") | (F.col("signal") != F.col("previous_signal"))
+    return rows.agg(F.count(F.lit(1)).alias("companies"), g("liquidity", "severe_liquidity").alias("liquidity_risk"), g("high_leverage", "severe_leverage").alias("high_leverage"),
+                    g("negative_equity").alias("negative_equity"), g("debt_maturity").alias("debt_maturity"), F.count_if(changed).alias("changed"), F.count_if(~changed).alias("stable"))
+
+
 def official(scored: DataFrame) -> DataFrame:
     """Blend of a scored row with its balance model: risk, quality, confidence and the final signal."""
     s = scored.withColumn("prior_signal", F.col("signal"))
-    severe = sum((F.col(f"g_{g}").cast("int") for g in ("severe_liquidity", "severe_leverage", "negative_equity")), F.lit(0))
-    s = s.withColumn("_severe", severe).withColumn("_value", F.col("value")).withColumn("_quality", F.col("quality"))
+    s = s.withColumn("_severe", severe_gates()).withColumn("_value", F.col("value")).withColumn("_quality", F.col("quality"))
     s = s.withColumn("balance_risk", F.when(F.col("balance_penalty").isNotNull(), F.round(clamp(F.when(F.col("balance_risk").isNotNull(), F.col("balance_risk") * 0.5 + F.col("balance_penalty") * 0.5).otherwise(F.col("balance_penalty")), 0, 100), 4)).otherwise(F.col("balance_risk")))
     s = s.withColumn("quality", F.when(F.col("balance_quality").isNotNull() & F.col("quality").isNotNull(), F.round(clamp(F.col("quality") * 0.85 + F.col("balance_quality") * 0.15, 0, 100), 4)).otherwise(F.col("quality")))
     s = s.withColumn("confidence", adjusted_confidence(F.col("confidence"), F.col("confidence_adjustment")))

@@ -6,17 +6,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlspike.functions.exprs import codes, money
+from marlspike.operators.ranks import row_number, slot_of
+from marlspike.operators.scoring import WEIGHTS, contributions
 from marlspike.sources.tables import table
 
 from .domain import BARS, SECURITIES, bars, securities
+from .fact_queries import CONTRIBUTIONS, _scored
 from .registry import query
 
 
 @query("SELECT c_custkey, CAST(((row_number() OVER (ORDER BY c_custkey) - 1 - 37) % count(*) OVER () + count(*) OVER ()) % count(*) OVER () AS BIGINT) AS slot FROM customer")
 def ring_cursor(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey")
-    n = c.count()
-    return c.select("c_custkey", F.pmod(F.row_number().over(Window.orderBy("c_custkey")) - 1 - 37, F.lit(n)).cast("bigint").alias("slot"))
+    return row_number(c, "c_custkey", "place").select("c_custkey", slot_of("place", 37, c.count()).cast("bigint").alias("slot"))
 
 
 @query("SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'purchase') > 0 AS complete FROM events GROUP BY user_id")
@@ -51,13 +53,14 @@ def audit_price_order(spark, sf):
     return bars(spark, sf).groupBy("ticker").agg((F.count(F.lit(1)) - F.countDistinct("day")).alias("duplicates"), F.count_if(F.col("price") <= 0).alias("not_positive"), F.count_if(F.col("high") < F.col("low")).alias("crossed"))
 
 
-@query()
+@query(CONTRIBUTIONS + " SELECT component, count(*) AS checked, count(*) FILTER (abs(points - score) > 0.001) AS wrong, count(*) FILTER (score NOT BETWEEN 0 AND 100) AS out_of_bounds FROM (SELECT ticker, component, sum(points) AS points FROM contributions GROUP BY 1, 2) JOIN (" + " UNION ALL ".join(f"SELECT ticker, '{c}' AS component, {c} AS score FROM scored" for c in WEIGHTS) + ") USING (ticker, component) GROUP BY component")
 def audit_contributions(spark, sf):
-    from . import fact_queries as Q
-
-    points = Q.contributions_exploded(spark, sf).groupBy("ticker", "component").agg(F.sum("points").alias("points"))
-    s = Q._scored(spark, sf).select("ticker", F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("score")) for c in Q.S.WEIGHTS])))
-    return points.join(s, ["ticker", "component"]).where(F.abs(F.col("points") - F.col("score")) > 0.001).select("ticker", "component")
+    """Points of each component against its score."""
+    s = _scored(spark, sf).withColumn("parts", contributions())
+    points = F.aggregate(F.filter("parts", lambda p: p["component"] == F.col("component")), F.lit(0.0), lambda a, p: a + p["points"])
+    s = s.select("ticker", "parts", F.inline(F.array(*[F.struct(F.lit(c).alias("component"), F.col(c).alias("score")) for c in WEIGHTS]))).where("score is not null")
+    s = s.withColumn("points", points)
+    return s.groupBy("component").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.abs(F.col("points") - F.col("score")) > 0.001).alias("wrong"), F.count_if(~F.col("score").between(0, 100)).alias("out_of_bounds"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")

@@ -9,6 +9,7 @@ from marlspike.functions.exprs import artifact_stem, money, normalize_cik, norma
 from marlspike.operators import prices as P
 from marlspike.operators import scoring as S
 from marlspike.sources import sinks
+from marlspike.sources.scratch import written
 from marlspike.sources.tables import table
 
 from .domain import BARS, BENCH, FACTS, SECURITIES, bars, benchmark_bars, facts, securities
@@ -129,15 +130,25 @@ def balance_pivot(spark, sf):
     return pivoted(facts(spark, sf))
 
 
+def _fundamentals(f: DataFrame) -> DataFrame:
+    """(ticker, the pivoted labels, last_value, prior_value) in one pass over the facts: by year, then by entity."""
+    latest_of = lambda test: F.max(F.when(test, F.struct("period_end", "filed", "accession", "value")))
+    year = f.groupBy("entity", F.year("period_end").alias("y")).agg(F.max(F.when(F.col("form").isin("F", "O"), F.struct("filed", "accession", "value"))).alias("annual"), *[latest_of(F.col("label") == x).alias(n) for x, n in zip(LABELS, _NAMES)])
+    years = F.sort_array(F.collect_list(F.when(F.col("annual").isNotNull(), F.struct("y", F.col("annual.value").alias("value")))), asc=False)
+    g = year.groupBy(F.col("entity").alias("ticker")).agg(years.alias("years"), *[F.max(n).alias(n) for n in _NAMES])
+    return g.select("ticker", *[F.col(f"{n}.value").alias(n) for n in _NAMES], F.get("years", F.lit(0))["value"].alias("last_value"), F.get("years", F.lit(1))["value"].alias("prior_value"))
+
+
 def _features(spark, sf) -> DataFrame:
     """One row per series with the ten features: prices from its bars, fundamentals from the entity of its number."""
-    b = bars(spark, sf).withColumns({"return_30d": P.n_return(30), "return_90d": P.n_return(90), "lr": P.log_return()})
-    last = b.where("idx = n - 1").select("ticker", F.col("day").alias("as_of"), "return_30d", "return_90d", "price")
-    vol = P.last_rows(b, 252).groupBy("ticker").agg(F.when(F.count("lr") >= 30, F.stddev_samp("lr") * F.sqrt(F.lit(252.0))).alias("annualized_volatility"))
-    dd = P.drawdown_last(b, 252).withColumnRenamed("drawdown", "max_drawdown_1y")
-    f = facts(spark, sf)
-    fund = pivoted(f).join(_annual(f), "entity", "left").withColumnRenamed("entity", "ticker")
-    x = last.join(vol, "ticker").join(dd, "ticker").join(fund, "ticker", "left")
+    # one pass over the bars, one row a ticker; the window and the groups share their partitioning
+    peak = F.max(F.when(F.col("idx") >= F.col("n") - 252, F.col("price"))).over(P.by_day().rowsBetween(Window.unboundedPreceding, 0))
+    b = bars(spark, sf).withColumns({"return_30d": P.n_return(30), "return_90d": P.n_return(90), "lr": P.log_return(), "peak": peak}).withColumn("late", F.col("idx") >= F.col("n") - 252)
+    lr = F.when(F.col("late"), F.col("lr"))
+    x = b.groupBy("ticker").agg(F.max_by(F.struct(F.col("day").alias("as_of"), "return_30d", "return_90d", "price"), "idx").alias("last"),
+                                F.when(F.count(lr) >= 30, F.stddev_samp(lr) * F.sqrt(F.lit(252.0))).alias("annualized_volatility"),
+                                F.least(F.lit(0.0), F.min(F.when(F.col("late"), F.col("price") / F.col("peak") - 1))).alias("max_drawdown_1y"))
+    x = x.select("ticker", "last.*", "annualized_volatility", "max_drawdown_1y").join(_fundamentals(facts(spark, sf)), "ticker", "left")
     cap = F.when(F.col("shares") > 0, F.col("price") * F.col("shares"))
     pos = lambda c: F.when(F.col(c) > 0, F.col(c))
     raw = {"earnings_yield": F.col("income") / cap, "sales_yield": pos("revenue") / cap, "liabilities_to_assets": F.col("liabilities") / pos("assets"), "revenue_growth": pos("last_value") / pos("prior_value") - 1,
@@ -183,7 +194,7 @@ pct AS MATERIALIZED (SELECT ticker, feature, value, CASE WHEN winsor IS NULL THE
 
 @query(PCT + " SELECT ticker, feature, pct FROM pct")
 def avg_rank_percentile(spark, sf):
-    return S.percentiles(_features(spark, sf)).select("ticker", "feature", "pct")
+    return S.percentiles(written(_features(spark, sf), "features")).select("ticker", "feature", "pct")
 
 
 def _component(name: str) -> str:
@@ -202,7 +213,7 @@ _SCORES = list(S.WEIGHTS) + ["momentum_risk"]
 
 
 def _scored(spark, sf) -> DataFrame:
-    return S.score(S.wide_percentiles(_features(spark, sf)))
+    return S.score(S.wide_percentiles(written(_features(spark, sf), "features")))
 
 
 @query(SCORED + f" SELECT ticker, {', '.join(f'round({c}, 3) AS {c}' for c in _SCORES)} FROM scored")
@@ -221,14 +232,47 @@ def reason_codes(spark, sf):
     return _scored(spark, sf).select("ticker", F.array_join(S.reason_codes(), ",").alias("codes"))
 
 
-@query()
+def _directed(f: str) -> str:
+    return f"(1 - p_{f})" if f in S.INVERTED else f"p_{f}"
+
+
+def _contribution(name: str, f: str) -> str:
+    w = S.WEIGHTS[name]
+    total = " + ".join(f"CASE WHEN p_{x} IS NULL THEN 0::DOUBLE ELSE {y}::DOUBLE END" for x, y in w.items())
+    return f"SELECT ticker, '{name}' AS component, '{f}' AS feature, round({w[f]}::DOUBLE / ({total}), 6) AS weight, round({_directed(f)} * {w[f]}::DOUBLE / ({total}) * 100, 4) AS points FROM scored WHERE p_{f} IS NOT NULL"
+
+
+CONTRIBUTIONS = SCORED + ", contributions AS (" + " UNION ALL ".join(_contribution(c, f) for c, w in S.WEIGHTS.items() for f in w) + ")"
+
+
+@query(CONTRIBUTIONS + " SELECT ticker, component, feature, round(weight, 5) AS weight, round(points, 3) AS points FROM contributions")
 def contributions_exploded(spark, sf):
-    return _scored(spark, sf).select("ticker", F.inline(S.contributions()))
+    return _scored(spark, sf).select("ticker", F.inline(S.contributions())).select("ticker", "component", "feature", _r("weight", 5).alias("weight"), _r("points", 3).alias("points"))
 
 
-@query()
+def _scenario_label(name: str, f: str, m: float) -> str:
+    varied = {k: dict(v) for k, v in S.WEIGHTS.items()}
+    varied[name][f] *= m
+    parts = [(_directed(x), w) for x, w in varied[name].items()]
+    num = " + ".join(f"coalesce({x} * {w!r}::DOUBLE, 0)" for x, w in parts)
+    den = " + ".join(f"CASE WHEN {x} IS NULL THEN 0::DOUBLE ELSE {w!r}::DOUBLE END" for x, w in parts)
+    one = f"CASE WHEN ({den}) > 0 THEN round(greatest(0, least(100, ({num}) / ({den}) * 100)), 4) END"
+    new = f"momentum_risk AS o_momentum_risk, {one} AS {name}" if name != "momentum" else f"round(greatest(0, least(100, 100 - ({one}))), 4) AS momentum_risk"
+    kept = [c for c in ("value", "quality", "market_risk", "balance_risk", "momentum_risk") if f"AS {c}" not in new]
+    return f"""SELECT '{name}' AS component, '{f}' AS feature, {m}::DOUBLE AS multiplier, CAST(sum(CASE WHEN signal <> CASE WHEN confidence = 'Insufficient' THEN 'insufficient-evidence' WHEN value >= 65 AND balance_risk >= 70 THEN 'value-trap-risk' WHEN momentum_risk >= 70 THEN 'momentum-risk'
+ WHEN value >= 70 AND quality >= 50 AND coalesce(market_risk, 0) < 70 AND coalesce(balance_risk, 0) < 70 THEN 'potentially-undervalued' WHEN quality >= 70 AND coalesce(balance_risk, 0) < 70 THEN 'quality-watchlist' ELSE 'neutral' END THEN 1 ELSE 0 END) AS BIGINT) AS changed
+ FROM (SELECT signal, confidence, {', '.join(kept)}, {new} FROM scored)"""
+
+
+@query(SCORED + " " + " UNION ALL ".join(_scenario_label(c, f, m) for c, w in S.WEIGHTS.items() for f in w for m in (0.8, 1.2)))
 def sensitivity_scenarios(spark, sf):
-    return S.sensitivity(S.wide_percentiles(_features(spark, sf)))
+    return S.sensitivity(S.wide_percentiles(written(_features(spark, sf), "features")))
+
+
+@query(SCORED + """ SELECT ticker, list_aggregate(list_filter([CASE confidence WHEN 'Insufficient' THEN 'Fewer than five inputs are available.' WHEN 'High' THEN 'Nine inputs or more are available.' ELSE 'Some inputs are missing.' END, CASE WHEN value >= 70 THEN 'Value ranks in the top part of the universe.' WHEN value <= 30 THEN 'Value ranks in the bottom part of the universe.' END,
+ CASE WHEN quality >= 70 THEN 'Quality ranks in the top part of the universe.' WHEN quality <= 30 THEN 'Quality ranks in the bottom part of the universe.' END, CASE WHEN momentum_risk >= 70 THEN 'Recent prices are weak against the universe.' END, CASE WHEN market_risk >= 70 THEN 'Drawdown and volatility are high.' END, CASE WHEN balance_risk >= 70 THEN 'Liabilities are high against assets.' END], lambda x: x IS NOT NULL), 'string_agg', ' | ') AS texts FROM scored""")
+def signal_explanations(spark, sf):
+    return _scored(spark, sf).select("ticker", F.array_join(S.explanations(S.reason_codes()), " | ").alias("texts"))
 
 
 @query(SCORED + " SELECT ticker, signal, confidence, round(momentum, 3) AS momentum, round(market_risk, 3) AS market_risk FROM scored ORDER BY momentum DESC, ticker LIMIT 20")
@@ -305,19 +349,75 @@ def _st(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN 'unavailable' WHEN {c} >= 80 THEN 'healthy' WHEN {c} >= 60 THEN 'acceptable' WHEN {c} >= 40 THEN 'caution' WHEN {c} >= 20 THEN 'risk' ELSE 'severe_risk' END"
 
 
-@query(BAL + f""", banded AS (SELECT *, {', '.join(f'{_band_sql(m)} AS b_{m}' for m in _BANDED)}, {', '.join(f'coalesce({c}, false) AS {g}' for g, c in GATES.items())} FROM ratio),
+BALANCE = BAL + f""", banded AS (SELECT *, {', '.join(f'{_band_sql(m)} AS b_{m}' for m in _BANDED)}, {', '.join(f'coalesce({c}, false) AS {g}' for g, c in GATES.items())} FROM ratio),
 subs AS (SELECT *, {', '.join(f'{_sub_sql(w, "b_")} AS s_{n}' for n, w in S.SUB.items())} FROM banded),
 cap1 AS (SELECT * REPLACE ({_capped('s_leverage', 'g_negative_equity', 15)}, {_capped('s_solvency', 'g_negative_equity', 15)}, {_capped('s_liquidity', 'g_severe_liquidity', 20)}) FROM subs), cap2 AS (SELECT * REPLACE ({_capped('s_leverage', 'g_severe_leverage', 20)}) FROM cap1),
-st AS (SELECT *, {', '.join(f'{_st("s_" + n)} AS t_{n}' for n in S.QUALITY)} FROM cap2), q AS (SELECT *, {_sub_sql(S.QUALITY, 't_')} AS balance_quality FROM st)
-SELECT ticker, {', '.join(f'round(s_{n}, 4)::DOUBLE AS s_{n}' for n in S.SUB)}, round(balance_quality, 4) AS balance_quality, round(least(100, 100 - balance_quality + {' + '.join(f'CASE WHEN g_{g} THEN {p} ELSE 0 END' for g, p in S.PENALTY.items())}), 4) AS balance_penalty FROM q""")
+st AS (SELECT *, {', '.join(f'{_st("s_" + n)} AS t_{n}' for n in S.QUALITY)} FROM cap2), q0 AS (SELECT *, {_sub_sql(S.QUALITY, 't_')} AS balance_quality, {' + '.join(f'({c} IS NULL)::INT' for c in S.FIELDS)} AS missing, g_negative_equity::INT + g_severe_liquidity::INT + g_severe_leverage::INT AS severe FROM st),
+q AS (SELECT *, round(least(100, 100 - balance_quality + {' + '.join(f'CASE WHEN g_{g} THEN {p} ELSE 0 END' for g, p in S.PENALTY.items())}), 6) AS balance_penalty,
+ CASE WHEN missing = {len(S.FIELDS)} THEN -15 ELSE greatest(-20, least(5, CASE WHEN missing > 0 THEN 0 ELSE 5 END - CASE WHEN assets IS NULL OR liabilities IS NULL OR equity IS NULL THEN 10 ELSE 0 END - CASE WHEN current_assets IS NULL OR current_liabilities IS NULL THEN 5 WHEN missing > 0 THEN 3 ELSE 0 END - CASE WHEN g_incomplete THEN 5 ELSE 0 END)) END AS confidence_adjustment FROM q0)"""
+
+
+@query(BALANCE + f"""
+SELECT ticker, {', '.join(f'round(s_{n}, 4)::DOUBLE AS s_{n}' for n in S.SUB)}, round(balance_quality, 4) AS balance_quality, round(balance_penalty, 4) AS balance_penalty, confidence_adjustment FROM q""")
 def balance_quality(spark, sf):
-    return S.balance_scores(_balance(spark, sf)).select("ticker", *[_r(f"s_{n}", 4).alias(f"s_{n}") for n in S.SUB], _r("balance_quality", 4).alias("balance_quality"), _r("balance_penalty", 4).alias("balance_penalty"))
+    return S.balance_scores(_balance(spark, sf)).select("ticker", *[_r(f"s_{n}", 4).alias(f"s_{n}") for n in S.SUB], _r("balance_quality", 4).alias("balance_quality"), _r("balance_penalty", 4).alias("balance_penalty"), "confidence_adjustment")
 
 
-@query()
-def official_adjustment(spark, sf):
+@query(BALANCE + " SELECT ticker, array_to_string(list_filter([" + ", ".join(f"CASE WHEN g_{g} THEN '{g}:{v}' END" for g, v in S.SEVERITY.items()) + "], lambda x: x IS NOT NULL), ',') AS gates FROM q")
+def gate_severities(spark, sf):
+    rows = S.balance_scores(_balance(spark, sf))
+    return rows.select("ticker", F.array_join(F.transform(S.triggered(), lambda g: F.concat_ws(":", g["name"], g["severity"])), ",").alias("gates"))
+
+
+@query(BALANCE + " SELECT state, field, count(*) AS n FROM (SELECT CASE WHEN missing = " + str(len(S.FIELDS)) + " THEN 'unavailable' WHEN missing = 0 THEN 'available' ELSE 'partial' END AS state, unnest(list_concat(['all'], list_filter([" + ", ".join(f"CASE WHEN {c} IS NULL THEN '{c}' END" for c in S.FIELDS) + "], lambda x: x IS NOT NULL))) AS field FROM q) GROUP BY ALL")
+def balance_manifest(spark, sf):
+    """How many snapshots are available, partial or unavailable, and which fields are missing there."""
+    fields = F.array_compact(F.array(F.lit("all"), *[F.when(F.col(c).isNull(), F.lit(c)) for c in S.FIELDS]))
+    return S.balance_scores(_balance(spark, sf)).select(S.snapshot_state().alias("state"), F.explode(fields).alias("field")).groupBy("state", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_balance(spark, sf) -> DataFrame:
     b = S.balance_scores(_balance(spark, sf)).select("ticker", "balance_quality", "balance_penalty", "confidence_adjustment", *[f"g_{g}" for g in S.gates()])
-    return S.official(_scored(spark, sf).join(b, "ticker")).select("ticker", "prior_signal", "signal", "confidence", _r("quality", 3).alias("quality"), _r("balance_risk", 3).alias("balance_risk"))
+    return _scored(spark, sf).join(b, "ticker")
+
+
+_CLASS = """CASE WHEN {c} = 'Insufficient' THEN 'insufficient-evidence' WHEN value >= 65 AND {b} >= 70 THEN 'value-trap-risk' WHEN momentum_risk >= 70 THEN 'momentum-risk' WHEN value >= 70 AND {q} >= 50 AND coalesce(market_risk, 0) < 70 AND coalesce({b}, 0) < 70 THEN 'potentially-undervalued' WHEN {q} >= 70 AND coalesce({b}, 0) < 70 THEN 'quality-watchlist' ELSE 'neutral' END"""
+_LEVEL = "list_position(['Insufficient', 'Low', 'Medium', 'High'], {0})"
+_MOVED = "['Insufficient', 'Low', 'Medium', 'High'][greatest(1, least(4, {0}))]"
+OFFICIAL = SCORED + ", " + BALANCE[5:] + f""", both0 AS (SELECT s.*, balance_quality, balance_penalty, confidence_adjustment, severe, g_liquidity, g_severe_liquidity, g_high_leverage, g_severe_leverage, g_negative_equity, g_debt_maturity,
+ coalesce(value >= 65, false) AND (severe > 0 OR coalesce(balance_penalty >= 70, false)) AS trap, severe > 0 OR coalesce(balance_quality < 60, false) AS weak FROM scored s JOIN q USING (ticker)),
+exper AS (SELECT *, CASE WHEN trap THEN 'value-trap-risk' WHEN signal IN ('potentially-undervalued', 'quality-watchlist') AND weak THEN 'neutral' ELSE signal END AS experimental_signal,
+ CASE WHEN trap THEN '{S.TRAP}' WHEN signal = 'potentially-undervalued' AND weak THEN '{S.VALUE_WEAK}' WHEN signal = 'quality-watchlist' AND weak THEN '{S.QUALITY_WEAK}' WHEN quality >= 70 AND balance_quality >= 60 AND signal = 'neutral' THEN '{S.SUPPORT}' END AS change_reason FROM both0),
+off0 AS (SELECT *, CASE WHEN balance_penalty IS NOT NULL THEN round(greatest(0, least(100, CASE WHEN balance_risk IS NOT NULL THEN balance_risk * 0.5::DOUBLE + balance_penalty * 0.5::DOUBLE ELSE balance_penalty END)), 4) ELSE balance_risk END AS new_risk,
+ CASE WHEN balance_quality IS NOT NULL AND quality IS NOT NULL THEN round(greatest(0, least(100, quality * 0.85::DOUBLE + balance_quality * 0.15::DOUBLE)), 4) ELSE quality END AS new_quality,
+ {_MOVED.format(_LEVEL.format('confidence') + ' + CASE WHEN confidence_adjustment >= 5 THEN 1 WHEN confidence_adjustment <= -10 THEN -2 WHEN confidence_adjustment < 0 THEN -1 ELSE 0 END')} AS conf1 FROM exper),
+off1 AS (SELECT *, CASE WHEN conf1 <> 'Insufficient' AND severe >= 2 THEN {_MOVED.format(_LEVEL.format('conf1') + ' - 2')} ELSE conf1 END AS new_confidence FROM off0),
+official AS (SELECT *, CASE WHEN trap OR signal = 'value-trap-risk' THEN 'value-trap-risk' ELSE {_CLASS.format(c='new_confidence', b='new_risk', q='new_quality')} END AS new_signal FROM off1)"""
+
+
+@query(OFFICIAL + " SELECT ticker, signal AS previous_signal, new_signal AS signal, new_confidence AS confidence, round(new_quality, 3) AS quality, round(new_risk, 3) AS balance_risk FROM official")
+def official_adjustment(spark, sf):
+    return S.balance_mode(_with_balance(spark, sf), "official").select("ticker", "previous_signal", "signal", "confidence", _r("quality", 3).alias("quality"), _r("balance_risk", 3).alias("balance_risk"))
+
+
+@query(OFFICIAL + " SELECT ticker, signal, experimental_signal, experimental_signal <> signal AS would_change, change_reason FROM exper")
+def experimental_signal(spark, sf):
+    return S.balance_mode(_with_balance(spark, sf), "experimental").select("ticker", "signal", "experimental_signal", "would_change", "change_reason")
+
+
+@query(OFFICIAL + " SELECT mode, ticker, CASE mode WHEN 'official' THEN new_signal ELSE signal END AS signal FROM official, (SELECT unnest(['off', 'shadow', 'experimental', 'official']) AS mode)")
+def scoring_modes(spark, sf):
+    rows = written(_with_balance(spark, sf), "with-balance")
+    out = None
+    for mode in S.MODES:
+        one = S.balance_mode(rows, mode).select(F.lit(mode).alias("mode"), "ticker", "signal")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(OFFICIAL + " SELECT count(*) AS companies, count(*) FILTER (g_liquidity OR g_severe_liquidity) AS liquidity_risk, count(*) FILTER (g_high_leverage OR g_severe_leverage) AS high_leverage, count(*) FILTER (g_negative_equity) AS negative_equity, count(*) FILTER (g_debt_maturity) AS debt_maturity, count(*) FILTER (experimental_signal <> signal OR new_signal <> signal) AS changed, count(*) FILTER (NOT (experimental_signal <> signal OR new_signal <> signal)) AS stable FROM official")
+def scoring_change_report(spark, sf):
+    return S.scoring_changes(S.balance_mode(_with_balance(spark, sf), "official"))
 
 
 # ---- joins and set operations ---------------------------------------------------------------------------------------

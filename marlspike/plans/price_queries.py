@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marlspike.operators import prices as P
 from marlspike.operators import trend as T
+from marlspike.operators.ranks import average_rank
+from marlspike.sources.scratch import written
 
 from .domain import BARS, BENCH, SECURITIES, bars, benchmark_bars, securities
 from .registry import query
@@ -277,8 +279,7 @@ def trend_status_counts(spark, sf):
 
 @query(trend_sql(False) + ", x AS (SELECT ticker, round(total, 1) AS v FROM trend) SELECT ticker, v AS score, round((rank() OVER (ORDER BY v) - 1 + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE) / (count(*) OVER () - 1), 6) AS pct FROM x")
 def trend_percentiles(spark, sf):
-    rows = _trend(spark, sf, False).select("ticker", F.lit("score").alias("field"), _r("total", 1).alias("score"))
-    return rows.withColumn("pct", _r(P.average_rank("score", ["field"]))).drop("field")
+    return average_rank(written(_trend(spark, sf, False).select("ticker", _r("total", 1).alias("score")), "trend-totals"), "score", [], "pct")
 
 
 def _history(spark, sf, digits: int = 6) -> DataFrame:
@@ -310,7 +311,7 @@ def _summary(true: str, share: str) -> str:
     return f"""SELECT CASE WHEN grouping(horizon) = 0 THEN 'horizon' WHEN grouping(regime) = 0 THEN 'regime' WHEN grouping(sector) = 0 THEN 'sector' ELSE 'year' END AS grouped_by,
  coalesce(CAST(horizon AS VARCHAR(20)), regime, sector, year) AS value, count(*) AS n, round(avg({one.format('forward_return > 0')}), 5) AS positive, round(median(forward_return), 5) AS median_return, round(avg(forward_return), 5) AS mean_return,
  round(median(excess_return), 5) AS median_excess, round(avg(excess_return), 5) AS mean_excess, round(median(drawdown), 5) AS median_drawdown, round(avg(drawdown), 5) AS mean_drawdown,
- round(avg({one.format('false_positive')}), 5) AS false_positive_rate, sum(CASE WHEN false_positive THEN 1 ELSE 0 END) AS false_positives FROM history GROUP BY GROUPING SETS ((horizon), (regime), (sector), (year))"""
+ round(avg({one.format('false_positive')}), 5) AS false_positive_rate, CAST(sum(CASE WHEN false_positive THEN 1 ELSE 0 END) AS BIGINT) AS false_positives FROM history GROUP BY GROUPING SETS ((horizon), (regime), (sector), (year))"""
 
 
 @query(_history_sql(12) + " " + _summary("1.0::DOUBLE", "0.0::DOUBLE"))
