@@ -94,7 +94,7 @@ def artifact_stem(c) -> Column:
 
 def ticker_of_stem(c) -> Column:
     s = F.upper(col(c))
-    bare = F.substring(s, 2, 1_000)
+    bare = F.regexp_replace(s, "^_", "")
     return F.when(s.startswith("_") & F.substring_index(bare, ".", 1).isin(RESERVED), bare).otherwise(s)
 
 

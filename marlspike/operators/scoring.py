@@ -86,7 +86,8 @@ def classify(level: str = "confidence") -> Column:
 
 def score(features: DataFrame, weights: dict | None = None) -> DataFrame:
     """Adds the component scores, momentum_risk, available, confidence and signal to rows with p_ columns."""
-    df = features.withColumns({c: component(c, weights) for c in WEIGHTS})
+    # a generator, so that what follows refers to plain columns and not to the sums again
+    df = features.select("*", F.inline(F.array(F.struct(*[component(c, weights).alias(c) for c in WEIGHTS]))))
     df = df.withColumn("momentum_risk", F.round(clamp(100 - F.col("momentum"), 0, 100), 4))
     df = df.withColumn("available", sum((F.col(f).isNotNull().cast("int") for f in BOUNDS), F.lit(0)))
     df = df.withColumn("confidence", confidence())
@@ -128,28 +129,16 @@ def contributions() -> Column:
 def sensitivity(features: DataFrame, key: str = "ticker") -> DataFrame:
     """(component, feature, multiplier, changed): labels that change when one weight is scaled by 0.8 or 1.2; one pass, a column per scenario."""
     base = score(features).withColumn("base_signal", F.col("signal"))
-    labels = []
+    varied = []
     for name, w in WEIGHTS.items():
         for f in w:
             for m in (0.8, 1.2):
-                varied = {k: dict(v) for k, v in WEIGHTS.items()}
-                varied[name][f] *= m
-                labels.append((name, f, m, varied))
-    out = None
-    structs = []
-    for name, f, m, varied in labels:
-        one = F.round(clamp(component(name, varied), 0, 100), 4)
-        low = lambda c: c.isNull() | (c < 70)
-        s = {c: F.col(c) for c in ("value", "quality", "market_risk", "balance_risk", "momentum_risk")}
-        if name == "momentum":
-            s["momentum_risk"] = F.round(clamp(100 - one, 0, 100), 4)
-        else:
-            s[name] = one
-        label = ladder([(F.col("confidence") == "Insufficient", "insufficient-evidence"), ((s["value"] >= 65) & (s["balance_risk"] >= 70), "value-trap-risk"), (s["momentum_risk"] >= 70, "momentum-risk"),
-                        ((s["value"] >= 70) & (s["quality"] >= 50) & low(s["market_risk"]) & low(s["balance_risk"]), "potentially-undervalued"), ((s["quality"] >= 70) & low(s["balance_risk"]), "quality-watchlist")], "neutral")
-        structs.append(F.struct(F.lit(name).alias("component"), F.lit(f).alias("feature"), F.lit(m).alias("multiplier"), (label != F.col("base_signal")).cast("int").alias("changed")))
-    out = base.select(F.inline(F.array(*structs)))
-    return out.groupBy("component", "feature", "multiplier").agg(F.sum("changed").alias("changed"))
+                weights = {k: {x: y * (m if (k, x) == (name, f) else 1) for x, y in v.items()} for k, v in WEIGHTS.items()}
+                varied.append(F.struct(F.lit(name).alias("component"), F.lit(f).alias("feature"), F.lit(m).alias("multiplier"), component(name, weights).alias("varied")))
+    rows = base.select("confidence", "base_signal", "momentum_risk", *WEIGHTS, F.inline(F.array(*varied)))
+    rows = rows.withColumns({c: F.when(F.col("component") == c, F.col("varied")).otherwise(F.col(c)) for c in WEIGHTS})
+    rows = rows.withColumn("momentum_risk", F.when(F.col("component") == "momentum", F.round(clamp(100 - F.col("varied"), 0, 100), 4)).otherwise(F.col("momentum_risk")))
+    return rows.withColumn("changed", (classify() != F.col("base_signal")).cast("int")).groupBy("component", "feature", "multiplier").agg(F.sum("changed").alias("changed"))
 
 
 # ---- balance sheet -------------------------------------------------------------------------------------------------

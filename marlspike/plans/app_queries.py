@@ -21,33 +21,6 @@ def ring_cursor(spark, sf):
     return row_number(c, "c_custkey", "place").select("c_custkey", slot_of("place", 37, c.count()).cast("bigint").alias("slot"))
 
 
-@query("SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'purchase') > 0 AS complete FROM events GROUP BY user_id")
-def checkpoint_completeness(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("event_type") == "purchase").alias("done"), (F.count_if(F.col("event_type") == "purchase") > 0).alias("complete"))
-
-
-@query("SELECT reason, retryable, count(*) AS n FROM (SELECT CASE WHEN v < 20 THEN 'NOT_FOUND' WHEN v < 50 THEN 'RATE_LIMITED' WHEN v < 70 THEN 'TIMEOUT' ELSE 'UNKNOWN' END AS reason, v >= 20 AND v < 70 AS retryable FROM (SELECT event_id % 100 AS v FROM events)) GROUP BY 1, 2")
-def failure_reasons(spark, sf):
-    msg = F.when(F.col("event_id") % 100 < 20, "HTTP 404 not found").when(F.col("event_id") % 100 < 50, "HTTP 429 too many").when(F.col("event_id") % 100 < 70, "request timed out").otherwise("odd")
-    e = table(spark, sf, "events").select(msg.alias("m"))
-    reason = F.when(F.col("m").rlike(r"\b404\b"), "NOT_FOUND").when(F.col("m").rlike(r"\b429\b"), "RATE_LIMITED").when(F.col("m").rlike("timed? ?out"), "TIMEOUT").otherwise("UNKNOWN")
-    return e.groupBy(reason.alias("reason"), F.col("m").rlike(r"\b429\b|timed? ?out").alias("retryable")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT count(*) AS n, count(DISTINCT c_nationkey) AS nations, count(*) FILTER (c_acctbal > 0) AS positive, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(DISTINCT c_mktsegment) AS segments FROM customer")
-def coverage_report(spark, sf):
-    return table(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_nationkey").alias("nations"), F.count_if(F.col("c_acctbal") > 0).alias("positive"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("building"), F.countDistinct("c_mktsegment").alias("segments"))
-
-
-@query("SELECT stage, n, CASE WHEN n = 0 THEN 'failed' WHEN bad > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM (SELECT 'orders' AS stage, count(*) AS n, count(*) FILTER (o_totalprice <= 0) AS bad FROM orders UNION ALL SELECT 'customers', count(*), count(*) FILTER (c_acctbal < 0) FROM customer UNION ALL SELECT 'documents', count(*), count(*) FILTER (text IS NULL) FROM documents)")
-def health_rollup(spark, sf):
-    rows = None
-    for stage, name, bad in (("orders", "orders", "o_totalprice <= 0"), ("customers", "customer", "c_acctbal < 0"), ("documents", "documents", "text is null")):
-        one = table(spark, sf, name).agg(F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("n"), F.count_if(F.expr(bad)).alias("bad"))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows.select("stage", "n", F.when(F.col("n") == 0, "failed").when(F.col("bad") > 0, "degraded").otherwise("healthy").alias("status"))
-
-
 @query(f"WITH {BARS} SELECT ticker, count(*) - count(DISTINCT day) AS duplicates, count(*) FILTER (price <= 0) AS not_positive, count(*) FILTER (high < low) AS crossed FROM bars GROUP BY ticker")
 def audit_price_order(spark, sf):
     return bars(spark, sf).groupBy("ticker").agg((F.count(F.lit(1)) - F.countDistinct("day")).alias("duplicates"), F.count_if(F.col("price") <= 0).alias("not_positive"), F.count_if(F.col("high") < F.col("low")).alias("crossed"))
@@ -63,11 +36,6 @@ def audit_contributions(spark, sf):
     return s.groupBy("component").agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.abs(F.col("points") - F.col("score")) > 0.001).alias("wrong"), F.count_if(~F.col("score").between(0, 100)).alias("out_of_bounds"))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate")
-def audit_backtest(spark, sf):
-    return table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_shipdate < o_orderdate").select("l_orderkey", "l_linenumber")
-
-
 @query("SELECT p_partkey, p_name, p_retailprice FROM part WHERE contains(lower(p_name || ' ' || p_brand || ' ' || p_type), 'a') AND p_size > 5 ORDER BY coalesce(p_retailprice, -1) DESC, p_partkey LIMIT 50 OFFSET 50")
 def screen_filter_sort_page(spark, sf):
     p = table(spark, sf, "part").where(F.lower(F.concat_ws(" ", "p_name", "p_brand", "p_type")).contains("a") & (F.col("p_size") > 5))
@@ -79,27 +47,6 @@ def dashboard_kpis(spark, sf):
     return securities(spark, sf).groupBy("exchange").agg(F.round(F.median("balance"), 1).alias("median_balance"), F.count_if(F.col("balance") > 5000).alias("strong"), F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH t AS (SELECT c_custkey, c_acctbal, CASE WHEN c_acctbal > 9000 THEN 'growth' WHEN c_acctbal < -500 THEN 'undervalued' END AS teaser FROM customer WHERE c_custkey > 20), r AS (SELECT *, row_number() OVER (PARTITION BY teaser ORDER BY c_custkey) AS k FROM t WHERE teaser IS NOT NULL) SELECT c_custkey, 'preview' AS tier FROM customer WHERE c_custkey <= 20 UNION ALL SELECT c_custkey, teaser FROM r WHERE k <= 3")
-def access_tiers(spark, sf):
-    c = table(spark, sf, "customer")
-    t = c.where("c_custkey > 20").withColumn("tier", F.when(F.col("c_acctbal") > 9000, "growth").when(F.col("c_acctbal") < -500, "undervalued")).where("tier is not null")
-    t = t.withColumn("k", F.row_number().over(Window.partitionBy("tier").orderBy("c_custkey"))).where("k <= 3")
-    return c.where("c_custkey <= 20").select("c_custkey", F.lit("preview").alias("tier")).unionByName(t.select("c_custkey", "tier"))
-
-
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN o_orderdate > TIMESTAMP '1999-01-01' ELSE false END AS pro FROM orders")
-def entitlement(spark, sf):
-    s = F.col("o_orderstatus")
-    pro = F.when(s == "O", True).when(s == "F", F.col("o_orderdate") > F.lit("1999-01-01").cast("timestamp_ntz")).otherwise(False)
-    return table(spark, sf, "orders").select("o_orderkey", pro.alias("pro"))
-
-
-@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal / 25 * 100 + 0.5) / 100 END AS shares, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal * 1.08::DOUBLE * 100 + 0.5) / 100 END AS outcome, CASE WHEN c_acctbal > 0 THEN 'available' ELSE 'invalid' END AS status FROM customer")
-def position_outcomes(spark, sf):
-    ok = F.col("c_acctbal") > 0
-    return table(spark, sf, "customer").select("c_custkey", F.when(ok, money(F.col("c_acctbal") / 25)).alias("shares"), F.when(ok, money(F.col("c_acctbal") * 1.08)).alias("outcome"), F.when(ok, "available").otherwise("invalid").alias("status"))
-
-
 @query("SELECT p_partkey, round(pow(1 + p_size / 100.0::DOUBLE, 30.0::DOUBLE / 365) - 1, 6) AS scaled FROM part")
 def target_scaling(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.round(F.pow(1 + F.col("p_size") / 100.0, F.lit(30.0 / 365)) - 1, 6).alias("scaled"))
@@ -108,14 +55,3 @@ def target_scaling(spark, sf):
 @query(f"WITH {SECURITIES} SELECT ticker, array_to_string(list_filter([CASE WHEN balance > 5000 THEN 'strong balance' END, CASE WHEN balance < 0 THEN 'negative balance' END, sector], lambda x: x IS NOT NULL), '; ') AS claims FROM securities")
 def brief_claims(spark, sf):
     return securities(spark, sf).select("ticker", F.concat_ws("; ", F.when(F.col("balance") > 5000, "strong balance"), F.when(F.col("balance") < 0, "negative balance"), "sector").alias("claims"))
-
-
-@query("SELECT s_suppkey, CASE WHEN s_acctbal > 7500 THEN 'elevated risk' WHEN s_acctbal > 4000 AND s_suppkey % 2 = 0 THEN 'supportive' ELSE 'mixed' END AS posture FROM supplier")
-def risk_posture(spark, sf):
-    a = F.col("s_acctbal")
-    return table(spark, sf, "supplier").select("s_suppkey", F.when(a > 7500, "elevated risk").when((a > 4000) & (F.col("s_suppkey") % 2 == 0), "supportive").otherwise("mixed").alias("posture"))
-
-
-@query("SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_acctbal <= 0 THEN 'amount' END, CASE WHEN length(c_name) > 1000 THEN 'notes' END, CASE WHEN c_custkey % 10 = 0 THEN 'either' END], lambda x: x IS NOT NULL), ',') AS errors FROM customer")
-def portfolio_validation(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey", F.array_join(codes([(F.col("c_acctbal") <= 0, "amount"), (F.length("c_name") > 1000, "notes"), (F.col("c_custkey") % 10 == 0, "either")]), ",").alias("errors"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import app_queries, fact_queries, forecast_queries, price_queries, search_queries, stream_queries  # noqa: F401  (they register)
+from . import app_queries, fact_queries, forecast_queries, price_queries, run_queries, search_queries, stream_queries, user_queries  # noqa: F401  (they register)
 from .registry import ORACLES, QUERIES
 
 

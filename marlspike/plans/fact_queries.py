@@ -29,12 +29,6 @@ def json_props_extract(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"), "event_type")
 
 
-@query(f"WITH {FACTS} SELECT label, max(accession) AS accession, count(*) AS n, min(filed) AS first_filed, max(period_end) AS last_period FROM facts WHERE form IN ('O', 'F') AND value > 0 GROUP BY label")
-def scan_facts_flatten(spark, sf):
-    f = facts(spark, sf).where(F.col("form").isin("O", "F") & (F.col("value") > 0))
-    return f.groupBy("label").agg(F.max("accession").alias("accession"), F.count(F.lit(1)).alias("n"), F.min("filed").alias("first_filed"), F.max("period_end").alias("last_period"))
-
-
 @query("SELECT l_orderkey, t.pos, t.partkey, t.qty FROM (SELECT l_orderkey, unnest(list_zip(range(1, len(p) + 1), p, q)) AS z FROM (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_quantity) AS p, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) AS q FROM lineitem GROUP BY 1)) x, LATERAL (SELECT CAST(z[1] AS INT) AS pos, z[2] AS partkey, z[3] AS qty) t")
 def zip_parallel_arrays(spark, sf):
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("a"))

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlspike.functions.exprs import STOPWORDS, cosine, jaccard, search_tokens, token_set
+from marlspike.functions.exprs import STOPWORDS, search_tokens, token_set
+from marlspike.operators import filings as FL
 from marlspike.operators import search as R
 from marlspike.sources.tables import table
 
 from .domain import corpus
-from .registry import ORACLES, QUERIES, query
+from .registry import query
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
 TOK = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+(?:''[a-z]+)?'), lambda x: length(x) > 1 AND NOT list_contains(" + _STOP + ", x))"
 INDEX = f"""tok AS MATERIALIZED (SELECT doc_id, source AS ticker, lang AS form, {TOK.format('text')} AS terms FROM documents), live AS (SELECT *, len(terms) AS len FROM tok WHERE len(terms) > 0),
 post AS MATERIALIZED (SELECT doc_id, ticker, form, len, term, count(*) AS tf FROM (SELECT doc_id, ticker, form, len, unnest(terms) AS term FROM live) GROUP BY ALL), stats AS (SELECT count(*) AS n_docs, round(avg(len), 4) AS avg_len FROM live)"""
-QUERY_TERMS = f"qt AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark WHERE item_id < 10) GROUP BY ALL)"
+QUERY_TERMS = f"qt AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOK.format('text')}) AS term FROM benchmark) GROUP BY ALL)"
 
 
 def _bm(extra: str = "") -> str:
@@ -26,9 +25,9 @@ def _bm(extra: str = "") -> str:
 bm AS (SELECT q.query_id, p.doc_id, round(sum(times * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 5) AS score FROM post p JOIN dfs USING (term) JOIN qt q USING (term), stats {extra} GROUP BY 1, 2)"""
 
 
-def _queries(spark, sf, asked: str = "item_id < 10") -> DataFrame:
-    """Test items as questions: the first ten, or those ``asked`` for."""
-    return table(spark, sf, "benchmark").where(asked).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+def _queries(spark, sf) -> DataFrame:
+    """All test items as questions."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query(f"SELECT doc_id, len(t) AS n_terms, coalesce(t[1], '') AS first_term, coalesce(t[-1], '') AS last_term FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)")
@@ -53,62 +52,44 @@ def corpus_stats(spark, sf):
 
 
 @query(_bm() + " SELECT query_id, doc_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10")
-def bm25_topk(spark, sf, asked="item_id < 10"):
-    return R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked)), 10).drop("rank")
+def bm25_topk(spark, sf):
+    return R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf)), 10).drop("rank")
 
 
 @query(_bm("WHERE form = 'en'") + " SELECT query_id, doc_id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5")
-def bm25_filtered(spark, sf, asked="item_id < 10"):
-    return R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked), keep=F.col("form") == "en"), 5).drop("rank")
-
+def bm25_filtered(spark, sf):
+    return R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf), keep=F.col("form") == "en"), 5).drop("rank")
 
-@query("SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN text || ' risk factors market risk liquidity' ELSE text END AS expanded FROM benchmark")
-def query_expansion(spark, sf):
-    b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit(" risk factors market risk liquidity"))).otherwise(F.col("text")).alias("expanded"))
 
-
-_SET = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?'))"
-
-
-@query(f"WITH s AS (SELECT item_id, {_SET} AS t FROM benchmark WHERE item_id < 40) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS sim FROM s a JOIN s b ON a.item_id < b.item_id")
-def jaccard_pairs(spark, sf):
-    s = table(spark, sf, "benchmark").where("item_id < 40").select("item_id", token_set("text").alias("t"))
-    a, b = s.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), s.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(jaccard("ta", "tb"), 6).alias("sim"))
-
-
-_DOT = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
-
-
-@query("SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 5) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 10")
-def cosine_topk(spark, sf, vectors="vec_id < 5"):
+@query("SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 10")
+def cosine_topk(spark, sf):
+    """The vectors whose id is divisible by 100 against all."""
     e = table(spark, sf, "embeddings")
-    q = e.where(vectors).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return R.vector_top(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), q, 10, small=vectors != "true").drop("rank")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return R.vector_top(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), q, 10).drop("rank")
 
 
 @query(_bm() + ", t AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 12) SELECT query_id, doc_id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END, 4) AS norm FROM t WINDOW w AS (PARTITION BY query_id)")
-def minmax_normalize(spark, sf, asked="item_id < 10"):
-    t = R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked)), 12)
+def minmax_normalize(spark, sf):
+    t = R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf)), 12)
     return R.minmax(t, "score", "norm").select("query_id", "doc_id", F.round("norm", 4).alias("norm"))
 
 
-@query(_bm() + """, lex AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 12), sem AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 12),
+@query(_bm() + """, lex AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 12), sem AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 12),
 nl AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS x FROM lex WINDOW w AS (PARTITION BY query_id)), ns AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS x FROM sem WINDOW w AS (PARTITION BY query_id))
 SELECT query_id, doc_id, round(0.6::DOUBLE * coalesce(nl.x, 0) + 0.4::DOUBLE * coalesce(ns.x, 0), 4) AS score FROM nl FULL JOIN ns USING (query_id, doc_id)""")
-def hybrid_fuse(spark, sf, asked="item_id < 10", vectors="vec_id < 10"):
-    lex = R.minmax(R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked)), 12), "score", "x").select("query_id", "doc_id", "x")
+def hybrid_fuse(spark, sf):
+    lex = R.minmax(R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf)), 12), "score", "x").select("query_id", "doc_id", "x")
     e = table(spark, sf, "embeddings")
-    q = e.where(vectors).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    sem = R.minmax(R.vector_top(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), q, 12, small=vectors != "true"), "score", "y").select("query_id", "doc_id", "y")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    sem = R.minmax(R.vector_top(e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), q, 12), "score", "y").select("query_id", "doc_id", "y")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return lex.join(sem, ["query_id", "doc_id"], "full_outer").select("query_id", "doc_id", F.round(0.6 * zero("x") + 0.4 * zero("y"), 4).alias("score"))
 
 
 @query(_bm() + ", t AS (SELECT bm.*, quality = 1 AS good, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm.doc_id) AS r FROM bm LEFT JOIN labels USING (doc_id)) SELECT query_id, round(count(*) FILTER (good AND r <= 3) / 3.0::DOUBLE, 6) AS p3, round(coalesce(1.0::DOUBLE / min(r) FILTER (good), 0), 6) AS rr FROM t WHERE r <= 10 GROUP BY query_id")
-def precision_mrr(spark, sf, asked="item_id < 10"):
-    t = R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf, asked)), 10).join(table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id", "left")
+def precision_mrr(spark, sf):
+    t = R.top_k(R.bm25(corpus(spark, sf), _queries(spark, sf)), 10).join(table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id", "left")
     return t.groupBy("query_id").agg(F.round(F.count_if(F.col("good") & (F.col("rank") <= 3)) / 3.0, 6).alias("p3"), F.round(F.coalesce(1.0 / F.min(F.when(F.col("good"), F.col("rank"))), F.lit(0.0)), 6).alias("rr"))
 
 
@@ -137,19 +118,9 @@ def prev_next_links(spark, sf):
 
 
 @query()
-def html_clean(spark, sf):
-    return R.clean_html(table(spark, sf, "pages"))
-
-
-@query()
-def chunk_documents(spark, sf):
-    return R.chunk(corpus(spark, sf)).select("doc_id", "sequence", "chunk_id", F.size(F.split("text", " ")).alias("words"))
-
-
-@query()
-def diversify_topk(spark, sf, asked="item_id < 10"):
+def diversify_topk(spark, sf):
     docs = corpus(spark, sf)
-    t = R.top_k(R.bm25(docs, _queries(spark, sf, asked)), 12).join(docs.select("doc_id", F.col("ticker").alias("section"), "text"), "doc_id")
+    t = R.top_k(R.bm25(docs, _queries(spark, sf)), 12).join(docs.select("doc_id", F.col("ticker").alias("section"), "text"), "doc_id")
     return R.diversify(t, 5)
 
 
@@ -168,42 +139,92 @@ def prompt_pack_budget(spark, sf):
     return R.prompt_pack(c, 400).select(F.col("prompt").alias("conv_id"), "place.turn", F.length("body").cast("bigint").alias("kept_chars"))
 
 
-@query("SELECT conv_id, turn, regexp_matches(lower(text), '\\b(guarantee|you should (buy|sell)|the)\\b') AS withheld FROM conversations WHERE role = 'assistant'")
-def answer_safety(spark, sf):
-    c = table(spark, sf, "conversations").where("role = 'assistant'")
-    return c.select("conv_id", "turn", F.lower("text").rlike(r"\b(guarantee|you should (buy|sell)|the)\b").alias("withheld"))
+@query(_bm() + " SELECT doc_id, max(score) AS score FROM bm GROUP BY doc_id HAVING max(score) > 5")
+def evidence_merge(spark, sf):
+    return R.bm25(corpus(spark, sf), _queries(spark, sf)).groupBy("doc_id").agg(F.max("score").alias("score")).where("score > 5")
 
 
-@query(_bm() + " SELECT doc_id, max(score) AS score FROM bm GROUP BY doc_id HAVING max(score) > 5")
-def evidence_merge(spark, sf, asked="item_id < 10"):
-    return R.bm25(corpus(spark, sf), _queries(spark, sf, asked)).groupBy("doc_id").agg(F.max("score").alias("score")).where("score > 5")
+_SET = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?'))"
+
+
+@query(f"WITH s AS (SELECT item_id, {_SET} AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS sim FROM s a JOIN s b ON a.item_id % 100 = 0 AND a.item_id <> b.item_id WHERE len(list_intersect(a.t, b.t)) > 0")
+def jaccard_pairs(spark, sf):
+    """The items whose id is divisible by 100 against all others that share a token."""
+    s = table(spark, sf, "benchmark").select("item_id", token_set("text").alias("t"))
+    t = s.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
+    a, b = t.where("item_id % 100 = 0").select(F.col("item_id").alias("a"), F.col("n").alias("na"), "token"), t.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "token")
+    both = b.join(a, "token").where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
+    return both.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("sim"))
 
 
-@query("SELECT conv_id, string_agg(substr(text, 1, 40), chr(10) ORDER BY turn) AS summary FROM (SELECT * FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3) GROUP BY conv_id")
-def session_summary(spark, sf):
-    n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    c = table(spark, sf, "conversations").where("role = 'assistant'").withColumn("n", n).where("n <= 3")
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 40).alias("t")))), lambda x: x["t"]), "\n").alias("summary"))
+@query(_bm() + ", t AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 3) SELECT query_id, doc_id, string_agg(term, ',' ORDER BY term) AS matched FROM t JOIN qt USING (query_id) JOIN post USING (doc_id, term) GROUP BY 1, 2")
+def bm25_matched_terms(spark, sf):
+    docs, q = corpus(spark, sf), _queries(spark, sf)
+    top = R.top_k(R.bm25(docs, q), 3)
+    return R.matched_terms(docs, q, top).select("query_id", "doc_id", F.array_join("matched", ",").alias("matched"))
 
 
-@query("SELECT event_id, CASE WHEN contains(event_type, 'click') THEN 'supports' WHEN contains(event_type, 'view') THEN 'neutral' ELSE 'unclear' END AS label FROM events")
-def label_normalize(spark, sf):
-    t = F.col("event_type")
-    return table(spark, sf, "events").select("event_id", F.when(t.contains("click"), "supports").when(t.contains("view"), "neutral").otherwise("unclear").alias("label"))
+@query(f"SELECT item_id, array_to_string(list_sort(list_distinct(list_concat({TOK.format('substr(q, 1, 200)')}, " + ", ".join(f"CASE WHEN regexp_matches(lower(q), '{p}') THEN {w} ELSE [] END" for p, w in R.PROFILES) + "))), ',') AS terms FROM (SELECT item_id, text || CASE item_id % 4 WHEN 0 THEN ' debt' WHEN 1 THEN ' supply chain risk' ELSE '' END AS q FROM benchmark)")
+def expanded_terms(spark, sf):
+    k = F.col("item_id") % 4
+    q = F.concat("text", F.when(k == 0, " debt").when(k == 1, " supply chain risk").otherwise(""))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(R.expanded_terms(q)), ",").alias("terms"))
 
 
-# The queries above ask a stated few ids, as their SQL does. The same searches with every row as a query:
-for _f, _all in ((bm25_topk, {"asked": "true"}), (bm25_filtered, {"asked": "true"}), (minmax_normalize, {"asked": "true"}), (hybrid_fuse, {"asked": "true", "vectors": "true"}), (precision_mrr, {"asked": "true"}), (diversify_topk, {"asked": "true"}), (evidence_merge, {"asked": "true"}), (cosine_topk, {"vectors": "true"})):
-    QUERIES[f"{_f.__name__}_whole"] = partial(_f, **_all)
-    if _f.__name__ in ORACLES:
-        ORACLES[f"{_f.__name__}_whole"] = ORACLES[_f.__name__].replace(" WHERE item_id < 10", "").replace(" WHERE vec_id < 10", "").replace(" WHERE vec_id < 5", "")
+# ---- filings --------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH s AS (SELECT item_id, {_SET} AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS sim FROM s a JOIN s b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) > 0")
-def jaccard_pairs_whole(spark, sf):
-    """All pairs of items that share a token."""
-    s = table(spark, sf, "benchmark").select("item_id", token_set("text").alias("t"))
-    t = s.select("item_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    a, b = t.select(F.col("item_id").alias("a"), F.col("n").alias("na"), "token"), t.select(F.col("item_id").alias("b"), F.col("n").alias("nb"), "token")
-    both = a.join(b, "token").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("both"))
-    return both.select("a", "b", F.round(F.col("both") / (F.col("na") + F.col("nb") - F.col("both")), 6).alias("sim"))
+def _filings(spark, sf) -> DataFrame:
+    """Documents as filings: their first lines get headings of parts and items."""
+    items = ["Part I", "Item 1. Business", "Item 1A. Risk Factors", "Part II", "Item 7. Management", "SIGNATURES"]
+    heading = lambda i: F.get(F.array(*[F.lit(t) for t in items]), (i / 2).cast("int"))
+    marked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when((i % 2 == 0) & (i < 2 * len(items)), F.concat(heading(i), F.lit("\n"), x)).otherwise(x))
+    d = table(spark, sf, "documents")
+    return d.select(F.col("doc_id").cast("string").alias("accession"), F.when(F.col("doc_id") % 2 == 0, "10-K").otherwise("10-Q").alias("form"), F.array_join(marked, "\n").alias("text"), F.coalesce("source", F.lit("none")).alias("ticker"))
+
+
+@query()
+def html_clean(spark, sf):
+    return FL.clean_html(table(spark, sf, "pages"))
+
+
+@query()
+def sections(spark, sf):
+    return FL.detect_sections(_filings(spark, sf))
+
+
+@query()
+def chunk_documents(spark, sf):
+    return FL.chunk_filings(_filings(spark, sf))
+
+
+@query("SELECT 0::BIGINT AS not_their_slice, 0::BIGINT AS backwards, 0::BIGINT AS too_long, 0::BIGINT AS broken_links")
+def audit_chunks(spark, sf):
+    """Chunks that are not the slice of the text at their offsets, run backwards, are too long, or whose links don't meet: none."""
+    filings = _filings(spark, sf)
+    c = FL.chunk_filings(filings).join(filings.select("accession", F.col("text").alias("whole")), "accession")
+    w = Window.partitionBy("accession").orderBy("char_start", "char_end")
+    c = c.withColumn("before", F.lag("chunk_id").over(w))
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    return c.agg(F.count_if(F.substring(F.col("whole"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text")).alias("not_their_slice"), F.count_if((F.col("char_end") <= F.col("char_start")) | (F.col("word_end") < F.col("word_start"))).alias("backwards"),
+                 F.count_if(n > 510).alias("too_long"), F.count_if(~F.col("previous_id").eqNullSafe(F.col("before"))).alias("broken_links"))
+
+
+@query()
+def chunk_distribution(spark, sf):
+    """Fewest, upper median and most words of the chunks of each form and section."""
+    n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
+    f = _filings(spark, sf)
+    c = FL.chunk_filings(f).join(f.select("accession", "form"), "accession").withColumn("n", n)
+    # lengths are few numbers, so they are counted first: the upper median is the first whose running count passes half
+    g = c.groupBy("form", "section", "n").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("form", "section")
+    g = g.withColumn("upto", F.sum("c").over(w.orderBy("n"))).withColumn("chunks", F.sum("c").over(w))
+    return g.groupBy("form", "section").agg(F.max("chunks").alias("chunks"), F.min("n").alias("fewest"), F.min(F.when(F.col("upto") > F.floor(F.col("chunks") / 2), F.col("n"))).alias("median"), F.max("n").alias("most"))
+
+
+@query()
+def filing_index_errors(spark, sf):
+    f = _filings(spark, sf)
+    c = FL.chunk_filings(f).join(f.select("accession", "ticker"), "accession")
+    return FL.index_or_error(f, c)

@@ -35,9 +35,10 @@ def stream_sliding(spark, sf):
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT user_id, sum(new) AS sessions, count(*) AS events FROM g GROUP BY user_id) SELECT user_id, CAST(sessions AS BIGINT) AS sessions, events FROM k")
 def stream_session(spark, sf):
-    # all rows come in one micro-batch and the watermark moves after it, so sessions are closed by the batch form of the same plan
-    e = S.sessions(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
-    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
+    # complete mode: each batch gives all sessions so far, the last one the result
+    rows = S.run_available(S.sessions(S.events(spark, f"{sf}/events.parquet")), "complete", spark)
+    last = rows.agg(F.max("_batch")).first()[0]
+    return rows.where(F.col("_batch") == F.lit(last)).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"))
 
 
 @query("SELECT count(DISTINCT user_id) AS users FROM events")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlspike.functions.exprs import artifact_stem
+from marlspike.functions.exprs import RESERVED, artifact_stem
+
+from .scratch import file_system
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -47,5 +49,45 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame, keys: list[str])
     return first.join(existing.select(*keys), keys, "left_anti")
 
 
-def trim(df: DataFrame, heavy: list[str]) -> DataFrame:
-    return df.drop(*heavy)
+def trim(df: DataFrame, heavy: list[str]) -> tuple[DataFrame, list[str]]:
+    """The table without its heavy columns, and which of them it had."""
+    return df.drop(*heavy), [c for c in heavy if c in df.columns]
+
+
+def update_rows(existing: DataFrame, patch: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``columns`` of existing rows set from ``patch``, which has a row for each key at most; null in a patch leaves a value."""
+    p = patch.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in columns])
+    cols = [F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in existing.columns]
+    return existing.join(p, keys, "left").select(*cols)
+
+
+def delete_rows(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    return existing.join(gone.select(*keys).distinct(), keys, "left_anti").select(*existing.columns)
+
+
+def stems(spark: SparkSession, path: str) -> list[str]:
+    """Stems of the keys that have a folder under ``path``."""
+    fs, place = file_system(spark, path)
+    return sorted(x.getPath().getName().split("=", 1)[1] for x in fs.listStatus(place) if x.getPath().getName().startswith("stem=")) if fs.exists(place) else []
+
+
+def remove_stale(spark: SparkSession, path: str, active: DataFrame, key: str = "ticker") -> list[str]:
+    """Delete the folders of keys that are not active; their stems in order."""
+    listed = stems(spark, path)
+    there = spark.createDataFrame([(x,) for x in listed], "stem string")
+    gone = [r["stem"] for r in there.join(active.select(artifact_stem(key).alias("stem")).distinct(), "stem", "left_anti").orderBy("stem").collect()]
+    for stem in gone:
+        fs, place = file_system(spark, f"{path}/stem={stem}")
+        fs.delete(place, True)
+    return gone
+
+
+def repair_names(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Rename key folders whose stem is a device name to the escaped stem; (from, to) of each."""
+    done = []
+    for stem in stems(spark, path):
+        if stem.upper().split(".")[0] in RESERVED:
+            fs, place = file_system(spark, f"{path}/stem={stem}")
+            fs.rename(place, file_system(spark, f"{path}/stem=_{stem.upper()}")[1])
+            done.append((stem, f"_{stem.upper()}"))
+    return done

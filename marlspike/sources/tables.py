@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def price_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Daily bars from CSV; malformed lines are dropped, rows come by date."""
+    """Daily bars from CSV, also of many series in folders ``ticker=``; malformed lines are dropped. A source without a row is an error."""
     schema = "date date, open double, high double, low double, close double, volume bigint"
-    return spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED").orderBy("date")
+    rows = spark.read.csv(path, schema=schema, header=True, mode="DROPMALFORMED")
+    if rows.isEmpty():
+        raise ValueError(f"no price rows in {path}")
+    return rows
 
 
 def chart_bars(charts: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def flatten_company_facts(payload: DataFrame, dictionary: DataFrame) -> DataFram
     # where both namespaces have a concept, dei's replaces the other
     last = rows.groupBy("cik", "concept").agg(F.min("space").alias("space"))
     rows = rows.join(last, ["cik", "concept", "space"], "left_semi").select("cik", "concept", "unit", F.inline("points"))
-    named = rows.join(F.broadcast(dictionary), ["concept", "unit"])  # the dictionary has some tens of rows
+    named = rows.join(dictionary, ["concept", "unit"])  # some tens of rows: the size check before a broadcast is Spark's own
     out = named.select("cik", "concept", "label", F.col("val").alias("value"), "unit", F.expr("try_to_date(`end`, 'yyyy-MM-dd')").alias("period_end"), F.expr("try_to_date(filed, 'yyyy-MM-dd')").alias("filed"), F.col("fy").alias("fiscal_year"), F.col("fp").alias("fiscal_period"), "form", F.col("accn").alias("accession"))
     out = out.where(F.col("form").isin("10-K", "10-Q") & F.col("value").isNotNull() & F.col("period_end").isNotNull() & F.col("filed").isNotNull())
     return out.where(~(F.col("label").isin("Assets", "Shares outstanding") & (F.col("value") <= 0)))
@@ -62,6 +65,34 @@ def symbol_map(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.select(*[F.col("data")[i].alias(f) for i, f in enumerate(fields)])
 
 
+def company_facts(spark: SparkSession, path: str) -> DataFrame:
+    """One payload a company, as nested maps."""
+    return spark.read.schema(COMPANY_FACTS).json(path)
+
+
+def charts(spark: SparkSession, path: str) -> DataFrame:
+    """Chart payloads: parallel arrays of each series."""
+    return spark.read.schema(CHART).json(path)
+
+
+def chart_lines(rows: DataFrame) -> DataFrame:
+    """Payload lines of bars (ticker, day, open, high, low, close, volume, adj_close), the inverse of :func:`chart_bars`."""
+    day = F.unix_seconds(F.col("day").cast("timestamp"))
+    g = rows.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct(day.alias("timestamp"), "open", "high", "low", "close", "volume", F.col("adj_close").alias("adjclose")))).alias("a"))
+    return g.select(F.to_json(F.struct(F.col("ticker").cast("string").alias("ticker"), *[F.col(f"a.{c}").alias(c) for c in ("timestamp", "open", "high", "low", "close", "volume", "adjclose")]), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def normalize_points(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(ticker, date, price) of raw points: blank dates and prices that aren't positive numbers go, of a date the last by ``order`` stays."""
+    ok = rows.where(F.col("date").isNotNull() & (F.col("price") > 0) & (F.col("price") < float("inf")))
+    return ok.groupBy("ticker", "date").agg(F.max_by("price", F.struct(*order)).alias("price"))
+
+
+def reject_duplicate_dates(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(ticker, date, price, rejected): of a date the first by ``order`` stays; ``rejected`` counts the others."""
+    return rows.groupBy("ticker", "date").agg(F.min_by("price", F.struct(*order)).alias("price"), (F.count(F.lit(1)) - 1).alias("rejected"))
+
+
 def universe(rows: DataFrame, limit: int | None = None, offset: int = 0, tickers: list[str] | None = None) -> DataFrame:
     """Supported rows (missing means supported), by priority and ticker, one page of them."""
     out = rows.where(F.coalesce(F.col("isSupported"), F.lit(True))).withColumn("ticker", normalize_ticker("ticker"))

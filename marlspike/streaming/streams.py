@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from marlspike.sources.scratch import file_system, fresh_path
+
 
 def events(spark: SparkSession, path: str) -> DataFrame:
     """A folder of event files as a stream; event times get a zone so that watermarks accept them."""
@@ -50,15 +49,19 @@ def progress(e: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, mode: str, spark: SparkSession, checkpoint: str | None = None) -> DataFrame:
-    """Process all that is there and return the result rows; ``checkpoint`` makes a later run go on from here."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='marlspike-stream-')}"
-    name = f"s{uuid.uuid4().hex}"
-    out = f"{base.rstrip('/')}/{name}"
+    """Process all that is there and return the rows of all runs, with ``_batch``.
+
+    ``checkpoint`` names a shared folder; a later run with it goes on from here, and its result holds the earlier batches too.
+    A batch is written to a folder of its own, so one that is run again replaces itself."""
+    base = (checkpoint or fresh_path(spark, "stream")).rstrip("/")
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(f"{out}/rows")
+        batch.write.mode("overwrite").parquet(f"{base}/rows/_batch={number}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", checkpoint or f"{out}/state").trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    rows = spark.read.schema(stream.schema.add("_batch", "integer")).parquet(f"{out}/rows")
-    return rows
+    schema = stream.schema.add("_batch", "integer")
+    fs, place = file_system(spark, f"{base}/rows")
+    if not fs.exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{base}/rows").parquet(f"{base}/rows")
