@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
 
 import corpus_pipeline as cp
+from marlspike.llm.queries import tokenizer_path
 
-from .test_cases import TEXTS, brute_groups, frame
+from .test_cases import TEXTS, WORD, brute_groups, brute_overlaps, frame
 
 
 def test_stages_follow_one_another(spark, sf_dir):
@@ -36,3 +41,73 @@ def test_odd_rows_and_empty_tables(spark, sf_dir):
             out.collect()
     twice = frame(spark, [(5, "the same row twice")] * 3)
     assert cp.near_duplicates(spark, twice, sf_dir).count() == 1
+
+
+def test_decontaminate_against_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    items = [(i, " ".join(f"i{i}t{j}" for j in range(n))) for i, n in enumerate((4, 7, 10, 13, 20, 40))]
+    spark.createDataFrame([(i, t, "clash", 1, "x") for i, t in items], "item_id long, text string, doc_id string, h long, _key string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = []
+    for k in range(60):
+        w = items[k % 6][1].split()
+        for p in rng.choice(len(w), int(rng.integers(0, len(w) // 2 + 1)), replace=False):
+            w[p] = f"z{rng.integers(10**6)}"
+        rows.append((k, " ".join([f"a{k}", "b", *w, "c", f"d{k}"])))
+    rows += [(100, None), (101, ""), (102, "clean"), (None, items[5][1]), (103, items[5][1]), (103, items[5][1])]
+    docs = frame(spark, rows)
+    kept = Counter(r["doc_id"] for r in cp.decontaminate(spark, docs, str(tmp_path)).collect())
+    bad = {d for d, _ in brute_overlaps(rows, items)}
+    assert kept == Counter(d for d, _ in rows if d not in bad) and 20 < len(bad) < 60
+
+
+def test_mix_against_plain_python(spark, sf_dir):
+    """Sources below the number of rounded documents: targets by water filling, copies by rounding, the largest first."""
+    rng = np.random.default_rng(22)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), "abcd"[int(rng.integers(0, 4)) if i % 3 else 0]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' as lang", "source", "length(text) as n_chars")
+    got = Counter(r["doc_id"] for r in cp.mix_sources(spark, docs, sf_dir).collect())
+    size = {i: len(WORD.findall(t)) for i, t, _ in rows}
+    own = defaultdict(list)
+    for i, _, s in rows:
+        own[s].append(i)
+    whole = {s: sum(size[i] for i in x) for s, x in own.items()}
+    weight = {s: k % 3 + 1 for k, s in enumerate(sorted(own))}
+    left, open_, target = sum(whole.values()), set(own), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if 3 * whole[s] < level * weight[s]}
+        for s in full or open_:
+            target[s] = 3 * whole[s] if full else level * weight[s]
+        left -= sum(target[s] for s in full)
+        open_ -= full or open_
+    want = Counter()
+    for s, x in own.items():
+        sized = taken = 0
+        for i in sorted(x, key=lambda i: (-size[i], i)):
+            sized += size[i]
+            if size[i]:
+                c = min(max(int(np.floor((target[s] / whole[s] * sized - taken) / size[i] + 0.5)), 0), 3)
+                taken += c * size[i]
+                want[i] += c
+        assert abs(taken - target[s]) <= 40
+    assert got == +want
+
+
+@pytest.mark.parametrize("rows", [TEXTS, [], [(5, "the same row twice")] * 3])
+def test_encode_odd_rows(spark, sf_dir, rows):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    got = sorted(((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in cp.encode(spark, frame(spark, rows), sf_dir).collect()), key=lambda x: x[1])
+    want, at = [], 0
+    for d, t in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
+
+
+def test_repeated_rows_keep_one_defined_row(spark):
+    rows = [(5, "the same row twice", lang) for lang in ("fr", "de", None, "en")]
+    docs = spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {cp.near_duplicates(spark, docs.repartition(n), "").first()["lang"] for n in (1, 3)} == {None}
