@@ -60,6 +60,7 @@ def named_field(answer: Column, names: list[str]) -> Column:
     return F.trim(F.regexp_replace(first, "^[^:]*:", ""))
 
 
+# The labels of the next three functions and the words that stand for them, first match wins.
 def assessment(value: Column) -> Column:
     low = F.lower(F.coalesce(value, F.lit("")))
     bare = F.regexp_replace(F.trim(low), r"^[:.\-]+|[:.\-]+$", "")
@@ -127,6 +128,10 @@ def cache_reasons(store: DataFrame, corpus: DataFrame) -> Column:
         F.when(F.col("stored_n") != F.col("wanted_n"), "vector count differs"), F.when(F.col("bad_dimensions") > 0, "vector dimensions differ")))
 
 
+# Fixed value: what is said where no passage is found.
+NO_EVIDENCE = "No relevant SEC filing evidence was retrieved; the evidence is insufficient."
+
+
 def answer_questions(docs: DataFrame, questions: DataFrame, generator: Callable[[Column], Column] | None = None, k: int = 5) -> DataFrame:
     """(query_id, intent, citations, answer, warning, limitations): intent, retrieval of each of its queries, merged evidence, answer, checks.
 
@@ -148,5 +153,5 @@ def answer_questions(docs: DataFrame, questions: DataFrame, generator: Callable[
         answer = F.when(F.col("p").isNotNull(), generator(F.concat_ws("\n\n", F.col("query"), body)))
     checked = validated(with_preface(answer, F.col("intent")), F.col("citations"))
     rows = rows.withColumn("_c", checked)
-    none = F.when(F.col("p").isNull(), "No relevant SEC filing evidence was retrieved; the evidence is insufficient.").when(answer.isNull(), "Retrieved evidence is provided without interpretation.")
+    none = F.when(F.col("p").isNull(), NO_EVIDENCE).when(answer.isNull(), "Retrieved evidence is provided without interpretation.")
     return rows.select("query_id", "intent", "citations", F.col("_c.answer").alias("answer"), F.when(answer.isNotNull(), F.col("_c.warning")).alias("warning"), none.alias("limitations"))

@@ -43,6 +43,7 @@ def ticker_format(ticker: Column) -> Column:
     return F.coalesce(F.upper(F.trim(ticker)).rlike(r"^[A-Z0-9.-]{1,12}$"), F.lit(False))
 
 
+# The limits and the texts of the rules below (input errors, reasons without a value, outcome or target).
 def input_error(p: DataFrame) -> Column:
     """The first rule that a position's input breaks, or null. Columns: ticker, quantity_type, shares, dollar_amount, average_cost, return_30, return_90; NaN stands for text that is no number."""
     c = F.col

@@ -101,7 +101,7 @@ def reason_codes() -> Column:
         (F.col("momentum_risk") >= 70, "MOMENTUM_RISK_HIGH"), (F.col("market_risk") >= 70, "MARKET_RISK_HIGH"), (F.col("balance_risk") >= 70, "BALANCE_SHEET_RISK_HIGH")])
 
 
-# What a reason code says.
+#: What a reason code says.
 EXPLANATIONS = {
     "EVIDENCE_SPARSE": "Fewer than five inputs are available.", "EVIDENCE_PARTIAL": "Some inputs are missing.", "EVIDENCE_COMPLETE": "Nine inputs or more are available.",
     "VALUE_STRONG": "Value ranks in the top part of the universe.", "VALUE_WEAK": "Value ranks in the bottom part of the universe.", "QUALITY_STRONG": "Quality ranks in the top part of the universe.", "QUALITY_WEAK": "Quality ranks in the bottom part of the universe.",

@@ -119,6 +119,7 @@ def metrics(win: DataFrame, per: int = 256) -> DataFrame:
     return out.select("ticker", "e", "day", "bench_known", "sessions", "spiky", *[F.round(c, 8).alias(c) for c in METRICS])
 
 
+# Targets, ramps, weights and limits of the scores below, and the names of their reasons.
 def scores(m: DataFrame) -> DataFrame:
     """Five sub-scores, the total (capped below emerging where one day dominates) and the status."""
     direction = weighted_mean([(share_of("annualized63", 0.35), 0.45), (share_of("return63", 0.12), 0.35), (share_of("return21", 0.03), 0.20)])

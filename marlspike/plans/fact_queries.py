@@ -43,11 +43,16 @@ def normalize_symbols(spark, sf):
     return c.select("c_custkey", normalize_cik("c_custkey").alias("cik"), normalize_ticker("c_name").alias("ticker"), F.concat_ws(":", normalize_cik("c_custkey"), normalize_ticker("c_name")).alias("key"))
 
 
+# Endings of tickers that are no common shares, words of names that are no operating companies.
+TICKER_ENDINGS = ["W", "WS", "WTS?", "R", "RT", "U", "UN", "UT", "UNIT", "P[A-Z]?", "PR[A-Z]?"]
+NAME_WORDS = [r"\bETF\b", r"\bETN\b", r"\bFUND\b", r"\bTRUST\b", r"\bSPAC\b", r"\bRIGHTS?\b", r"\bUNIT\b", r"\bPREFERRED\b", r"\bWARRANT"]
+
+
 def classify_universe_rows(rows: DataFrame) -> DataFrame:
     """Adds exclude_reason (null: supported) and priority by ordered rules on ticker, name and exchange."""
     name, ticker = F.upper("name"), F.col("ticker")
     reason = F.when((F.length(ticker) >= 5) & ticker.rlike("[RUW]$"), "suffix").when(name.rlike(r"\b(?:ACQUISITION|CAPITAL|SPONSOR|BLANK CHECK)\b") & ticker.rlike("[RUW]$"), "spac")
-    reason = reason.when(ticker.rlike(r"-(?:W|WS|WTS?|R|RT|U|UN|UT|UNIT|P[A-Z]?|PR[A-Z]?)$"), "class").when(name.rlike(r"\b(?:ETF|ETN|FUND|TRUST|SPAC|RIGHTS?|UNIT|PREFERRED)\b|\bWARRANT"), "fund")
+    reason = reason.when(ticker.rlike(f"-(?:{'|'.join(TICKER_ENDINGS)})$"), "class").when(name.rlike("|".join(NAME_WORDS)), "fund")
     reason = reason.when(~F.upper(F.coalesce("exchange", F.lit("NYSE"))).isin("NYSE", "NASDAQ", "NYSE AMERICAN"), "exchange")
     return rows.withColumn("exclude_reason", reason).withColumn("priority", F.when(F.col("exclude_reason").isNull(), 100).when(F.col("exclude_reason") == "exchange", 700).otherwise(900))
 

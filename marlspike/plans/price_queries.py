@@ -18,7 +18,7 @@ def _r(c, d: int = 6):
     return F.round(c, d)
 
 
-#: Sessions after which the trend detector's signals are judged, and what makes one a false positive.
+# Sessions after which the trend detector's signals are judged, and what makes one a false positive.
 AFTER = (21, 30, 63, 90)
 FALSE_RETURN, FALSE_DRAWDOWN = -0.05, -0.15
 
