@@ -1,11 +1,11 @@
-"""Queries of the ten corpus operators over the whole tables, and their SQL."""
+"""Queries of the corpus operators over the whole tables, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_toxicity, hilbert, host_rules, line_chunks, mixing, ordinal_quality, ppm_language, signature_join, spaced_seeds, token_blocks
+from . import crf_toxicity, hilbert, host_rules, line_chunks, mixing, ordinal_quality, packing, ppm_language, signature_join, spaced_seeds, token_blocks
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,12 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id")  # the other columns depend on the masks, the pairs don't
 
 
-QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_signature_trees, op3_ppm_language, op4_ordinal_quality, op5_hilbert_sharding, op6_token_blocks, op7_systematic_mix, op8_host_rules, op9_line_chunks, op10_spaced_seeds)}
+def op13_lockstep_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, out = packing.compact(spark.read.parquet(f"{sf_dir}/clicks.parquet"))
+    return out.withColumnsRenamed({"min_id": "min_click_id", "max_id": "max_click_id"})
+
+
+QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_signature_trees, op3_ppm_language, op4_ordinal_quality, op5_hilbert_sharding, op6_token_blocks, op7_systematic_mix, op8_host_rules, op9_line_chunks, op10_spaced_seeds, op13_lockstep_packing)}
 #: The others can't be expressed in SQL and are tested against brute force, round trips or held-out rows.
 ORACLE_SQL = {
     "op2_signature_trees": signature_join.oracle(3, 90),
