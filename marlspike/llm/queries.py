@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf_toxicity, hilbert, host_rules, line_chunks, mixing, ordinal_quality, packing, ppm_language, signature_join, spaced_seeds, token_blocks, turn_grammar
+from . import crf_toxicity, dimension_scan, hilbert, host_rules, line_chunks, mixing, ordinal_quality, packing, ppm_language, signature_join, spaced_seeds, token_blocks, turn_grammar
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id")  # the other columns depend on the masks, the pairs don't
 
 
+def op11_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimension_scan.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
 def op12_turn_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_grammar.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"), damage=True)
 
@@ -76,7 +80,7 @@ def op13_lockstep_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnsRenamed({"min_id": "min_click_id", "max_id": "max_click_id"})
 
 
-QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_signature_trees, op3_ppm_language, op4_ordinal_quality, op5_hilbert_sharding, op6_token_blocks, op7_systematic_mix, op8_host_rules, op9_line_chunks, op10_spaced_seeds, op12_turn_grammar, op13_lockstep_packing)}
+QUERIES = {f.__name__: f for f in (op1_crf_toxicity, op2_signature_trees, op3_ppm_language, op4_ordinal_quality, op5_hilbert_sharding, op6_token_blocks, op7_systematic_mix, op8_host_rules, op9_line_chunks, op10_spaced_seeds, op11_dimension_scan, op12_turn_grammar, op13_lockstep_packing)}
 #: The others can't be expressed in SQL and are tested against brute force, round trips or held-out rows.
 ORACLE_SQL = {
     "op2_signature_trees": signature_join.oracle(3, 90),
