@@ -1,14 +1,18 @@
 """Line dedup by content-defined chunks of lines (operator 9).
 
 A rolling hash over the last ``WINDOW`` line hashes decides by one bit where a
-chunk ends, so boundaries move with the content and not with its place. Two
-complementary chunkings are kept, one ending at set and one at unset bits, and
-each two successive lines that aren't blank are a chunk too: the ends of a
-repeated run, and runs of two or three lines, need not hold a whole chunk of
-the chunkings. So every line of a repeated run of two lines or more, however
-short the lines, lies in a repeated chunk. A single line repeats as a chunk
-only if it is a paragraph of ``LONG_LINE`` words or more; shorter single lines
-(titles, licenses) are left alone.
+chunk ends, so boundaries move with the content and not with its place. There
+are two complementary sets of boundaries, one at set and one at unset bits, and
+from each line a chunk runs to the next boundary of either set, over two to
+``LONGEST`` lines that aren't blank. A line's bit depends on it and the line
+before alone, so of any two successive lines the second is a boundary of one
+set, wherever they stand: every line of a repeated run of two lines or more,
+however short the lines, lies in a repeated chunk, and longer runs also in
+longer chunks. (Any boundaries that find all repeated runs of two lines remove
+the same lines; the hash decides which chunks are compared.) A paragraph that
+is a single line of ``long_line`` words or more is a chunk of its own, since a
+passage may be one line; shorter single lines (titles, licenses) are left
+alone, and None leaves all single lines alone.
 
 Chunks are counted by hash over all documents. Chunks whose hash repeats are
 cut out of their texts and grouped by their bytes (without blank lines), so
@@ -32,15 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import handle, many_to_one, materialize, small_batches
-from .textnum import U, Words, mix, pieces
+from .textnum import U, Words, mix, pieces, powers
 
 WINDOW = 2
+LONGEST = 16
 LONG_LINE = 50
 #: Lists up to this many chunks or marks (of 8 to 40 bytes each) are broadcast, longer ones joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def chunk_batch(texts: pa.Array, long_line: int = LONG_LINE) -> tuple[np.ndarray, ...]:
+def chunk_batch(texts: pa.Array, long_line: int | None = LONG_LINE) -> tuple[np.ndarray, ...]:
     """(document, hash, first line, lines) of every chunk, ordered by document."""
     w = Words(texts)
     ends = np.flatnonzero(w.data == 10)
@@ -59,39 +64,49 @@ def chunk_batch(texts: pa.Array, long_line: int = LONG_LINE) -> tuple[np.ndarray
     h = w.span_hash(begin, stop, lower=False)
     words = np.searchsorted(w.start, stop) - np.searchsorted(w.start, begin)
     line = np.arange(len(stop)) - np.maximum.accumulate(np.where(first, np.arange(len(stop)), 0))
-    with np.errstate(over="ignore"):
-        roll = h.copy()
-        for back in range(1, WINDOW):
-            prev = np.zeros(len(h), U)
-            prev[back:] = h[: len(h) - back]
-            roll += np.where(line >= back, prev, U(0)) * U(2 * back + 1)
-        bit = (mix(roll) >> U(17)) & U(1)
-    alone = np.flatnonzero(words >= long_line)
+    alone = np.flatnonzero(words >= long_line) if long_line else np.zeros(0, np.int64)
     out = [(doc[alone], mix(h[alone] + U(9)), line[alone], np.ones(len(alone), np.int64))]
     filled = np.flatnonzero(words > 0)
-    two = np.flatnonzero(doc[filled[:-1]] == doc[filled[1:]])
-    p, q = filled[two], filled[two + 1]
-    with np.errstate(over="ignore"):
-        key = mix((mix(h[p] + mix(U(21))) + mix(h[q] + mix(U(22)))) ^ mix(U(2)))
-    out.append((doc[p], key, line[p], q - p + 1))
-    for family in (0, 1):
-        cut = np.flatnonzero((bit == U(family)) | is_last)
-        start = np.concatenate([[0], cut[:-1] + 1]) if len(cut) else cut
-        n = cut - start + 1
-        if len(cut):
-            # the chunk's hash is ordered: each line weighs by its place in the chunk
-            chunk = np.repeat(np.arange(len(cut)), n)
-            place = (np.arange(len(h)) - start[chunk]).astype(U)
-            with np.errstate(over="ignore"):
-                total = np.add.reduceat(mix(h + mix(place + U(21))), start)
-                key = mix(total ^ mix(n.astype(U)))
-            k = np.flatnonzero(np.add.reduceat((words > 0).astype(np.int64), start) > 2)  # two lines are a chunk already
-            out.append((doc[cut][k], key[k], line[start][k], n[k]))
+    key, start, end = runs(h[filled], doc[filled])
+    out.append((doc[filled][start], key, line[filled][start], filled[end] - filled[start] + 1))
     cols = [np.concatenate(c) for c in zip(*out)]
     order = np.argsort(cols[0], kind="stable")
     return tuple(c[order] for c in cols)
 
 
+def boundary_bits(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One bit of a rolling hash over each line and the ``WINDOW`` - 1 before it in its text."""
+    with np.errstate(over="ignore"):
+        roll = mix(h + U(1))
+        for back in range(1, WINDOW):
+            same = np.zeros(len(h), bool)
+            same[back:] = doc[back:] == doc[: len(h) - back]
+            roll[back:] += np.where(same[back:], mix(h[: len(h) - back] + U(back + 1)), U(0))
+        return (mix(roll) >> U(17)) & U(1)
+
+
+def runs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first, last) of the chunks of lines with hashes ``h``, by place among these lines; the key depends on the chunk's hashes alone."""
+    n = len(h)
+    if not n:
+        return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bit, place = boundary_bits(h, doc), np.arange(n)
+    last = np.searchsorted(doc, doc, "right") - 1  # of the text
+    start, end = [], []
+    for family in (0, 1):
+        at = np.where(bit == U(family), place, n)
+        at = np.minimum.accumulate(at[::-1])[::-1]
+        stop = np.minimum(np.minimum(np.append(at[1:], n), last), place + LONGEST - 1)
+        start.append(place[stop > place])
+        end.append(stop[stop > place])
+    start, end = np.concatenate(start), np.concatenate(end)
+    power, inverse = powers(n + 1)
+    with np.errstate(over="ignore"):
+        upto = np.zeros(n + 1, U)
+        np.cumsum(mix(h + U(21)) * power[:n], dtype=U, out=upto[1:])
+        return mix((upto[end + 1] - upto[start]) * inverse[start] ^ mix((end - start).astype(U))), start, end
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -107,14 +122,14 @@ def _cut_lines(text: str, marks: list[dict]) -> tuple[str, int]:
     return "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone)
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int | None = LONG_LINE) -> DataFrame:
     """(doc_id, _at, h, start, n) of every chunk of every document (a written table)."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), handle(doc_id, text).alias("_at"))
 
     def split(batches):
         for b in pieces(batches):
-            doc, h, start, n = chunk_batch(b.column(1))
+            doc, h, start, n = chunk_batch(b.column(1), long_line)
             off = np.searchsorted(doc, np.arange(b.num_rows + 1))
             structs = pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["h", "start", "n"])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.ListArray.from_arrays(pa.array(off, pa.int32()), structs)], names=["doc_id", "_at", "chunks"])
@@ -141,9 +156,9 @@ def _bodies(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "_at", "text", "marks").mapInArrow(run, "doc_id long, _at struct<a:long,b:long>, h long, start int, n int, body binary")
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int | None = LONG_LINE) -> tuple[DataFrame, int]:
     """(_at, start, n) of every chunk that is equal byte by byte to one before it, and how many rows these are at most."""
-    every = chunks(docs, doc_id, text)
+    every = chunks(docs, doc_id, text, long_line)
     repeated = materialize(every.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "repeated")
     n_repeated = repeated.count()
     if n_repeated <= BROADCAST_ROWS:
@@ -173,9 +188,9 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     return out, n_found
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long_line: int | None = LONG_LINE) -> DataFrame:
     """doc_id, n_lines, n_removed and the remaining text of every document."""
-    again, most = repeats(docs, doc_id, text)
+    again, most = repeats(docs, doc_id, text, long_line)
     marks = again.groupBy("_at").agg(F.collect_set(F.struct("start", "n")).alias("marks"))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), handle(doc_id, text).alias("_at"))
     rows = base.join(_small(marks, most), "_at", "left").select("doc_id", "text", "marks")

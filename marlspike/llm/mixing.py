@@ -1,15 +1,17 @@
 """Mixing sources to target weights by systematic sampling (operator 7).
 
-A document's expected copies are its source's target over its source's size.
-Within a source documents stand in the order of their sizes, the largest first.
-The ``HEAD`` largest are few and long, so each of them would alone move the
-source's words away from its target: their expected copies are rounded one
-after another, each carrying on what the ones before left over. The others then
-share what is left of the target and expect equally many copies each. Expected
-copies are summed up, one random offset per source is added, and a document is
-emitted once for every whole number that its stretch crosses. So the words
-taken differ from the target by less than the longest document after the
-``HEAD`` largest, where documents beyond the rounded ones are there at all.
+Every document of a source expects equally many copies: its source's target over
+its source's size. Within a source documents stand in the order of their sizes,
+the largest first; expected copies are summed up in that order, one random
+offset per source is added, and a document is emitted once for every whole
+number that its stretch crosses. So each gets its expected copies rounded down
+or up, and since sizes only fall along the order, the words taken differ from
+the target by less than the source's largest document.
+
+The offset is (k + u) / ``OFFSETS`` with u from the md5 of seed and source; of
+the ``OFFSETS`` values of k that one takes which brings the source's words
+nearest to its target (the smaller of two alike). All of them are tried in one
+aggregation over the documents, so the choice costs no further pass per value.
 
 Copies are counted in whole units of 1e-8, so sums are exact in any order.
 
@@ -30,8 +32,8 @@ from .common import WORD, handle, many_to_one, materialize, prefix_sum, range_so
 
 UNITS = 100_000_000
 CAP = 3.0
-#: So many of a source's largest documents have their copies rounded one after another (an array of as many pairs).
-HEAD = 1024
+#: So many evenly spaced offsets of a source are tried.
+OFFSETS = 32
 
 
 def targets(sizes: DataFrame, cap: float = CAP, cycle: int = 3) -> DataFrame:
@@ -58,32 +60,18 @@ def targets(sizes: DataFrame, cap: float = CAP, cycle: int = 3) -> DataFrame:
     return materialize(levels.select("_source", "source_size", "n_docs", F.least(F.col("_cap").cast("double"), shared * F.col("weight")).alias("target")), "targets")
 
 
-def offset_units(source: Column, seed: str) -> Column:
-    """One offset per source, uniform over 2^20 steps of [0, 1), in units; the md5 of seed and source gives it."""
+def random_bits(source: Column, seed: str) -> Column:
+    """20 bits by the md5 of seed and source."""
     digits = F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(source, F.lit("-"))).cast("binary")), 1, 5)
-    return F.floor(F.conv(digits, 16, 10).cast("long") * UNITS / 1048576).cast("long")
+    return F.conv(digits, 16, 10).cast("long")
 
 
-def rounded(head: DataFrame, cap: float = CAP) -> DataFrame:
-    """(_source, _head_copies, _head_taken, _head_size) from ``head(_source, _rank, size, target, source_size)``: whole copies of the largest documents.
+def offset_units(k: Column, bits: Column) -> Column:
+    """(k + bits / 2^20) / OFFSETS in whole units."""
+    return ((k * 1048576 + bits) * UNITS / (1048576 * OFFSETS)).cast("long")
 
-    Each takes the number of copies nearest to what is wanted of the documents so far and was not taken yet."""
-    place = F.array_sort(F.collect_list(F.struct("_rank", "size")))
-    rows = head.groupBy("_source", "source_size", "target").agg(place.alias("docs"))
-    expect = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
-    start = F.struct(F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("copies"))
 
-    def step(acc: Column, d: Column) -> Column:
-        size = acc["size"] + d["size"]
-        wanted = F.coalesce(expect, F.lit(0.0)) * size - acc["taken"]
-        copies = F.when(d["size"] > 0, F.least(F.greatest(F.floor(wanted / d["size"] + 0.5), F.lit(0)), F.lit(int(cap)))).otherwise(F.lit(0)).cast("long")
-        return F.struct(size.alias("size"), (acc["taken"] + copies * d["size"]).alias("taken"), F.concat(acc["copies"], F.array(copies)).alias("copies"))
-
-    done = rows.withColumn("_x", F.aggregate("docs", start, step))
-    return done.select("_source", F.col("_x.copies").alias("_head_copies"), F.col("_x.taken").alias("_head_taken"), F.col("_x.size").alias("_head_size"))
-
-
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "7", cap: float = CAP, head: int = HEAD) -> DataFrame:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "7", cap: float = CAP) -> DataFrame:
     """doc_id, _at (a handle), source, size, source_size, target, copies and taken of every document."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     # counted once: the range sampler below reads the written sizes, not the texts
@@ -91,42 +79,41 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     order = [F.col("size").desc(), F.col("doc_id").asc_nulls_last(), F.col("_at").asc()]
     ranged = range_sorted(sizes, [F.col("_source").asc_nulls_last(), *order], "sizes")
     ranked = materialize(prefix_sum(ranged, ["_source"], order, F.lit(1).cast("long"), "_rank").drop("_pid"), "ranked")
-    goal = targets(sizes, cap).withColumnRenamed("_source", "_src").withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_src"), F.lit("-")))
-    keyed = ranked.withColumn("_key", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("-")))
-    few = goal.withColumn("_in_head", F.least("n_docs", F.lit(head)))
-    first = many_to_one(keyed.where(F.col("_rank") <= head), materialize(few.drop("n_docs", "_src"), "head"), "_key", "_in_head")
-    made = rounded(first, cap).withColumn("_k", F.coalesce(F.concat(F.lit("s"), "_source"), F.lit("-"))).drop("_source")
-    goal = goal.join(made, F.col("_key") == F.col("_k"), "left").drop("_k")
-    left, rest = F.col("target") - F.col("_head_taken"), F.col("source_size") - F.col("_head_size")
-    expect = F.least(F.greatest(F.round(F.try_divide(left, rest.cast("double")) * UNITS), F.lit(0.0)), F.lit(cap * UNITS)).cast("long")
-    goal = goal.withColumn("_expect", F.coalesce(expect, F.lit(0).cast("long"))).withColumn("_offset", offset_units(F.col("_src"), seed))
-    goal = materialize(goal.select("_key", "source_size", "n_docs", "target", "_head_copies", "_expect", "_offset"), "goal")
+    key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("-"))
+    expect = F.least(F.coalesce(F.round(F.try_divide("target", F.col("source_size").cast("double")) * UNITS), F.lit(0.0)), F.lit(cap * UNITS)).cast("long")
+    goal = targets(sizes, cap).withColumnRenamed("_source", "_src").withColumn("_key", key(F.col("_src"))).withColumn("_expect", expect).withColumn("_bits", random_bits(F.col("_src"), seed)).drop("_src")
+    goal = materialize(goal, "goal")
+    keyed = ranked.withColumn("_key", key(F.col("_source")))
     rows = many_to_one(keyed, goal, "_key", "n_docs")
-    rows = rows.withColumn("_r", F.col("_rank") - head)
-    tail = _upto("_r") - _upto("_r - 1")
-    copies = F.when(F.col("_rank") <= head, F.get("_head_copies", (F.col("_rank") - 1).cast("int"))).otherwise(tail).cast("long")
-    return rows.withColumn("copies", copies).select("doc_id", "_at", F.col("_source").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    tried = rows.groupBy("_key", "target").agg(*[F.sum(F.col("size") * _copies(offset_units(F.lit(k), F.col("_bits")))).alias(f"_t{k}") for k in range(OFFSETS)])
+    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("target")).alias("off"), F.lit(k).cast("long").alias("k")) for k in range(OFFSETS)]))
+    goal = materialize(goal.join(tried.select("_key", off["k"].alias("_k")), "_key").withColumn("_offset", offset_units(F.col("_k"), F.col("_bits"))), "offsets")
+    rows = many_to_one(keyed, goal, "_key", "n_docs").withColumn("copies", _copies(F.col("_offset")))
+    return rows.select("doc_id", "_at", F.col("_source").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _copies(offset: Column) -> Column:
+    """Whole numbers that the stretch of the document of rank ``_rank`` crosses."""
+    return _upto(F.col("_rank"), offset) - _upto(F.col("_rank") - 1, offset)
 
 
-def _upto(rank: str) -> Column:
-    """Whole numbers below or at rank * _expect + _offset units, in parts that no count of rows overflows."""
-    high, low = f"_expect div {UNITS}", f"_expect % {UNITS}"
-    return F.expr(f"({rank}) * ({high}) + (({rank}) div {UNITS}) * ({low}) + (((({rank}) % {UNITS}) * ({low}) + _offset) div {UNITS})")
+def _upto(rank: Column, offset: Column) -> Column:
+    """Whole numbers below or at rank * _expect + offset units, in parts that no count of rows overflows."""
+    whole = lambda a, b: F.call_function("div", a, F.lit(b))
+    high, low = whole(F.col("_expect"), UNITS), F.col("_expect") % UNITS
+    return rank * high + whole(rank, UNITS) * low + whole((rank % UNITS) * low + offset, UNITS)
 
 
-def oracle(seed: str = "7", cap: float = CAP, cycle: int = 3, head: int = HEAD) -> str:
+def oracle(seed: str = "7", cap: float = CAP, cycle: int = 3) -> str:
     """The same mix by plain SQL."""
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {cycle} + 1 AS weight FROM d GROUP BY source),
 full0 AS (SELECT *, floor({cap}::DOUBLE * source_size) AS cap, floor({cap}::DOUBLE * source_size) / weight AS fills FROM per),
 levels AS (SELECT *, row_number() OVER w AS nth, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY fills, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY fills, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM full0 WINDOW w AS (ORDER BY fills, source NULLS LAST)),
 goal AS MATERIALIZED (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, nth) FROM levels WHERE fills >= level), 0) * weight) AS target FROM levels),
-ranked AS MATERIALIZED (SELECT d.*, source_size, target, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id NULLS LAST) AS r FROM d JOIN goal ON d.source IS NOT DISTINCT FROM goal.source),
-h AS (SELECT source, source_size, target, 0::BIGINT AS r, 0::BIGINT AS sized, 0::BIGINT AS taken, 0::BIGINT AS copies FROM goal
- UNION ALL SELECT x.source, x.source_size, x.target, x.r, x.sized, x.taken + x.copies * x.size, x.copies FROM (SELECT k.source, k.source_size, k.target, k.r, k.size, h.sized + k.size AS sized, h.taken,
-  CASE WHEN k.size > 0 THEN least(greatest(floor((coalesce(k.target / CASE WHEN k.source_size > 0 THEN k.source_size END, 0) * (h.sized + k.size) - h.taken) / k.size + 0.5), 0), {int(cap)}) ELSE 0 END::BIGINT AS copies
-  FROM h JOIN ranked k ON k.source IS NOT DISTINCT FROM h.source AND k.r = h.r + 1 WHERE h.r < {head}) x),
-ends AS (SELECT source, arg_max(sized, r) AS sized, arg_max(taken, r) AS taken FROM h GROUP BY source),
-units AS (SELECT g.source, coalesce(least(greatest(round((g.target - e.taken) / CASE WHEN g.source_size > e.sized THEN (g.source_size - e.sized)::DOUBLE END * {UNITS}), 0), {cap} * {UNITS})::BIGINT, 0) AS expect, floor(('0x' || substr(md5('{seed}|' || coalesce(g.source, '-')), 1, 5))::BIGINT * {UNITS}::DOUBLE / 1048576)::BIGINT AS start FROM goal g JOIN ends e ON g.source IS NOT DISTINCT FROM e.source)
-SELECT k.doc_id, k.size, k.source_size, k.target, k.size * CASE WHEN k.r <= {head} THEN h.copies ELSE ((k.r - {head})::HUGEINT * expect + start) // {UNITS} - ((k.r - {head} - 1)::HUGEINT * expect + start) // {UNITS} END::BIGINT AS taken
-FROM ranked k JOIN units u ON k.source IS NOT DISTINCT FROM u.source LEFT JOIN h ON h.source IS NOT DISTINCT FROM k.source AND h.r = k.r"""
+units AS MATERIALIZED (SELECT *, least(coalesce(round(target / CASE WHEN source_size > 0 THEN source_size::DOUBLE END * {UNITS}), 0), {cap} * {UNITS})::BIGINT AS expect, ('0x' || substr(md5('{seed}|' || coalesce(source, '-')), 1, 5))::BIGINT AS bits FROM goal),
+ranked AS MATERIALIZED (SELECT d.*, source_size, target, expect, bits, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id NULLS LAST) AS r FROM d JOIN units ON d.source IS NOT DISTINCT FROM units.source),
+tried AS (SELECT *, ((k * 1048576 + bits) * {UNITS}) // {1048576 * OFFSETS} AS start FROM ranked, range({OFFSETS}) o(k)),
+copied AS (SELECT *, (r::HUGEINT * expect + start) // {UNITS} - ((r - 1)::HUGEINT * expect + start) // {UNITS} AS copies FROM tried),
+best AS (SELECT source, min({{'off': off, 'k': k}}).k AS k FROM (SELECT source, k, abs(sum(size * copies)::DOUBLE - any_value(target)) AS off FROM copied GROUP BY source, k) GROUP BY source)
+SELECT c.doc_id, c.size, c.source_size, c.target, (c.size * c.copies)::BIGINT AS taken FROM copied c JOIN best b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k"""

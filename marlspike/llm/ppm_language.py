@@ -15,10 +15,11 @@ known context and itself, or, where no language saw it there, that context's
 escape and the next shorter one. Contexts of one byte and none are plain
 tables, longer ones an open-addressing table of exact 64-bit keys.
 
-Bounds: ``MOST_DOCS`` whole texts and ``MOST_SAMPLE`` bytes a language, and
-``MOST_TOTAL`` bytes of all, are learned from; ``MOST_NODES`` nodes and
-``MOST_LENGTHS`` code lengths (nodes times languages) are kept, the rarest of
-the deepest order go first.
+Bounds, the same for every language however many there are: about ``MOST_DOCS``
+texts and ``MOST_SAMPLE`` bytes of a language are learned from (of a very long
+text, pieces spread evenly over it, see ``samples.py``); a language brings
+``MOST_NODES`` nodes of two and more bytes of context into the common tree, its
+rarest of the deepest order go first.
 
 Defined cases: null texts and texts without a letter give ``und`` and score 0;
 a text of any length is coded whole; if nothing can be learned from, all texts
@@ -40,8 +41,8 @@ from .samples import bounded
 from .textnum import U, pieces
 
 ORDER = 4
-MOST_DOCS, MOST_SAMPLE, MOST_TOTAL = 4000, 4 << 20, 24 << 20
-MOST_NODES, MOST_LENGTHS = 1 << 19, 1 << 23
+MOST_DOCS, MOST_SAMPLE = 4000, 4 << 20
+MOST_NODES = 1 << 17
 _SPREAD = U(0x9E3779B97F4A7C15)
 
 
@@ -117,14 +118,17 @@ class PPM:
             return cls([], np.zeros((256 + 65536, 0), np.float32), [], [])
         counted = [_count(samples[x]) for x in langs]
         union, counts = [], []
-        left = min(most_nodes, MOST_LENGTHS // len(langs))
+        left = [most_nodes] * len(langs)
         for k in range(ORDER + 1):  # the shorter contexts first; of the deepest that fit in part the commonest
-            keys, at = np.unique(np.concatenate([c[k][0] for c in counted]), return_inverse=True)
-            if k > 1:
-                if len(keys) > left:
-                    total = np.bincount(at, np.concatenate([c[k][1] for c in counted]), minlength=len(keys))
-                    keys = keys[np.sort(np.argsort(-total, kind="stable")[:left])]
-                left -= len(keys)
+            own = []
+            for i, c in enumerate(counted):
+                keys = c[k][0]
+                if k > 1:
+                    if len(keys) > left[i]:
+                        keys = keys[np.argsort(-c[k][1], kind="stable")[: left[i]]]
+                    left[i] -= len(keys)
+                own.append(keys)
+            keys = np.unique(np.concatenate(own))
             n = np.zeros((len(keys), len(langs)))
             for i, c in enumerate(counted):
                 own = np.isin(c[k][0], keys, assume_unique=True)
@@ -235,7 +239,7 @@ def _blend(context: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.nd
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", most: int = MOST_DOCS) -> PPM:
     """Learn from ``docs`` (training rows only): texts with a language."""
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    table = bounded(rows, "lang", most, "doc_id", "text", MOST_SAMPLE, MOST_TOTAL)
+    table = bounded(rows, "lang", most, "doc_id", "text", MOST_SAMPLE)
     langs = pa.compute.unique(table["lang"]).to_pylist()
     return PPM.fit({x: table.filter(pa.compute.equal(table["lang"], x))["text"].combine_chunks() for x in langs})
 
@@ -244,7 +248,7 @@ def identify(docs: DataFrame, model: PPM, text: str = "text", doc_id: str = "doc
     """doc_id, lang_pred, score, bits_per_byte of every whole text."""
     spark = docs.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast((model.langs, model.short, model.nodes, model.escapes))  # MOST_NODES, MOST_LENGTHS
+    sent = spark.sparkContext.broadcast((model.langs, model.short, model.nodes, model.escapes))  # MOST_NODES a language
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     schema = rows.drop("text", "letters").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
 

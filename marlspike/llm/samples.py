@@ -3,27 +3,37 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text of each value that a sample holds at most (about), and bytes of its longest text; longer ones are only scored.
-MOST_BYTES, LONGEST = 8 << 20, 1 << 18
+#: Bytes of text of each value that a sample holds at most (about).
+MOST_BYTES = 8 << 20
+#: A text of more bytes is learned from in this many pieces of so many characters, spread evenly over it from its first to its last.
+LONGEST, PIECES, PIECE = 1 << 18, 8, 8192
 
 
-def bounded(rows: DataFrame, by: str, most: dict | int, key: str = "doc_id", text: str | None = None, most_bytes: int = MOST_BYTES, most_total: int = 1 << 40) -> pa.Table:
+def spread(text: Column) -> Column:
+    """``text``, or its pieces, one a line, where it is very long."""
+    step = (F.length(text) - PIECE) / (PIECES - 1)
+    cut = [F.substring(text, (1 + F.floor(step * k)).cast("int"), F.lit(PIECE)) for k in range(PIECES)]
+    return F.when(F.octet_length(text) > LONGEST, F.concat_ws("\n", *cut)).otherwise(text)
+
+
+def bounded(rows: DataFrame, by: str, most: dict | int, key: str = "doc_id", text: str | None = None, most_bytes: int = MOST_BYTES) -> pa.Table:
     """About ``most`` rows (one number, or one for each value) of each value of ``by``, as an Arrow table.
 
-    With ``text`` also about ``most_bytes`` bytes of it at most, and ``most_total`` of all values together. Counts and sizes
+    With ``text`` also about ``most_bytes`` bytes of it at most, whatever the number of values. Counts and sizes
     of each value give the share to take; no row is moved to choose it.
     """
     rows = rows.where(F.col(by).isNotNull())
+    if text is not None:
+        rows = rows.withColumn(text, spread(F.col(text)))
     size = F.lit(0) if text is None else F.coalesce(F.octet_length(text), F.lit(0))
-    rows = rows.where(size <= LONGEST)
     found = {r[0]: (r["n"], r["size"]) for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).collect()}
     share = F.lit(0.0)
     for value, (n, held) in found.items():
         m = most.get(value, 0) if isinstance(most, dict) else most
-        share = F.when(F.col(by) == value, F.lit(min(1.0, m / n, min(most_bytes, most_total / len(found)) / max(held, 1)))).otherwise(share)
+        share = F.when(F.col(by) == value, F.lit(min(1.0, m / n, most_bytes / max(held, 1)))).otherwise(share)
     place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     if not found:
         return rows.limit(0).toArrow()

@@ -39,7 +39,7 @@ LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 _power: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_power[0]) < n:
         inverse = pow(_BASE, -1, 1 << 64)
         for k, b in enumerate((_BASE, inverse)):
@@ -79,7 +79,7 @@ class Words:
     def span_hash(self, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
         """64-bit hashes of byte spans."""
         with np.errstate(over="ignore"):
-            power, inverse = _powers(len(self.data) + 1)
+            power, inverse = powers(len(self.data) + 1)
             run = np.zeros(len(self.data) + 1, U)
             np.cumsum((BYTE_LOWER if lower else BYTE)[self.data] * power[: len(self.data)], dtype=U, out=run[1:])
             return mix((run[end] - run[start]) * inverse[start] + (end - start).astype(U))

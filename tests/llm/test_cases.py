@@ -305,22 +305,36 @@ def test_mix_meets_targets(spark, docs):
     total = sum(r["size"] for r in got)
     assert sum(x[0]["target"] for x in sources.values()) == pytest.approx(total)
     for s, x in sources.items():
-        assert x[0]["target"] <= 3 * x[0]["source_size"] and abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 0.03 * x[0]["target"]
+        assert x[0]["target"] <= 3 * x[0]["source_size"] and abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 0.05 * x[0]["target"]  # ten documents each
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs).collect()))
 
 
-def test_mix_beyond_the_rounded_documents(spark):
-    """Documents after the largest are sampled systematically: words within one of their lengths, copies in every stretch within one."""
+def test_mix_is_systematic(spark):
+    """Copies in every stretch of the order within one of what is expected, so each document's are rounded down or up; words within the largest document."""
     rng = np.random.default_rng(14)
     rows = [(i, "w " * int(rng.integers(1, 60)), "abc"[i % 3]) for i in range(3000)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), head=50).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs).collect()
     for s in "abc":
         own = sorted((r for r in got if r["source"] == s), key=lambda r: (-r["size"], r["doc_id"]))
-        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= own[50]["size"]
-        rest = own[50:]
-        expect = (own[0]["target"] - sum(r["taken"] for r in own[:50])) / sum(r["size"] for r in rest)
-        off = np.cumsum([r["copies"] for r in rest]) - expect * np.arange(1, len(rest) + 1)
-        assert np.abs(off).max() <= 1
+        expect = own[0]["target"] / own[0]["source_size"]
+        off = np.cumsum([r["copies"] for r in own]) - expect * np.arange(1, len(own) + 1)
+        assert off.max() - off.min() <= 1 + 1e-4 and {r["copies"] for r in own} <= {int(expect), int(expect) + 1}
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= own[0]["size"]
+
+
+def test_mix_follows_its_seed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    one, two = ({r["doc_id"]: r for r in mixing.mix(docs, seed=s).collect()} for s in ("7", "8"))
+    assert sum(one[i]["copies"] != two[i]["copies"] for i in one) > 0
+    for got in (one, two):
+        sources = defaultdict(list)
+        for r in got.values():
+            sources[r["source"]].append(r)
+            expect = r["target"] / r["source_size"]
+            assert r["copies"] in (int(expect), int(expect) + 1)
+        for own in sources.values():
+            assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.03 * own[0]["target"]
 
 
 def test_targets_share_the_excess(spark):
@@ -353,6 +367,35 @@ def test_bad_host_goes_good_host_stays(spark):
     assert not any(r["kept"] for r in got if r["doc_id"] < 1000) and all(r["kept"] for r in got if r["doc_id"] >= 1000)
 
 
+def test_host_verdict_reaches_the_query(spark, tmp_path):
+    """op8's query over documents with one bad host, against its SQL: clean documents of that host go, others stay."""
+    import duckdb
+
+    from marlspike.llm import queries
+
+    fine = "a fine text of more than ten words that differ from one another %d"
+    rows = [(i, "w%d v%d only few" % (i, i) if i % 10 else fine % i, "bad") for i in range(200)] + [(1000 + i, fine % i if i % 7 else "few", f"good{i % 9}") for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op8_host_rules(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    rel = con.execute(queries.ORACLE_SQL["op8_host_rules"])
+    names = [c[0] for c in rel.description]
+    assert sorted(tuple(r[c] for c in names) for r in got) == sorted(rel.fetchall())
+    assert sum(not r["kept"] and not r["base_failed"] for r in got) == 20 and all(r["doc_id"] < 200 for r in got if not r["kept"] and not r["base_failed"])
+
+
+def test_long_texts_are_learned_from(spark):
+    """A language whose texts are all very long."""
+    rng = np.random.default_rng(18)
+    words = lambda letters, n: " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 8)))) for _ in range(n))
+    long_ = words("pqxyz", 45_000)
+    rows = [(i, long_[i * 1000 :], "xx") for i in range(12)] + [(100 + i, words("abcde", 40), "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in ppm_language.language(docs).collect()}
+    assert got == {i: x for i, _, x in rows}
+
+
 def test_repeated_passages_go_common_lines_stay(spark):
     rng = np.random.default_rng(5)
     line = lambda n: " ".join(f"q{rng.integers(10**6)}" for _ in range(n))
@@ -399,6 +442,21 @@ def test_blank_lines_end_no_run(spark, gap):
     assert got == want
 
 
+def test_boundaries_decide_the_chunks(spark, docs, monkeypatch):
+    """Without boundaries nothing but single long lines goes; a chunk is the same wherever its lines stand."""
+    h = np.random.default_rng(17).integers(0, 2**63, 400).astype(np.uint64)
+    doc = np.repeat([0, 1], 200)
+    key, start, end = line_chunks.runs(h, doc)
+    assert (end > start).all() and (doc[start] == doc[end]).all() and (end - start < line_chunks.LONGEST).all()
+    pairs = {(s, s + 1) for s in range(399) if s != 199}
+    assert pairs <= set(zip(start.tolist(), end.tolist())) and len(set((end - start).tolist())) > 3
+    moved = line_chunks.runs(h[37:], doc[37:])
+    later = start >= 38  # the first line there has lost the one before it
+    assert set(key[later].tolist()) <= set(moved[0].tolist())
+    monkeypatch.setattr(line_chunks, "runs", lambda h, doc: (h[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert not len(line_chunks.chunk_batch(pa.array(["a b\nc d\na b\nc d"]))[0])
+
+
 def brute_lines(rows):
     """Texts without the lines of two successive ones (or of a long one) that stood before, in order of id."""
     words = lambda x: len(x.encode().split())

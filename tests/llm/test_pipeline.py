@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -61,7 +62,7 @@ def test_decontaminate_against_brute_force(spark, tmp_path):
 
 
 def test_mix_against_plain_python(spark, sf_dir):
-    """Sources below the number of rounded documents: targets by water filling, copies by rounding, the largest first."""
+    """Targets by water filling, copies by counting the whole numbers crossed, for each of the offsets."""
     rng = np.random.default_rng(22)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 40))), "abcd"[int(rng.integers(0, 4)) if i % 3 else 0]) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("doc_id", "text", "'en' as lang", "source", "length(text) as n_chars")
@@ -82,14 +83,14 @@ def test_mix_against_plain_python(spark, sf_dir):
         open_ -= full or open_
     want = Counter()
     for s, x in own.items():
-        sized = taken = 0
-        for i in sorted(x, key=lambda i: (-size[i], i)):
-            sized += size[i]
-            if size[i]:
-                c = min(max(int(np.floor((target[s] / whole[s] * sized - taken) / size[i] + 0.5)), 0), 3)
-                taken += c * size[i]
-                want[i] += c
-        assert abs(taken - target[s]) <= 40
+        bits = int(hashlib.md5(f"7|{s}".encode()).hexdigest()[:5], 16)
+        expect, best = round(target[s] / whole[s] * 10**8), None
+        for k in range(32):
+            start = (k * 2**20 + bits) * 10**8 // 2**25
+            copies = {i: ((r + 1) * expect + start) // 10**8 - (r * expect + start) // 10**8 for r, i in enumerate(sorted(x, key=lambda i: (-size[i], i)))}
+            best = min(best or (np.inf, 0, {}), (abs(sum(c * size[i] for i, c in copies.items()) - target[s]), k, copies), key=lambda b: b[:2])
+        want.update(best[2])
+        assert best[0] <= 40
     assert got == +want
 
 
