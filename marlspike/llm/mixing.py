@@ -1,17 +1,19 @@
 """Mixing sources to target weights by systematic sampling (operator 7).
 
 Every document of a source expects equally many copies: its source's target over
-its source's size. Within a source documents stand in the order of their sizes,
-the largest first; expected copies are summed up in that order, one random
-offset per source is added, and a document is emitted once for every whole
-number that its stretch crosses. So each gets its expected copies rounded down
-or up, and since sizes only fall along the order, the words taken differ from
-the target by less than the source's largest document.
-
-The offset is (k + u) / ``OFFSETS`` with u from the md5 of seed and source; of
-the ``OFFSETS`` values of k that one takes which brings the source's words
-nearest to its target (the smaller of two alike). All of them are tried in one
-aggregation over the documents, so the choice costs no further pass per value.
+its source's size. Within a source documents stand in a fixed order; expected
+copies are summed up in that order, one random offset per source is added, and a
+document is emitted once for every whole number that its stretch crosses. So
+each gets its expected copies rounded down or up.
+
+Documents are ranked by size, the largest first, and dealt into hands like
+cards; the order is that of the hands, one after another, of the first rank of
+each on. The offset is (k + u) / ``OFFSETS`` with u from the md5 of seed and
+source. Of the numbers of hands in ``HANDS`` and the values of k those are taken
+that bring the source's words nearest to its target (the first of two alike).
+All of them are tried in one aggregation over the documents. With one hand sizes
+only fall along the order, so the words taken differ from the target by less
+than the source's largest document; the best differs by no more.
 
 Copies are counted in whole units of 1e-8, so sums are exact in any order.
 
@@ -32,8 +34,8 @@ from .common import WORD, handle, many_to_one, materialize, prefix_sum, range_so
 
 UNITS = 100_000_000
 CAP = 3.0
-#: So many evenly spaced offsets of a source are tried.
-OFFSETS = 32
+#: Numbers of hands, and evenly spaced offsets, that are tried for a source.
+HANDS, OFFSETS = (1, 2, 3, 5, 7, 11), 16
 
 
 def targets(sizes: DataFrame, cap: float = CAP, cycle: int = 3) -> DataFrame:
@@ -81,20 +83,29 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ranked = materialize(prefix_sum(ranged, ["_source"], order, F.lit(1).cast("long"), "_rank").drop("_pid"), "ranked")
     key = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("-"))
     expect = F.least(F.coalesce(F.round(F.try_divide("target", F.col("source_size").cast("double")) * UNITS), F.lit(0.0)), F.lit(cap * UNITS)).cast("long")
-    goal = targets(sizes, cap).withColumnRenamed("_source", "_src").withColumn("_key", key(F.col("_src"))).withColumn("_expect", expect).withColumn("_bits", random_bits(F.col("_src"), seed)).drop("_src")
+    goal = targets(sizes, cap).withColumnRenamed("_source", "_src").withColumn("_key", key(F.col("_src"))).withColumn("_expect", expect).withColumn("_bits", random_bits(F.col("_src"), seed)).withColumn("_n", F.col("n_docs")).drop("_src")
     goal = materialize(goal, "goal")
     keyed = ranked.withColumn("_key", key(F.col("_source")))
     rows = many_to_one(keyed, goal, "_key", "n_docs")
-    tried = rows.groupBy("_key", "target").agg(*[F.sum(F.col("size") * _copies(offset_units(F.lit(k), F.col("_bits")))).alias(f"_t{k}") for k in range(OFFSETS)])
-    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{k}") - F.col("target")).alias("off"), F.lit(k).cast("long").alias("k")) for k in range(OFFSETS)]))
-    goal = materialize(goal.join(tried.select("_key", off["k"].alias("_k")), "_key").withColumn("_offset", offset_units(F.col("_k"), F.col("_bits"))), "offsets")
-    rows = many_to_one(keyed, goal, "_key", "n_docs").withColumn("copies", _copies(F.col("_offset")))
+    ways = [(m, k) for m in HANDS for k in range(OFFSETS)]
+    tried = rows.groupBy("_key", "target").agg(*[F.sum(F.col("size") * _copies(_place(F.lit(m)), offset_units(F.lit(k), F.col("_bits")))).alias(f"_t{m}_{k}") for m, k in ways])
+    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{m}_{k}") - F.col("target")).alias("off"), F.lit(m).cast("long").alias("m"), F.lit(k).cast("long").alias("k")) for m, k in ways]))
+    best = tried.select("_key", off.alias("b")).select("_key", F.col("b.m").alias("_m"), F.col("b.k").alias("_k"))
+    goal = materialize(goal.join(best, "_key").withColumn("_offset", offset_units(F.col("_k"), F.col("_bits"))), "ways")
+    rows = many_to_one(keyed, goal, "_key", "n_docs").withColumn("copies", _copies(_place(F.col("_m")), F.col("_offset")))
     return rows.select("doc_id", "_at", F.col("_source").alias("source"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def _copies(offset: Column) -> Column:
-    """Whole numbers that the stretch of the document of rank ``_rank`` crosses."""
-    return _upto(F.col("_rank"), offset) - _upto(F.col("_rank") - 1, offset)
+def _place(hands: Column) -> Column:
+    """Place, from 1, of the document of rank ``_rank`` of ``_n`` in the order of so many hands."""
+    nth = F.col("_rank") - 1
+    hand = nth % hands
+    return hand * F.call_function("div", F.col("_n"), hands) + F.least(hand, F.col("_n") % hands) + F.call_function("div", nth, hands) + 1
+
+
+def _copies(place: Column, offset: Column) -> Column:
+    """Whole numbers that the stretch of the document at ``place`` crosses."""
+    return _upto(place, offset) - _upto(place - 1, offset)
 
 
 def _upto(rank: Column, offset: Column) -> Column:
@@ -113,7 +124,7 @@ levels AS (SELECT *, row_number() OVER w AS nth, (sum(source_size) OVER () - coa
 goal AS MATERIALIZED (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, nth) FROM levels WHERE fills >= level), 0) * weight) AS target FROM levels),
 units AS MATERIALIZED (SELECT *, least(coalesce(round(target / CASE WHEN source_size > 0 THEN source_size::DOUBLE END * {UNITS}), 0), {cap} * {UNITS})::BIGINT AS expect, ('0x' || substr(md5('{seed}|' || coalesce(source, '-')), 1, 5))::BIGINT AS bits FROM goal),
 ranked AS MATERIALIZED (SELECT d.*, source_size, target, expect, bits, row_number() OVER (PARTITION BY d.source ORDER BY size DESC, doc_id NULLS LAST) AS r FROM d JOIN units ON d.source IS NOT DISTINCT FROM units.source),
-tried AS (SELECT *, ((k * 1048576 + bits) * {UNITS}) // {1048576 * OFFSETS} AS start FROM ranked, range({OFFSETS}) o(k)),
-copied AS (SELECT *, (r::HUGEINT * expect + start) // {UNITS} - ((r - 1)::HUGEINT * expect + start) // {UNITS} AS copies FROM tried),
-best AS (SELECT source, min({{'off': off, 'k': k}}).k AS k FROM (SELECT source, k, abs(sum(size * copies)::DOUBLE - any_value(target)) AS off FROM copied GROUP BY source, k) GROUP BY source)
-SELECT c.doc_id, c.size, c.source_size, c.target, (c.size * c.copies)::BIGINT AS taken FROM copied c JOIN best b ON c.source IS NOT DISTINCT FROM b.source AND c.k = b.k"""
+tried AS (SELECT *, ((k * 1048576 + bits) * {UNITS}) // {1048576 * OFFSETS} AS start, ((r - 1) % m) * (n // m) + least((r - 1) % m, n % m) + (r - 1) // m + 1 AS p FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM ranked), range({OFFSETS}) o(k), (SELECT unnest({list(HANDS)}) AS m)),
+copied AS (SELECT *, (p::HUGEINT * expect + start) // {UNITS} - ((p - 1)::HUGEINT * expect + start) // {UNITS} AS copies FROM tried),
+best AS (SELECT source, min({{'off': off, 'm': m, 'k': k}}) AS b FROM (SELECT source, m, k, abs(sum(size * copies)::DOUBLE - any_value(target)) AS off FROM copied GROUP BY source, m, k) GROUP BY source)
+SELECT c.doc_id, c.size, c.source_size, c.target, (c.size * c.copies)::BIGINT AS taken FROM copied c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.k = best.b.k AND c.m = best.b.m"""
