@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspike.functions.exprs import STOPWORDS, search_tokens, token_set
-from marlspike.operators import filings as FL
 from marlspike.operators import search as R
 from marlspike.sources.tables import table
 
@@ -169,62 +168,3 @@ def expanded_terms(spark, sf):
     k = F.col("item_id") % 4
     q = F.concat("text", F.when(k == 0, " debt").when(k == 1, " supply chain risk").otherwise(""))
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(R.expanded_terms(q)), ",").alias("terms"))
-
-
-# ---- filings --------------------------------------------------------------------------------------------------------
-
-
-def _filings(spark, sf) -> DataFrame:
-    """Documents as filings: their first lines get headings of parts and items."""
-    items = ["Part I", "Item 1. Business", "Item 1A. Risk Factors", "Part II", "Item 7. Management", "SIGNATURES"]
-    heading = lambda i: F.get(F.array(*[F.lit(t) for t in items]), (i / 2).cast("int"))
-    marked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when((i % 2 == 0) & (i < 2 * len(items)), F.concat(heading(i), F.lit("\n"), x)).otherwise(x))
-    d = table(spark, sf, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("accession"), F.when(F.col("doc_id") % 2 == 0, "10-K").otherwise("10-Q").alias("form"), F.array_join(marked, "\n").alias("text"), F.coalesce("source", F.lit("none")).alias("ticker"))
-
-
-@query()
-def html_clean(spark, sf):
-    return FL.clean_html(table(spark, sf, "pages"))
-
-
-@query()
-def sections(spark, sf):
-    return FL.detect_sections(_filings(spark, sf))
-
-
-@query()
-def chunk_documents(spark, sf):
-    return FL.chunk_filings(_filings(spark, sf))
-
-
-@query("SELECT 0::BIGINT AS not_their_slice, 0::BIGINT AS backwards, 0::BIGINT AS too_long, 0::BIGINT AS broken_links")
-def audit_chunks(spark, sf):
-    """Chunks that are not the slice of the text at their offsets, run backwards, are too long, or whose links don't meet: none."""
-    filings = _filings(spark, sf)
-    c = FL.chunk_filings(filings).join(filings.select("accession", F.col("text").alias("whole")), "accession")
-    w = Window.partitionBy("accession").orderBy("char_start", "char_end")
-    c = c.withColumn("before", F.lag("chunk_id").over(w))
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    return c.agg(F.count_if(F.substring(F.col("whole"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("text")).alias("not_their_slice"), F.count_if((F.col("char_end") <= F.col("char_start")) | (F.col("word_end") < F.col("word_start"))).alias("backwards"),
-                 F.count_if(n > 510).alias("too_long"), F.count_if(~F.col("previous_id").eqNullSafe(F.col("before"))).alias("broken_links"))
-
-
-@query()
-def chunk_distribution(spark, sf):
-    """Fewest, upper median and most words of the chunks of each form and section."""
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
-    f = _filings(spark, sf)
-    c = FL.chunk_filings(f).join(f.select("accession", "form"), "accession").withColumn("n", n)
-    # lengths are few numbers, so they are counted first: the upper median is the first whose running count passes half
-    g = c.groupBy("form", "section", "n").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy("form", "section")
-    g = g.withColumn("upto", F.sum("c").over(w.orderBy("n"))).withColumn("chunks", F.sum("c").over(w))
-    return g.groupBy("form", "section").agg(F.max("chunks").alias("chunks"), F.min("n").alias("fewest"), F.min(F.when(F.col("upto") > F.floor(F.col("chunks") / 2), F.col("n"))).alias("median"), F.max("n").alias("most"))
-
-
-@query()
-def filing_index_errors(spark, sf):
-    f = _filings(spark, sf)
-    c = FL.chunk_filings(f).join(f.select("accession", "ticker"), "accession")
-    return FL.index_or_error(f, c)
