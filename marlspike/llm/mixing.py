@@ -35,7 +35,7 @@ from .common import WORD, handle, many_to_one, materialize, prefix_sum, range_so
 UNITS = 100_000_000
 CAP = 3.0
 #: Numbers of hands, and evenly spaced offsets, that are tried for a source.
-HANDS, OFFSETS = (1, 2, 3, 5, 7, 11), 16
+HANDS, OFFSETS = (1, 2, 3, 5, 7), 8
 
 
 def targets(sizes: DataFrame, cap: float = CAP, cycle: int = 3) -> DataFrame:
