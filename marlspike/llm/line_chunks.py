@@ -2,9 +2,10 @@
 
 A rolling hash over the last ``WINDOW`` line hashes decides by one bit where a
 chunk ends, so boundaries move with the content and not with its place. There
-are two complementary sets of boundaries, one at set and one at unset bits, and
-from each line a chunk runs to the next boundary of either set, over two to
-``LONGEST`` lines that aren't blank. A line's bit depends on it and the line
+are two complementary sets of boundaries, one at set and one at unset bits.
+Chunks are the stretches between successive boundaries of a set (of up to
+``LONGEST`` lines that aren't blank), and what runs from any line to the nearest
+boundary after it, of whichever set. A line's bit depends on it and the line
 before alone, so of any two successive lines the second is a boundary of one
 set, wherever they stand: every line of a repeated run of two lines or more,
 however short the lines, lies in a repeated chunk, and longer runs also in
@@ -92,13 +93,18 @@ def runs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
         return h, np.zeros(0, np.int64), np.zeros(0, np.int64)
     bit, place = boundary_bits(h, doc), np.arange(n)
     last = np.searchsorted(doc, doc, "right") - 1  # of the text
+    new = np.append(True, doc[1:] != doc[:-1])
     start, end = [], []
     for family in (0, 1):
-        at = np.where(bit == U(family), place, n)
-        at = np.minimum.accumulate(at[::-1])[::-1]
+        cut = bit == U(family)
+        at = np.minimum.accumulate(np.where(cut, place, n)[::-1])[::-1]
         stop = np.minimum(np.minimum(np.append(at[1:], n), last), place + LONGEST - 1)
-        start.append(place[stop > place])
-        end.append(stop[stop > place])
+        after = new | np.append(True, cut[:-1])  # the set's own stretches begin here
+        take = (stop > place) & (after | (stop == place + 1))
+        start.append(place[take])
+        end.append(stop[take])
+    whole = np.unique(np.stack([np.concatenate(start), np.concatenate(end)]), axis=1)
+    start, end = [whole[0]], [whole[1]]
     start, end = np.concatenate(start), np.concatenate(end)
     power, inverse = powers(n + 1)
     with np.errstate(over="ignore"):
