@@ -305,7 +305,7 @@ def test_mix_meets_targets(spark, docs):
     total = sum(r["size"] for r in got)
     assert sum(x[0]["target"] for x in sources.values()) == pytest.approx(total)
     for s, x in sources.items():
-        assert x[0]["target"] <= 3 * x[0]["source_size"] and abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 0.08 * x[0]["target"]  # ten documents each
+        assert x[0]["target"] <= 3 * x[0]["source_size"] and abs(sum(r["taken"] for r in x) - x[0]["target"]) <= max(r["size"] for r in x)  # ten documents each
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix(docs).collect()))
 
 
