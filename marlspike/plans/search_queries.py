@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.exprs import STOPWORDS, search_tokens, token_set
 from marlspike.operators import search as R
+from marlspike.sources.scratch import written
 from marlspike.sources.tables import table
 
 from .domain import corpus
@@ -116,13 +117,60 @@ def prev_next_links(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.lag("doc_id").over(w).alias("previous_id"), F.lead("doc_id").over(w).alias("next_id"))
 
 
-@query()
+def _chosen(listed: str, k: int) -> str:
+    """SQL of the chosen of ``listed(query_id, doc_id, score, section, words)``: the candidates are offered twice, one after another."""
+    return f"""cand AS MATERIALIZED (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY query_id) AS n, max(score) OVER (PARTITION BY query_id) AS best FROM {listed} WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, doc_id)),
+div AS (SELECT query_id, 1::BIGINT AS step, [{{'doc_id': doc_id, 'section': section, 'words': words}}] AS picked FROM cand WHERE pos = 1
+ UNION ALL SELECT d.query_id, d.step + 1, CASE WHEN len(d.picked) < {k} AND len(list_filter(d.picked, lambda a: a.doc_id = c.doc_id OR len(list_intersect(a.words, c.words)) > 0.7::DOUBLE * len(list_distinct(list_concat(a.words, c.words))) OR len(list_concat(a.words, c.words)) = 0)) = 0
+  AND (d.step >= c.n OR c.score >= 0.25::DOUBLE * c.best AND len(list_filter(d.picked, lambda a: a.section IS NOT DISTINCT FROM c.section)) = 0) THEN list_append(d.picked, {{'doc_id': c.doc_id, 'section': c.section, 'words': c.words}}) ELSE d.picked END
+ FROM div d JOIN cand c ON c.query_id = d.query_id AND c.pos = d.step % c.n + 1 WHERE d.step < 2 * c.n),
+chosen AS (SELECT query_id, unnest(picked).doc_id AS doc_id, unnest(range(1, len(picked) + 1)) AS place FROM (SELECT query_id, arg_max(picked, step) AS picked FROM div GROUP BY query_id))"""
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), '[a-z0-9]+(?:''[a-z]+)?'))"
+
+
+@query(_bm().replace("WITH ", "WITH RECURSIVE ", 1) + f", t AS (SELECT bm.*, d.source AS section, {_WORDS} AS words FROM bm JOIN documents d USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 12), {_chosen('t', 5)} SELECT query_id, doc_id, place FROM chosen")
 def diversify_topk(spark, sf):
     docs = corpus(spark, sf)
     t = R.top_k(R.bm25(docs, _queries(spark, sf)), 12).join(docs.select("doc_id", F.col("ticker").alias("section"), "text"), "doc_id")
     return R.diversify(t, 5)
 
 
+_LIKE_THIS = f"qt AS (SELECT doc_id AS query_id, term, count(*) AS times FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents WHERE doc_id % 100 = 0) GROUP BY ALL)"
+_HYBRID = _bm().replace(QUERY_TERMS, _LIKE_THIS) + """, lex AS (SELECT * FROM bm WHERE query_id <> doc_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 12),
+sem AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(e.embedding, lambda x: x::DOUBLE), list_transform(q.embedding, lambda x: x::DOUBLE)), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)) e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0 AND vec_id IN (SELECT doc_id FROM documents)) q WHERE e.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id) <= 12),
+flt AS (SELECT doc_id AS query_id, CASE WHEN vec_id IS NULL THEN 'NOT_EMBEDDED' END AS fault FROM documents LEFT JOIN embeddings ON vec_id = doc_id WHERE doc_id % 100 = 0),
+nl AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS x FROM lex WINDOW w AS (PARTITION BY query_id)), ns AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END AS x FROM sem WINDOW w AS (PARTITION BY query_id)),
+fused AS (SELECT query_id, doc_id, round(CASE WHEN fault IS NULL THEN 0.6::DOUBLE * coalesce(nl.x, 0) + 0.4::DOUBLE * coalesce(ns.x, 0) ELSE coalesce(nl.x, 0) END, 4) AS score, CASE WHEN fault IS NULL THEN 'hybrid' ELSE 'lexical' END AS mode, fault AS warning FROM nl FULL JOIN ns USING (query_id, doc_id) LEFT JOIN flt USING (query_id))"""
+
+
+def _hybrid(spark, sf) -> DataFrame:
+    """Documents like those whose id is divisible by 100: by their terms, and by their vectors where they have one."""
+    docs, e = corpus(spark, sf), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = docs.where("doc_id % 100 = 0")
+    lex = R.top_k(R.bm25(docs, asked.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))).where("query_id <> doc_id"), 12)
+    e = e.join(docs.select("doc_id"), "doc_id", "left_semi")
+    q = e.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("q"))
+    sem = R.top_k(R.vector_top(e, q, 13).where("query_id <> doc_id").drop("rank"), 12)
+    faults = asked.join(q.select(F.col("query_id").alias("doc_id"), F.lit(True).alias("has")), "doc_id", "left").select(F.col("doc_id").alias("query_id"), F.when(F.col("has").isNull(), "NOT_EMBEDDED").alias("fault"))
+    return R.hybrid(lex, sem, faults)
+
+
+@query(_HYBRID + " SELECT * FROM fused")
+def hybrid_search(spark, sf):
+    """Both lists fused in one space of ids; queries without a vector keep the lexical list, with a warning."""
+    return _hybrid(spark, sf)
+
+
+@query(_HYBRID.replace("WITH ", "WITH RECURSIVE ", 1) + f", t AS (SELECT query_id, f.doc_id, score, d.source AS section, {_WORDS} AS words FROM fused f JOIN documents d USING (doc_id)), {_chosen('t', 5)} SELECT query_id, doc_id, place, mode FROM chosen JOIN fused USING (query_id, doc_id)")
+def hybrid_diversified(spark, sf):
+    """The fused lists' five results of each query that are unlike one another."""
+    fused = written(_hybrid(spark, sf), "fused")
+    docs = corpus(spark, sf).select("doc_id", F.col("ticker").alias("section"), "text")
+    return R.diversify(fused.join(docs, "doc_id"), 5).join(fused.select("query_id", "doc_id", "mode"), ["query_id", "doc_id"])
+
+
 _KW = "".join(f" WHEN {' OR '.join(f"contains(q, '{w}')" for w in ws)} THEN '{n}'" for n, ws in R.KEYWORDS.items())
 
 
