@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlspike.sources.scratch import written
+
 #: Splits of a group; ``CUTS - 1`` values of each group reach the driver.
 CUTS = 64
 
@@ -45,6 +47,21 @@ def row_number(rows: DataFrame, order: str, out: str) -> DataFrame:
     return split.withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_split").orderBy(order)) - 1).select(*rows.columns, out)
 
 
+def neighbours(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """(order, previous, next): each row's neighbours in its group by ``order``, a column of different values.
+
+    Rows are sorted by ranges of (group, order), so no task holds a group; the ends of a range look to the nearest range with their group."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.select(group, order).repartitionByRange(n, F.col(group).asc_nulls_first(), F.col(order)).withColumn("_p", F.spark_partition_id()), "ranged")
+    own = Window.partitionBy("_p", group).orderBy(order)
+    inside = ranged.withColumn("_before", F.lag(order).over(own)).withColumn("_after", F.lead(order).over(own))
+    ends = ranged.groupBy("_p", group).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    over = Window.partitionBy(group).orderBy("_p")  # a row for each range
+    ends = ends.select(F.col("_p").alias("_q"), F.col(group).alias("_g"), F.lag("_high").over(over).alias("_last"), F.lead("_low").over(over).alias("_first"))
+    joined = inside.join(ends, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")), "left")
+    return joined.select(order, F.coalesce("_before", "_last").alias("previous"), F.coalesce("_after", "_first").alias("next"))
+
+
 def slot_of(place: str | Column, start: int, size: int) -> Column:
     """Place in a ring of ``size`` that begins at ``start``."""
     return F.pmod((F.col(place) if isinstance(place, str) else place) - start, F.lit(size))

@@ -456,10 +456,12 @@ def cross_config(spark, sf):
 @query(f"WITH {BARS}, {FACTS}, d AS (SELECT ticker, day FROM bars WHERE idx >= 126 AND (idx - 126) % 21 = 0) SELECT d.ticker, d.day, count(*) AS known, arg_max(f.value, (f.period_end, f.filed, f.accession)) AS latest_value FROM d JOIN facts f ON f.entity = d.ticker AND f.filed <= d.day GROUP BY 1, 2")
 def pit_snapshot_join(spark, sf):
     """The facts known at each of the backtest's signal dates."""
-    d = P.snapshots(bars(spark, sf), 21, 126).where("is_snapshot").select("ticker", "day")
-    f = facts(spark, sf).withColumnRenamed("entity", "ticker")
-    j = d.join(f, (d.ticker == f.ticker) & (f.filed <= d.day)).select(d.ticker, "day", "value", "period_end", "filed", "accession")
-    return j.groupBy("ticker", "day").agg(F.count(F.lit(1)).alias("known"), F.max_by("value", F.struct("period_end", "filed", "accession")).alias("latest_value"))
+    d = P.snapshots(bars(spark, sf), 21, 126).where("is_snapshot").select("ticker", "day", F.lit(1).alias("ask"))
+    f = facts(spark, sf).select(F.col("entity").alias("ticker"), F.col("filed").alias("day"), F.lit(0).alias("ask"), F.struct("period_end", "filed", "accession", "value").alias("fact"))
+    # facts and dates in one order: a date sees the facts filed up to it, counted once as they pass
+    w = Window.partitionBy("ticker").orderBy("day", "ask").rowsBetween(Window.unboundedPreceding, 0)
+    rows = f.unionByName(d, allowMissingColumns=True).withColumn("known", F.count("fact").over(w)).withColumn("latest", F.max("fact").over(w))
+    return rows.where("ask = 1 and known > 0").select("ticker", "day", "known", F.col("latest.value").alias("latest_value"))
 
 
 @query("WITH u AS (SELECT s_nationkey AS k, s_suppkey AS id, 0 AS pri FROM supplier UNION ALL SELECT c_nationkey, c_custkey, 1 FROM customer) SELECT k, id, pri FROM u QUALIFY row_number() OVER (PARTITION BY k, id ORDER BY pri) = 1")

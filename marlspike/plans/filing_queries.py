@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlspike.operators import filings as FL
+from marlspike.sources import sinks
 from marlspike.sources.tables import table
 
 from .registry import query
@@ -124,3 +125,11 @@ def filing_index_errors(spark, sf):
     """Each filing's number of chunks, or an error where there is nothing to index."""
     f = _filings(spark, sf).drop("ticker").withColumn("ticker", F.col("accession"))
     return FL.index_or_error(f, FL.chunk_filings(f).withColumn("ticker", F.col("accession")))
+
+
+@query(_CHUNKS + """, c AS (SELECT DISTINCT ticker, chunk_id FROM chunks JOIN f USING (accession)), p4 AS (SELECT ticker, substr(chunk_id, 1, 4) AS a, count(*) AS n, sha256(string_agg(chunk_id, chr(10) ORDER BY chunk_id)) AS part FROM c GROUP BY ALL), p2 AS (SELECT ticker, substr(a, 1, 2) AS a, sum(n) AS n, sha256(string_agg(part, chr(10) ORDER BY p4.a)) AS part FROM p4 GROUP BY ticker, substr(p4.a, 1, 2))
+SELECT ticker, sum(n)::BIGINT AS chunks, sha256(string_agg(part, chr(10) ORDER BY a)) AS ids_sha FROM p2 GROUP BY ticker""")
+def chunk_manifest(spark, sf):
+    """Each ticker's chunks and a hash of their ids."""
+    f = _filings(spark, sf)
+    return sinks.manifest(FL.chunk_filings(f).join(f.select("accession", "ticker"), "accession"))

@@ -268,12 +268,6 @@ def artifact_roundtrip(spark, sf):
     return back.groupBy("c_nationkey", F.col("ticker").alias("c_mktsegment")).agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
 
 
-@query("SELECT source AS ticker, count(DISTINCT doc_id % 500) AS chunks, (SELECT sha256(string_agg(i, chr(10) ORDER BY i)) FROM (SELECT DISTINCT (doc_id % 500)::VARCHAR AS i FROM documents x WHERE x.source = d.source)) AS ids_sha FROM documents d WHERE source IS NOT NULL GROUP BY source")
-def chunk_manifest(spark, sf):
-    c = table(spark, sf, "documents").where("source is not null").select(F.col("source").alias("ticker"), (F.col("doc_id") % 500).cast("string").alias("chunk_id"))
-    return sinks.manifest(c.dropDuplicates(["ticker", "chunk_id"]))
-
-
 @query("WITH p AS (SELECT c_custkey AS k, c_acctbal + 1 AS v, CASE WHEN c_custkey % 10 = 0 THEN 'new' END AS note FROM customer WHERE c_custkey % 5 = 0) SELECT c_custkey AS k, coalesce(p.v, c_acctbal) AS v, coalesce(p.note, c_mktsegment) AS note FROM customer LEFT JOIN p ON p.k = c_custkey WHERE c_custkey % 7 <> 0")
 def update_and_delete(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_mktsegment").alias("note"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.functions.exprs import STOPWORDS, search_tokens, token_set
 from marlspike.operators import search as R
+from marlspike.operators.ranks import neighbours
 from marlspike.sources.scratch import written
 from marlspike.sources.tables import table
 
@@ -113,8 +114,7 @@ def dominant_section_drop(spark, sf):
 
 @query("SELECT doc_id, lag(doc_id) OVER w AS previous_id, lead(doc_id) OVER w AS next_id FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
 def prev_next_links(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.lag("doc_id").over(w).alias("previous_id"), F.lead("doc_id").over(w).alias("next_id"))
+    return neighbours(table(spark, sf, "documents"), "source", "doc_id").withColumnsRenamed({"previous": "previous_id", "next": "next_id"})
 
 
 def _chosen(listed: str, k: int) -> str:

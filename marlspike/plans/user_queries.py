@@ -201,7 +201,10 @@ def depth_profiles(spark, sf):
 
 @query("""WITH s AS (SELECT label, count(*) AS n, sha256(string_agg(vec_id::VARCHAR, chr(10) ORDER BY vec_id)) AS h, count(*) FILTER (len(embedding) <> 64) AS bad FROM embeddings GROUP BY label) SELECT label, array_to_string(list_filter([CASE WHEN label % 2 = 1 THEN 'corpus hash changed' END, CASE WHEN label % 3 = 1 THEN 'embedding model changed' END, CASE WHEN label % 4 = 1 THEN 'chunk IDs or ordering changed' END, CASE WHEN label % 5 = 1 THEN 'vector count differs' END, CASE WHEN bad > 0 THEN 'vector dimensions differ' END], lambda x: x IS NOT NULL), ';') AS reasons FROM s""")
 def cache_validation(spark, sf):
-    e = table(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("stored_n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), "\n"), 256).alias("stored_ids_hash"), F.count_if(F.size("embedding") != 64).alias("bad_dimensions"))
+    hashed = lambda x: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(x)), lambda v: v.cast("string")), "\n"), 256)
+    # ids are hashed by ranges first, so that no row holds a label's
+    e = table(spark, sf, "embeddings").groupBy("label", (F.col("vec_id") / 4096).cast("long").alias("range")).agg(F.count(F.lit(1)).alias("n"), F.concat_ws(":", F.lpad(F.col("range").cast("string"), 20, "0"), hashed("vec_id")).alias("part"), F.count_if(F.size("embedding") != 64).alias("bad"))
+    e = e.groupBy("label").agg(F.sum("n").alias("stored_n"), hashed("part").alias("stored_ids_hash"), F.sum("bad").alias("bad_dimensions"))
     k = F.col("label")
     e = e.withColumns({"stored_corpus_hash": F.lit("a"), "stored_model": F.lit("m"), "wanted_corpus_hash": F.when(k % 2 == 1, "b").otherwise("a"), "wanted_model": F.when(k % 3 == 1, "n").otherwise("m"), "wanted_ids_hash": F.when(k % 4 == 1, "x").otherwise(F.col("stored_ids_hash")), "wanted_n": F.col("stored_n") + F.when(k % 5 == 1, 1).otherwise(0)})
     return e.select("label", F.array_join(A.cache_reasons(e, e), ";").alias("reasons"))

@@ -26,8 +26,12 @@ def stale_keys(existing: DataFrame, active: DataFrame, key: str = "ticker") -> D
 
 
 def manifest(chunks: DataFrame, key: str = "ticker") -> DataFrame:
-    """Per key: chunks once each by id, terms and a hash of the sorted ids."""
-    return chunks.dropDuplicates(["chunk_id"]).groupBy(key).agg(F.count(F.lit(1)).alias("chunks"), F.sha2(F.array_join(F.array_sort(F.collect_list("chunk_id")), "\n"), 256).alias("ids_sha"))
+    """Per key: chunks once each by id, and a hash of the ids that no row has to hold: of the hashes of their ranges, by four characters and by two."""
+    parts = chunks.select(key, "chunk_id").distinct().select(key, F.substring("chunk_id", 1, 4).alias("at"), F.col("chunk_id").alias("part"), F.lit(1).alias("n"))
+    for width in (4, 2, 0):
+        hashed = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "\n"), 256)
+        parts = parts.groupBy(key, F.substring("at", 1, width).alias("to")).agg(F.sum("n").alias("n"), hashed.alias("part")).withColumnRenamed("to", "at")
+    return parts.select(key, F.col("n").alias("chunks"), F.col("part").alias("ids_sha"))
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], keep_if_null: list[str] = ()) -> DataFrame:
@@ -54,11 +58,11 @@ def trim(df: DataFrame, heavy: list[str]) -> tuple[DataFrame, list[str]]:
     return df.drop(*heavy), [c for c in heavy if c in df.columns]
 
 
-def update_rows(existing: DataFrame, patch: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``columns`` of existing rows set from ``patch``, which has a row for each key at most; null in a patch leaves a value."""
-    p = patch.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in columns])
-    cols = [F.coalesce(F.col(f"_p_{c}"), F.col(c)).alias(c) if c in columns else F.col(c) for c in existing.columns]
-    return existing.join(p, keys, "left").select(*cols)
+def update_rows(existing: DataFrame, patch: DataFrame, keys: list[str], columns: list[str], set_null: list[str] = ()) -> DataFrame:
+    """``columns`` of existing rows set from ``patch``, which has a row for each key at most; null in a patch leaves a value, but for those of ``set_null``."""
+    p = patch.select(*keys, *[F.col(c).alias(f"_p_{c}") for c in columns], F.lit(True).alias("_patched"))
+    put = lambda c: F.when(F.col("_patched"), F.col(f"_p_{c}")).otherwise(F.col(c)) if c in set_null else F.coalesce(F.col(f"_p_{c}"), F.col(c))
+    return existing.join(p, keys, "left").select(*[put(c).alias(c) if c in columns else F.col(c) for c in existing.columns])
 
 
 def delete_rows(existing: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
