@@ -132,17 +132,19 @@ def cache_reasons(store: DataFrame, corpus: DataFrame) -> Column:
 NO_EVIDENCE = "No relevant SEC filing evidence was retrieved; the evidence is insufficient."
 
 
-def answer_questions(docs: DataFrame, questions: DataFrame, generator: Callable[[Column], Column] | None = None, k: int = 5) -> DataFrame:
+def answer_questions(docs: DataFrame, questions: DataFrame, generator: Callable[[Column], Column] | None = None, k: int = 5, depth_name: str = "deep") -> DataFrame:
     """(query_id, intent, citations, answer, warning, limitations): intent, retrieval of each of its queries, merged evidence, answer, checks.
 
-    ``generator`` makes an answer column from a prompt column; without one the passages come without interpretation."""
+    ``generator`` makes an answer column from a prompt column; without one the passages come without interpretation. A prompt
+    holds the leading passages that the depth's budget of characters has room for, whole but for a first one beyond it."""
     wanted = retrieval_queries(questions)
     asked = wanted.withColumn("part", F.concat_ws(":", F.col("query_id").cast("string"), "kind"))
     hits = R.top_k(R.bm25(docs, asked.select(F.col("part").alias("query_id"), "query")), 4 * k)
     best = hits.join(asked.select("query_id", "part").withColumnRenamed("query_id", "_q"), F.col("query_id") == F.col("part")).groupBy(F.col("_q").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
     best = R.top_k(best, k)
     passages = best.join(docs.select("doc_id", "text"), "doc_id")
-    cited = passages.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.substring("text", 1, 600).alias("text")))).alias("p"))
+    packed = R.prompt_pack(passages.select(F.col("query_id").alias("prompt"), F.col("rank").alias("place"), F.coalesce("text", F.lit("")).alias("body"), "doc_id"), DEPTHS[depth_name][1])
+    cited = packed.groupBy(F.col("prompt").alias("query_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("rank"), "doc_id", F.col("body").alias("text")))).alias("p"))
     rows = questions.join(wanted.select("query_id", "intent").distinct(), "query_id").join(cited, "query_id", "left")
     ids = F.coalesce(F.transform("p", lambda x: x["doc_id"].cast("string")), F.array().cast("array<string>"))
     rows = rows.withColumn("citations", ids)

@@ -511,6 +511,8 @@ def ranking_functions(spark, sf):
     return table(spark, sf, "supplier").select("s_suppkey", F.rank().over(w).cast("bigint").alias("rnk"), F.dense_rank().over(w).cast("bigint").alias("dense"), F.ntile(4).over(Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")).cast("bigint").alias("quart"), _r(F.cume_dist().over(w)).alias("cume"))
 
 
-@query()
+@query("SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, true AS near FROM lineitem GROUP BY 1")
 def approx_distinct(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+    """The exact numbers, and whether the approximate ones (5 percent, 15 at most) are near them."""
+    exact, about = F.count_distinct("l_partkey"), F.approx_count_distinct("l_partkey", 0.05)
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(exact.alias("parts"), (F.abs(about - exact) <= 0.15 * exact).alias("near"))

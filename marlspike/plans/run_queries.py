@@ -116,10 +116,11 @@ def limit_two_classes(spark, sf):
     return N.limit_two_classes(p, N.parse_limit("100"), N.parse_offset("2"))
 
 
-@query(f"WITH {MESSAGES}, old AS (SELECT user_id::VARCHAR AS ticker, message FROM messages WHERE event_id < 300), new AS (SELECT user_id::VARCHAR AS ticker, message FROM messages WHERE event_id BETWEEN 300 AND 340) SELECT * FROM old WHERE ticker NOT IN (SELECT ticker FROM new) UNION ALL SELECT * FROM new")
+@query(f"WITH {MESSAGES}, cut AS (SELECT max(event_id) * 99 // 100 AS upto FROM messages), old AS (SELECT user_id::VARCHAR AS ticker, message FROM messages, cut WHERE event_id <= upto), new AS (SELECT user_id::VARCHAR AS ticker, message FROM messages, cut WHERE event_id > upto) SELECT * FROM old WHERE ticker NOT IN (SELECT ticker FROM new) UNION ALL SELECT * FROM new")
 def replace_errors(spark, sf):
     m = _messages(spark, sf).withColumn("ticker", F.col("user_id").cast("string"))
-    return N.replace_errors(m.where("event_id < 300").select("ticker", "message"), m.where("event_id between 300 and 340").select("ticker", "message"))
+    at = F.lit((m.agg(F.max("event_id")).first()[0] or 0) * 99 // 100)
+    return N.replace_errors(m.where(F.col("event_id") <= at).select("ticker", "message"), m.where(F.col("event_id") > at).select("ticker", "message"))
 
 
 @query("SELECT s_suppkey::VARCHAR AS ticker, d IS NOT NULL AS filings_downloaded, d IS NOT NULL AS bm25_indexed, s_acctbal > 0 AS balance_sheet, d AS latest_filing_date FROM supplier LEFT JOIN (SELECT l_suppkey, max(CAST(l_shipdate AS DATE)) AS d FROM lineitem WHERE l_quantity > 49 AND l_suppkey % 2 = 0 GROUP BY 1) ON l_suppkey = s_suppkey")

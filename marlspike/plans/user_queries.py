@@ -214,4 +214,4 @@ def cache_validation(spark, sf):
 def rag_answers(spark, sf):
     """Each test item as a question, answered by its own best passages (the generator is a plain column here)."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return A.answer_questions(corpus(spark, sf), q, lambda prompt: F.concat(F.lit("Evidence: "), F.substring(prompt, 1, 2000)))
+    return A.answer_questions(corpus(spark, sf), q, lambda prompt: F.concat(F.lit("Evidence: "), prompt))

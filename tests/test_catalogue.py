@@ -50,4 +50,9 @@ def test_against_sql(spark, duck, sf_dir, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.queries()) - set(ORACLES)))
 def test_runs(spark, sf_dir, name):
-    assert catalogue.queries()[name](spark, sf_dir).count() >= 0
+    assert catalogue.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_leaderboard_ranks_eight_models(spark, sf_dir):
+    got = {r["model"]: r["mae"] for r in catalogue.queries()["ml_leaderboard"](spark, sf_dir).collect()}
+    assert len(got) == 8 and all(0 < e < 1 for e in got.values()) and got["historical-mean baseline"] == got["market-return baseline"]
