@@ -43,15 +43,15 @@ def range_warnings() -> Column:
     return F.array_compact(F.array(*[F.when(~F.col(f).between(lo, hi), F.lit(f)) for f, (lo, hi, _, _) in BOUNDS.items()]))
 
 
-def percentiles(features: DataFrame, key: str = "ticker") -> DataFrame:
-    """(key, feature, value, winsor, pct) in long form: each feature is ranked apart, none by one task."""
-    long = features.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), winsorized(f).alias("winsor")) for f in BOUNDS])))
-    return average_rank(long, "winsor", ["feature"], "pct")
+def percentiles(features: DataFrame, key: str = "ticker", within: tuple[str, ...] = ()) -> DataFrame:
+    """(key, within, feature, value, winsor, pct) in long form: each feature of each ``within`` (few, as dates are) is ranked apart, none by one task."""
+    long = features.select(key, *within, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value"), winsorized(f).alias("winsor")) for f in BOUNDS])))
+    return average_rank(long, "winsor", [*within, "feature"], "pct")
 
 
-def wide_percentiles(features: DataFrame, key: str = "ticker") -> DataFrame:
+def wide_percentiles(features: DataFrame, key: str = "ticker", within: tuple[str, ...] = ()) -> DataFrame:
     """Features and their percentiles (p_ columns), both folded back from the long form."""
-    wide = percentiles(features, key).groupBy(key).agg(*[F.max(F.when(F.col("feature") == f, F.col(c))).alias(n) for f in BOUNDS for c, n in (("value", f), ("pct", f"p_{f}"))])
+    wide = percentiles(features, key, within).groupBy(key, *within).agg(*[F.max(F.when(F.col("feature") == f, F.col(c))).alias(n) for f in BOUNDS for c, n in (("value", f), ("pct", f"p_{f}"))])
     return wide
 
 

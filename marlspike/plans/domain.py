@@ -28,7 +28,17 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(day, idx, price) of all suppliers together."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("ticker", F.lit(0))
+    return _index(table(spark, sf_dir, "lineitem"))
+
+
+def exchange_bars(spark: SparkSession, sf_dir: str, exchange: str) -> DataFrame:
+    """(day, idx, price) of the suppliers of one exchange."""
+    there = securities(spark, sf_dir).where(F.col("exchange") == exchange).select(F.col("ticker").alias("l_suppkey"))
+    return _index(table(spark, sf_dir, "lineitem").join(there, "l_suppkey", "left_semi"))
+
+
+def _index(lines: DataFrame) -> DataFrame:
+    lines = lines.withColumn("ticker", F.lit(0))
     w = Window.partitionBy("ticker").orderBy("day")
     out = _series(lines, ["ticker"])
     return out.select("day", (F.row_number().over(w) - 1).alias("idx"), F.round(100 * F.exp(F.sum("lr").over(w).cast("double")), 6).alias("price"))
