@@ -41,9 +41,10 @@ def prices_known(bars: DataFrame, until) -> DataFrame:
     rows = bars.withColumn("lr", P.log_return())
     rows = rows.select(
         "ticker", F.col("day").alias("price_through"), "price", P.n_return(30).alias("return_30d"), P.n_return(90).alias("return_90d"),
-        P.rolling_volatility("lr", 252, 30).alias("annualized_volatility"), P.rolling_drawdown(251).alias("max_drawdown_1y"),
+        P.rolling_volatility("lr", 252, 30).alias("annualized_volatility"), F.collect_list("price").over(w.rowsBetween(-251, 0)).alias("year"),
         signal_dates(F.col("day"), F.coalesce(F.date_sub(F.lead("day").over(w), 1), F.lit(until))).alias("dates"))
-    return rows.select("*", F.explode("dates").alias("signal_date")).drop("dates")
+    rows = rows.select("*", F.explode("dates").alias("signal_date"))  # a few bars of a series from here on
+    return rows.withColumn("max_drawdown_1y", P.drawdown_of("year")).drop("dates", "year")
 
 
 def facts_known(facts: DataFrame, until, known: str = "filed") -> DataFrame:

@@ -43,14 +43,18 @@ def drawdown_last(bars: DataFrame, k: int) -> DataFrame:
 
 def rolling_drawdown(span: int) -> Column:
     """The same for each row over itself and the ``span`` rows before, folded over the frame's prices."""
-    frame = F.collect_list("price").over(by_day().rowsBetween(-span, 0))
+    return drawdown_of(F.collect_list("price").over(by_day().rowsBetween(-span, 0)))
+
+
+def drawdown_of(prices) -> Column:
+    """Lowest price of an array against the peak before it, 0 at most."""
     start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
 
     def step(acc, p):
         peak = F.greatest(acc["peak"], p)
         return F.struct(peak.alias("peak"), F.least(acc["worst"], p / peak - 1).alias("worst"))
 
-    return F.aggregate(frame, start, step, lambda acc: acc["worst"])
+    return F.aggregate(prices, start, step, lambda acc: acc["worst"])
 
 
 def volume_trend() -> Column:

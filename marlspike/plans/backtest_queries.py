@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlspike.operators import backtest as B
 from marlspike.operators import scoring as S
 from marlspike.sources.scratch import written
+from marlspike.sources.tables import table
 
 from .domain import BARS, FACTS, SECURITIES, bars, exchange_bars, facts, securities
 from .fact_queries import FEATURES, LABELS, SCORED
@@ -26,9 +27,8 @@ def _facts(spark, sf) -> DataFrame:
 
 
 def _raw(spark, sf, known: str = "filed") -> DataFrame:
-    b = bars(spark, sf)
-    until = b.agg(F.max("day")).first()[0]  # one date
-    return B.raw_features(b, _facts(spark, sf), until, known)
+    until = table(spark, sf, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]  # the last day of any bar
+    return B.raw_features(bars(spark, sf), _facts(spark, sf), until, known)
 
 
 def _evaluated(spark, sf, known: str = "filed") -> tuple[DataFrame, DataFrame]:
@@ -90,13 +90,15 @@ def point_in_time_features(spark, sf):
 
 
 _SCORES = [*S.WEIGHTS, "momentum_risk"]
+#: Scores have four digits; this much more keeps one digit of them off the ties.
+_OFF = 0.00003
 
 
-@query(f"WITH {_scored_sql()} SELECT ticker, signal_date, price_through, max_filed, available, confidence, signal, {', '.join(f'round(scored.{c}, 3) AS {c}' for c in _SCORES)} FROM scored JOIN (SELECT ticker, signal_date, price_through, max_filed FROM feat) USING (ticker, signal_date)")
+@query(f"WITH {_scored_sql()} SELECT ticker, signal_date, price_through, max_filed, available, confidence, signal, {', '.join(f'round(scored.{c} + {_OFF}, 1) AS {c}' for c in _SCORES)} FROM scored JOIN (SELECT ticker, signal_date, price_through, max_filed FROM feat) USING (ticker, signal_date)")
 def point_in_time_signals(spark, sf):
     """Scores and signal of every series among all of its signal date."""
     found = B.snapshots(_raw(spark, sf))
-    return found.select("ticker", "signal_date", "price_through", "max_filed", F.col("available").cast("bigint").alias("available"), "confidence", "signal", *[F.round(c, 3).alias(c) for c in _SCORES])
+    return found.select("ticker", "signal_date", "price_through", "max_filed", F.col("available").cast("bigint").alias("available"), "confidence", "signal", *[F.round(F.col(c) + _OFF, 1).alias(c) for c in _SCORES])
 
 
 @query(_evaluated_sql() + " SELECT * FROM evaluated")
