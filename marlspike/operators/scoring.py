@@ -169,13 +169,16 @@ PENALTY = {"negative_equity": 30, "severe_liquidity": 25, "severe_leverage": 25,
 
 def ratios(b: DataFrame) -> DataFrame:
     """Ratios of a balance snapshot (assets, current_assets, cash, investments, receivables, goodwill, intangibles, liabilities,
-    current_liabilities, short_debt, long_debt, equity, retained_earnings); null without a positive denominator."""
+    current_liabilities, short_debt, long_debt, equity, retained_earnings); null without a positive denominator.
+
+    With columns ``shares`` and ``market_cap`` also what depends on them."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     debt = F.when(F.col("short_debt").isNotNull() | F.col("long_debt").isNotNull(), F.round(zero("short_debt") + zero("long_debt"), 6))
     b = b.withColumn("total_debt", debt)
     r6 = lambda c: F.round(c, 6)
     quick = F.when(F.col("cash").isNotNull(), F.col("cash") + zero("investments") + zero("receivables"))
-    return b.withColumns({
+    priced = {"shares": ("book_value_per_share", "equity", "shares"), "market_cap": ("price_to_book", "market_cap", "equity")}
+    return b.withColumns({name: r6(safe_div(num, den)) for c, (name, num, den) in priced.items() if c in b.columns} | {
         "current_ratio": r6(safe_div("current_assets", "current_liabilities")),
         "quick_ratio": r6(safe_div(quick, "current_liabilities")),
         "cash_ratio": r6(safe_div("cash", "current_liabilities")),

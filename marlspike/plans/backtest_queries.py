@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.operators import backtest as B
+from marlspike.operators import brief as A
 from marlspike.operators import scoring as S
 from marlspike.sources.scratch import written
 from marlspike.sources.tables import table
@@ -134,3 +135,27 @@ def _mean_sql(c: str) -> str:
 def signal_cohorts(spark, sf):
     """What followed each signal, in all and by the benchmark's direction."""
     return B.cohorts(_evaluated(spark, sf)[1])
+
+
+def _brief_sql() -> str:
+    """Markdown of the last signal date's briefs, put together in SQL."""
+    case = lambda i: "CASE signal " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in A.TEMPLATES.items()) + " END"
+    valid = lambda c: f"coalesce({c} BETWEEN 0 AND 100, false)"
+    facts_ = ["'- The current rules classify ' || ticker || ' as ' || words || ' with ' || lower(confidence) || ' confidence. [Source: signals:' || ticker || ']'"]
+    facts_ += [f"CASE WHEN {valid(c)} THEN '- {n}: ' || printf('%.1f', round({c}, 1)) || ' out of 100. [Source: signals:' || ticker || ':scores.{c}]' END" for c, n in A.LABELS.items()]
+    facts_.append("CASE WHEN n IS NOT NULL THEN '- The 90-session ' || words || ' cohort contains ' || n || ' observations, with mean excess return ' || CASE WHEN mean_excess >= 0 THEN '+' ELSE '' END || printf('%.1f', round(mean_excess * 100, 1)) || '% and win rate ' || printf('%.1f', round(win_rate * 100, 1)) || '%. This descriptive result is not a forecast. [Source: backtest:' || signal || ':90]' END")
+    gaps = [f"CASE WHEN NOT {valid(c)} THEN '- {n} score is unavailable.' END" for c, n in A.LABELS.items()] + [f"CASE WHEN n IS NULL THEN '- {A.NO_COHORT}' END", f"'- {A.NO_EVIDENCE}'"]
+    asks = ["'- Which operating or industry conditions could invalidate the current ' || words || ' classification?'", *[f"'- {q}'" for q in A.QUESTIONS], f"CASE WHEN NOT ({valid('market_risk')} AND {valid('balance_risk')}) THEN '- {A.MORE}' END"]
+    lines = [f"'# ' || ticker || ': ' || {case(0)}", "''", case(1), "''", "'## Validated facts'", *facts_, "''", "'## Retrieved filing evidence'", "'- No cited filing passages are available.'", "''", "'## Missing sections'", *gaps, "''", "'## Research next'", *asks, "''", f"'{A.DISCLAIMER}'"]
+    return f"SELECT ticker, signal AS template_id, array_to_string(list_filter([{', '.join(lines)}], lambda x: x IS NOT NULL), chr(10)) AS markdown FROM board"
+
+
+@query(_evaluated_sql() + f""", coh AS (SELECT signal, count(*) AS n, {_mean_sql('excess_return')} AS mean_excess, round(avg(CASE WHEN excess_return > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS win_rate FROM evaluated WHERE status = 'observed' AND horizon = 90 GROUP BY signal),
+board AS (SELECT s.*, replace(s.signal, '-', ' ') AS words, n, mean_excess, win_rate FROM scored s LEFT JOIN coh ON coh.signal = s.signal WHERE signal_date = (SELECT max(signal_date) FROM scored)) """ + _brief_sql())
+def analyst_briefs(spark, sf):
+    """Markdown of a brief for every series of the last signal date, with the cohort of its signal."""
+    found, evaluated = _evaluated(spark, sf)
+    cohorts = B.cohorts(evaluated).where("horizon = 90 and regime = 'all'")
+    last = found.agg(F.max("signal_date").alias("signal_date"))  # one row
+    rows = found.join(F.broadcast(last), "signal_date", "left_semi")
+    return A.briefs(rows, cohorts).select("ticker", "template_id", A.markdown().alias("markdown"))

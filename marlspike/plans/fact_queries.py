@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlspike.functions.exprs import artifact_stem, money, normalize_cik, normalize_ticker
 from marlspike.operators import prices as P
 from marlspike.operators import scoring as S
+from marlspike.operators.universe import classify
 from marlspike.sources import sinks
 from marlspike.sources.scratch import written
 from marlspike.sources.tables import table
@@ -43,20 +44,6 @@ def normalize_symbols(spark, sf):
     return c.select("c_custkey", normalize_cik("c_custkey").alias("cik"), normalize_ticker("c_name").alias("ticker"), F.concat_ws(":", normalize_cik("c_custkey"), normalize_ticker("c_name")).alias("key"))
 
 
-# Endings of tickers that are no common shares, words of names that are no operating companies.
-TICKER_ENDINGS = ["W", "WS", "WTS?", "R", "RT", "U", "UN", "UT", "UNIT", "P[A-Z]?", "PR[A-Z]?"]
-NAME_WORDS = [r"\bETF\b", r"\bETN\b", r"\bFUND\b", r"\bTRUST\b", r"\bSPAC\b", r"\bRIGHTS?\b", r"\bUNIT\b", r"\bPREFERRED\b", r"\bWARRANT"]
-
-
-def classify_universe_rows(rows: DataFrame) -> DataFrame:
-    """Adds exclude_reason (null: supported) and priority by ordered rules on ticker, name and exchange."""
-    name, ticker = F.upper("name"), F.col("ticker")
-    reason = F.when((F.length(ticker) >= 5) & ticker.rlike("[RUW]$"), "suffix").when(name.rlike(r"\b(?:ACQUISITION|CAPITAL|SPONSOR|BLANK CHECK)\b") & ticker.rlike("[RUW]$"), "spac")
-    reason = reason.when(ticker.rlike(f"-(?:{'|'.join(TICKER_ENDINGS)})$"), "class").when(name.rlike("|".join(NAME_WORDS)), "fund")
-    reason = reason.when(~F.upper(F.coalesce("exchange", F.lit("NYSE"))).isin("NYSE", "NASDAQ", "NYSE AMERICAN"), "exchange")
-    return rows.withColumn("exclude_reason", reason).withColumn("priority", F.when(F.col("exclude_reason").isNull(), 100).when(F.col("exclude_reason") == "exchange", 700).otherwise(900))
-
-
 _PARTS = "SELECT p_partkey, upper(substr(p_name, 1, 5)) || CASE p_size % 5 WHEN 0 THEN '-W' WHEN 1 THEN 'U' ELSE '' END AS ticker, p_name || CASE p_size % 7 WHEN 0 THEN ' Trust' ELSE '' END AS name, CASE p_size % 3 WHEN 0 THEN 'NYSE' WHEN 1 THEN 'OTC' END AS exchange FROM part"
 
 
@@ -66,7 +53,7 @@ def classify_universe(spark, sf):
     p = table(spark, sf, "part")
     ticker = F.concat(F.upper(F.substring("p_name", 1, 5)), F.when(F.col("p_size") % 5 == 0, "-W").when(F.col("p_size") % 5 == 1, "U").otherwise(""))
     rows = p.select("p_partkey", ticker.alias("ticker"), F.concat("p_name", F.when(F.col("p_size") % 7 == 0, " Trust").otherwise("")).alias("name"), F.when(F.col("p_size") % 3 == 0, "NYSE").when(F.col("p_size") % 3 == 1, "OTC").alias("exchange"))
-    return classify_universe_rows(rows).select("p_partkey", "ticker", "priority", "exclude_reason")
+    return classify(rows).select("p_partkey", "ticker", "priority", "exclude_reason")
 
 
 @query("SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) > 1 AS duplicate FROM customer")
@@ -282,7 +269,8 @@ def feature_screen(spark, sf):
 
 
 _BAL = {"assets": "4.0 * p + 5", "current_assets": "1.2 * p", "cash": "0.3 * p * (k % 4)", "investments": "CASE WHEN k % 3 = 0 THEN 0.1 * p END", "receivables": "CASE WHEN k % 5 <> 0 THEN 0.2 * p END", "goodwill": "CASE WHEN k % 2 = 0 THEN 0.5 * p * (k % 6) END", "intangibles": "CASE WHEN k % 7 = 0 THEN 0.3 * p END",
-        "liabilities": "CASE WHEN k % 11 <> 0 THEN 2.0 * p END", "current_liabilities": "0.4 * p * (1 + k % 4)", "short_debt": "CASE WHEN k % 3 <> 1 THEN 0.2 * p * (k % 5) END", "long_debt": "0.5 * p * (k % 7)", "equity": "p * (k % 9 - 1)", "retained_earnings": "p * (k % 3 - 1)"}
+        "liabilities": "CASE WHEN k % 11 <> 0 THEN 2.0 * p END", "current_liabilities": "0.4 * p * (1 + k % 4)", "short_debt": "CASE WHEN k % 3 <> 1 THEN 0.2 * p * (k % 5) END", "long_debt": "0.5 * p * (k % 7)", "equity": "p * (k % 9 - 1)", "retained_earnings": "p * (k % 3 - 1)",
+        "shares": "10.0 * (k % 8)", "market_cap": "CASE WHEN k % 6 <> 0 THEN 25.0 * p END"}
 
 
 def _balance(spark, sf) -> DataFrame:
@@ -295,8 +283,8 @@ _div = lambda n, d: f"round({n} / CASE WHEN {d} > 0 THEN {d} END, 6)"  # noqa: E
 BAL = f"""WITH p0 AS (SELECT p_partkey AS ticker, p_retailprice AS p, p_partkey AS k FROM part), bal AS (SELECT ticker, {', '.join(f'round(CAST({e} AS DOUBLE), 4) AS {n}' for n, e in _BAL.items())} FROM p0),
 debt AS (SELECT *, CASE WHEN short_debt IS NOT NULL OR long_debt IS NOT NULL THEN round(coalesce(short_debt, 0) + coalesce(long_debt, 0), 6) END AS total_debt FROM bal),
 ratio AS MATERIALIZED (SELECT *, {_div('current_assets', 'current_liabilities')} AS current_ratio, {_div('(cash + coalesce(investments, 0) + coalesce(receivables, 0))', 'current_liabilities')} AS quick_ratio, {_div('cash', 'current_liabilities')} AS cash_ratio, round(current_assets - current_liabilities, 6) AS working_capital,
- {_div('total_debt', 'equity')} AS debt_to_equity, {_div('total_debt', 'assets')} AS debt_to_assets, {_div('equity', 'assets')} AS equity_ratio, {_div('cash', 'total_debt')} AS cash_to_debt, round(total_debt - cash, 6) AS net_debt, {_div('(coalesce(goodwill, 0) + coalesce(intangibles, 0))', 'assets')} AS goodwill_share, {_div('short_debt', 'total_debt')} AS short_debt_share, equity AS book_value FROM debt)"""
-_RATIOS = ["current_ratio", "quick_ratio", "cash_ratio", "working_capital", "debt_to_equity", "debt_to_assets", "equity_ratio", "cash_to_debt", "net_debt", "goodwill_share", "short_debt_share", "book_value"]
+ {_div('total_debt', 'equity')} AS debt_to_equity, {_div('total_debt', 'assets')} AS debt_to_assets, {_div('equity', 'assets')} AS equity_ratio, {_div('cash', 'total_debt')} AS cash_to_debt, round(total_debt - cash, 6) AS net_debt, {_div('(coalesce(goodwill, 0) + coalesce(intangibles, 0))', 'assets')} AS goodwill_share, {_div('short_debt', 'total_debt')} AS short_debt_share, equity AS book_value, {_div('equity', 'shares')} AS book_value_per_share, {_div('market_cap', 'equity')} AS price_to_book FROM debt)"""
+_RATIOS = ["current_ratio", "quick_ratio", "cash_ratio", "working_capital", "debt_to_equity", "debt_to_assets", "equity_ratio", "cash_to_debt", "net_debt", "goodwill_share", "short_debt_share", "book_value", "book_value_per_share", "price_to_book", "retained_earnings"]
 
 
 @query(BAL + f" SELECT ticker, {', '.join(f'round({c}, 6) AS {c}' for c in _RATIOS)} FROM ratio")
