@@ -139,7 +139,7 @@ def answer_questions(docs: DataFrame, questions: DataFrame, generator: Callable[
     holds the leading passages that the depth's budget of characters has room for, whole but for a first one beyond it."""
     wanted = retrieval_queries(questions)
     asked = wanted.withColumn("part", F.concat_ws(":", F.col("query_id").cast("string"), "kind"))
-    hits = R.top_k(R.bm25(docs, asked.select(F.col("part").alias("query_id"), "query")), 4 * k)
+    hits = R.bm25_top(docs, asked.select(F.col("part").alias("query_id"), "query"), 4 * k)
     best = hits.join(asked.select("query_id", "part").withColumnRenamed("query_id", "_q"), F.col("query_id") == F.col("part")).groupBy(F.col("_q").alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
     best = R.top_k(best, k)
     passages = best.join(docs.select("doc_id", "text"), "doc_id")
