@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlspike.functions.exprs import rounded
 from marlspike.operators import answers as A
 from marlspike.operators import portfolio as U
 from marlspike.operators import search as R
@@ -54,7 +55,9 @@ _DOUBLE = ["shares", "dollar_amount", "average_cost", "current_price", "base_ret
 
 
 def _positions(spark, sf) -> DataFrame:
-    return table(spark, sf, "customer").select("c_custkey", *[F.expr(f"CAST({e} AS DOUBLE)" if k in _DOUBLE else e).alias(k) for k, e in _POS.items()])
+    made = {k: F.expr(f"CAST({e} AS DOUBLE)" if k in _DOUBLE else e) for k, e in _POS.items()}
+    made["shares"] = F.when(F.col("c_custkey") % 10 != 4, rounded(F.col("c_acctbal") / 100, 2))  # Spark's round takes other halves up than the SQL's
+    return table(spark, sf, "customer").select("c_custkey", *[c.alias(k) for k, c in made.items()])
 
 
 POSITIONS = "pos AS (SELECT c_custkey, " + ", ".join((f"CAST({e} AS DOUBLE)" if k in _DOUBLE else e) + f" AS {k}" for k, e in _POS.items()) + """ FROM customer), p0 AS (SELECT *, CASE WHEN quantity_type = 'shares' THEN CASE WHEN shares > 0 THEN shares END ELSE CASE WHEN dollar_amount > 0 THEN dollar_amount END END AS amount FROM pos),
@@ -65,7 +68,7 @@ _M = "floor(({0}) * 100 + 0.5::DOUBLE) / 100"
 
 @query(f"WITH {POSITIONS} SELECT c_custkey, reason, round(held, 6) AS held, round(position_value, 4) AS position_value, round(cost_basis, 4) AS cost_basis, round(position_value - cost_basis, 4) AS unrealized FROM p1")
 def position_values(spark, sf):
-    r = lambda c, d=4: F.round(c, d).alias(c)
+    r = lambda c, d=4: rounded(c, d).alias(c)
     return U.position_value(_positions(spark, sf)).select("c_custkey", "reason", r("held", 6), r("position_value"), r("cost_basis"), r("unrealized"))
 
 
