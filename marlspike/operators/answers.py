@@ -12,7 +12,10 @@ from marlspike.functions.exprs import ladder
 from . import search as R
 
 # Language that is withheld, texts that replace or precede an answer.
-PROHIBITED = r"(?i)\b(buy|sell|hold|guaranteed upside|this stock will go (?:up|down))\b"
+#: A word's end as RE2 sees it: only ASCII letters, digits and _ are of a word; Java's own \b counts letters of all scripts.
+EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+#: Under (?i) RE2 also takes the long s and the Kelvin sign for s and k.
+PROHIBITED = r"(?i)" + EDGE + r"(buy|[s\u017f]ell|hold|guaranteed up[s\u017f]ide|thi[s\u017f] [s\u017f]toc[k\u212a] will go (?:up|down))" + EDGE
 WITHHELD = "The generated interpretation was withheld because it did not meet the research-only safety rules."
 PREFACE = "I cannot predict whether the stock will go up or down, but I can assess whether the current signal and retrieved risk evidence support, weaken, or complicate the research case."
 # What a question's intent adds to it.
