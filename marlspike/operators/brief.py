@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.functions.exprs import flag
+from marlspike.functions.exprs import flag, rounded
 
 # Title and summary of each signal.
 TEMPLATES = {
@@ -50,10 +50,10 @@ def briefs(rows: DataFrame, cohorts: DataFrame | None) -> DataFrame:
     words = F.regexp_replace(F.coalesce("signal", F.lit("insufficient-evidence")), "-", " ")
     ticker = F.col("ticker").cast("string")
     valid = {c: flag(F.col(c).between(0, 100)) for c in LABELS}
-    context = F.when(F.col("n").isNotNull(), F.format_string("The 90-session %s cohort contains %d observations, with mean excess return %+.1f%% and win rate %.1f%%. This descriptive result is not a forecast.", words, F.col("n"), F.round(F.col("mean_excess") * 100, 1), F.round(F.col("win_rate") * 100, 1)))
+    context = F.when(F.col("n").isNotNull(), F.format_string("The 90-session %s cohort contains %d observations, with mean excess return %s%.1f%% and win rate %.1f%%. This descriptive result is not a forecast.", words, F.col("n"), F.when(F.col("mean_excess") >= 0, "+").otherwise("-"), F.abs(rounded(F.col("mean_excess") * 100, 1)), rounded(F.col("win_rate") * 100, 1)))
     said = F.concat(F.lit("The current rules classify "), ticker, F.lit(" as "), words, F.lit(" with "), F.lower("confidence"), F.lit(" confidence."))
     claims = [F.when(known, _claim("signal", said, "signal", F.concat(F.lit("signals:"), ticker)))]
-    claims += [F.when(known & valid[c], _claim(f"score-{c}", F.format_string(f"{n}: %.1f out of 100.", F.round(c, 1)), "score", F.concat(F.lit("signals:"), ticker, F.lit(f":scores.{c}")))) for c, n in LABELS.items()]
+    claims += [F.when(known & valid[c], _claim(f"score-{c}", F.format_string(f"{n}: %.1f out of 100.", rounded(c, 1)), "score", F.concat(F.lit("signals:"), ticker, F.lit(f":scores.{c}")))) for c, n in LABELS.items()]
     claims.append(F.when(F.col("n").isNotNull(), _claim("backtest-90", context, "backtest", F.concat(F.lit("backtest:"), F.col("signal"), F.lit(":90")))))
     missing = [F.when(~known, NO_SIGNAL), *[F.when(known & ~valid[c], f"{n} score is unavailable.") for c, n in LABELS.items()], F.when(~known | F.lit(cohorts is None), NO_BACKTEST).when(F.col("n").isNull(), NO_COHORT), F.when(F.size("evidence") == 0, NO_EVIDENCE)]
     questions = [F.concat(F.lit("Which operating or industry conditions could invalidate the current "), words, F.lit(" classification?")), *map(F.lit, QUESTIONS), F.when(known & ~(valid["market_risk"] & valid["balance_risk"]), MORE)]
