@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlspike.functions.exprs import rounded
 from marlspike.sources.scratch import written
 
 #: Splits of a group; ``CUTS - 1`` values of each group reach the driver.
@@ -38,7 +39,7 @@ def average_rank(rows: DataFrame, value: str, keys: list[str], out: str, digits:
     below = F.col("_before") + F.rank().over(by.orderBy(value)) - 1
     equal = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_split", value))
     pct = F.when(F.col(value).isNotNull(), F.when(F.col("_n") == 1, F.lit(0.5)).otherwise((below + (equal - 1) / 2) / (F.col("_n") - 1)))
-    return split.withColumn(out, F.round(pct, digits)).select(*rows.columns, out)
+    return split.withColumn(out, rounded(pct, digits)).select(*rows.columns, out)
 
 
 def row_number(rows: DataFrame, order: str, out: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlspike.functions.exprs import clamp, codes, flag, ladder, safe_div, weighted_mean
+from marlspike.functions.exprs import clamp, codes, flag, ladder, rounded, safe_div, weighted_mean
 
 from .ranks import average_rank
 
@@ -59,7 +59,7 @@ def component(name: str, weights: dict | None = None) -> Column:
     """Weighted mean of the component's percentiles in 0..100, over those present."""
     w = (weights or WEIGHTS)[name]
     parts = [(1 - F.col(f"p_{f}") if f in INVERTED else F.col(f"p_{f}"), x) for f, x in w.items()]
-    return F.round(clamp(weighted_mean(parts) * 100, 0, 100), 4)
+    return rounded(clamp(weighted_mean(parts) * 100, 0, 100), 4)
 
 
 def coverage(name: str) -> Column:
@@ -88,7 +88,7 @@ def score(features: DataFrame, weights: dict | None = None) -> DataFrame:
     """Adds the component scores, momentum_risk, available, confidence and signal to rows with p_ columns."""
     # a generator, so that what follows refers to plain columns and not to the sums again
     df = features.select("*", F.inline(F.array(F.struct(*[component(c, weights).alias(c) for c in WEIGHTS]))))
-    df = df.withColumn("momentum_risk", F.round(clamp(100 - F.col("momentum"), 0, 100), 4))
+    df = df.withColumn("momentum_risk", rounded(clamp(100 - F.col("momentum"), 0, 100), 4))
     df = df.withColumn("available", sum((F.col(f).isNotNull().cast("int") for f in BOUNDS), F.lit(0)))
     df = df.withColumn("confidence", confidence())
     return df.withColumn("signal", classify())
@@ -137,7 +137,7 @@ def sensitivity(features: DataFrame, key: str = "ticker") -> DataFrame:
                 varied.append(F.struct(F.lit(name).alias("component"), F.lit(f).alias("feature"), F.lit(m).alias("multiplier"), component(name, weights).alias("varied")))
     rows = base.select("confidence", "base_signal", "momentum_risk", *WEIGHTS, F.inline(F.array(*varied)))
     rows = rows.withColumns({c: F.when(F.col("component") == c, F.col("varied")).otherwise(F.col(c)) for c in WEIGHTS})
-    rows = rows.withColumn("momentum_risk", F.when(F.col("component") == "momentum", F.round(clamp(100 - F.col("varied"), 0, 100), 4)).otherwise(F.col("momentum_risk")))
+    rows = rows.withColumn("momentum_risk", F.when(F.col("component") == "momentum", rounded(clamp(100 - F.col("varied"), 0, 100), 4)).otherwise(F.col("momentum_risk")))
     return rows.withColumn("changed", (classify() != F.col("base_signal")).cast("int")).groupBy("component", "feature", "multiplier").agg(F.sum("changed").alias("changed"))
 
 
