@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlspike.operators import champion as C
 from marlspike.operators import forecast as FC
+from marlspike.sources.scratch import written
 
-from .domain import bars
-from .forecast_queries import ROWS, SCEN, _rows, _scenarios
+from .forecast_queries import ROWS, SCEN, _kept_rows, _scenarios
 from .registry import query
 
 HORIZONS = (30, 90)
@@ -31,15 +31,15 @@ def _predictions(fit: dict) -> list:
     return [F.struct(F.lit(k).alias("place"), F.lit(m).alias("model"), p.cast("double").alias("f")) for k, (m, p) in enumerate(zip(MODELS, [F.lit(0.0), F.lit(fit["mean"]), *lines]))]
 
 
-def _errors(spark, sf) -> tuple[DataFrame, dict]:
+def _errors(rows: DataFrame) -> tuple[DataFrame, dict]:
     """(horizon, part, place, model, mae, n) over validation and test rows, and each horizon's fits."""
-    rows, fits, done = _rows(spark, sf), {}, []
+    fits, done = {}, []
     for h in HORIZONS:
         parts = FC.split(rows, f"target_{h}", h)
         fits[h] = _fits(parts, f"target_{h}")
         long = parts.where("part in ('validation', 'test')").select("part", F.col(f"target_{h}").alias("y"), F.explode(F.array(*_predictions(fits[h]))).alias("m"))
         done.append(long.groupBy(F.lit(h).alias("horizon"), "part", "m.place", "m.model").agg(F.round(F.avg(F.abs(F.col("m.f") - F.col("y"))), 6).alias("mae"), F.count("m.f").alias("n")))
-    return reduce(DataFrame.unionByName, done), fits
+    return written(reduce(DataFrame.unionByName, done), "errors"), fits
 
 
 def _promoted(errors: DataFrame) -> DataFrame:
@@ -64,13 +64,13 @@ promoted AS MATERIALIZED (SELECT b.*, t.mae AS test_mae, t.n AS test_n, z.mae AS
 @query(f"{ROWS}, {CHAMPION} SELECT * EXCLUDE (place) FROM errs")
 def candidate_errors(spark, sf):
     """Mean absolute errors of the candidates on unseen rows of each horizon."""
-    return _errors(spark, sf)[0].drop("place")
+    return _errors(_kept_rows(spark, sf))[0].drop("place")
 
 
 @query(f"{ROWS}, {CHAMPION} SELECT horizon, model, mae, baseline_mae, candidates, test_mae, test_n, baseline_test_mae, reason, reason = 'PROMOTED' AS approved FROM promoted")
 def champion_choice(spark, sf):
     """The model of least validation error of each horizon, and whether the guard lets it through on the test rows."""
-    return _promoted(_errors(spark, sf)[0])
+    return _promoted(_errors(_kept_rows(spark, sf))[0])
 
 
 _FORECAST = " ".join(f"WHEN s.horizon = {h} AND pr.model = '{m}' THEN {v}" for h in HORIZONS for m, v in zip(MODELS, ["0.0::DOUBLE", f"(SELECT mean FROM fit{h})", *[f"(SELECT intercept_{c} FROM fit{h}) + (SELECT slope_{c} FROM fit{h}) * l.{c}" for c in LINES.values()]]))
@@ -81,11 +81,12 @@ records AS (SELECT *, approved AND prediction IS NOT NULL AND status <> 'stale'
 
 
 def _records(spark, sf) -> DataFrame:
-    errors, fits = _errors(spark, sf)
-    promoted = _promoted(errors)
-    rows = _rows(spark, sf)
-    latest = rows.withColumn("nth", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("day")))).where("nth = 1").drop("nth")
-    newest = bars(spark, sf).agg(F.max("day")).first()[0]
+    rows = _kept_rows(spark, sf)
+    errors, fits = _errors(rows)
+    promoted = written(_promoted(errors), "promoted")
+    latest = rows.groupBy("ticker").agg(F.max_by(F.struct(*rows.columns), "day").alias("r")).select("r.*")  # a bar has a day of its own
+    latest = written(latest, "latest")
+    newest = rows.agg(F.max("day")).first()[0]  # each series' last bar is among its rows
     made = [latest.select("ticker", F.lit(h).alias("horizon"), F.explode(F.array(*_predictions(fits[h]))).alias("m")) for h in HORIZONS]
     named = promoted.select(F.col("horizon").alias("h"), F.col("model").alias("chosen"))
     predictions = reduce(DataFrame.unionByName, made).join(F.broadcast(named), (F.col("horizon") == F.col("h")) & (F.col("m.model") == F.col("chosen"))).select("ticker", "horizon", F.col("m.f").alias("prediction"))  # a row for each horizon

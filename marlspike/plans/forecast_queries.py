@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlspike.operators import forecast as FC
 from marlspike.operators import prices as P
+from marlspike.sources.scratch import written
 
 from .domain import BARS, bars
 from .registry import query
@@ -31,8 +32,13 @@ def _rows(spark, sf) -> DataFrame:
     return FC.training_rows(bars(spark, sf))
 
 
+def _kept_rows(spark, sf) -> DataFrame:
+    """The rows as a table, for what reads them more than once."""
+    return written(_rows(spark, sf), "rows")
+
+
 def _parts(spark, sf) -> DataFrame:
-    return FC.split(_rows(spark, sf), "target_30", 30)
+    return FC.split(_kept_rows(spark, sf), "target_30", 30)
 
 
 @query(ROWS + f" SELECT ticker, day, {', '.join(f'round({c}, 6) AS {c}' for c in _COLS)}, round(vol_21, 5) AS vol_21 FROM rows0")
@@ -91,7 +97,8 @@ SCEN = ROWS + f", smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION
 
 def _scenarios(spark, sf) -> DataFrame:
     w = Window.partitionBy("ticker")
-    s = _rows(spark, sf).withColumn("k", F.row_number().over(w.orderBy("day"))).withColumn("current", F.max_by("price", "day").over(w)).where("(k - 1) % 21 = 0")
+    s = _rows(spark, sf).select("ticker", "day", "price", "target_30", "target_90").withColumn("k", F.row_number().over(w.orderBy("day"))).withColumn("current", F.max_by("price", "day").over(w)).where("(k - 1) % 21 = 0")
+    s = written(s.select("ticker", "current", "target_30", "target_90"), "samples")
     one = lambda h: FC.scenario(s.select("ticker", "current", (F.exp(f"target_{h}") - 1).alias("r")), h).withColumn("horizon", F.lit(h))
     return one(30).unionByName(one(90))
 
