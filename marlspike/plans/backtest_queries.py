@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,14 +29,26 @@ def _facts(spark, sf) -> DataFrame:
     return facts(spark, sf).select(F.col("entity").alias("ticker"), F.when(gross, "gross_profit").otherwise(named[F.col("label")]).alias("concept"), (gross | F.col("form").isin("F", "O")).alias("annual"), "value", "period_end", "filed", "accession")
 
 
-def _raw(spark, sf, known: str = "filed") -> DataFrame:
-    until = table(spark, sf, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]  # the last day of any bar
-    return B.raw_features(bars(spark, sf), _facts(spark, sf), until, known)
+def _prices(spark, sf) -> tuple[DataFrame, DataFrame, object]:
+    """The series, their prices as known on the signal dates, and the last day of any bar."""
+    until = table(spark, sf, "lineitem").agg(F.max(F.col("l_shipdate").cast("date"))).first()[0]
+    lines = written(B.series(bars(spark, sf)), "series")
+    return lines, B.prices_known(lines, until), until
+
+
+def _raw(spark, sf) -> DataFrame:
+    _, prices, until = _prices(spark, sf)
+    return B.features_of(prices, B.facts_known(_facts(spark, sf), until))
 
 
-def _evaluated(spark, sf, known: str = "filed") -> tuple[DataFrame, DataFrame]:
-    found = written(B.snapshots(_raw(spark, sf, known)), "snapshots")
-    return found, written(B.evaluate(found, bars(spark, sf), exchange_bars(spark, sf, EXCHANGE)), "evaluated")
+def _evaluated(spark, sf, *known: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Snapshots, their outcomes and the series; with names of ``known`` dates for each of these, told apart by ``known_by``."""
+    lines, prices, until = _prices(spark, sf)
+    prices = written(prices, "prices") if len(known) > 1 else prices
+    found = [B.snapshots(B.features_of(prices, B.facts_known(_facts(spark, sf), until, k))).withColumn("known_by", F.lit(k)) for k in known or ("filed",)]
+    found = written(reduce(DataFrame.unionByName, found), "snapshots")
+    bench = written(exchange_bars(spark, sf, EXCHANGE), "exchange")
+    return found, written(B.evaluate(found, lines, bench, by=("known_by",)), "evaluated"), lines
 
 
 _CASES = " ".join(f"WHEN '{x}' THEN '{n}'" for x, n in zip(LABELS, _CONCEPTS))
@@ -105,7 +119,7 @@ def point_in_time_signals(spark, sf):
 @query(_evaluated_sql() + " SELECT * FROM evaluated")
 def evaluated_snapshots(spark, sf):
     """Outcomes after 30, 60 and 90 sessions of every snapshot, or why there is none."""
-    return _evaluated(spark, sf)[1]
+    return _evaluated(spark, sf)[1].drop("known_by")
 
 
 _AUDIT = """ SELECT '{0}' AS known_by, (SELECT count(*) FROM snaps) AS snapshots, count(*) FILTER (status = 'observed') AS observations, count(*) FILTER (status = 'leakage') AS rejected_leakage, count(*) FILTER (status IN ('no_entry', 'unaligned')) AS rejected_alignment,
@@ -116,10 +130,10 @@ _AUDIT = """ SELECT '{0}' AS known_by, (SELECT count(*) FROM snaps) AS snapshots
 @query("SELECT *, rejected_leakage = 0 AND missing_symbols = 0 AND observations > 0 AS passed, CASE WHEN observations > 0 THEN 'complete' ELSE 'insufficient_data' END AS status FROM (" + " UNION ALL ".join(f"(SELECT * FROM ({_evaluated_sql(k)}{_AUDIT.format(k)}))" for k in ("filed", "period_end")) + ")")
 def backtest_bias_audit(spark, sf):
     """The audit of snapshots by filing date, which passes, and by period end, which uses filings before they were made."""
-    out = []
-    for known in ("filed", "period_end"):
-        found, evaluated = _evaluated(spark, sf, known)
-        out.append(B.bias_audit(evaluated, found, bars(spark, sf), securities(spark, sf)).select(F.lit(known).alias("known_by"), "*"))
+    modes = ("filed", "period_end")
+    found, evaluated, lines = _evaluated(spark, sf, *modes)
+    of = lambda rows, k: rows.where(F.col("known_by") == k)
+    out = [B.bias_audit(of(evaluated, k), of(found, k), lines, securities(spark, sf)).select(F.lit(k).alias("known_by"), "*") for k in modes]
     return out[0].unionByName(out[1])
 
 
@@ -154,7 +168,7 @@ def _brief_sql() -> str:
 board AS (SELECT s.*, replace(s.signal, '-', ' ') AS words, n, mean_excess, win_rate FROM scored s LEFT JOIN coh ON coh.signal = s.signal WHERE signal_date = (SELECT max(signal_date) FROM scored)) """ + _brief_sql())
 def analyst_briefs(spark, sf):
     """Markdown of a brief for every series of the last signal date, with the cohort of its signal."""
-    found, evaluated = _evaluated(spark, sf)
+    found, evaluated, _ = _evaluated(spark, sf)
     cohorts = B.cohorts(evaluated).where("horizon = 90 and regime = 'all'")
     last = found.agg(F.max("signal_date").alias("signal_date"))  # one row
     rows = found.join(F.broadcast(last), "signal_date", "left_semi")
