@@ -193,8 +193,8 @@ def forms_available(spark, sf):
 @query(f"WITH {BARS} SELECT ticker, day AS date, open, high, low, close, volume FROM bars")
 def scan_price_csv(spark, sf):
     path = fresh_path(spark, "csv")
-    bars(spark, sf).select("ticker", F.col("day").alias("date"), "open", "high", "low", "close", "volume").write.partitionBy("ticker").option("header", True).csv(path)
-    return TB.price_csv(spark, path).select(F.col("ticker").cast("bigint").alias("ticker"), "date", "open", "high", "low", "close", "volume")
+    bars(spark, sf).select("ticker", F.col("day").alias("date"), "open", "high", "low", "close", "volume").write.option("header", True).csv(path)  # many series a file, one file a task
+    return TB.price_csv(spark, path, "ticker bigint")
 
 
 @query(f"WITH {BARS} SELECT ticker, day AS date, open, high, low, close, volume, adj_close AS adjusted_close FROM bars")
